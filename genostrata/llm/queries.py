@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, host_rules, secret_scan
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +36,68 @@ def bpe_digest(docs: DataFrame) -> DataFrame:
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids and decoded texts of all documents, as digests."""
     return bpe_digest(table(spark, sf_dir, "documents"))
+
+
+def secret_digest(docs: DataFrame) -> DataFrame:
+    found = secret_scan.scan(docs.select("doc_id", "text"), into="found")
+    base = F.filter("found", lambda x: x["base"])
+    counts = [F.size(F.filter(base, lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in secret_scan.KINDS]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.written(base), 256).alias("base_sha256"), secret_scan.written(F.col("found")).alias("spans"))
+
+
+@query
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents, as they stand and below nested encodings."""
+    return secret_digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures of all documents and the verdict on each, with sources as hosts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return host_rules.verdicts(docs).select("doc_id", *host_rules.MEASURES, "base_failed", "kept")
+
+
+# the rules, the prior and the limits of host_rules in SQL
+ORACLES["op3_quality"] = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+win AS (
+  SELECT doc_id, source, i, w[i] || chr(32) || w[i+1] || chr(32) || w[i+2] AS g
+  FROM (SELECT doc_id, source, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+rep AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1),
+cov AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words
+  FROM rep, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+m AS (
+  SELECT d.doc_id, d.source, len(w)::BIGINT AS n_words,
+         length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+         (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+  FROM d LEFT JOIN cov ON cov.doc_id = d.doc_id LEFT JOIN lines ON lines.doc_id = d.doc_id),
+r AS (
+  SELECT *, n_words < 50 AS short, 100 * n_repeat_words > 50 * n_words AS repeats,
+         10 * n_symbols > 3 * greatest(n_words, 1) AS symbols, 4 * n_dup_lines > greatest(n_words, 1) AS dups
+  FROM m),
+h AS (
+  SELECT source, rule, count(*)::DOUBLE AS n, sum(fails::INT)::DOUBLE AS f
+  FROM (SELECT source, unnest(['short', 'repeats', 'symbols', 'dup_lines']) AS rule, unnest([short, repeats, symbols, dups]) AS fails FROM r WHERE source IS NOT NULL)
+  GROUP BY source, rule),
+c AS (SELECT rule, sum(n) AS nn, count(*) AS hh, sum(n * n) AS n2, sum(f) / sum(n) AS mean FROM h GROUP BY rule),
+s AS (SELECT h.rule, nn, hh, n2, mean, sum(n * pow(f / n - mean, 2)) AS s FROM h JOIN c USING (rule) GROUP BY ALL),
+b AS (SELECT rule, mean, CASE WHEN nn - n2 / nn <> 0 THEN (s - mean * (1 - mean) * (hh - 1)) / (nn - n2 / nn) END AS v FROM s),
+p AS (SELECT rule, mean, CASE WHEN v > 0 THEN least(1e6, greatest(1, mean * (1 - mean) / v - 1)) ELSE 1e6 END AS wt FROM b),
+bad AS (
+  SELECT DISTINCT source FROM h JOIN p USING (rule)
+  WHERE (f + mean * wt) / (n + wt) > CASE rule WHEN 'short' THEN 0.5 WHEN 'repeats' THEN 0.5 ELSE 0.6 END)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repeats AS base_failed,
+       NOT (short OR repeats) AND source NOT IN (SELECT source FROM bad) IS NOT FALSE AS kept
+FROM r
+"""
