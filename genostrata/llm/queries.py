@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, host_rules, secret_scan
-from .common import table
+from . import bpe, host_rules, mixing, secret_scan
+from .common import durable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -101,3 +101,22 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, shor
        NOT (short OR repeats) AND source NOT IN (SELECT source FROM bad) IS NOT FALSE AS kept
 FROM r
 """
+
+
+#: Weights of the mix, repeated along the sources, and its size as a share of all words.
+MIX_WEIGHTS, MIX_SHARE = (5.0, 2.0, 1.0), 1.5
+
+
+@query
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document."""
+    docs = durable(table(spark, sf_dir, "documents").select("doc_id", "source", mixing.n_words(F.col("text")).alias("size")))
+    weights = mixing.repeating_weights(mixing.source_names(docs), MIX_WEIGHTS)
+    # the passes that take a document are at most two rows of it; rows of the same doc_id stay apart
+    rows = docs.withColumn("row", F.monotonically_increasing_id())
+    mixed = mixing.mix(rows, weights, MIX_SHARE)
+    return (
+        mixed.groupBy("row")
+        .agg(*(F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target")), F.count("shard").alias("times"))
+        .select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+    )
