@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, host_rules, mixing, secret_scan
+from . import bpe, host_rules, lang_id, mixing, secret_scan
 from .common import durable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(*(F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target")), F.count("shard").alias("times"))
         .select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
     )
+
+
+@query
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, by a network learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    net = lang_id.learned(docs)
+    found = lang_id.identify(docs.select("doc_id", "text"), net)
+    return found.select("doc_id", lang_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
