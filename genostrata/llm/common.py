@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,19 +35,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def fresh(*taken: str) -> str:
-    """A column name that no input column has."""
-    name = f"_g{uuid.uuid4().hex[:10]}"
-    return name if name not in taken else fresh(*taken)
-
-
 def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most `limit` rows, counted without reading further."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(v, component): the smallest vertex reachable from v, for every vertex of `edges`.
+    """(vertex, component): the smallest vertex reachable, for every vertex of `edges`.
 
     Alternating large-star and small-star steps: each is one shuffle by vertex with a partial
     minimum first, so a vertex with very many neighbours is summed up before it moves. The work is
@@ -54,6 +50,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e = durable(e)
+    state = None
     while True:
         # large-star: every neighbour above u is linked to the least of u and its neighbours
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -68,9 +65,37 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        new = durable(small)
-        changed = new.join(e, ["u", "v"], "left_anti").limit(1).count() + e.join(new, ["u", "v"], "left_anti").limit(1).count()
-        e = new
-        if not changed:
+        e = durable(small)
+        now = tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(20)"))).first())
+        if now == state:
             break
-    return e.select(F.col("u").alias("v"), F.col("v").alias("component")).union(e.select("v", F.col("v").alias("component")).distinct())
+        state = now
+    return e.select(F.col("u").alias("vertex"), F.col("v").alias("component")).union(e.select(F.col("v").alias("vertex"), F.col("v").alias("component")).distinct())
+
+
+def runs_of(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups of equal `key`, and the bounds of the groups in each, from rows sorted by it."""
+    rest: pa.Table | None = None
+    for b in batches:
+        t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+        k = t.column(key).to_numpy()
+        change = np.flatnonzero(k[1:] != k[:-1]) + 1
+        if not len(change):
+            rest = t
+            continue
+        yield t.slice(0, change[-1]), np.concatenate([[0], change])
+        rest = t.slice(change[-1])
+    if rest is not None and rest.num_rows:
+        yield rest, np.array([0, rest.num_rows])
+
+
+#: Fixed values of a mixing step for 64-bit numbers.
+MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers dealt evenly, each to another."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX[0])
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX[1])
+    return x ^ (x >> np.uint64(31))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, host_rules, lang_id, mixing, secret_scan
+from . import bpe, host_rules, lang_id, mixing, ngram_join, secret_scan
 from .common import durable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,9 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = lang_id.learned(docs)
     found = lang_id.identify(docs.select("doc_id", "text"), net)
     return found.select("doc_id", lang_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents, and each one's number of links."""
+    return ngram_join.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
