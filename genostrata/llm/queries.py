@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, embed_dedup, host_rules, lang_id, mixing, ngram_join, secret_scan
@@ -41,7 +41,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def secret_digest(docs: DataFrame) -> DataFrame:
     found = secret_scan.scan(docs.select("doc_id", "text"), into="found")
     base = F.filter("found", lambda x: x["base"])
-    counts = [F.size(F.filter(base, lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in secret_scan.KINDS]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in secret_scan.KINDS]
     return found.select("doc_id", *counts, F.sha2(secret_scan.written(base), 256).alias("base_sha256"), secret_scan.written(F.col("found")).alias("spans"))
 
 
