@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, host_rules, lang_id, mixing, ngram_join, secret_scan
+from . import bpe, embed_dedup, host_rules, lang_id, licenses, mixing, ngram_join, secret_scan
 from .common import durable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -164,3 +164,10 @@ SELECT e.vec_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(component_id,
        e.vec_id = coalesce(component_id, e.vec_id) AS kept
 FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN c ON c.v = e.vec_id
 """
+
+
+@query
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of license templates in all documents."""
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.withColumn("coverage", F.round("coverage", 6))
