@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, host_rules, lang_id, licenses, mixing, ngram_join, secret_scan
+from . import bpe, embed_dedup, host_rules, html_extract, lang_id, licenses, mixing, ngram_join, secret_scan
 from .common import durable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -171,3 +171,27 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches of license templates in all documents."""
     found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.withColumn("coverage", F.round("coverage", 6))
+
+
+@query
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main texts of all pages."""
+    found = html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+# the same text for pages that have one article and no boilerplate inside it, as the tables do
+ORACLES["op6_html"] = r"""
+WITH a AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's') AS body FROM pages),
+b AS (
+  SELECT page_id, generate_subscripts(bs, 1) AS i, unnest(bs) AS block
+  FROM (SELECT page_id, string_split(regexp_replace(body, '</?(p|h1|h2|h3|ul|ol|li|div)(\s[^>]*)?>', chr(1), 'g'), chr(1)) AS bs FROM a)),
+t AS (
+  SELECT page_id, i, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(block, '<br ?/?>', ' ', 'g'), '<[^>]*>', '', 'g'),
+         '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&'), '[\s\x{a0}]+', ' ', 'g')) AS line
+  FROM b),
+j AS (SELECT page_id, string_agg(line, chr(10) ORDER BY i) AS text FROM t WHERE line <> '' GROUP BY page_id)
+SELECT a.page_id, a.url, coalesce(j.text, '') AS text, length(coalesce(j.text, ''))::BIGINT AS n_chars
+FROM a LEFT JOIN j ON j.page_id = a.page_id
+"""
