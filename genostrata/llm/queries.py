@@ -188,8 +188,8 @@ b AS (
   SELECT page_id, generate_subscripts(bs, 1) AS i, unnest(bs) AS block
   FROM (SELECT page_id, string_split(regexp_replace(body, '</?(p|h1|h2|h3|ul|ol|li|div)(\s[^>]*)?>', chr(1), 'g'), chr(1)) AS bs FROM a)),
 t AS (
-  SELECT page_id, i, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(block, '<br ?/?>', ' ', 'g'), '<[^>]*>', '', 'g'),
-         '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&'), '[\s\x{a0}]+', ' ', 'g')) AS line
+  SELECT page_id, i, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(block, '<br ?/?>', ' ', 'g'), '<[^>]*>', '', 'g'),
+         '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&nbsp;', chr(160)), '&amp;?', '&', 'g'), '[\s\x{a0}]+', ' ', 'g')) AS line
   FROM b),
 j AS (SELECT page_id, string_agg(line, chr(10) ORDER BY i) AS text FROM t WHERE line <> '' GROUP BY page_id)
 SELECT a.page_id, a.url, coalesce(j.text, '') AS text, length(coalesce(j.text, ''))::BIGINT AS n_chars
