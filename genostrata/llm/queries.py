@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, host_rules, html_extract, lang_id, licenses, mixing, ngram_join, secret_scan
+from . import bpe, embed_dedup, host_rules, html_extract, lang_id, licenses, mixing, ngram_join, pii, secret_scan
 from .common import durable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -195,3 +195,9 @@ j AS (SELECT page_id, string_agg(line, chr(10) ORDER BY i) AS text FROM t WHERE
 SELECT a.page_id, a.url, coalesce(j.text, '') AS text, length(coalesce(j.text, ''))::BIGINT AS n_chars
 FROM a LEFT JOIN j ON j.page_id = a.page_id
 """
+
+
+@query
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with surrogates for personal data."""
+    return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), key="surrogates")
