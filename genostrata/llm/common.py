@@ -90,12 +90,12 @@ def runs_of(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Ta
 
 
 #: Fixed values of a mixing step for 64-bit numbers.
-MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+U30, U27, U31 = np.uint64(30), np.uint64(27), np.uint64(31)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """64-bit numbers dealt evenly, each to another."""
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX[0])
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX[1])
-    return x ^ (x >> np.uint64(31))
+    x = (x ^ (x >> U30)) * MIX[0]
+    x = (x ^ (x >> U27)) * MIX[1]
+    return x ^ (x >> U31)
