@@ -123,13 +123,12 @@ def mix(
     ) if sources else spark.createDataFrame([], "k long, s string, words long, target double, blocks long, whole long, rest double")
     plan = F.broadcast(plan)  # at most MOST_SOURCES rows
 
+    # the rows travel in one column, whatever their columns are named; what isn't needed of it is not read
+    kept = [c for c in docs.columns if c not in ("shard", "pass_no", ORDER, "source_size", "target")]
     unit = hashed(seed, F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.coalesce(F.col(source), F.lit("")))
-    keyed = (
-        docs.join(plan, F.col(source).eqNullSafe(plan["s"]))
-        .withColumn("_unit", unit)
-        .withColumn("_block", F.pmod(F.shiftright("_unit", 20), F.col("blocks")))
-    )
-    narrow = durable(keyed.select("k", "_block", "_unit", "blocks", "whole", "rest", F.coalesce(F.col(size), F.lit(0)).cast("long").alias("w")))
+    base = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("_row"), F.col(source).alias("_source"), F.coalesce(size, F.lit(0)).cast("long").alias("w"), unit.alias("_unit"))
+    keyed = base.join(plan, F.col("_source").eqNullSafe(F.col("s"))).withColumn("_block", F.pmod(F.shiftright("_unit", 20), F.col("blocks")))
+    narrow = durable(keyed.select("k", "_block", "_unit", "blocks", "whole", "rest", "w"))
 
     # the last, partial pass: blocks in keyed order up to the rest of the target; at most MOST_BLOCKS rows of a source
     tally = narrow.groupBy("k", "_block", "blocks", "whole", "rest").agg(F.sum("w").alias("bw"))
@@ -168,19 +167,13 @@ def mix(
         runs.select("k", "shard", F.explode(F.sequence(F.col("begin"), F.col("begin") + F.col("count") - 1)).alias("draw")), ["k", "draw"]
     ).join(F.broadcast(last), "k", "left")
 
-    joined = keyed.drop("blocks", "whole", "rest", "s").alias("d").join(
-        dealt.select(F.col("k").alias("_k"), F.col("_block").alias("_b"), "pass_no", "shard", F.when(F.col("cut"), F.coalesce("_last", F.lit(-(2**63)))).alias("_until")),
-        (F.col("k") == F.col("_k")) & (F.col("_block") == F.col("_b")) & (F.col("_until").isNull() | (F.col("_unit") <= F.col("_until"))),
-        "left",
-    )
-    kept = [c for c in docs.columns if c not in ("shard", "pass_no", ORDER, "source_size", "target")]
-    return joined.select(
-        *(F.col(f"d.`{c}`") for c in kept),
-        F.col("words").alias("source_size"),
-        "target",
-        "shard",
-        "pass_no",
-        hashed(seed + 2, "_unit", "pass_no").alias(ORDER),
+    until = F.when(F.col("cut"), F.coalesce("_last", F.lit(-(2**63))))
+    drawn = dealt.select(F.col("k").alias("_k"), F.col("_block").alias("_b"), "pass_no", "shard", until.alias("_until"))
+    taken = (F.col("k") == F.col("_k")) & (F.col("_block") == F.col("_b")) & (F.col("_until").isNull() | (F.col("_unit") <= F.col("_until")))
+    return (
+        keyed.select("_row", "k", "_block", "_unit", "words", "target")
+        .join(drawn, taken, "left")
+        .select(*(F.col(f"_row.`{c}`") for c in kept), F.col("words").alias("source_size"), "target", "shard", "pass_no", hashed(seed + 2, "_unit", "pass_no").alias(ORDER))
     )
 
 

@@ -36,6 +36,9 @@ VOWELS = {"latin": list("aeiou"), "cyrillic": list("аеиоу")}
 MALE_ENDS = {"latin": list("nrs"), "cyrillic": list("нрс")}
 FEMALE_ENDS = {"latin": ["a"], "cyrillic": ["а"]}
 
+#: Attempts after which the space of a form counts as full. Addresses grow by a letter every four attempts.
+MOST_ATTEMPTS = 100
+
 NAME = r"\p{Lu}[\p{L}'’-]+"
 EDGE, STOP = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 #: (kind, pattern), in order of precedence at one place.
@@ -133,7 +136,7 @@ def surrogate(key: str, kind: Column, unit: Column, attempt: Column) -> Column:
     last = F.when(luhn(unit) == 0, check).otherwise(remade(F.substr(unit, F.length(unit), F.lit(1)), F.substr(h, F.lit(100), F.lit(150))))
     octet = [(drawn(h, F.lit(i), 254) + 1).cast("string") for i in range(4)]
     return (
-        F.when(kind == "email", F.concat(remade(head, h), tail))
+        F.when(kind == "email", F.concat(remade(F.concat(F.repeat(F.lit("a"), F.floor(attempt / 4).cast("int")), head), h), tail))
         .when(kind == "card", F.concat(body, last))
         .when(kind == "phone", F.when(unit.startswith("+"), F.concat(F.substr(unit, F.lit(1), F.lit(2)), remade(F.substr(unit, F.lit(3)), h))).otherwise(remade(unit, h)))
         .when(kind == "iban", F.concat(F.substr(unit, F.lit(1), F.lit(2)), remade(F.substr(unit, F.lit(3)), h)))
@@ -208,8 +211,11 @@ def attempts(known: DataFrame, key: str) -> DataFrame:
         taken = known.select("kind", F.col("unit").alias("made"), F.lit(True).alias("occurs"))
         judged = now.withColumn("turn", turn).join(taken, ["kind", "made"], "left").withColumn("clash", (F.col("turn") > 1) | F.col("occurs").isNotNull())
         judged = durable(judged.select("kind", "unit", "attempt", "made", "clash"))
-        if judged.where("clash").limit(1).count() == 0:
+        most = judged.where("clash").agg(F.max("attempt")).first()[0]
+        if most is None:
             return now
+        if most >= MOST_ATTEMPTS:
+            raise ValueError("the units of a kind leave no room for as many distinct surrogates of their form")
         again = F.col("attempt") + F.col("clash").cast("int")
         now = durable(
             judged.select("kind", "unit", again.alias("attempt"), F.when(F.col("clash"), surrogate(key, F.col("kind"), F.col("unit"), again)).otherwise(F.col("made")).alias("made"))
