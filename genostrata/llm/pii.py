@@ -216,10 +216,10 @@ def attempts(known: DataFrame, key: str) -> DataFrame:
             return now
         if most >= MOST_ATTEMPTS:
             raise ValueError("the units of a kind leave no room for as many distinct surrogates of their form")
-        again = F.col("attempt") + F.col("clash").cast("int")
-        now = durable(
-            judged.select("kind", "unit", again.alias("attempt"), F.when(F.col("clash"), surrogate(key, F.col("kind"), F.col("unit"), again)).otherwise(F.col("made")).alias("made"))
-        )
+        # a column of its own: in one select, an alias could stand in for the column of its name within lambdas
+        turned = judged.withColumn("next", F.col("attempt") + F.col("clash").cast("int"))
+        made = F.when(F.col("clash"), surrogate(key, F.col("kind"), F.col("unit"), F.col("next"))).otherwise(F.col("made"))
+        now = durable(turned.select("kind", "unit", F.col("next").alias("attempt"), made.alias("made")))
 
 
 def replace(docs: DataFrame, key: str, text: str = "text", into: str = "text", count: str = "n_entities") -> DataFrame:
