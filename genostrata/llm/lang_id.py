@@ -229,21 +229,30 @@ def some_words(text: str, key: int) -> str:
 def learned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", seed: int = 5) -> Network:
     """A network from a sample of SAMPLE_ROWS rows of each language and SAMPLE_WORDS words of each.
 
-    The rows of least keyed hash among all that have a language and are not held out are taken. Only
-    ids and languages are ranked, with a limit in every task; the sample alone reaches the driver.
+    The rows of least keyed hash among all that have a language and are not held out are taken. Rows
+    are counted by language, and only the few thousand of lowest hashes are ranked; the sample and
+    the counts alone reach the driver.
     """
     rows = docs.where(F.col(lang).isNotNull() & ~held_out(F.col(doc_id))).select(
         F.col(lang).alias("y"), F.col(text).alias("x"), F.xxhash64(F.lit(seed), F.col(doc_id)).alias("u")
     )
-    rank = F.row_number().over(Window.partitionBy("y").orderBy("u"))
-    most = rows.select("y", "u").withColumn("rank", rank).where(F.col("rank") <= SAMPLE_ROWS).groupBy("y").agg(F.max("u").alias("most"))
-    limits = most.limit(1000).collect()  # one row for each language
-    if not limits:
+    counts = rows.groupBy("y").count().limit(1000).collect()  # one row for each language
+    # hashes are even, so three times the share that is needed holds enough rows, and few to rank
+    low = None
+    for r in counts:
+        share = 3 * SAMPLE_ROWS / r["count"]
+        c = (F.col("y") == r["y"]) & (F.col("u") <= (2**63 - 1 if share >= 1 else int(share * 2**64) - 2**63))
+        low = c if low is None else low | c
+    if low is None:
         return train([], seed)
+    rank = F.row_number().over(Window.partitionBy("y").orderBy("u"))
+    limits = rows.where(low).select("y", "u").withColumn("rank", rank).where(F.col("rank") <= SAMPLE_ROWS).groupBy("y").agg(F.max("u").alias("most")).collect()
     within = None
     for r in limits:
         c = (F.col("y") == r["y"]) & (F.col("u") <= r["most"])
         within = c if within is None else within | c
+    if within is None:  # all rows of each language have one hash above the share: the limit below bounds them
+        within = F.lit(True)
 
     def draw(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
