@@ -30,7 +30,7 @@ LONG = 48
 NEVER = 1 << 40
 #: Distinct words, and distinct chunks between white space, whose ids a worker keeps twice: the
 #: newest, and those before them, from which what is still in use moves up.
-CACHE = 250_000
+CACHE = 60_000
 #: Rows encoded before they go back to Spark.
 SLICE = 256
 
