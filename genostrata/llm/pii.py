@@ -40,19 +40,21 @@ FEMALE_ENDS = {"latin": ["a"], "cyrillic": ["а"]}
 MOST_ATTEMPTS = 100
 
 NAME = r"\p{Lu}[\p{L}'’-]+"
+#: What stands before any entity. Tried first, it fails at once within words.
 EDGE, STOP = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
-#: (kind, pattern), in order of precedence at one place.
+NAMED = "|".join(n for x in MALE_NAMES + FEMALE_NAMES for n in (x, x.upper()))
+#: (kind, pattern after EDGE), in order of precedence at one place.
 PATTERNS = (
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}" + STOP),
-    ("ip", r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\p{L}\p{N}]|\.[0-9])"),
-    ("iban", EDGE + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + STOP),
-    ("ssn", EDGE + r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?!-?[0-9\p{L}])"),
-    ("card", EDGE + r"(?:[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{13,19})" + STOP),
-    ("phone", r"(?<![\p{L}\p{N}+]|[0-9][.-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![\p{L}\p{N}]|[.-][0-9])"),
-    ("phone", r"(?<![\p{L}\p{N}+])\+[0-9]{8,15}" + STOP),
-    ("person", EDGE + "(?:(?:" + "|".join(MALE_TITLES + FEMALE_TITLES + OPEN_TITLES) + rf")\.? (?:{NAME} ){{0,2}}{NAME}|(?:" + "|".join(n for x in MALE_NAMES + FEMALE_NAMES for n in (x, x.upper())) + rf") {NAME})" + STOP),
+    ("email", r"[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}" + STOP),
+    ("ip", r"(?<!\.)(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\p{L}\p{N}]|\.[0-9])"),
+    ("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + STOP),
+    ("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?!-?[0-9\p{L}])"),
+    ("card", r"(?:[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{13,19})" + STOP),
+    ("phone", r"(?<![+]|[0-9][.-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![\p{L}\p{N}]|[.-][0-9])"),
+    ("phone", r"(?<![+])\+[0-9]{8,15}" + STOP),
+    ("person", r"(?=[\p{Lu}г])(?:(?:" + "|".join(MALE_TITLES + FEMALE_TITLES + OPEN_TITLES) + rf")\.? (?:{NAME} ){{0,2}}{NAME}|(?:{NAMED}) {NAME})" + STOP),
 )
-ENTITY = "|".join(f"(?:{p})" for _, p in PATTERNS)
+ENTITY = EDGE + "(?:" + "|".join(p for _, p in PATTERNS) + ")"
 TITLE = r"^(?:" + "|".join(MALE_TITLES + FEMALE_TITLES + OPEN_TITLES) + r")\.? "
 
 
