@@ -20,6 +20,8 @@ an empty table gives an empty table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,6 +69,11 @@ def kind_of(value: Column) -> Column:
     return whole
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def digest(key: str, kind: Column, unit: Column, attempt: Column) -> Column:
     """256 hexadecimal digits."""
     base = F.concat_ws("\u0001", F.lit(key), kind, unit, attempt.cast("string"))
@@ -128,18 +135,28 @@ def word(h: Column, attempt: Column, kind: Column, cyrillic: Column) -> Column:
 
 
 def surrogate(key: str, kind: Column, unit: Column, attempt: Column) -> Column:
-    h = digest(key, kind, unit, attempt)
+    return let(digest(key, kind, unit, attempt), lambda h: of_kind(h, kind, unit, attempt))
+
+
+def of_kind(h: Column, kind: Column, unit: Column, attempt: Column) -> Column:
     tail = F.coalesce(
         F.nullif(F.regexp_extract(unit, r"(?<=[@.])example\.(?:com|net|org)$", 0), F.lit("")), F.regexp_extract(unit, r"\.[a-z]+$", 0)
     )
-    head = F.substr(unit, F.lit(1), F.length(unit) - F.length(tail))
+
+    def email(tail: Column) -> Column:
+        head = F.substr(unit, F.lit(1), F.length(unit) - F.length(tail))
+        return F.concat(remade(F.concat(F.repeat(F.lit("a"), F.floor(attempt / 4).cast("int")), head), h), tail)
+
+    def card(body: Column) -> Column:
+        check = let(F.concat(body, F.lit("0")), lambda x: F.pmod(10 - luhn(x), F.lit(10)).cast("string"))
+        last = remade(F.substr(unit, F.length(unit), F.lit(1)), F.substr(h, F.lit(100), F.lit(150)))
+        return F.concat(body, F.when(luhn(unit) == 0, check).otherwise(last))
+
     body = F.concat(F.substr(unit, F.lit(1), F.lit(1)), remade(F.substr(unit, F.lit(2), F.length(unit) - 2), h))
-    check = F.pmod(10 - luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")
-    last = F.when(luhn(unit) == 0, check).otherwise(remade(F.substr(unit, F.length(unit), F.lit(1)), F.substr(h, F.lit(100), F.lit(150))))
     octet = [(drawn(h, F.lit(i), 254) + 1).cast("string") for i in range(4)]
     return (
-        F.when(kind == "email", F.concat(remade(F.concat(F.repeat(F.lit("a"), F.floor(attempt / 4).cast("int")), head), h), tail))
-        .when(kind == "card", F.concat(body, last))
+        F.when(kind == "email", let(tail, email))
+        .when(kind == "card", let(body, card))
         .when(kind == "phone", F.when(unit.startswith("+"), F.concat(F.substr(unit, F.lit(1), F.lit(2)), remade(F.substr(unit, F.lit(3)), h))).otherwise(remade(unit, h)))
         .when(kind == "iban", F.concat(F.substr(unit, F.lit(1), F.lit(2)), remade(F.substr(unit, F.lit(3)), h)))
         .when(kind == "ip", F.concat_ws(".", *octet))
@@ -150,7 +167,10 @@ def surrogate(key: str, kind: Column, unit: Column, attempt: Column) -> Column:
 
 def units(value: Column) -> Column:
     """The (kind, unit, shown) parts of an entity, in order; shown is the text that the unit stands for."""
-    kind = kind_of(value)
+    return let(kind_of(value), lambda kind: units_of(kind, value))
+
+
+def units_of(kind: Column, value: Column) -> Column:
     number = F.regexp_replace(value, "[^0-9A-Z+]", "")
     title = F.regexp_extract(value, TITLE, 0)
     names = F.split(F.substr(value, F.length(title) + 1), " ")
@@ -184,12 +204,15 @@ def spread(shown: Column, made: Column) -> Column:
 def rendered(key: str, value: Column, attempts: Column) -> Column:
     """An entity with surrogates for its units, in its own format and case."""
 
-    def one(p: Column) -> Column:
-        attempt = F.coalesce(F.get(F.transform(F.array(F.concat_ws("\u0001", p["kind"], p["unit"])), lambda u: F.try_element_at(attempts, u)), F.lit(0)), F.lit(0))
-        made = surrogate(key, p["kind"], p["unit"], attempt)
+    def cased(p: Column, made: Column) -> Column:
         upper = (p["shown"] == F.upper(p["shown"])) & (p["shown"] != F.lower(p["shown"]))
-        cased = F.when(upper, F.upper(made)).when(p["kind"].isin("family", "given", "given_m", "given_f"), F.initcap(made)).otherwise(made)
-        return F.when(p["kind"].isin("card", "phone", "ssn", "iban"), spread(p["shown"], made)).otherwise(cased)
+        name = p["kind"].isin("family", "given", "given_m", "given_f")
+        text = F.when(upper, F.upper(made)).when(name, F.initcap(made)).otherwise(made)
+        return F.when(p["kind"].isin("card", "phone", "ssn", "iban"), spread(p["shown"], made)).otherwise(text)
+
+    def one(p: Column) -> Column:
+        attempt = F.coalesce(F.try_element_at(attempts, F.concat_ws("\u0001", p["kind"], p["unit"])), F.lit(0))
+        return let(attempt, lambda n: let(surrogate(key, p["kind"], p["unit"], n), lambda made: cased(p, made)))
 
     return F.concat(F.regexp_extract(value, TITLE, 0), F.array_join(F.transform(units(value), one), " "))
 
