@@ -4,8 +4,8 @@ A filter is a random direction; a vector is in it if its score exceeds a thresho
 lies in the direction's cap. Directions are all concatenations of one code word for each block of
 coordinates (after a random rotation), so a vector finds its filters by list decoding: block by
 block, keeping the beginnings that can still reach the threshold. Vectors that share a filter are
-compared exactly, in double precision. A filter gives a spanning forest of the links within it;
-the connected components of these are the components, and within each all pairs are then compared
+compared exactly, in double precision, however many they are. A filter gives spanning forests of
+the links within it; the connected components of these are the components, and within each all pairs are then compared
 once, block by block, to count the links. No list of all pairs ever exists.
 
 The threshold and the number of directions follow from the number of vectors: about BUCKET vectors
@@ -36,7 +36,8 @@ COSINE = 0.9
 SHARED, BUCKET, CODES = 20.0, 48, 4
 #: Code words of a block at most; more directions take more blocks.
 MOST_WORDS = 1024
-PART, PIVOTS = 4096, 64
+#: A filter of more classes is compared as tiles, one for each pair of its parts of about so many.
+PART = 4096
 BLOCK = 512
 
 
@@ -146,14 +147,23 @@ def filtered(classes: DataFrame, dtype: type, t: float, blocks: int, words: int)
     return classes.select("c", "x").mapInArrow(run, "path long, c binary, x binary")
 
 
+def alone(x: np.ndarray, cosine: float, step: int = 512) -> np.ndarray:
+    """Which unit vectors have no other within the threshold, with a margin for rounding."""
+    out = np.ones(len(x), bool)
+    for lo in range(0, len(x), step):
+        near = x[lo : lo + step] @ x.T >= cosine - 1e-9
+        near[np.arange(len(near)), lo + np.arange(len(near))] = False
+        out[lo : lo + step] = ~near.any(1)
+    return out
+
+
 def forest(x: np.ndarray, cosine: float) -> np.ndarray:
     """For each unit vector the first one that it is connected to by links; each found member is
     compared with what is not yet reached."""
-    root = np.full(len(x), -1)
-    todo = np.arange(len(x))
+    root = np.arange(len(x))
+    todo = np.flatnonzero(~alone(x, cosine))
     while len(todo):
         first = todo[0]
-        root[first] = first
         todo, queue = todo[1:], [first]
         while queue and len(todo):
             near = x[todo] @ x[queue.pop()] >= cosine
@@ -164,15 +174,17 @@ def forest(x: np.ndarray, cosine: float) -> np.ndarray:
 
 
 def filter_links(rows: DataFrame, dtype: type, cosine: float) -> DataFrame:
-    """(a, b): a spanning forest of the links within each filter; a very large filter is compared in
-    parts that share pivots."""
+    """(a, b): links that connect what is linked within each filter, a spanning forest of each tile:
+    a very large filter is cut into parts, and every pair of parts is compared in one place."""
     counts = rows.groupBy("path").agg(F.count(F.lit(1)).alias("m")).where("m >= 2")
     rows = rows.join(counts, "path")
     parts = F.ceil(F.col("m") / PART)
-    cut = rows.withColumn("part", F.when(F.col("m") > PART, F.pmod(F.xxhash64("c"), parts)).otherwise(F.lit(0)))
-    pivot = (F.col("m") > PART) & (F.pmod(F.xxhash64("c", F.lit(3)), F.col("m")) < PIVOTS)
-    each = F.when(pivot, F.sequence(F.lit(0).cast("bigint"), parts - 1)).otherwise(F.array(F.col("part")))
-    cut = cut.withColumn("part", F.explode(each)).select(F.xxhash64("path", "part").alias("leaf"), "c", "x")
+    part = F.when(F.col("m") > PART, F.pmod(F.xxhash64("c"), parts)).otherwise(F.lit(0).cast("bigint"))
+    # of several parts, the tiles of two hold all pairs within a part too
+    others = F.when(F.col("m") > PART, F.filter(F.sequence(F.lit(0).cast("bigint"), parts - 1), lambda i: i != F.col("part"))).otherwise(F.array(F.col("part")))
+    cut = rows.withColumn("part", part).withColumn("other", F.explode(others)).select(
+        F.xxhash64("path", F.least("part", "other"), F.greatest("part", "other")).alias("leaf"), "c", "x"
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, bounds in runs_of(batches, "leaf"):

@@ -162,6 +162,29 @@ def test_embeddings_against_brute_force(spark):
     assert embed_dedup.dedup(df.limit(0)).collect() == []
 
 
+def test_links_of_a_filter_in_many_parts(spark, monkeypatch):
+    """Isolated pairs in one dense cone, near no other vector, are found whatever parts they fall in."""
+    monkeypatch.setattr(embed_dedup, "PART", 16)
+    rng = np.random.default_rng(5)
+    d, pairs = 64, 150
+    u = rng.normal(size=(pairs, d - 1))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    w = u + rng.normal(size=u.shape) * 0.03
+    w /= np.linalg.norm(w, axis=1, keepdims=True)
+    v = np.concatenate([np.pad(x * 0.6, ((0, 0), (1, 0)), constant_values=1.0) for x in (u, w)]).astype(np.float32)
+    near = (y := v / np.linalg.norm(v, axis=1, keepdims=True)) @ y.T >= 0.9
+    np.fill_diagonal(near, False)
+    assert 0.6 < (y @ y.T).min() and np.median(near.sum(1)) == 1
+    rows = spark.createDataFrame([(7, i.to_bytes(2, "big"), x.tobytes()) for i, x in enumerate(v)], "path long, c binary, x binary")
+    got = embed_dedup.filter_links(rows, np.float32, 0.9).collect()
+    at = [(int.from_bytes(r["a"], "big"), int.from_bytes(r["b"], "big")) for r in got]
+    label = np.arange(len(v))
+    for _ in range(len(v)):
+        for a, b in at:
+            label[a] = label[b] = min(label[a], label[b])
+    assert label.tolist() == brute_components(list(range(len(v))), near)
+
+
 def test_pipeline_stages(spark, docs, empty, monkeypatch):
     monkeypatch.setattr(lang_id, "STEPS", 40)
     rng = random.Random(6)
