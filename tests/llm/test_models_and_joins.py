@@ -138,6 +138,24 @@ def test_forest_and_sketch():
     assert x[0, 1] == 5 and x[0, 2] == 0
 
 
+def test_candidates_of_a_leaf_in_many_parts(spark, monkeypatch):
+    """Near pairs, like no other text of their leaf, are candidates whatever parts they fall in."""
+    monkeypatch.setattr(ngram_join, "PART", 16)
+    texts = [" ".join(f"{i}w{j}" for j in range(300)) for i in range(120)]
+    texts += [x + " more words stand here" for x in texts]
+    sks = [ngram_join.sketch(*ngram_join.least_members(ngram_join.shingles(x))).tobytes() for x in texts]
+    rows = spark.createDataFrame([(7, len(sks), i.to_bytes(2, "big"), x) for i, x in enumerate(sks)], "path long, m long, c binary, sketch binary")
+    got = {frozenset((int.from_bytes(r["a"], "big"), int.from_bytes(r["b"], "big"))) for r in ngram_join.candidate_links(rows).collect()}
+    assert got == {frozenset((i, i + 120)) for i in range(120)}
+
+
+def test_forest_with_sides():
+    s = [ngram_join.sketch(*ngram_join.least_members(ngram_join.shingles(" ".join(f"{k}{i}" for i in range(400))))) for k in "ab"]
+    x = np.stack([s[0], s[0], s[1], s[1], s[0], s[1]])
+    assert ngram_join.forest(x, np.array([0, 0, 0, 0, 1, 0], bool)).tolist() == [0, 0, 2, 3, 0, 5]
+    assert ngram_join.forest(x, np.zeros(6, bool)).tolist() == [0, 0, 2, 2, 0, 2]
+
+
 def test_embeddings_against_brute_force(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(60, 16))
