@@ -61,7 +61,14 @@ HINTS = ("passw", "secret", "token", "api")
 
 PERCENT = re.compile("(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2})|\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|(?:\\x[0-9A-Fa-f]{2})+|&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|quot|apos|amp|lt|gt|equals|colon|lowbar|sol|plus);")
-BASE64 = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_-]{16,}={0,2}")
+#: A run of either alphabet, with the lines that follow it at once.
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)*={0,2}")
+LINE = re.compile("[A-Za-z0-9+/_-]+")
+STANDARD = str.maketrans("-_", "+/")
+#: How compressed bytes may begin in base64, at the start or after what may be a separator.
+MAGIC = re.compile("(?:^|(?<=[+/_-]))(?:H4sI|e[A-P]|Qlpo|KLUv)|[/_]Td6")
+#: Text within other bytes; a shorter one holds neither a secret nor an encoded one.
+INNER = re.compile(rb"(?:[\t\n\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){12,}")
 
 
 def matches(text: str) -> list[tuple[int, int, int]]:
@@ -195,30 +202,79 @@ def replaced(layer: Layer, pattern: re.Pattern, name: str, decode) -> Iterator[L
     yield Layer("".join(texts), np.concatenate(starts), np.concatenate(ends), f"{layer.name}>{name}")
 
 
+def line_groups(m: re.Match) -> Iterator[list[tuple[int, int]]]:
+    """The lines of a match: those of equal width together with a last one that is no longer."""
+    group: list[tuple[int, int]] = []
+    for x in LINE.finditer(m.string, *m.span()):
+        if group:
+            width, last = group[0][1] - group[0][0], group[-1][1] - group[-1][0]
+            if last < width or x.end() - x.start() > width:
+                yield group
+                group = []
+        group.append(x.span())
+    yield group
+
+
+def debased(run: str) -> bytes:
+    n = len(run) - (len(run) % 4 == 1)
+    return binascii.a2b_base64(run[:n] + "=" * (-n % 4))
+
+
+def opens(layer: Layer, lines: list[tuple[int, int]]) -> bool:
+    return opened(debased("".join(layer.text[a:b] for a, b in lines).translate(STANDARD))) is not None
+
+
+def opened_run(layer: Layer, lines: list[tuple[int, int]]) -> Iterator[Layer]:
+    """Layers for what the base64 of these lines holds: all of it, or else the compressed parts that
+    begin after a separator, and the texts within it at any offset."""
+    run = "".join(layer.text[a:b] for a, b in lines)
+    if len(run) < 16:
+        return
+    at = np.concatenate([np.arange(a, b) for a, b in lines])
+    s, e = layer.maps()
+    s, e = s[at], e[at]
+    code = run.translate(STANDARD)
+
+    def mapped(text: str, phase: int, skip: int) -> Layer:
+        stop = byte_ends(text) + skip
+        first = np.concatenate([[skip], stop[:-1]]) if len(text) else stop
+        last = stop - 1
+        return Layer(text, s[phase + first // 3 * 4 + first % 3], e[phase + last // 3 * 4 + last % 3 + 1], f"{layer.name}>base64")
+
+    def whole(got: tuple[str, str], start: int) -> Layer:
+        n = len(got[1])
+        return Layer(got[1], np.full(n, s[start:].min()), np.full(n, e[start:].max()), f"{layer.name}>base64{got[0]}")
+
+    data = debased(code)
+    if got := opened(data):
+        yield whole(got, 0) if got[0] else mapped(got[1], 0, 0)
+        return
+    for m in MAGIC.finditer(run):
+        i = m.start()
+        if i and (code[i] != "e" or int.from_bytes(debased(code[i : i + 4])[:2]) % 31 == 0) and (got := opened(debased(code[i:]))) and got[0]:
+            yield whole(got, i)
+    for phase in range(4):
+        for m in INNER.finditer(data if not phase else debased(code[phase:])):
+            try:
+                yield mapped(m.group().decode(), phase, m.start())
+            except UnicodeDecodeError:
+                continue
+
+
 def unbased(layer: Layer) -> Iterator[Layer]:
-    """A layer for each base64 part that holds text or compressed text."""
+    """Layers for the base64 parts that hold text or compressed text."""
     for m in BASE64.finditer(layer.text):
-        core = m.group().rstrip("=")
-        if len(core) % 4 == 1:
-            continue
-        try:
-            data = binascii.a2b_base64(core.replace("-", "+").replace("_", "/") + "=" * (-len(core) % 4))
-        except binascii.Error:
-            continue
-        got = opened(data)
-        if got is None:
-            continue
-        names, text = got
-        s, e = layer.maps()
-        a, n = m.start(), len(text)
-        if names:
-            lo, hi = layer.origin(*m.span())
-            yield Layer(text, np.full(n, lo), np.full(n, hi), f"{layer.name}>base64{names}")
-        else:
-            stop = byte_ends(text)
-            first = np.concatenate([[0], stop[:-1]]) if n else stop
-            last = stop - 1
-            yield Layer(text, s[a + first // 3 * 4 + first % 3], e[a + last // 3 * 4 + last % 3 + 1], f"{layer.name}>base64")
+        for group in line_groups(m):
+            rest: list[tuple[int, int]] = []
+            # a shorter last line may be what follows the part
+            if len(group) > 1 and not opens(layer, group) and opens(layer, group[:-1]):
+                group, rest = group[:-1], group[-1:]
+            found = list(opened_run(layer, group))
+            if not found and len(group) > 1:
+                rest = group
+            yield from found
+            for line in rest:
+                yield from opened_run(layer, [line])
 
 
 def percent_bytes(x: str) -> bytes:

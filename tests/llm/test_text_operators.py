@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import urllib.parse
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -83,6 +84,29 @@ def test_secrets_below_encodings():
     assert len([x for x in secret_scan.spans(f"{twice} {twice}") if x[0] == "access"]) == 2
 
 
+def test_secrets_in_runs_of_either_alphabet():
+    rng = random.Random(8)
+    for _ in range(200):
+        long = " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(20)) + " " + SECRET
+        packed = zlib.compress(long.encode())
+        for hidden in (
+            base64.urlsafe_b64encode(packed).decode(),
+            base64.encodebytes(packed).decode(),
+            base64.encodebytes(long.encode()).decode(),
+            "v1/files/" + base64.b64encode(packed).decode(),
+            "v1/abc/" + base64.b64encode(long.encode()).decode() + "/z",
+        ):
+            found = secret_scan.spans(f"é {hidden} z")
+            assert {x[0] for x in found} >= {"assign", "access"}, hidden
+            assert all(2 <= a < b <= 2 + len(hidden) for _, a, b, *_ in found)
+
+
+    lines = [base64.b64encode(b"%03d password=hunter%05d and so forth, till the end" % (i, i)).decode()[:64] for i in range(3)]
+    for text in ("\n".join(lines), f"{lines[0]}\nThe end"):
+        found = secret_scan.spans(text)
+        assert [x[1] for x in found if x[0] == "assign"][0] == 5 and all(b <= len(text) for _, _, b, *_ in found)
+
+
 def brute_base(text):
     out = []
     for m in re.finditer(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd])|(?:[Pp][Aa][Ss][Ss][Ww][Dd])|(?:[Ss][Ee][Cc][Rr][Ee][Tt])|(?:[Tt][Oo][Kk][Ee][Nn])|(?:[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
