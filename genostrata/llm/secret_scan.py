@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import binascii
 import bz2
+import hashlib
 import html
 import lzma
 import re
@@ -104,46 +105,64 @@ class Layer:
         return self.starts, self.ends
 
 
+def format_of(data: bytes) -> str | None:
+    if data[:2] == b"\x1f\x8b":
+        return "gzip"
+    if data[:1] == b"\x78" and len(data) > 1 and (data[0] << 8 | data[1]) % 31 == 0:
+        return "zlib"
+    return next((name for start, name in ((b"BZh", "bz2"), (b"\xfd7zXZ\x00", "xz"), (b"\x28\xb5\x2f\xfd", "zstd")) if data.startswith(start)), None)
+
+
+DECOMPRESSORS = {
+    "gzip": lambda: zlib.decompressobj(31),
+    "zlib": zlib.decompressobj,
+    "bz2": bz2.BZ2Decompressor,
+    "xz": lzma.LZMADecompressor,
+}
+UNREADABLE = (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError)
+
+
 def unfolded(data: bytes) -> tuple[bytes, str] | None:
-    """What compressed bytes hold, and the name of the format."""
-    try:
-        if data[:2] == b"\x1f\x8b":
-            d, name = zlib.decompressobj(31), "gzip"
-        elif data[:1] == b"\x78" and len(data) > 1 and (data[0] << 8 | data[1]) % 31 == 0:
-            d, name = zlib.decompressobj(), "zlib"
-        elif data[:3] == b"BZh":
-            d, name = bz2.BZ2Decompressor(), "bz2"
-        elif data[:6] == b"\xfd7zXZ\x00":
-            d, name = lzma.LZMADecompressor(), "xz"
-        elif data[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor().stream_reader(data) as r:
-                out = r.read(MOST_BYTES + 1)
-            return (out, "zstd") if len(out) <= MOST_BYTES else None
-        else:
+    """What compressed bytes hold, member after member, and the name of the format."""
+    name = format_of(data)
+    out: list[bytes] = []
+    size = 0
+    while name and format_of(data) == name:
+        try:
+            if name == "zstd":
+                with zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True) as r:
+                    got, data = r.read(MOST_BYTES + 1 - size), b""
+            else:
+                d = DECOMPRESSORS[name]()
+                got = d.decompress(data, MOST_BYTES + 1 - size)
+                data = d.unused_data.lstrip(b"\x00")
+        except UNREADABLE:
+            break
+        out.append(got)
+        size += len(got)
+        if size > MOST_BYTES:
             return None
-        out = d.decompress(data, MOST_BYTES + 1)
-        return (out, name) if len(out) <= MOST_BYTES else None
-    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError):
-        return None
+    return (b"".join(out), name) if out else None
 
 
 def as_text(data: bytes) -> str | None:
     try:
-        text = data.decode()
+        return data.decode()
     except UnicodeDecodeError:
         return None
-    return text if all(c.isprintable() or c in "\t\n\r" for c in text) else None
 
 
 def opened(data: bytes) -> tuple[str, str] | None:
-    """Text of bytes that are text or compressed text, and the formats that were taken off."""
-    names = []
-    while data and (got := unfolded(data)):
+    """Text of bytes that are text or compressed bytes, and the formats that were taken off. Bytes
+    that were compressed are scanned whatever they are; formats end where bytes come again."""
+    names, seen = [], set()
+    while data and (got := unfolded(data)) and (key := hashlib.blake2b(data, digest_size=16).digest()) not in seen:
+        seen.add(key)
         data, name = got
         names.append(name)
-        if len(names) > 8:
-            return None
     text = as_text(data) if data else None
+    if text is None and names and data:
+        text = data.decode(errors="replace")
     return None if text is None else ("".join(f">{n}" for n in names), text)
 
 

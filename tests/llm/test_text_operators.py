@@ -1,8 +1,10 @@
 """BPE, secrets, licenses, quality rules, mixing and PII on small tables, against plain versions."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import re
 import urllib.parse
@@ -99,14 +101,32 @@ def test_secrets_in_runs_of_either_alphabet():
             found = secret_scan.spans(f"é {hidden} z")
             assert {x[0] for x in found} >= {"assign", "access"}, hidden
             assert all(2 <= a < b <= 2 + len(hidden) for _, a, b, *_ in found)
-
-
     lines = [base64.b64encode(b"%03d password=hunter%05d and so forth, till the end" % (i, i)).decode()[:64] for i in range(3)]
     for text in ("\n".join(lines), f"{lines[0]}\nThe end"):
         found = secret_scan.spans(text)
         assert [x[1] for x in found if x[0] == "assign"][0] == 5 and all(b <= len(text) for _, _, b, *_ in found)
 
 
+def test_secrets_in_any_decoded_bytes():
+    packed = gzip.compress(SECRET.encode())
+    nested = SECRET.encode()
+    for _ in range(12):
+        nested = gzip.compress(nested)
+    for data in (
+        *(f"Monsieur{c}Dupont, {SECRET}".encode() for c in "\u00a0\u3000\u2028\u200b\ufeff\u00ad\f\0"),
+        gzip.compress(f"Monsieur\u00a0Dupont, {SECRET}".encode()),
+        gzip.compress("été ".encode("latin-1") + SECRET.encode()),
+        gzip.compress(b"first member ") + packed,
+        bz2.compress(b"first member ") + bz2.compress(SECRET.encode()),
+        lzma.compress(b"first member ") + lzma.compress(SECRET.encode()),
+        nested,
+    ):
+        hidden = base64.b64encode(data).decode()
+        found = secret_scan.spans(f"é {hidden} z")
+        assert {x[0] for x in found} >= {"assign", "access"}, data
+        assert all(2 <= a < b <= 2 + len(hidden) for _, a, b, *_ in found)
+
+
 def brute_base(text):
     out = []
     for m in re.finditer(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd])|(?:[Pp][Aa][Ss][Ss][Ww][Dd])|(?:[Ss][Ee][Cc][Rr][Ee][Tt])|(?:[Tt][Oo][Kk][Ee][Nn])|(?:[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
