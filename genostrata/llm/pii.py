@@ -33,10 +33,21 @@ FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mademoiselle",
 OPEN_TITLES = ("Dr", "Prof")
 MALE_NAMES = "James John Robert Michael William David Richard Joseph Thomas Charles Hans Klaus Jürgen Wolfgang Pierre Jean Jacques Luis Carlos Juan José Miguel Иван Пётр Сергей Алексей Дмитрий".split()
 FEMALE_NAMES = "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Ursula Monika Petra Sabine Marie Claire Sophie Camille María Carmen Ana Isabel Анна Мария Елена Ольга Наталья".split()
-CONSONANTS = {"latin": list("bdfgklmnprstvz"), "cyrillic": list("бдгклмнпрствз")}
-VOWELS = {"latin": list("aeiou"), "cyrillic": list("аеиоу")}
-MALE_ENDS = {"latin": list("nrs"), "cyrillic": list("нрс")}
-FEMALE_ENDS = {"latin": ["a"], "cyrillic": ["а"]}
+CONSONANTS = {"latin": list("bdfgklmnprstvz"), "cyrillic": list("бдгклмнпрствз"), "greek": list("βγδζκλμνπρστφ")}
+VOWELS = {"latin": list("aeiou"), "cyrillic": list("аеиоу"), "greek": list("αεηιο")}
+MALE_ENDS = {"latin": list("nrs"), "cyrillic": list("нрс"), "greek": list("νρς")}
+FEMALE_ENDS = {"latin": ["a"], "cyrillic": ["а"], "greek": ["α"]}
+#: Letters of scripts for the letters of an address; other scripts' become ASCII letters.
+SCRIPTS = {
+    "IsCyrillic": "абвгдежзийклмнопрстуфхцчшщъыьэюя",
+    "IsGreek": "αβγδεζηθικλμνξοπρστυφχψω",
+    "IsHan": "".join(map(chr, range(0x4E00, 0x5600))),
+    "IsHiragana": "あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめもやゆよらりるれろわ",
+    "IsKatakana": "アイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロワ",
+    "IsHangul": "".join(map(chr, range(0xAC00, 0xB400))),
+    "IsArabic": "بتثجحخدذرزسشصضطظعغفقكلمنهوي",
+    "IsHebrew": "אבגדהוזחטיכלמנסעפצקרשת",
+}
 
 #: Attempts after which the space of a form counts as full. Addresses grow by a letter every four attempts.
 MOST_ATTEMPTS = 100
@@ -89,20 +100,34 @@ def letters(x: Column) -> Column:
     return F.filter(F.split(x, ""), lambda c: c != "")
 
 
-def remade(x: Column, h: Column) -> Column:
-    """x with each ASCII digit and letter replaced by a drawn one of its class."""
+def remade(x: Column, h: Column, scripts: bool = False) -> Column:
+    """x with each ASCII digit and letter replaced by a drawn one of its class, and if asked for, those
+    of all scripts: letters by letters of theirs, or else ASCII ones, and digits by ASCII ones."""
 
     def one(c: Column, i: Column) -> Column:
-        return (
+        made = (
             F.when(c.between("0", "9"), drawn(h, i, 10).cast("string"))
             .when(c.between("a", "z"), F.char(drawn(h, i, 26) + 97))
             .when(c.between("A", "Z"), F.char(drawn(h, i, 26) + 65))
-            .otherwise(c)
         )
+        if scripts:
+            for script, own in SCRIPTS.items():
+                made = made.when(c.rlike(rf"^(?=\p{{L}})\p{{{script}}}"), F.substr(F.lit(own), drawn(h, i, len(own)) + 1, F.lit(1)))
+            made = made.when(c.rlike(r"\p{L}"), F.char(drawn(h, i, 26) + 97)).when(c.rlike(r"\p{N}"), drawn(h, i, 10).cast("string"))
+        return made.otherwise(c)
 
     return F.array_join(F.transform(letters(x), one), "")
 
 
+def mod97(x: Column) -> Column:
+    """Check sum of a bank account number whose first four places were moved to its end: 1 if valid."""
+
+    def add(s: Column, c: Column) -> Column:
+        return F.when(c.between("0", "9"), (s * 10 + F.ascii(c) - 48) % 97).otherwise((s * 100 + F.ascii(c) - 55) % 97)
+
+    return F.aggregate(letters(x), F.lit(0), add)
+
+
 def luhn(digits: Column) -> Column:
     """Check sum of a number: 0 if valid."""
     n = F.length(digits)
@@ -114,7 +139,7 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add) % 10
 
 
-def word(h: Column, attempt: Column, kind: Column, cyrillic: Column) -> Column:
+def word(h: Column, attempt: Column, kind: Column, unit: Column) -> Column:
     """A name in the script: three syllables and an end of its gender, or four for family names."""
 
     def made(script: str) -> Column:
@@ -131,7 +156,7 @@ def word(h: Column, attempt: Column, kind: Column, cyrillic: Column) -> Column:
         ends = F.when(kind == "given_f", F.concat(F.get(c, drawn(h, F.lit(40), 13)), F.get(female, F.lit(0)))).when(kind == "given_m", F.get(male, drawn(h, F.lit(40), 3))).otherwise(F.lit(""))
         return F.concat(body, ends)
 
-    return F.when(cyrillic, made("cyrillic")).otherwise(made("latin"))
+    return F.when(unit.rlike(r"\p{IsCyrillic}"), made("cyrillic")).when(unit.rlike(r"\p{IsGreek}"), made("greek")).otherwise(made("latin"))
 
 
 def surrogate(key: str, kind: Column, unit: Column, attempt: Column) -> Column:
@@ -145,23 +170,29 @@ def of_kind(h: Column, kind: Column, unit: Column, attempt: Column) -> Column:
 
     def email(tail: Column) -> Column:
         head = F.substr(unit, F.lit(1), F.length(unit) - F.length(tail))
-        return F.concat(remade(F.concat(F.repeat(F.lit("a"), F.floor(attempt / 4).cast("int")), head), h), tail)
+        return F.concat(remade(F.concat(F.repeat(F.lit("a"), F.floor(attempt / 4).cast("int")), head), h, scripts=True), tail)
 
     def card(body: Column) -> Column:
         check = let(F.concat(body, F.lit("0")), lambda x: F.pmod(10 - luhn(x), F.lit(10)).cast("string"))
         last = remade(F.substr(unit, F.length(unit), F.lit(1)), F.substr(h, F.lit(100), F.lit(150)))
         return F.concat(body, F.when(luhn(unit) == 0, check).otherwise(last))
 
+    def iban(account: Column) -> Column:
+        country = F.substr(unit, F.lit(1), F.lit(2))
+        valid = mod97(F.concat(F.substr(unit, F.lit(5)), F.substr(unit, F.lit(1), F.lit(4)))) == 1
+        check = F.lpad((98 - mod97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0")
+        return F.concat(country, F.when(valid, check).otherwise(remade(F.substr(unit, F.lit(3), F.lit(2)), F.substr(h, F.lit(100), F.lit(150)))), account)
+
     body = F.concat(F.substr(unit, F.lit(1), F.lit(1)), remade(F.substr(unit, F.lit(2), F.length(unit) - 2), h))
     octet = [(drawn(h, F.lit(i), 254) + 1).cast("string") for i in range(4)]
     return (
         F.when(kind == "email", let(tail, email))
         .when(kind == "card", let(body, card))
         .when(kind == "phone", F.when(unit.startswith("+"), F.concat(F.substr(unit, F.lit(1), F.lit(2)), remade(F.substr(unit, F.lit(3)), h))).otherwise(remade(unit, h)))
-        .when(kind == "iban", F.concat(F.substr(unit, F.lit(1), F.lit(2)), remade(F.substr(unit, F.lit(3)), h)))
+        .when(kind == "iban", let(remade(F.substr(unit, F.lit(5)), h), iban))
         .when(kind == "ip", F.concat_ws(".", *octet))
         .when(kind == "ssn", remade(unit, h))
-        .otherwise(word(h, attempt, kind, unit.rlike(r"\p{IsCyrillic}")))
+        .otherwise(word(h, attempt, kind, unit))
     )
 
 

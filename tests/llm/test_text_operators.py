@@ -270,6 +270,19 @@ def test_pii(spark, docs, empty):
     assert pii.replace(docs, "k").count() == docs.count() and pii.replace(empty, "k").collect() == []
 
 
+def test_pii_scripts_and_bank_accounts(spark):
+    local = ["иван.петров", "γιώργος", "王小明李", "éèüñçàöß", "محمدعلي", "かたろう", "١٢٣٤٥٦"]
+    texts = [f"to {x}@mail.ru now" for x in local] + ["Mr Γιώργος Παπαδόπουλος", "pay GB82 WEST 1234 5698 7654 32 now"]
+    got = [r["text"] for r in pii.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    for x, y in zip(local, got):
+        made = y[3:].split("@")[0]
+        assert len(made) == len(x) and sum(a == b and a.isalnum() for a, b in zip(x, made)) <= 2, y
+    assert re.search("[а-я]", got[0]) and re.search("[α-ω]", got[1]) and re.search("[\u4e00-\u9fff]", got[2])
+    assert re.fullmatch("Mr [Α-Ω][α-ω]+ [Α-Ω][α-ω]+", got[7])
+    account = got[8][4:-4].replace(" ", "")
+    assert account[:2] == "GB" and account != "GB82WEST12345698765432" and int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97 == 1
+
+
 def test_pii_collisions(spark):
     """Many units in a small space: all surrogates differ, and none is a unit that occurs."""
     rows = [(i, f"{a}@{b}.example.com") for i, (a, b) in enumerate((f"{x}", f"{y}") for x in range(10) for y in range(10))]
