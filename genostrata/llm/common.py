@@ -1,18 +1,27 @@
-"""Helpers shared by the operators: tables, durable cuts of the lineage, bounded joins, components."""
+"""Helpers shared by the operators: tables, durable cuts of the lineage, Arrow batches of bounded
+size, bounded joins, components."""
 
 from __future__ import annotations
 
+import re
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A side is broadcast only when it was counted and has at most this many rows.
 BROADCAST_ROWS = 200_000
 
+#: Vertices of more neighbours are looked up by broadcast, if they were counted to be few.
+MANY_NEIGHBOURS = 1000
+#: Bytes of an Arrow batch on its way to a Python worker; a longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
+
 #: White space between words: ASCII only, as the word definition of the queries has it.
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
@@ -24,29 +33,78 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def durable(df: DataFrame) -> DataFrame:
     """Compute df once and cut its lineage in the cluster's shared checkpoint folder.
 
-    The folder is the session's own (spark.checkpoint.dir); only a session without one, as in
-    tests, gets a temporary folder.
+    The folder is the session's own (spark.checkpoint.dir). A local session without one, as in
+    tests, gets a temporary folder; on a cluster, where no folder of the driver's is shared, that is
+    an error.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         where = spark.conf.get("spark.checkpoint.dir", None)
+        if where is None and not re.match(r"local($|\[)", sc.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
 
 
+def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """df.mapInArrow(run, schema) with batches that are bounded by bytes as well as by rows, so that
+    long texts don't add up in a task."""
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    own = conf.get(name, None)
+    if own is None or not 0 < int(re.sub(r"\D", "", own) or 0) <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
+def with_text(docs: DataFrame, kept: list[str], text: str) -> tuple[DataFrame, int]:
+    """The kept columns, by whatever names, with the text among them or after them, and its place."""
+    columns = [F.col(f"`{c}`") for c in kept]
+    if text in kept:
+        return docs.select(*columns), kept.index(text)
+    return docs.select(*columns, F.col(f"`{text}`").alias("__text")), len(kept)
+
+
+def slices(batch: pa.RecordBatch, place: int, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most so many rows, and bytes of the column at `place`, or of one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(place)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        end = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, "right"))))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most `limit` rows, counted without reading further."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def with_least(rows: DataFrame, least: DataFrame) -> DataFrame:
+    """rows (u, v) with m of least (u, m, degree).
+
+    The rows of a vertex of very many neighbours would all go to one task of a join by vertex. Such
+    vertices are few (each takes MANY_NEIGHBOURS rows), so, when counted to be, they are broadcast and
+    their rows don't move.
+    """
+    hot = least.where(F.col("degree") > MANY_NEIGHBOURS).select(F.col("u").alias("_u"), F.col("m").alias("_m"))
+    n = hot.limit(BROADCAST_ROWS + 1).count()
+    if not 0 < n <= BROADCAST_ROWS:
+        return rows.join(least.select("u", "m"), "u")
+    marked = rows.join(F.broadcast(hot), F.col("u") == F.col("_u"), "left")
+    found = marked.where(F.col("_u").isNotNull()).select("u", "v", F.col("_m").alias("m"))
+    rest = marked.where(F.col("_u").isNull()).select("u", "v").join(least.where(F.col("degree") <= MANY_NEIGHBOURS).select("u", "m"), "u")
+    return found.unionByName(rest.select("u", "v", "m"))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(vertex, component): the smallest vertex reachable, for every vertex of `edges`.
 
     Alternating large-star and small-star steps: each is one shuffle by vertex with a partial
-    minimum first, so a vertex with very many neighbours is summed up before it moves. The work is
-    linear in the edges and the number of rounds logarithmic in the longest path. Nothing but the
-    count of changed edges reaches the driver.
+    minimum first, so a vertex with very many neighbours is summed up before it moves, and its
+    neighbours get the minimum by broadcast. The work is linear in the edges and the number of
+    rounds logarithmic in the longest path. Nothing but counts reaches the driver.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e = durable(e)
@@ -54,12 +112,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         # large-star: every neighbour above u is linked to the least of u and its neighbours
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = durable(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("degree")))
+        large = durable(with_least(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # small-star: every neighbour at or below u is linked to the least of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = durable(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree")))
         small = (
-            large.join(low, "u")
+            with_least(large, low)
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
             .select("x.u", "x.v")
             .where("u <> v")
