@@ -2,10 +2,16 @@
 
 A worklist holds the layers of one text. Each layer is scanned for secrets and for encoded parts
 (percent escapes, Unicode escapes and character references, base64, compressed bytes); what a part
-decodes to is a new layer, until no layer gives a new one. A layer seen before is not taken up
-again, so a part that decodes to itself ends. Every layer carries, for each of its characters, the
-span of the original text that it came from, so all findings are spans of the original. The same content at two places is
-two layers.
+decodes to is a new layer, until no layer gives a new one. A layer seen before, by its digest, is not
+taken up again, so a part that decodes to itself ends. Every layer carries, for each of its
+characters, the span of the original text that it came from, so all findings are spans of the
+original. The same content at two places is two layers.
+
+Escapes of percent signs (%252541) are taken off down to the last in one step, as the layers between
+differ in nothing but how many there are: a text of them costs one layer and not one for each. An
+escaped byte that is no text stands as a mark in its layer and cuts nothing else. A compressed part
+is unfolded and scanned window by window, so a part of any size is scanned whole in bounded memory;
+what overlaps two windows is found if it is no longer than OVERLAP.
 
 Defined results: a null text counts as empty and has no spans; spans are code points with an
 exclusive end, sorted by start, then kind as listed in KINDS, then end; equal spans of a kind are
@@ -32,10 +38,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import in_batches, slices, with_text
+
 KINDS = ("assign", "access", "hex")
-#: A compressed part may unfold to so many bytes; a larger one is left as it is, as a bomb would be.
-MOST_BYTES = 64 << 20
-SLICE = 512
+#: Bytes of the windows in which a compressed part is unfolded, and of what each shares with the next.
+WINDOW_BYTES, OVERLAP = 4 << 20, 1 << 18
+#: Rows, and bytes of text, that are scanned before they go back to Spark.
+SLICE, SLICE_BYTES = 512, 2 << 20
 
 SPAN = T.StructType(
     [
@@ -60,7 +69,8 @@ ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{24,}")  # runs are whole, so this is every run of 24 and more
 HINTS = ("passw", "secret", "token", "api")
 
-PERCENT = re.compile("(?:%[0-9A-Fa-f]{2})+")
+PERCENT = re.compile("(?:%(?:25)*[0-9A-Fa-f]{2})+")
+PERCENT_UNIT = re.compile("%(?:25)*([0-9A-Fa-f]{2})")
 ESCAPE = re.compile(r"(?:\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2})|\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|(?:\\x[0-9A-Fa-f]{2})+|&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|quot|apos|amp|lt|gt|equals|colon|lowbar|sol|plus);")
 #: A run of either alphabet, with the lines that follow it at once.
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)*={0,2}")
@@ -86,14 +96,18 @@ def matches(text: str) -> list[tuple[int, int, int]]:
 
 @dataclass
 class Layer:
-    """A text with the original span of each of its characters; None: the original itself."""
+    """A text with the original span of each of its characters, or one span for all of them, as
+    compressed parts have; neither: the original itself."""
 
     text: str
-    starts: np.ndarray | None
-    ends: np.ndarray | None
     name: str
+    starts: np.ndarray | None = None
+    ends: np.ndarray | None = None
+    span: tuple[int, int] | None = None
 
     def origin(self, start: int, end: int) -> tuple[int, int]:
+        if self.span:
+            return self.span
         if self.starts is None:
             return start, end
         return int(self.starts[start:end].min()), int(self.ends[start:end].max())
@@ -122,27 +136,39 @@ DECOMPRESSORS = {
 UNREADABLE = (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError)
 
 
-def unfolded(data: bytes) -> tuple[bytes, str] | None:
-    """What compressed bytes hold, member after member, and the name of the format."""
-    name = format_of(data)
-    out: list[bytes] = []
-    size = 0
-    while name and format_of(data) == name:
-        try:
-            if name == "zstd":
-                with zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True) as r:
-                    got, data = r.read(MOST_BYTES + 1 - size), b""
-            else:
-                d = DECOMPRESSORS[name]()
-                got = d.decompress(data, MOST_BYTES + 1 - size)
-                data = d.unused_data.lstrip(b"\x00")
-        except UNREADABLE:
-            break
-        out.append(got)
-        size += len(got)
-        if size > MOST_BYTES:
-            return None
-    return (b"".join(out), name) if out else None
+def pieces(data: bytes, name: str) -> Iterator[bytes]:
+    """What compressed bytes hold, member after member, in pieces of at most WINDOW_BYTES. Bytes that
+    can't be read end it."""
+    try:
+        if name == "zstd":
+            with zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True) as r:
+                while got := r.read(WINDOW_BYTES):
+                    yield got
+            return
+        while data and format_of(data) == name:
+            d = DECOMPRESSORS[name]()
+            while not d.eof:
+                got = d.decompress(data, WINDOW_BYTES)
+                data = d.unconsumed_tail if name in ("gzip", "zlib") else b""
+                if got:
+                    yield got
+                elif not data and not d.eof:
+                    return  # cut off
+            data = d.unused_data.lstrip(b"\x00")
+    except UNREADABLE:
+        return
+
+
+def windows(parts: Iterator[bytes]) -> Iterator[bytes]:
+    """The bytes of all parts in windows that overlap."""
+    held, fresh = b"", False
+    for x in parts:
+        held, fresh = held + x, True
+        if len(held) >= WINDOW_BYTES:
+            yield held
+            held, fresh = held[-OVERLAP:], False
+    if fresh:
+        yield held
 
 
 def as_text(data: bytes) -> str | None:
@@ -152,18 +178,21 @@ def as_text(data: bytes) -> str | None:
         return None
 
 
-def opened(data: bytes) -> tuple[str, str] | None:
-    """Text of bytes that are text or compressed bytes, and the formats that were taken off. Bytes
-    that were compressed are scanned whatever they are; formats end where bytes come again."""
-    names, seen = [], set()
-    while data and (got := unfolded(data)) and (key := hashlib.blake2b(data, digest_size=16).digest()) not in seen:
-        seen.add(key)
-        data, name = got
-        names.append(name)
-    text = as_text(data) if data else None
-    if text is None and names and data:
-        text = data.decode(errors="replace")
-    return None if text is None else ("".join(f">{n}" for n in names), text)
+def opened(data: bytes, names: str = "") -> Iterator[tuple[str, str]]:
+    """(formats taken off, text) of bytes that are text or compressed bytes, window by window. Bytes
+    that were compressed are scanned whatever they are; formats within formats are opened too."""
+    name = format_of(data)
+    found = False
+    if name:
+        for window in windows(pieces(data, name)):
+            found = True
+            yield from opened(window, f"{names}>{name}")
+    if not found and data:
+        text = as_text(data)
+        if text is None and names:
+            text = data.decode(errors="replace")
+        if text is not None:
+            yield names, text
 
 
 def byte_ends(text: str) -> np.ndarray:
@@ -171,6 +200,15 @@ def byte_ends(text: str) -> np.ndarray:
     return np.cumsum([len(c.encode()) for c in text]) if not text.isascii() else np.arange(1, len(text) + 1)
 
 
+def marked_bytes(data: bytes) -> tuple[str, np.ndarray]:
+    """Bytes as text, one mark for each that is none, and the count of bytes up to each character's end."""
+    text = data.decode(errors="surrogateescape")
+    if text.isascii():
+        return text, np.arange(1, len(data) + 1)
+    ends = np.cumsum([1 if "\udc80" <= c <= "\udcff" else len(c.encode()) for c in text])
+    return re.sub("[\udc80-\udcff]", "\ufffd", text), ends
+
+
 def escape_text(x: str) -> str | bytes:
     if x[0] == "&":
         return html.unescape(x)
@@ -185,40 +223,45 @@ def escape_text(x: str) -> str | bytes:
     return chr(n) if n < 0x110000 and not 0xD800 <= n < 0xE000 else x
 
 
-def replaced(layer: Layer, pattern: re.Pattern, name: str, decode) -> Iterator[Layer]:
-    """The layer with all its escapes taken off, and a layer for each run that holds compressed text."""
+def replaced(layer: Layer, pattern: re.Pattern, unit: re.Pattern | None, name: str, decode) -> Iterator[Layer]:
+    """The layer with all its escapes taken off, and a layer for each run that holds compressed text.
+    unit: how each byte of a run of bytes is written, if not in equal lengths."""
     found = list(pattern.finditer(layer.text))
     if not found:
         return
-    s, e = layer.maps()
+    mapped = layer.span is None
+    if mapped:
+        s, e = layer.maps()
     texts, starts, ends, at = [], [], [], 0
     for m in found:
         a, b = m.span()
-        got = decode(m.group())
-        if isinstance(got, bytes):
-            if (inner := unfolded(got)) and (text := opened(got)):
-                lo, hi = layer.origin(a, b)
-                n = len(text[1])
-                yield Layer(text[1], np.full(n, lo), np.full(n, hi), f"{layer.name}>{name}{text[0]}")
-            width = (b - a) // len(got)  # characters of the escape of one byte
-            try:
-                new = got.decode()
-            except UnicodeDecodeError:
-                continue
-            stop = byte_ends(new) * width
-            first = np.concatenate([[0], stop[:-1]])
-            new_s, new_e = s[a + first], e[a + stop - 1]
-        else:
-            new = got
+        new = decode(m.group())
+        if isinstance(new, bytes):
+            got = new
+            if format_of(got):
+                for formats, text in opened(got):
+                    if formats:
+                        yield Layer(text, f"{layer.name}>{name}{formats}", span=layer.origin(a, b))
+            new, stop = marked_bytes(got)
+            if mapped:
+                if unit:
+                    edges = np.fromiter((x.end() for x in unit.finditer(layer.text, a, b)), np.int64, len(got))
+                else:
+                    edges = a + np.arange(1, len(got) + 1) * ((b - a) // len(got))
+                last = edges[stop - 1]  # where each character's last byte ends
+                new_s, new_e = s[np.concatenate([[a], last[:-1]])], e[last - 1]
+        elif mapped:
             new_s, new_e = np.full(len(new), s[a:b].min()), np.full(len(new), e[a:b].max())
         texts += [layer.text[at:a], new]
-        starts += [s[at:a], new_s]
-        ends += [e[at:a], new_e]
+        if mapped:
+            starts += [s[at:a], new_s]
+            ends += [e[at:a], new_e]
         at = b
     texts.append(layer.text[at:])
-    starts.append(s[at:])
-    ends.append(e[at:])
-    yield Layer("".join(texts), np.concatenate(starts), np.concatenate(ends), f"{layer.name}>{name}")
+    if mapped:
+        yield Layer("".join(texts), f"{layer.name}>{name}", np.concatenate([*starts, s[at:]]), np.concatenate([*ends, e[at:]]))
+    else:
+        yield Layer("".join(texts), f"{layer.name}>{name}", span=layer.span)
 
 
 def line_groups(m: re.Match) -> Iterator[list[tuple[int, int]]]:
@@ -240,7 +283,7 @@ def debased(run: str) -> bytes:
 
 
 def opens(layer: Layer, lines: list[tuple[int, int]]) -> bool:
-    return opened(debased("".join(layer.text[a:b] for a, b in lines).translate(STANDARD))) is not None
+    return next(opened(debased("".join(layer.text[a:b] for a, b in lines).translate(STANDARD))), None) is not None
 
 
 def opened_run(layer: Layer, lines: list[tuple[int, int]]) -> Iterator[Layer]:
@@ -249,29 +292,36 @@ def opened_run(layer: Layer, lines: list[tuple[int, int]]) -> Iterator[Layer]:
     run = "".join(layer.text[a:b] for a, b in lines)
     if len(run) < 16:
         return
-    at = np.concatenate([np.arange(a, b) for a, b in lines])
-    s, e = layer.maps()
-    s, e = s[at], e[at]
+    if layer.span is None:
+        at = np.concatenate([np.arange(a, b) for a, b in lines])
+        s, e = layer.maps()
+        s, e = s[at], e[at]
     code = run.translate(STANDARD)
 
     def mapped(text: str, phase: int, skip: int) -> Layer:
+        if layer.span:
+            return Layer(text, f"{layer.name}>base64", span=layer.span)
         stop = byte_ends(text) + skip
         first = np.concatenate([[skip], stop[:-1]]) if len(text) else stop
         last = stop - 1
-        return Layer(text, s[phase + first // 3 * 4 + first % 3], e[phase + last // 3 * 4 + last % 3 + 1], f"{layer.name}>base64")
+        return Layer(text, f"{layer.name}>base64", s[phase + first // 3 * 4 + first % 3], e[phase + last // 3 * 4 + last % 3 + 1])
 
     def whole(got: tuple[str, str], start: int) -> Layer:
-        n = len(got[1])
-        return Layer(got[1], np.full(n, s[start:].min()), np.full(n, e[start:].max()), f"{layer.name}>base64{got[0]}")
+        return Layer(got[1], f"{layer.name}>base64{got[0]}", span=layer.span or (int(s[start:].min()), int(e[start:].max())))
 
     data = debased(code)
-    if got := opened(data):
+    found = False
+    for got in opened(data):
+        found = True
         yield whole(got, 0) if got[0] else mapped(got[1], 0, 0)
+    if found:
         return
     for m in MAGIC.finditer(run):
         i = m.start()
-        if i and (code[i] != "e" or int.from_bytes(debased(code[i : i + 4])[:2]) % 31 == 0) and (got := opened(debased(code[i:]))) and got[0]:
-            yield whole(got, i)
+        if i and (code[i] != "e" or int.from_bytes(debased(code[i : i + 4])[:2]) % 31 == 0):
+            for got in opened(debased(code[i:])):
+                if got[0]:
+                    yield whole(got, i)
     for phase in range(4):
         for m in INNER.finditer(data if not phase else debased(code[phase:])):
             try:
@@ -297,7 +347,21 @@ def unbased(layer: Layer) -> Iterator[Layer]:
 
 
 def percent_bytes(x: str) -> bytes:
-    return bytes.fromhex(x.replace("%", ""))
+    return bytes.fromhex("".join(PERCENT_UNIT.findall(x)))
+
+
+def known_by(layer: Layer) -> tuple[bytes, int, int]:
+    """A digest of the layer's text, and the part of the original that it came from."""
+    return hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), *layer.origin(0, len(layer.text))
+
+
+def below(layer: Layer) -> Iterator[Layer]:
+    """The layers that a layer's encoded parts give."""
+    if "%" in layer.text:
+        yield from replaced(layer, PERCENT, PERCENT_UNIT, "url", percent_bytes)
+    if "\\" in layer.text or "&" in layer.text:
+        yield from replaced(layer, ESCAPE, None, "unicode", escape_text)
+    yield from unbased(layer)
 
 
 def spans(text: str | None) -> list[tuple[str, int, int, bool, str]]:
@@ -305,22 +369,17 @@ def spans(text: str | None) -> list[tuple[str, int, int, bool, str]]:
     if not text:
         return []
     found: dict[tuple[int, int, int], tuple[bool, str]] = {}
-    work, seen = [Layer(text, None, None, "text")], {(text, 0, len(text))}
-    while work:
-        layer = work.pop()
-        for kind, a, b in matches(layer.text):
-            lo, hi = layer.origin(a, b)
-            found.setdefault((lo, kind, hi), (layer.starts is None, layer.name))
-        new: list[Layer] = []
-        if "%" in layer.text:
-            new += replaced(layer, PERCENT, "url", percent_bytes)
-        if "\\" in layer.text or "&" in layer.text:
-            new += replaced(layer, ESCAPE, "unicode", escape_text)
-        new += unbased(layer)
-        for x in new:
-            if x.text and (key := (x.text, *x.origin(0, len(x.text)))) not in seen:
-                seen.add(key)
-                work.append(x)
+    work, seen = [iter([Layer(text, "text")])], set()
+    while work:  # depth first, layers made as they are taken up: what is held is one layer of each depth
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+        elif layer.text and (key := known_by(layer)) not in seen:
+            seen.add(key)
+            for kind, a, b in matches(layer.text):
+                lo, hi = layer.origin(a, b)
+                found.setdefault((lo, kind, hi), (layer.name == "text", layer.name))
+            work.append(below(layer))
     return [(KINDS[k], lo, hi, base, name) for (lo, k, hi), (base, name) in sorted(found.items())]
 
 
@@ -344,21 +403,20 @@ def scan(docs: DataFrame, text: str = "text", into: str = "spans", clean: str |
     schema = T.StructType([docs.schema[c] for c in kept]).add(into, T.ArrayType(SPAN, False), False)
     if clean:
         schema.add(clean, T.StringType())
-    source = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`").alias("__text"))
+    source, place = with_text(docs, kept, text)
     names = [f.name for f in SPAN]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                texts = part.column(part.num_columns - 1).to_pylist()
+            for part in slices(batch, place, SLICE, SLICE_BYTES):
+                texts = part.column(place).to_pylist()
                 got = [spans(x) for x in texts]
-                columns = [*part.columns[:-1], pa.array([[dict(zip(names, x)) for x in g] for g in got], ARROW_SPANS)]
+                columns = [*part.columns[: len(kept)], pa.array([[dict(zip(names, x)) for x in g] for g in got], ARROW_SPANS)]
                 if clean:
                     columns.append(pa.array([x if not g else redacted(x, g) for x, g in zip(texts, got)], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, *new])
 
-    return source.mapInArrow(run, schema)
+    return in_batches(source, run, schema)
 
 
 def written(spans: Column) -> Column:

@@ -7,6 +7,7 @@ import hashlib
 import lzma
 import random
 import re
+import time
 import urllib.parse
 import zlib
 from collections import Counter
@@ -127,6 +128,56 @@ def test_secrets_in_any_decoded_bytes():
         assert all(2 <= a < b <= 2 + len(hidden) for _, a, b, *_ in found)
 
 
+def test_secrets_through_any_depth_and_bad_bytes():
+    began = time.perf_counter()
+    assert [s[:4] for s in secret_scan.spans("%" + "25" * 8192)] == [("hex", 1, 16385, True)]
+    assert time.perf_counter() - began < 0.5
+    hidden = "password=hunter2222"
+    for _ in range(40):
+        hidden = urllib.parse.quote(hidden, safe="")
+    for text in (hidden, f"%FF{hidden}", f"{hidden}%FE%C3", "pass%77ord%3Dhunt%FFer2222 token%3Dabcdefg"):
+        assert "assign" in {x[0] for x in secret_scan.spans(f"é {text} z")}, text
+    assert [x[1:3] for x in secret_scan.spans("é x%FFtoken%3Dabcdef z")] == [(6, 20)]
+    big = gzip.compress(b"_ " * 5_000_000 + SECRET.encode())  # of several windows
+    assert {"assign", "access"} <= {x[0] for x in secret_scan.spans(base64.b64encode(big).decode())}
+
+
+def brute_layers(text):
+    """Everything that decoding escapes and base64 over and over gives, without spans."""
+    seen, work = set(), [text]
+    while work:
+        x = work.pop()
+        if x in seen:
+            continue
+        seen.add(x)
+        work.append(urllib.parse.unquote(x))
+        work.append(re.sub(r"\\u([0-9a-f]{4})", lambda m: chr(int(m[1], 16)), x))
+        for m in re.finditer("[A-Za-z0-9+/]{16,}={0,2}", x):
+            try:
+                data = base64.b64decode(m[0])
+                work.append((zlib.decompress(data, 47) if data[:2] in (b"\x1f\x8b", b"x\x9c") else data).decode())
+            except (ValueError, zlib.error):
+                pass
+    return seen
+
+
+def test_secrets_against_plain_decoding():
+    rng = random.Random(11)
+    wraps = (
+        lambda x: urllib.parse.quote(x, safe=""),
+        lambda x: base64.b64encode(x.encode()).decode(),
+        lambda x: base64.b64encode(gzip.compress(x.encode())).decode(),
+        lambda x: base64.b64encode(zlib.compress(x.encode())).decode(),
+        lambda x: "".join(f"\\u{ord(c):04x}" for c in x),
+    )
+    for _ in range(150):
+        x = rng.choice([SECRET, "token: abcdef0123", "nothing at all in here to be found", "f" * 30 + " and more words"])
+        for _ in range(rng.randint(1, 4)):
+            x = f"see {rng.choice(wraps)(x)} there"
+        want = {k for layer in brute_layers(x) for k, _, _ in brute_base(layer)}
+        assert want <= {k for k, *_ in secret_scan.spans(x)}, x
+
+
 def brute_base(text):
     out = []
     for m in re.finditer(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd])|(?:[Pp][Aa][Ss][Ss][Ww][Dd])|(?:[Ss][Ee][Cc][Rr][Ee][Tt])|(?:[Tt][Oo][Kk][Ee][Nn])|(?:[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
