@@ -19,17 +19,53 @@ def prose(lang, n, rng):
 def test_gradient_is_that_of_the_loss():
     net = lang_id.start(["a", "b"], np.random.default_rng(0))
     net.weights = {k: v.astype(np.float64) for k, v in net.weights.items()}
-    ids, mask = lang_id.padded([b" ab ", b"xyz"], 5)
+    ids, live = lang_id.padded([b" ab c", b"xyz"])
     y = np.array([0, 1])
-    _, g = lang_id.gradient(net, ids, mask, y)
-    for k, at in (("xf", (97, 1)), ("xb", (98, 20)), ("uf", (2, 1)), ("ub", (3, 40)), ("o", (3, 1))):
+    _, g = lang_id.gradient(net, ids, live, y)
+    for k, at in (("xf", (1, 97)), ("xb", (20, 98)), ("xf", (30, 120)), ("uf", (1, 2)), ("ub", (30, 3)), ("o", (1, 3))):
         w, e = net.weights[k], 1e-4
         w[at] += e
-        up = lang_id.gradient(net, ids, mask, y)[0]
+        up = lang_id.gradient(net, ids, live, y)[0]
         w[at] -= 2 * e
-        down = lang_id.gradient(net, ids, mask, y)[0]
+        down = lang_id.gradient(net, ids, live, y)[0]
         w[at] += e
-        assert abs((up - down) / (2 * e) - g[k][at]) < 1e-5
+        assert abs((up - down) / (2 * e) - g[k][at]) < 1e-5, (k, at)
+
+
+def plain_labels(net, data):
+    """Label probabilities of every position, byte after byte."""
+    w, h = net.weights, lang_id.HIDDEN
+    states = {}
+    for d, places in (("f", range(len(data))), ("b", reversed(range(len(data))))):
+        s = np.zeros(h)
+        for t in places:
+            x, u = w[f"x{d}"][:, data[t]], w[f"u{d}"] @ s
+            z, r = (np.clip(0.2 * (x[i * h : (i + 1) * h] + u[i * h : (i + 1) * h]) + 0.5, 0, 1) for i in (0, 1))
+            n = np.tanh(x[2 * h :] + r * u[2 * h :])
+            s = z * s + (1 - z) * n
+            states[d, t] = s
+    a = np.exp([w["o"] @ np.concatenate([states["f", t], states["b", t], [1]]) for t in range(len(data))])
+    return a / a.sum(1, keepdims=True)
+
+
+def plain_document(net, text):
+    data, own = text.lower().encode(), []
+    for lo in range(0, len(data), 960):
+        first = max(0, lo - 32)
+        own.append(plain_labels(net, data[first : lo + 960 + 32])[lo - first :][:960])
+    return np.concatenate(own).mean(0)
+
+
+def test_documents_against_a_plain_reading(monkeypatch):
+    monkeypatch.setattr(lang_id, "STEPS", 60)
+    rng = random.Random(2)
+    net = lang_id.train([(prose(x, 40, rng), x) for x in ["en", "fr", "de"] * 30])
+    texts = ["x", "a b", prose("fr", 20, rng), prose("de", 900, rng), prose("en", 60, rng) + " " + prose("fr", 300, rng), "ç" * 2000, None, ""]
+    got = lang_id.Labeller(net).documents(texts)
+    for x, p in zip(texts, got):
+        if x:
+            assert np.abs(p - plain_document(net, x)).max() < 1e-5, x[:40]
+    assert not got[6:].any()
 
 
 def test_language_accuracy_and_edges(spark, docs, empty, monkeypatch):
@@ -49,9 +85,9 @@ def test_language_accuracy_and_edges(spark, docs, empty, monkeypatch):
     assert lang_id.identify(empty, net).collect() == []
     nothing = lang_id.learned(empty)
     assert {r["lang_pred"] for r in lang_id.identify(docs, nothing).collect()} == {"und"}
-    # a word has the same labels alone and among others
+    # a text has the same labels alone and among others
     a = lang_id.Labeller(net).documents(["thering eauou", "x"])
-    b = lang_id.Labeller(net).documents(["schung " * 50, "thering eauou"])
+    b = lang_id.Labeller(net).documents(["schung " * 500, "thering eauou"])
     assert np.allclose(a[0], b[1], atol=1e-6)
 
 
