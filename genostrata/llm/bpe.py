@@ -23,16 +23,17 @@ from pathlib import Path
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import in_batches, slices, with_text
+
 LONG = 48
 NEVER = 1 << 40
 #: Distinct words, and distinct chunks between white space, whose ids a worker keeps twice: the
 #: newest, and those before them, from which what is still in use moves up.
 CACHE = 60_000
-#: Rows encoded before they go back to Spark.
-SLICE = 256
+#: Rows, and bytes of text, that are encoded before they go back to Spark.
+SLICE, SLICE_BYTES = 256, 1 << 20
 
 # Unicode white space, and the word pattern of the vocabulary's file format.
 SPACE = "\t-\r\x20\x85\xa0  -     　"
@@ -169,44 +170,43 @@ def read_vocabulary(path: str) -> str:
     return Path(path).read_text(encoding="utf-8")
 
 
-def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", decoded: str | None = None, keep_text: bool = True) -> DataFrame:
     """docs with its texts as token ids, and if `decoded` is named, with those ids decoded again.
 
     vocabulary: content of the tokenizer's file, whose size bounds what tasks receive. Each row is
-    encoded where it is read; nothing is shuffled.
+    encoded where it is read; nothing is shuffled. Without keep_text the text is left out.
     """
     new = [c for c in (ids, decoded) if c]
-    kept = [c for c in docs.columns if c not in new]
+    kept = [c for c in docs.columns if c not in new and (keep_text or c != text)]
     schema = T.StructType([docs.schema[c] for c in kept])
     schema.add(ids, T.ArrayType(T.IntegerType(), False), False)
     if decoded:
         schema.add(decoded, T.StringType(), False)
-    source = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`").alias("__text"))
+    source, place = with_text(docs, kept, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = loaded(vocabulary)
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                got = [v.encode(x) for x in part.column(part.num_columns - 1).to_pylist()]
-                columns = [*part.columns[:-1], pa.array(got, pa.list_(pa.int32()))]
+            for part in slices(batch, place, SLICE, SLICE_BYTES):
+                got = [v.encode(x) for x in part.column(place).to_pylist()]
+                columns = [*part.columns[: len(kept)], pa.array(got, pa.list_(pa.int32()))]
                 if decoded:
                     columns.append(pa.array(map(v.decode, got), pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, *new])
 
-    return source.mapInArrow(run, schema)
+    return in_batches(source, run, schema)
 
 
 def decode(tokens: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """tokens with its id lists as text; a null list gives an empty text."""
     kept = [c for c in tokens.columns if c != text]
     schema = T.StructType([tokens.schema[c] for c in kept]).add(text, T.StringType(), False)
-    source = tokens.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{ids}`").alias("__ids"))
+    source, place = with_text(tokens, kept, ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = loaded(vocabulary)
         for batch in batches:
-            got = [v.decode(x or []) for x in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(got, pa.string())], names=[*kept, text])
+            got = [v.decode(x or []) for x in batch.column(place).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(got, pa.string())], names=[*kept, text])
 
-    return source.mapInArrow(run, schema)
+    return in_batches(source, run, schema)

@@ -23,7 +23,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 
 def bpe_digest(docs: DataFrame) -> DataFrame:
-    tokens = bpe.encode(docs.select("doc_id", "text"), bpe.read_vocabulary(WORD_BPE), ids="ids", decoded="decoded")
+    tokens = bpe.encode(docs.select("doc_id", "text"), bpe.read_vocabulary(WORD_BPE), ids="ids", decoded="decoded", keep_text=False)
     return tokens.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
