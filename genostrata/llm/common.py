@@ -81,30 +81,31 @@ def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def with_least(rows: DataFrame, least: DataFrame) -> DataFrame:
-    """rows (u, v) with m of least (u, m, degree).
+def told(rows: DataFrame, facts: DataFrame, key: str, times: str = "times") -> DataFrame:
+    """rows with the facts of their key, null where there are none; facts has one row for each key,
+    with the number of its rows in the column `times`, which is left out.
 
-    The rows of a vertex of very many neighbours would all go to one task of a join by vertex. Such
-    vertices are few (each takes MANY_NEIGHBOURS rows), so, when counted to be, they are broadcast and
-    their rows don't move.
+    Keys of very many rows are few; when counted to be, their facts are broadcast, so that their rows
+    don't meet in one task.
     """
-    hot = least.where(F.col("degree") > MANY_NEIGHBOURS).select(F.col("u").alias("_u"), F.col("m").alias("_m"))
-    n = hot.limit(BROADCAST_ROWS + 1).count()
-    if not 0 < n <= BROADCAST_ROWS:
-        return rows.join(least.select("u", "m"), "u")
-    marked = rows.join(F.broadcast(hot), F.col("u") == F.col("_u"), "left")
-    found = marked.where(F.col("_u").isNotNull()).select("u", "v", F.col("_m").alias("m"))
-    rest = marked.where(F.col("_u").isNull()).select("u", "v").join(least.where(F.col("degree") <= MANY_NEIGHBOURS).select("u", "m"), "u")
-    return found.unionByName(rest.select("u", "v", "m"))
+    many = F.col(times) > MANY_NEIGHBOURS
+    hot = facts.where(many).drop(times)
+    if not 0 < hot.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(facts.drop(times), key, "left")
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(facts.where(~many).drop(times), key, "left")
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(vertex, component): the smallest vertex reachable, for every vertex of `edges`.
 
-    Alternating large-star and small-star steps: each is one shuffle by vertex with a partial
-    minimum first, so a vertex with very many neighbours is summed up before it moves, and its
-    neighbours get the minimum by broadcast. The work is linear in the edges and the number of
-    rounds logarithmic in the longest path. Nothing but counts reaches the driver.
+    Alternating large-star and small-star steps, each one shuffle by vertex with a partial minimum
+    first. The neighbours above a vertex would all go to one task of the join that tells them the
+    minimum, and the middle of a star has very many. Such vertices are few (each takes
+    MANY_NEIGHBOURS rows), so, when counted to be, their minima are broadcast and their rows don't
+    move. Edges that lead to the least vertex of each star, as those of `lowest` do, leave few
+    neighbours below any vertex. The work is linear in the edges and the number of rounds
+    logarithmic in the longest path. Nothing but counts reaches the driver.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e = durable(e)
@@ -113,11 +114,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # large-star: every neighbour above u is linked to the least of u and its neighbours
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = durable(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("degree")))
-        large = durable(with_least(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        hot = least.where(F.col("degree") > MANY_NEIGHBOURS).select(F.col("u").alias("_u"), F.col("m").alias("_m"))
+        above = e.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        if 0 < hot.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+            marked = above.join(F.broadcast(hot), F.col("u") == F.col("_u"), "left")
+            told = marked.where(F.col("_u").isNotNull()).select("v", F.col("_m").alias("m"))
+            told = told.union(marked.where(F.col("_u").isNull()).select("u", "v").join(least.where(F.col("degree") <= MANY_NEIGHBOURS), "u").select("v", "m"))
+        else:
+            told = above.join(least, "u").select("v", "m")
+        large = told.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small-star: every neighbour at or below u is linked to the least of them
-        low = durable(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree")))
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
-            with_least(large, low)
+            large.join(low, "u")
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
             .select("x.u", "x.v")
             .where("u <> v")
@@ -131,6 +140,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return e.select(F.col("u").alias("vertex"), F.col("v").alias("component")).union(e.select(F.col("v").alias("vertex"), F.col("v").alias("component")).distinct())
 
 
+def lowest(root: np.ndarray) -> np.ndarray:
+    """Labels of groups, each replaced by the least place in its group."""
+    low = np.full(len(root), len(root))
+    np.minimum.at(low, root, np.arange(len(root)))
+    return low[root]
+
+
 def runs_of(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of whole groups of equal `key`, and the bounds of the groups in each, from rows sorted by it."""
     rest: pa.Table | None = None

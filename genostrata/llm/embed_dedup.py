@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, durable, runs_of
+from .common import components, durable, in_batches, lowest, runs_of, told
 
 COSINE = 0.9
 SHARED, BUCKET, CODES = 20.0, 48, 4
@@ -121,7 +121,7 @@ def marked(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
             cs = [None if x is None else hashlib.blake2b(x, digest_size=16).digest() for x in data]
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(cs, pa.binary()), pa.array(data, pa.binary())], names=["vec_id", "c", "x"])
 
-    return source.mapInArrow(run, "vec_id long, c binary, x binary")
+    return in_batches(source, run, "vec_id long, c binary, x binary")
 
 
 def filtered(classes: DataFrame, dtype: type, t: float, blocks: int, words: int) -> DataFrame:
@@ -144,7 +144,7 @@ def filtered(classes: DataFrame, dtype: type, t: float, blocks: int, words: int)
                         path = np.concatenate(got) * CODES + k ^ (np.int64(d) << np.int64(44))
                         yield pa.RecordBatch.from_arrays([pa.array(path, pa.int64()), b.column("c").take(take), b.column("x").take(take)], names=["path", "c", "x"])
 
-    return classes.select("c", "x").mapInArrow(run, "path long, c binary, x binary")
+    return in_batches(classes.select("c", "x"), run, "path long, c binary, x binary")
 
 
 def alone(x: np.ndarray, cosine: float, step: int = 512) -> np.ndarray:
@@ -194,14 +194,14 @@ def filter_links(rows: DataFrame, dtype: type, cosine: float) -> DataFrame:
             a, b = [], []
             for lo, hi in zip(bounds, ends):
                 if hi - lo > 1 and len({len(v) for v in vs[lo:hi]}) == 1:
-                    root = forest(units(vs[lo:hi]), cosine)
+                    root = lowest(forest(units(vs[lo:hi]), cosine))
                     at = np.flatnonzero(root != np.arange(hi - lo))
                     a.append(at + lo)
                     b.append(root[at] + lo)
             if a and sum(map(len, a)):
                 yield pa.RecordBatch.from_arrays([c.take(pa.array(np.concatenate(a))), c.take(pa.array(np.concatenate(b)))], names=["a", "b"])
 
-    return cut.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(run, "a binary, b binary").distinct()
+    return in_batches(cut.repartition("leaf").sortWithinPartitions("leaf", "c"), run, "a binary, b binary").distinct()
 
 
 def counted_links(grouped: DataFrame, dtype: type, cosine: float) -> DataFrame:
@@ -235,7 +235,7 @@ def counted_links(grouped: DataFrame, dtype: type, cosine: float) -> DataFrame:
             if at:
                 yield pa.RecordBatch.from_arrays([c.take(pa.array(np.concatenate(at))), pa.array(np.concatenate(links), pa.int64())], names=["c", "links"])
 
-    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "c binary, links long").groupBy("c").agg(F.sum("links").alias("links"))
+    return in_batches(rows.repartition("tile").sortWithinPartitions("tile"), run, "c binary, links long").groupBy("c").agg(F.sum("links").alias("links"))
 
 
 def dedup(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE) -> DataFrame:
@@ -251,11 +251,10 @@ def dedup(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
     ids = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     linked = grouped.select("component", "c").join(ids, "component").join(links, "c", "left").select("c", "component_id", "links")
     result = classes.select("c", "times", "least").join(linked, "c", "left").select(
-        "c", F.coalesce("component_id", "least").alias("component_id"), (F.col("times") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
+        "c", "times", F.coalesce("component_id", "least").alias("component_id"), (F.col("times") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
     )
     return (
-        m.select("vec_id", "c")
-        .join(result.where("n_links > 0"), "c", "left")
+        told(m.select("vec_id", "c"), durable(result.where("n_links > 0")), "c")
         .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
         .withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
     )
