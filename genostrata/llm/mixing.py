@@ -10,7 +10,12 @@ its quota each node carries where its draws begin, so the leaves name disjoint r
 source's permuted draws. Rows of a shard are ordered by a keyed hash.
 
 What grows with the data stays on the executors. The driver holds one row for each source, at most
-MOST_SOURCES of them; more raise an error.
+MOST_SOURCES of them; more raise an error. Blocks are of about BLOCK_WORDS words however large a
+source is; their order and running totals are found in two steps, within groups of blocks and then
+over the groups, so no task sees all blocks of a source.
+
+Nothing depends on how the rows are partitioned: sources are in the order of their names, and all
+keys are hashes of names and ids.
 
 Defined results: null sizes and null texts count 0 words, and such documents go with their block;
 a null source is a source of its own; all rows of equal doc_id and source fall into one block and
@@ -31,9 +36,10 @@ from pyspark.sql import functions as F
 from .common import WORD_RE, durable
 
 MOST_SOURCES = 100_000
-#: Words of a block, and the most blocks of a source (a larger source has larger blocks).
+#: Words of a block.
 BLOCK_WORDS = 20_000
-MOST_BLOCKS = 4096
+#: Shards of the splitting tree that a task computes.
+TASK_SHARDS = 1024
 #: Words of an output shard.
 SHARD_WORDS = 4_000_000
 #: No document is drawn more often.
@@ -111,10 +117,11 @@ def mix(
     found = known.limit(MOST_SOURCES + 1).toPandas()
     if len(found) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
-    sources = found["s"].astype(object).where(found["s"].notna(), None).tolist()
-    words = found["words"].to_numpy(np.int64)
+    size_of = {None if pd.isna(s) else s: int(n) for s, n in zip(found["s"], found["words"])}
+    sources = in_order(list(size_of))
+    words = np.array([size_of[s] for s in sources], np.int64)
     want = targets(words, np.array([weight_of[s] for s in sources], float), share)
-    blocks = np.clip(np.ceil(words / BLOCK_WORDS), 1, MOST_BLOCKS).astype(np.int64)
+    blocks = np.maximum(np.ceil(words / BLOCK_WORDS), 1).astype(np.int64)
     whole = np.minimum(np.floor(want / np.maximum(words, 1)), MOST_PASSES).astype(np.int64)
     rest = np.where(whole >= MOST_PASSES, 0.0, want - whole * words)
     plan = spark.createDataFrame(
@@ -130,25 +137,33 @@ def mix(
     keyed = base.join(plan, F.col("_source").eqNullSafe(F.col("s"))).withColumn("_block", F.pmod(F.shiftright("_unit", 20), F.col("blocks")))
     narrow = durable(keyed.select("k", "_block", "_unit", "blocks", "whole", "rest", "w"))
 
-    # the last, partial pass: blocks in keyed order up to the rest of the target; at most MOST_BLOCKS rows of a source
+    # blocks in keyed order, another one in every pass; a group is those with like beginnings of their keys
     tally = narrow.groupBy("k", "_block", "blocks", "whole", "rest").agg(F.sum("w").alias("bw"))
-    tally = tally.withColumn("_order", hashed(seed + 1, "k", "whole", "_block"))
-    upto = Window.partitionBy("k").orderBy("_order", "_block").rowsBetween(Window.unboundedPreceding, 0)
-    run = durable(tally.withColumn("after", F.sum("bw").over(upto)).withColumn("rank", F.row_number().over(upto) - 1).where("after - bw < rest").withColumn("cut", F.col("after") > F.col("rest")).withColumn("room", F.col("rest") - (F.col("after") - F.col("bw"))))
-    # within the one block of a source in which its target is reached: the largest hash that still fits best
-    inner = narrow.join(F.broadcast(run.where("cut").select("k", "_block", "room")), ["k", "_block"]).groupBy("k", "_unit").agg(F.sum("w").alias("w"), F.first("room").alias("room"))
+    passes = F.sequence(F.lit(0), F.least(F.col("whole"), F.lit(MOST_PASSES - 1)).cast("int"))
+    each = tally.withColumn("pass_no", F.explode(passes)).where("pass_no < whole or rest > 0")
+    each = each.join(plan.select("k", "s"), "k").withColumn("_order", hashed(seed + 1, F.coalesce("s", F.lit("")), F.col("s").isNull(), F.col("pass_no").cast("long"), "_block"))
+    each = durable(each.withColumn("_group", F.pmod("_order", F.ceil(F.sqrt("blocks")))).select("k", "pass_no", "_group", "_order", "_block", "bw", "whole", "rest"))
+    groups = each.groupBy("k", "pass_no", "_group").agg(F.sum("bw").alias("gw"), F.count(F.lit(1)).alias("gn"))
+    before = Window.partitionBy("k", "pass_no").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.select("k", "pass_no", "_group", F.coalesce(F.sum("gw").over(before), F.lit(0)).alias("g_words"), F.coalesce(F.sum("gn").over(before), F.lit(0)).alias("g_rank"))
+    inside = Window.partitionBy("k", "pass_no", "_group").orderBy("_order", "_block").rowsBetween(Window.unboundedPreceding, 0)
+    placed = each.withColumn("iw", F.sum("bw").over(inside)).withColumn("ir", F.row_number().over(inside) - 1).join(groups, ["k", "pass_no", "_group"])
+    placed = placed.withColumn("after", F.col("g_words") + F.col("iw")).withColumn("rank", F.col("g_rank") + F.col("ir"))
+
+    # every block once for each whole pass; in the last, partial pass up to the block in which the target is reached
+    last_pass = F.col("pass_no") >= F.col("whole")
+    placed = placed.where(~last_pass | (F.col("after") - F.col("bw") < F.col("rest")))
+    held = tally.groupBy("k").agg(F.count(F.lit(1)).alias("held"))
+    draws = durable(
+        placed.join(F.broadcast(held), "k").select(
+            "k", "_block", "pass_no", (F.col("pass_no") * F.col("held") + F.col("rank")).alias("draw"), (last_pass & (F.col("after") > F.col("rest"))).alias("cut"), (F.col("rest") - F.col("after") + F.col("bw")).alias("room")
+        )
+    )
+    # within that one block: the largest hash that still fits best
+    inner = narrow.join(F.broadcast(draws.where("cut").select("k", "_block", "room")), ["k", "_block"]).groupBy("k", "_unit").agg(F.sum("w").alias("w"), F.first("room").alias("room"))
     along = Window.partitionBy("k").orderBy("_unit").rowsBetween(Window.unboundedPreceding, 0)
     last = inner.withColumn("after", F.sum("w").over(along)).where("after - w / 2.0D <= room").groupBy("k").agg(F.max("_unit").alias("_last"))
 
-    # every draw of a block: its pass, and its number among its source's draws
-    full = tally.where("whole > 0").withColumn("pass_no", F.explode(F.sequence(F.lit(0), F.col("whole").cast("int") - 1)))
-    by_pass = Window.partitionBy("k", "pass_no").orderBy("_order", "_block")
-    full = full.withColumn("_order", hashed(seed + 1, "k", F.col("pass_no").cast("long"), "_block"))
-    sizes = tally.groupBy("k").agg(F.count(F.lit(1)).alias("held"))
-    full = full.withColumn("_r", F.row_number().over(by_pass) - 1).join(F.broadcast(sizes), "k").select("k", "_block", "pass_no", (F.col("pass_no") * F.col("held") + F.col("_r")).alias("draw"), F.lit(False).alias("cut"))
-    part = run.join(F.broadcast(sizes), "k").select("k", "_block", F.col("whole").cast("int").alias("pass_no"), (F.col("whole") * F.col("held") + F.col("rank")).alias("draw"), "cut")
-    draws = durable(full.unionByName(part))
-
     quotas = draws.groupBy("k").count().toPandas()  # one row for each source
     quota = np.zeros(len(sources), np.int64)
     quota[quotas["k"].to_numpy(np.int64)] = quotas["count"].to_numpy(np.int64)
@@ -162,7 +177,7 @@ def mix(
                     at = np.flatnonzero(count)
                     yield pd.DataFrame({"k": at, "shard": shard, "begin": begin[at], "count": count[at]})
 
-    runs = spark.range(0, shards, 1, max(1, min(shards, 64))).mapInPandas(leaves, "k long, shard long, begin long, count long")
+    runs = spark.range(0, shards, 1, max(1, math.ceil(shards / TASK_SHARDS))).mapInPandas(leaves, "k long, shard long, begin long, count long")
     dealt = draws.join(
         runs.select("k", "shard", F.explode(F.sequence(F.col("begin"), F.col("begin") + F.col("count") - 1)).alias("draw")), ["k", "draw"]
     ).join(F.broadcast(last), "k", "left")
@@ -183,10 +198,14 @@ def write_order(mixed: DataFrame, shards: int | None = None) -> DataFrame:
     return (taken.repartition(shards, "shard") if shards else taken.repartition("shard")).sortWithinPartitions("shard", ORDER)
 
 
+def in_order(sources: list[str | None]) -> list[str | None]:
+    """By code point, null last."""
+    return [*sorted(s for s in sources if s is not None), *([None] if None in sources else [])]
+
+
 def repeating_weights(sources: list[str | None], weights: tuple[float, ...]) -> dict[str | None, float]:
     """Weights repeated along the sources by code point, null last."""
-    named = sorted(s for s in sources if s is not None)
-    return {s: weights[i % len(weights)] for i, s in enumerate(named + [None] * (None in sources))}
+    return {s: weights[i % len(weights)] for i, s in enumerate(in_order(sources))}
 
 
 def source_names(docs: DataFrame, source: str = "source") -> list[str | None]:

@@ -259,6 +259,45 @@ def test_mixing_targets():
     assert mixing.repeating_weights(["b", None, "a"], (5, 2, 1)) == {"a": 5, "b": 2, None: 1}
 
 
+def plain_targets(sizes, weights, share):
+    """By bisection on the words that one unit of weight gets."""
+    lo, hi = 0.0, 10.0 * sum(sizes) + 1
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(min(2 * s, w * mid) for s, w in zip(sizes, weights)) < share * sum(sizes) else (lo, mid)
+    return [min(2 * s, w * lo) for s, w in zip(sizes, weights)]
+
+
+def test_mixing_targets_and_draws_against_plain(spark):
+    rng = random.Random(4)
+    for _ in range(50):
+        sizes, weights = [rng.choice([0, 3, 50, 1000, 10**6]) for _ in range(6)], [rng.choice([1.0, 2, 5]) for _ in range(6)]
+        if sum(sizes):
+            assert mixing.targets(np.array(sizes), np.array(weights), 1.5) == pytest.approx(plain_targets(sizes, weights, 1.5), rel=1e-6, abs=1e-6)
+    rows = [(i, rng.choice(["a", "b", "ü", "", None]), rng.randint(0, 900)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    names = ["", "a", "b", "ü", None]
+    w = mixing.repeating_weights(names, (5.0, 2.0, 1.0))
+    sizes = [sum(n for _, s, n in rows if s == x) for x in names]
+    want = dict(zip(names, plain_targets(sizes, [w[x] for x in names], 1.5)))
+    results = []
+    for parts, adaptive in ((1, True), (4, True), (7, False), (64, True), (4, False)):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        got = mixing.mix(df.repartition(parts, "size"), w, 1.5, shard_words=100_000).collect()
+        results.append(sorted((r["doc_id"], r["shard"] or -1, r["pass_no"] or -1, r["position"], r["target"]) for r in got))
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    spark.conf.set("spark.sql.adaptive.enabled", True)
+    assert all(r == results[0] for r in results)
+    times = Counter(r["doc_id"] for r in got if r["shard"] is not None)
+    for x, size in zip(names, sizes):
+        of = [(times[i], n) for i, s, n in rows if s == x]
+        whole = min(2, int(want[x] / size + 1e-9))
+        assert {k for k, _ in of} <= {whole, whole + 1}
+        assert abs(sum(k * n for k, n in of) - want[x]) <= 900
+    assert len({r["shard"] for r in got}) > 10
+
+
 def test_mixing_tree():
     quota = np.array([100, 7, 0, 33])
     got = list(mixing.split(quota, 5, 1, 0, 5))
