@@ -1,12 +1,15 @@
 """Main text of web pages by site style trees.
 
-All pages of a host are merged into one tree whose nodes are style paths (tags with their classes).
-A presentation node's importance is the entropy of the layouts that its pages show there; a content
-node's is one less the entropy of its texts over the pages, so a text that stands on every page
-counts nothing and one of a single page counts fully. A branch's importance combines its own layout
-with that of the texts below it. Branches of low importance are cut from each page of the host, if
-enough pages show them. What is boilerplate by its tag or class goes on any page, and an article or
-main element, where a page has one, is the page's main branch and is not cut.
+All pages of a host are merged into one tree whose nodes are style paths: an element's tag and class
+below those of its parents, to any depth. A presentation node's importance is the entropy of the
+layouts (sequences of children) that its pages show there; a content node's is one less the
+concentration of its texts over the pages, so a text that stands on every page counts nothing and
+one of a single page counts fully. A branch's importance is the mean of its texts' nodes, combined
+with the mean of its layouts. Branches of low importance are cut from each page of the host, if
+enough pages show them. An article or main element, where a page has one, is the page's main branch:
+it is not cut itself, and branches within it are cut only if they count next to nothing while the
+main branch as a whole differs from page to page. What is boilerplate by its tag or class goes on
+any page.
 
 Only counts leave the pages: they are summed for each host, path and text before and after they are
 shuffled, so a host with very many pages costs no more than its distinct texts. The cut paths of a
@@ -31,11 +34,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, durable
+from .common import BROADCAST_ROWS, durable, in_batches, slices
 
 #: Pages of a host that have to show a branch before it can be cut, and the importance below which
-#: it is; what a node's own layout weighs against what is below it.
+#: it is; what the layouts of a branch weigh against its texts.
 MIN_PAGES, LEAST_IMPORTANCE, LAYOUT_WEIGHT = 5, 0.3, 0.1
+#: Within a main branch: the importance below which a branch is cut, if the main branch's is above the other.
+LEAST_WITHIN, MAIN_IMPORTANCE = 0.1, 0.5
+#: Rows, and bytes of html, that are read before they go back to Spark.
+SLICE, SLICE_BYTES = 512, 2 << 20
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/><]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/><]*)([^>]*)(?:>|\Z)|[^<]+|<", re.DOTALL
@@ -60,15 +67,21 @@ BOILERPLATE = set(
     "footer masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion "
     "related respond reply replies share sharing sidebar signup skip skyscraper social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
+#: Tags whose attributes are read.
+JUDGED = BLOCKS | {"span", "ins"}
 NAME = re.compile(r"[a-z]+|[A-Z][a-z]*")
 SPACES = re.compile(r"\s+")
 
 
 class Element:
-    __slots__ = ("article", "dropped", "path", "tag")
+    """An open element: its style path, whether it is dropped by tag or class or cut by the tree, the
+    path of the main branch it is in (0 for none), and the paths of its children."""
 
-    def __init__(self, tag: str, path: int, dropped: bool, article: bool) -> None:
-        self.tag, self.path, self.dropped, self.article = tag, path, dropped, article
+    __slots__ = ("children", "dropped", "main", "parent", "path", "tag")
+
+    def __init__(self, tag: str, parent: Element | None, path: int, dropped: bool, main: int) -> None:
+        self.tag, self.parent, self.path, self.dropped, self.main = tag, parent, path, dropped, main
+        self.children: list[int] = []
 
 
 def parts(value: str) -> set[str]:
@@ -76,48 +89,46 @@ def parts(value: str) -> set[str]:
 
 
 class Reader:
-    """Reads pages into blocks. Elements of equal tag, class and parent share what is known of them."""
+    """Reads pages into blocks. Elements of equal parent, tag and attributes share what is known of them."""
 
     def __init__(self) -> None:
-        self.known: dict[tuple, tuple[int, bool, bool]] = {}
+        self.known: dict[tuple, tuple[int, bool, int]] = {}
 
     def child(self, parent: Element, tag: str, attributes: str) -> Element:
-        key = (parent.path, parent.dropped, parent.article, tag, attributes if len(attributes) < 200 and tag in BLOCKS else "")
+        told = attributes if tag in JUDGED else ""
+        key = (parent.path, parent.dropped, parent.main, tag, told if len(told) < 200 else xxhash.xxh128_digest(told))
         got = self.known.get(key)
         if got is None:
-            got = self.judged(parent, tag, attributes)
+            got = self.judged(parent, tag, told)
             if len(self.known) > 50_000:
                 self.known.clear()
             self.known[key] = got
-        return Element(tag, *got)
+        return Element(tag, parent, *got)
 
     @staticmethod
-    def judged(parent: Element, tag: str, attributes: str) -> tuple[int, bool, bool]:
-        dropped, article, style = parent.dropped or tag in DROPPED, parent.article, ""
-        if tag in BLOCKS or tag in ("span", "ins"):
-            for m in ATTRIBUTE.finditer(attributes):
-                name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-                if name == "class":
-                    style = " ".join(sorted(value.split()))
-                if name in ("class", "id", "role"):
-                    names = parts(value)
-                    dropped |= bool(names & BOILERPLATE) or ("header" in names and not article and tag not in ("h1", "h2", "h3"))
-                    article |= name == "role" and value == "main"
-                dropped |= (name == "hidden") or (name == "aria-hidden" and value == "true")
-                article |= name == "itemprop" and value == "articleBody"
+    def judged(parent: Element, tag: str, attributes: str) -> tuple[int, bool, int]:
+        dropped, article, style = parent.dropped or tag in DROPPED, parent.main != 0, ""
+        for m in ATTRIBUTE.finditer(attributes):
+            name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            if name == "class":
+                style = " ".join(sorted(value.split()))
+            if name in ("class", "id", "role"):
+                names = parts(value)
+                dropped |= bool(names & BOILERPLATE) or ("header" in names and not article and tag not in ("h1", "h2", "h3"))
+                article |= name == "role" and value == "main"
+            dropped |= (name == "hidden") or (name == "aria-hidden" and value == "true")
+            article |= name == "itemprop" and value == "articleBody"
         if tag == "header" and not article:
             dropped = True
         article |= tag in ("article", "main")
-        return xxhash.xxh64_intdigest(f"{parent.path} {tag} {style}") >> 1, dropped, article
-
-    def blocks(self, page: str) -> tuple[list[tuple[int, int, bool, bool, str]], list[tuple[int, int]]]:
-        """The page's blocks as (branch, path, dropped, in article, text), and the layout of each
-        branch as (branch, layout)."""
-        root = Element("", 0, False, False)
-        stack, out, layouts, words = [root], [], [], []
-        branch_at = 0  # depth of the branch that is being read, 0 for none
-        branch_path = 0
-        seen: list[str] = []  # tags below the branch
+        path = xxhash.xxh64_intdigest(f"{parent.path} {tag} {style}") >> 1
+        return path, dropped, parent.main or (path if article else 0)
+
+    def blocks(self, page: str, cut: set[int] | None = None) -> tuple[list[tuple[Element, str]], list[Element]]:
+        """The page's blocks in order, each with the element that holds it, and all its block elements.
+        Elements of a path in `cut`, with all below them, are dropped."""
+        root = Element("", None, 0, False, 0)
+        stack, out, nodes, words = [root], [], [], []
         holder = root
 
         def flush() -> None:
@@ -125,13 +136,7 @@ class Reader:
                 text = SPACES.sub(" ", entities.unescape("".join(words))).strip()
                 words.clear()
                 if text:
-                    out.append((stack[branch_at].path if branch_at and branch_at < len(stack) else holder.path, holder.path, holder.dropped, holder.article, text))
-
-        def end_branch(page_ends: bool = False) -> None:
-            nonlocal branch_at
-            if branch_at and (page_ends or len(stack) <= branch_at):
-                layouts.append((branch_path, xxhash.xxh64_intdigest(" ".join(seen)) >> 1))
-                branch_at = 0
+                    out.append((holder, text))
 
         at, n = 0, len(page)
         while at < n:
@@ -160,7 +165,6 @@ class Reader:
                         break
                     if not block and stack[i].tag in BLOCKS:
                         break  # an inline end tag does not end blocks
-                end_branch()
                 continue
             if block:
                 if tag in CLOSES_P:
@@ -177,81 +181,109 @@ class Reader:
                             break
                         if stack[i].tag in ("ul", "ol", "dl", "table", "select", "menu"):
                             break
-                end_branch()
                 if tag == "body":
                     stack[1:] = [e for e in stack[1:] if e.tag == "html"]
             if tag in VOID:
                 continue
+            # inline elements stand for no node of the tree, but may be dropped
             element = self.child(stack[-1], tag, attributes)
             if block:
-                if branch_at:
-                    seen.append(tag)
-                elif tag not in ("html", "body"):
-                    branch_at, seen, branch_path = len(stack), [tag], element.path
+                if cut and element.path in cut:
+                    element.dropped = True
+                above = next(e for e in reversed(stack) if e.tag in BLOCKS or e is root)
+                if above.children[-1:] != [element.path]:
+                    above.children.append(element.path)
+                nodes.append(element)
             if tag in RAW and not attributes.endswith("/"):
                 end = re.compile(rf"</{tag}\b[^>]*>?", re.IGNORECASE).search(page, at)
                 at = end.end() if end else n
                 continue
             stack.append(element)
         flush()
-        end_branch(page_ends=True)
-        return out, layouts
+        return out, nodes
 
     def text(self, page: str | None, cut: set[int]) -> str:
         if not page:
             return ""
-        found, _ = self.blocks(page)
-        kept = [b for b in found if not b[2]]
-        main = [b for b in kept if b[3]]
-        return "\n".join(b[4] for b in (main or [b for b in kept if b[0] not in cut and b[1] not in cut]))
+        kept = [(e, t) for e, t in self.blocks(page, cut)[0] if not e.dropped]
+        return "\n".join(t for _, t in ([x for x in kept if x[0].main] or kept))
 
 
 def host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
-COUNTS = "host string, branch long, path long, kind string, feature long"
+COUNTS = "host string, path long, kind string, feature long"
+
+
+def page_features(reader: Reader, page: str) -> set[tuple[int, str, int]]:
+    """(path, kind, feature) of the nodes of one page that hold texts or have children, each once: that
+    the node is shown (N), its layouts (L), its texts (T), the nodes that it is part of (A), itself
+    included, and the main branch that it is in (M). What tag or class drops is left out."""
+    found, nodes = reader.blocks(page)
+    one: set[tuple[int, str, int]] = set()
+    for e in nodes:
+        if e.dropped:
+            continue
+        if e.children:
+            one.add((e.path, "L", xxhash.xxh64_intdigest(repr(e.children)) >> 1))
+        if (e.path, "N", 0) not in one:
+            one.add((e.path, "N", 0))
+            one.add((e.path, "M", e.main))
+            up: Element | None = e
+            while up is not None and up.parent is not None:
+                if up.tag in BLOCKS:
+                    one.add((e.path, "A", up.path))
+                up = up.parent
+    one |= {(e.path, "T", xxhash.xxh64_intdigest(text) >> 1) for e, text in found if e.parent is not None and not e.dropped}
+    return one
 
 
 def features(pages: DataFrame) -> DataFrame:
-    """Once for each page: the layouts of its branches (L), its content nodes (N) and their texts (T)."""
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()
-        for b in batches:
-            rows: list[tuple[str, int, int, str, int]] = []
-            for h, page in zip(b.column("host").to_pylist(), b.column("html")):
-                found, layouts = reader.blocks(page.as_py() or "")
-                one = {(br, br, "L", x) for br, x in layouts}
-                for br, path, _, article, text in found:
-                    if not article:
-                        one.add((br, path, "N", 0))
-                        one.add((br, path, "T", xxhash.xxh64_intdigest(text) >> 1))
-                rows += [(h, *x) for x in one]
-            columns = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64()))], names=["host", "branch", "path", "kind", "feature"])
-
-    return pages.select("host", "html").mapInArrow(run, COUNTS)
+        for b in (x for batch in batches for x in slices(batch, 1, SLICE, SLICE_BYTES)):
+            rows = [(h, *x) for h, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for x in page_features(reader, page or "")]
+            columns = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.int64()))], names=["host", "path", "kind", "feature"])
+
+    return in_batches(pages.select("host", "html"), run, COUNTS)
 
 
 def importances(pages: DataFrame) -> DataFrame:
-    """(host, path, m, importance) of the style tree's nodes: content nodes and whole branches."""
-    counted = durable(features(pages).groupBy("host", "branch", "path", "kind", "feature").agg(F.count(F.lit(1)).alias("k")))
-    sums = counted.groupBy("host", "branch", "path").agg(
-        F.max(F.when(F.col("kind") == "N", F.col("k"))).alias("shown"),
-        F.sum(F.when(F.col("kind") == "T", F.col("k"))).alias("t"),
-        F.sum(F.when(F.col("kind") == "T", F.col("k") * F.ln(F.col("k")))).alias("tl"),
-        F.sum(F.when(F.col("kind") == "L", F.col("k"))).alias("l"),
-        F.sum(F.when(F.col("kind") == "L", F.col("k") * F.ln(F.col("k")))).alias("ll"),
+    """(host, path, m, main, importance) of all branches of the style tree: m pages show it, main is
+    the main branch it is in, 0 for none. Branches without a text have none."""
+    counted = durable(features(pages).groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).alias("k")))
+
+    def of(kind: str, x: Column) -> Column:
+        return F.when(F.col("kind") == kind, x)
+
+    k, klog = F.col("k"), F.col("k") * F.ln("k")
+    logm = lambda m: F.ln(F.greatest(F.col(m), F.lit(2)).cast("double"))
+    nodes = counted.where("kind <> 'A'").groupBy("host", "path").agg(
+        F.max(of("N", k)).alias("m"), F.max(of("M", F.col("feature"))).alias("main"), F.sum(of("T", k)).alias("t"), F.sum(of("T", klog)).alias("tl"), F.sum(of("L", k)).alias("l"), F.sum(of("L", klog)).alias("ll")
+    )
+    nodes = nodes.select(
+        "host", "path", "m", "main", "t", "l",
+        (1 - F.least(F.lit(1.0), F.col("tl") / F.col("t") / logm("m"))).alias("content"),
+        ((F.ln("l") - F.col("ll") / F.col("l")) / logm("l")).alias("layout"),
+    )
+    nodes = durable(nodes)
+    within = counted.where("kind = 'A'").select("host", "path", F.col("feature").alias("branch"))
+    branches = within.join(nodes, ["host", "path"]).groupBy("host", F.col("branch").alias("path")).agg(
+        (F.sum(F.col("content") * F.col("t")) / F.sum("t")).alias("texts"), F.coalesce(F.sum(F.col("layout") * F.col("l")) / F.sum("l"), F.lit(0.0)).alias("layouts")
     )
-    sums = durable(sums)
-    logm = lambda m: F.ln(F.greatest(m, F.lit(2)).cast("double"))
-    content = sums.where("t > 0").withColumn("importance", 1 - F.least(F.lit(1.0), F.col("tl") / F.col("t") / logm(F.col("shown"))))
-    leaves = content.select("host", "path", F.col("shown").alias("m"), "importance")
-    below = content.groupBy("host", "branch").agg((F.sum(F.col("importance") * F.col("t")) / F.sum("t")).alias("below"))
-    layout = sums.where("l > 0").select("host", "branch", F.col("l").alias("m"), ((F.ln("l") - F.col("ll") / F.col("l")) / logm(F.col("l"))).alias("layout"))
-    whole = layout.join(below, ["host", "branch"]).select("host", F.col("branch").alias("path"), "m", (LAYOUT_WEIGHT * F.col("layout") + (1 - LAYOUT_WEIGHT) * F.col("below")).alias("importance"))
-    return leaves.unionByName(whole)
+    importance = LAYOUT_WEIGHT * F.col("layouts") + (1 - LAYOUT_WEIGHT) * F.col("texts")
+    return branches.where("texts is not null").join(nodes.select("host", "path", "m", "main"), ["host", "path"]).select("host", "path", "m", "main", importance.alias("importance"))
+
+
+def cut_branches(branches: DataFrame) -> DataFrame:
+    """(host, path) of the branches that go."""
+    branches = durable(branches)
+    mains = branches.where(F.col("main") == F.col("path")).select("host", F.col("path").alias("main"), F.col("importance").alias("whole"))
+    some = branches.where((F.col("m") >= MIN_PAGES) & (F.col("main") != F.col("path")) & (F.col("importance") < LEAST_IMPORTANCE))
+    inside = (F.col("importance") < LEAST_WITHIN) & (F.col("whole") >= MAIN_IMPORTANCE)
+    return some.join(mains, ["host", "main"], "left").where((F.col("main") == 0) | inside).select("host", "path")
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", into: str = "text") -> DataFrame:
@@ -259,15 +291,14 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", into: str =
     kept = [c for c in pages.columns if c not in (into, html)]
     schema = T.StructType([pages.schema[c] for c in kept]).add(into, T.StringType(), False)
     source = pages.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), host(F.col(url)).alias("host"), F.col(f"`{html}`").alias("html"))
-    low = importances(source).where((F.col("m") >= MIN_PAGES) & (F.col("importance") < LEAST_IMPORTANCE))
-    cuts = durable(low.groupBy(F.col("host").alias("cut_host")).agg(F.collect_set("path").alias("cut")))
+    cuts = durable(cut_branches(importances(source)).groupBy(F.col("host").alias("cut_host")).agg(F.collect_set("path").alias("cut")))
     few = cuts.agg(F.sum(F.size("cut"))).first()[0] or 0
     joined = source.join(F.broadcast(cuts) if few <= BROADCAST_ROWS else cuts, F.col("host") == F.col("cut_host"), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()
-        for b in batches:
-            texts = [reader.text(page.as_py(), set(cut or ())) for page, cut in zip(b.column("html"), b.column("cut").to_pylist())]
-            yield pa.RecordBatch.from_arrays([*b.column("row").flatten(), pa.array(texts, pa.string())], names=[*kept, into])
+        for b in (x for batch in batches for x in slices(batch, 1, SLICE, SLICE_BYTES)):
+            texts = [reader.text(page, set(cut or ())) for page, cut in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.column(0).flatten(), pa.array(texts, pa.string())], names=[*kept, into])
 
-    return joined.select("row", "html", "cut").mapInArrow(run, schema)
+    return in_batches(joined.select("row", "html", "cut"), run, schema)

@@ -1,7 +1,9 @@
 """Language ID, HTML, the n-gram join, embeddings and the pipeline on small tables, against plain versions."""
 
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -116,6 +118,73 @@ def test_html_style_tree(spark):
     assert got[100].split("\n") == ["Welcome to our site", "Story number 100 is told here", "All rights kept"]
 
 
+def test_html_reader_keeps_elements_apart():
+    """One reader's verdicts don't leak between elements of unlike attributes, whatever the order."""
+    long = 'style="' + "x" * 300 + '"'
+    pages = [f'<div class="comments" {long}>talk</div>', f"<div {long}>main text</div>", "<div>main text</div>", '<p><span class="ad">Buy</span> one <span>two</span> three</p>', "<p><span>two</span> three</p>"]
+    want = ["", "main text", "main text", "one two three", "two three"]
+    for order in (range(5), reversed(range(5))):
+        reader = html_extract.Reader()
+        assert all(reader.text(pages[i], set()) == want[i] for i in order)
+
+
+STORY = '<main><div class="q7"><h1>Title {0}</h1><p>Story number {0} is told here</p><p>and goes on for {0} lines</p></div><div class="q8"><ul><li>Tell your friends</li><li>Write to us</li></ul></div></main><div class="q9"><p>All rights kept</p></div>'
+
+
+def test_html_style_tree_within_the_main_branch(spark):
+    """Boilerplate in main without a telling class is cut; copies of one page lose nothing."""
+    rows = [(i, f"http://h.com/{i}", STORY.format(i)) for i in range(12)] + [(100 + i, "http://copies.org/", STORY.format(7)) for i in range(12)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()}
+    assert got[3] == "Title 3\nStory number 3 is told here\nand goes on for 3 lines"
+    assert got[105] == "Title 7\nStory number 7 is told here\nand goes on for 7 lines\nTell your friends\nWrite to us"
+
+
+def test_html_tree_against_brute_force(spark):
+    """Importances of nested branches, from the pages' trees as nested lists."""
+    rng = random.Random(3)
+
+    def tree(depth):
+        kids = [("div" if depth < 3 and rng.random() < 0.5 else "p", rng.choice("xy"), rng.randint(0, 3)) for _ in range(rng.randint(1, 3))]
+        return [(tag, style, tree(depth + 1) if tag == "div" else f"text {text}") for tag, style, text in kids]
+
+    def html(nodes):
+        return "".join(f'<{tag} class="{c}">{html(x) if tag == "div" else x}</{tag}>' for tag, c, x in nodes)
+
+    def walk(nodes, path, out):
+        for tag, c, x in nodes:
+            here = (*path, (tag, c))
+            texts, layouts = out.setdefault(here, (set(), set()))
+            if tag == "div":
+                kids = [(t, k) for t, k, _ in x]
+                layouts.add(tuple(k for i, k in enumerate(kids) if not i or kids[i - 1] != k))
+                walk(x, here, out)
+            else:
+                texts.add(x)
+
+    pages = [tree(0) for _ in range(40)]
+    shown, texts, layouts = Counter(), {}, {}
+    for page in pages:
+        one = {}
+        walk(page, (), one)
+        for path, (t, lay) in one.items():
+            shown[path] += 1
+            texts.setdefault(path, Counter()).update(t)
+            layouts.setdefault(path, Counter()).update(lay)
+    want = {}
+    for b in shown:
+        below = [p for p in shown if p[: len(b)] == b]
+        t = sum(sum(texts[p].values()) for p in below)
+        lay = sum(sum(layouts[p].values()) for p in below)
+        if t:
+            content = sum(k * (1 - min(1, sum(j * math.log(j) for j in texts[p].values()) / sum(texts[p].values()) / math.log(max(2, shown[p])))) for p in below for k in [sum(texts[p].values())] if k)
+            spread = sum(k * (math.log(k) - sum(j * math.log(j) for j in layouts[p].values()) / k) / math.log(max(2, k)) for p in below for k in [sum(layouts[p].values())] if k)
+            want[b] = (shown[b], 0.1 * (spread / lay if lay else 0) + 0.9 * content / t)
+    df = spark.createDataFrame([("h", html(p)) for p in pages], "host string, html string")
+    got = sorted((r["m"], round(r["importance"], 9)) for r in html_extract.importances(df).collect())
+    assert got == sorted((m, round(x, 9)) for m, x in want.values())
+
+
 def brute_components(ids, near):
     label = {i: i for i in range(len(ids))}
     for i in range(len(ids)):
