@@ -5,9 +5,12 @@ Q tables are in long form (sample_id, k, q), with run_id where there are several
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import align
+
 
 def paired(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Values of two tables side by side as a and b."""
@@ -29,6 +32,43 @@ def run_pairs(runs: DataFrame) -> DataFrame:
     return a.join(b, on).select(F.col("a.run_id").alias("run1"), F.col("b.run_id").alias("run2"), F.col("a.sample_id").alias("sample_id"), F.col("a.k").alias("k"), F.col("a.q").alias("a"), F.col("b.q").alias("b"))
 
 
+def column_map(between: dict[tuple, np.ndarray], runs: DataFrame) -> DataFrame:
+    """(run1, run2, k, k2): the column of run2 that goes with column k of run1, the nearest pairs first.
+    A row for each column of each two runs."""
+    rows = [(i, j, a, b) for (i, j), d in between.items() for a, b in align.greedy(d)]
+    kind = dict(runs.dtypes)["run_id"]
+    return runs.sparkSession.createDataFrame(rows, f"run1 {kind}, run2 {kind}, k int, k2 int")
+
+
+def aligned_pairs(runs: DataFrame) -> DataFrame:
+    """As run_pairs, each two runs' columns matched to each other."""
+    m = column_map(align.run_distances(runs), runs)
+    a = runs.select(F.col("run_id").alias("run1"), "sample_id", "k", F.col("q").alias("a"))
+    b = runs.select(F.col("run_id").alias("run2"), "sample_id", F.col("k").alias("k2"), F.col("q").alias("b"))
+    return a.join(F.broadcast(m), ["run1", "k"]).join(b, ["run2", "sample_id", "k2"]).select("run1", "run2", "sample_id", "k", "a", "b")
+
+
+def aligned_to(runs: DataFrame, reference: int | str) -> DataFrame:
+    """runs with the columns of all in the order of the reference run's."""
+    between = align.run_distances(runs)
+    own = {j if i == reference else i: (d if i == reference else d.T) for (i, j), d in between.items() if reference in (i, j)}
+    m = column_map({(reference, x): d for x, d in own.items()}, runs).select(F.col("run2").alias("run_id"), F.col("k2").alias("k"), F.col("k").alias("to"))
+    moved = runs.join(F.broadcast(m), ["run_id", "k"]).select("run_id", "sample_id", F.col("to").alias("k"), "q")
+    return moved.unionByName(runs.where(F.col("run_id") == reference).select("run_id", "sample_id", "k", "q"))
+
+
+def membership_problems(q: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """(sample_id, problem) of (sample_id, q array): rows with elements outside 0..1, or not summing to 1."""
+    total = F.aggregate("q", F.lit(0.0), lambda a, x: a + x)
+    bad = F.when(~F.forall("q", lambda x: x.isNotNull() & (x >= 0) & (x <= 1)), "range").when(F.abs(total - 1) > tolerance, "sum")
+    return q.select("sample_id", bad.alias("problem")).where("problem is not null")
+
+
+def inverted(mapping: DataFrame) -> DataFrame:
+    """(k, target) of a one-to-one mapping, the other way."""
+    return mapping.select(F.col("target").alias("k"), F.col("k").alias("target"))
+
+
 def squared(a: str = "a", b: str = "b") -> Column:
     return (F.col(a) - F.col(b)) * (F.col(a) - F.col(b))
 
@@ -55,8 +95,9 @@ def correlations(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def stability(runs: DataFrame) -> DataFrame:
-    """One row: mean and population deviation over run pairs of correlation and Frobenius distance."""
-    pairs = run_pairs(runs)
+    """One row: mean and population deviation over run pairs of correlation and Frobenius distance,
+    the columns of each two runs matched first."""
+    pairs = aligned_pairs(runs)
     both = correlations(pairs, ["run1", "run2"]).join(pair_measures(pairs, ["run1", "run2"]), ["run1", "run2"])
     return both.agg(
         F.avg("correlation").alias("corr_mean"), F.stddev_pop("correlation").alias("corr_std"), F.avg("frobenius").alias("frob_mean"), F.stddev_pop("frobenius").alias("frob_std")
@@ -75,6 +116,7 @@ def representative(costs: DataFrame) -> DataFrame:
 
 
 def mode_mean(runs: DataFrame) -> DataFrame:
+    """Mean of a mode's runs, whose columns are in one order."""
     return runs.groupBy("sample_id", "k").agg(F.avg("q").alias("q"))
 
 

@@ -26,6 +26,54 @@ def sample_order(q: DataFrame, labels: DataFrame, label: str = "label") -> DataF
     return d.withColumn("_r", F.row_number().over(within)).join(F.broadcast(offsets), "label").select("sample_id", "label", "cluster", "share", (F.col("offset") + F.col("_r") - 1).alias("pos"))
 
 
+def numbered(rows: DataFrame, keys: list[str], into: str = "pos") -> DataFrame:
+    """rows with their place, from 0, in the order of the keys. Rows are dealt by range of the keys,
+    counted by part, and the counts of the parts before are added, so no task sees all rows."""
+    dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id())
+    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
+    placed = dealt.withColumn("_part", part).withColumn("_place", place).drop("_id")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    offsets = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return placed.join(F.broadcast(offsets), "_part").withColumn(into, F.col("_before") + F.col("_place")).drop("_part", "_place", "_before")
+
+
+def order_by_levels(q: DataFrame, labels: DataFrame | None = None, levels: list[str] = []) -> DataFrame:
+    """(sample_id, pos) by the labels of two and more levels, the outermost last in `levels`; by one
+    level, dominant cluster and its share; or without labels by the last two."""
+    d = dominant_cluster(q)
+    if labels is not None:
+        d = d.join(labels.select("sample_id", *levels), "sample_id")
+    keys = [*reversed(levels), "sample_id"] if len(levels) > 1 else [*levels, "cluster", "share", "sample_id"]
+    return numbered(d, keys).select("sample_id", "pos")
+
+
+def group_ticks(ordered: DataFrame, label: str = "label") -> DataFrame:
+    """(label, tick, boundary) of labels that each stand side by side along pos: the middle and the end."""
+    g = ordered.groupBy(F.col(label).alias("label")).agg(F.avg("pos").alias("mean"), F.max("pos").alias("last"), (F.max("pos") - F.min("pos") + 1 == F.count(F.lit(1))).alias("side"))
+    one = F.when(F.col("side"), F.col("label")).otherwise(F.raise_error(F.concat(F.lit("label not in one piece: "), F.col("label").cast("string"))))
+    return g.select(one.alias("label"), (F.col("mean") + 0.5).alias("tick"), (F.col("last") + 0.5).alias("boundary"))
+
+
+def order_within_groups(q: DataFrame, labels: DataFrame, k: int, label: str = "label") -> DataFrame:
+    """(sample_id, label, place): samples of a label by their shares of its clusters, its largest
+    cluster's first, each falling."""
+    totals = q.join(labels.select("sample_id", F.col(label).alias("label")), "sample_id")
+    sums = totals.groupBy("label").agg(F.array(*(F.round(F.sum(F.get("q", F.lit(i))), 9) for i in range(k))).alias("totals"))
+    order = F.transform(F.array_sort(F.transform("totals", lambda x, i: F.struct((-x).alias("t"), i.alias("i")))), lambda x: x["i"])
+    orders = sums.select("label", order.alias("order"))
+    shares = totals.join(orders, "label").withColumn("shares", F.transform("order", lambda i: -F.get("q", i)))
+    return shares.select("sample_id", "label", (F.row_number().over(Window.partitionBy("label").orderBy("shares", "sample_id")) - 1).alias("place"))
+
+
+def combined_bars(fits: list[tuple[int, DataFrame]], order: DataFrame) -> DataFrame:
+    """(k_total, pos, k, low, high): the bars of fits of several K, all in one order of the samples."""
+    out = None
+    for k_total, q in fits:
+        one = cumulative_bars(q).join(order, "sample_id").select(F.lit(k_total).alias("k_total"), "pos", "k", "low", "high")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def label_segments(ordered: DataFrame) -> DataFrame:
     """(label, first_pos, last_pos, tick) of each run of equal labels along pos.
 

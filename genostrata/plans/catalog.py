@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import EPS, clip_array, in_chromosomes, is_autosome, normalized, simplex_projection
-from ..operators import compare, folds, frequency, layout, model
+from ..operators import align, compare, folds, frequency, layout, model
 from . import views
 from .views import K, long_form
 
@@ -106,11 +106,7 @@ def centered_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gram_by_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products of the centred rows of every two variants over all samples."""
     g = views.dense(spark, sf_dir)
-    f = frequency.allele_frequency(g).select(F.col("variant_id").alias("v"), "f")
-    x = g.join(f, g.variant_id == f.v).select("sample_id", "variant_id", frequency.centered(F.col("g"), F.col("f")).alias("x"))
-    row = x.groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct("variant_id", "x"))).alias("xs"))  # a sample has as many entries as there are variants
-    pairs = row.select(F.explode("xs").alias("a"), "xs").select("a", F.explode(F.filter("xs", lambda b: b["variant_id"] >= F.col("a.variant_id"))).alias("b"))
-    return pairs.groupBy(F.col("a.variant_id").alias("i"), F.col("b.variant_id").alias("j")).agg(F.round(F.sum(F.col("a.x") * F.col("b.x")), 2).alias("xx"))
+    return frequency.variant_gram(g, frequency.allele_frequency(g)).withColumn("xx", F.round("xx", 2))
 
 
 @query
@@ -175,12 +171,14 @@ def grad_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long_form(model.newton_q(*start(spark, sf_dir), K).select("sample_id", "grad"), "grad").withColumn("grad", F.round("grad", 3))
 
 
+def square(h: DataFrame, key: str) -> DataFrame:
+    """(key, i, j, value) of K by K matrices in one array each."""
+    return h.select(key, F.posexplode("hess").alias("at", "x")).select(key, F.floor(F.col("at") / K).cast("int").alias("i"), (F.col("at") % K).alias("j"), F.round("x", 1).alias("value"))
+
+
 @query
 def hess_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The Hessians' diagonals and their sums."""
-    h = model.newton_q(*start(spark, sf_dir), K)
-    diagonal = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(K - 1)), lambda i: F.get("hess", i * (K + 1))), F.lit(0.0), lambda a, x: a + x)
-    return h.select("sample_id", F.round(diagonal, 1).alias("trace"), F.round(F.aggregate("hess", F.lit(0.0), lambda a, x: a + x), 1).alias("total"))
+    return square(model.newton_q(*start(spark, sf_dir), K), "sample_id")
 
 
 @query
@@ -190,8 +188,15 @@ def grad_p(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def hess_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = model.newton_p(*start(spark, sf_dir), K)
-    return h.select("variant_id", F.round(F.aggregate("hess", F.lit(0.0), lambda a, x: a + x), 1).alias("total"))
+    return square(model.newton_p(*start(spark, sf_dir), K), "variant_id")
+
+
+@query
+def loglik_inverse_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The likelihood when P counts the other allele."""
+    g, p, q = start(spark, sf_dir)
+    other = p.select("variant_id", F.transform("p", lambda x: 1 - x).alias("p"))
+    return model.log_likelihood_by_variant(g, other, q).agg(F.round(F.sum("loglik"), 2).alias("loglik"))
 
 
 @query
@@ -256,20 +261,21 @@ def cluster_cost_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def run_pair_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = compare.pair_measures(compare.run_pairs(long_runs(spark, sf_dir)), ["run1", "run2"])
+    m = compare.pair_measures(compare.aligned_pairs(long_runs(spark, sf_dir)), ["run1", "run2"])
     return m.select("run1", "run2", *(r6(c).alias(c) for c in ("rmse", "jsd", "frobenius", "cost")))
 
 
 @query
 def rmse_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Error and divergence of an estimate against the truth."""
-    p = compare.paired(long_form(views.q_true(spark, sf_dir)), long_form(views.q_est(spark, sf_dir)), ["sample_id", "k"])
+    """Error and divergence of an estimate, whose columns are in an order of their own, against the truth."""
+    two = long_form(views.q_true(spark, sf_dir)).withColumn("run_id", F.lit(0)).unionByName(long_form(views.q_est(spark, sf_dir, 0, 3)).withColumn("run_id", F.lit(1)))
+    p = compare.aligned_pairs(two)
     return compare.pair_measures(p, []).select(r6("rmse").alias("rmse"), r6("jsd").alias("jsd"))
 
 
 @query
 def corr_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = compare.correlations(compare.run_pairs(long_runs(spark, sf_dir)), ["run1", "run2"])
+    c = compare.correlations(compare.aligned_pairs(long_runs(spark, sf_dir)), ["run1", "run2"])
     return c.withColumn("correlation", r6("correlation"))
 
 
@@ -288,13 +294,43 @@ def merge_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def representative_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    costs = compare.pair_measures(compare.run_pairs(long_runs(spark, sf_dir)), ["run1", "run2"])
+    costs = compare.pair_measures(compare.aligned_pairs(long_runs(spark, sf_dir)), ["run1", "run2"])
     return compare.representative(costs).withColumn("total", r6("total"))
 
 
 @query
 def mode_mean_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare.mode_mean(long_runs(spark, sf_dir)).withColumn("q", r6("q"))
+    """Mean of the runs, their columns in the first one's order."""
+    return compare.mode_mean(compare.aligned_to(long_runs(spark, sf_dir), 0)).withColumn("q", r6("q"))
+
+
+@query
+def membership_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the vectors that are no memberships, and why."""
+    e = views.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample_id"), F.col("embedding").cast("array<double>").alias("q"))
+    return compare.membership_problems(e).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def inverse_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of run 0 that those of the others go with, both ways."""
+    m = compare.column_map(align.run_distances(long_runs(spark, sf_dir)), long_runs(spark, sf_dir)).where("run1 = 0")
+    back = compare.inverted(m.where("run2 = 1").select("k", F.col("k2").alias("target")))
+    return m.select("run2", "k", "k2").unionByName(back.select(F.lit(-1).alias("run2"), "k", F.col("target").alias("k2")))
+
+
+@query
+def runs_by_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many runs have each number of clusters, and their first."""
+    size = long_runs(spark, sf_dir).groupBy("run_id").agg((F.max("k") + 1).alias("n_clusters"))
+    return size.groupBy("n_clusters").agg(F.count(F.lit(1)).alias("runs"), F.min("run_id").alias("first_run"))
+
+
+@query
+def cv_folds_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folds of equal size."""
+    g = views.dense(spark, sf_dir)
+    return folds.shuffled_folds(g, views.table(spark, sf_dir, "embeddings").count()).select("sample_id", "variant_id", "fold")
 
 
 @query
@@ -318,6 +354,38 @@ def sample_sort_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.sample_order(rounded_q(spark, sf_dir), views.labelled(spark, sf_dir)).select("sample_id", "pos")
 
 
+@query
+def sample_order_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.order_by_levels(rounded_q(spark, sf_dir))
+
+
+@query
+def sample_order_two_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers by region and nation."""
+    q = views.samples(spark, sf_dir).select("sample_id", F.array(F.lit(1.0)).alias("q"))
+    return layout.order_by_levels(q, views.samples(spark, sf_dir), ["label1", "label2"])
+
+
+@query
+def group_tick_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Middles and ends of the labels' parts of the bars."""
+    return layout.group_ticks(layout.sample_order(rounded_q(spark, sf_dir), views.labelled(spark, sf_dir)))
+
+
+@query
+def order_in_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.order_within_groups(rounded_q(spark, sf_dir), views.labelled(spark, sf_dir), K)
+
+
+@query
+def combined_sweep_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of two numbers of clusters in one order of the samples."""
+    q = long_form(views.q_est(spark, sf_dir))
+    mapping = spark.range(K).select(F.col("id").cast("int").alias("k"), F.floor(F.col("id") / 2).cast("int").alias("target"))
+    b = layout.combined_bars([(K // 2, compare.merged(q, mapping)), (K, q)], layout.order_by_levels(rounded_q(spark, sf_dir)))
+    return b.select("k_total", "pos", "k", F.abs(r6("low")).alias("low"), r6("high").alias("high"))
+
+
 @query
 def label_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of equal labels in the samples' own order."""
@@ -372,8 +440,16 @@ def q_est_sql(name: str, run: int, rotate: int) -> str:
 
 
 RUNS = ", ".join([KS, *(q_est_sql(f"q{r}", r, r) for r in range(4))]) + ", runs AS (" + " UNION ALL ".join(f"SELECT {r} AS run_id, * FROM q{r}" for r in range(4)) + ")"
-RUN_PAIRS = RUNS + """, pairs AS (
-  SELECT a.run_id AS run1, b.run_id AS run2, a.sample_id, a.k, a.q AS a, b.q AS b FROM runs a JOIN runs b ON a.sample_id = b.sample_id AND a.k = b.k AND a.run_id < b.run_id)"""
+def matched_sql(runs: str) -> str:
+    """Values of every two runs, each column of the first with the nearest one of the second."""
+    return f"""near AS (
+  SELECT a.run_id AS run1, b.run_id AS run2, a.k AS k, b.k AS k2, avg(pow(a.q - b.q, 2)) AS d FROM {runs} a JOIN {runs} b ON a.sample_id = b.sample_id AND a.run_id < b.run_id GROUP BY ALL),
+ cols AS (SELECT run1, run2, k, arg_min(k2, d) AS k2 FROM near GROUP BY ALL),
+ pairs AS (
+  SELECT run1, run2, a.sample_id, a.k, a.q AS a, b.q AS b FROM cols JOIN {runs} a ON a.run_id = run1 AND a.k = cols.k JOIN {runs} b ON b.run_id = run2 AND b.k = cols.k2 AND a.sample_id = b.sample_id)"""
+
+
+RUN_PAIRS = RUNS + ", " + matched_sql("runs")
 CLIP = f"greatest({EPS}::DOUBLE, least((1 - {EPS})::DOUBLE, %s))"
 OBSERVED = "count(*) FILTER (g <> 3)"
 FREQ = f"coalesce(sum(g) FILTER (g <> 3) / nullif(2 * {OBSERVED}, 0)::DOUBLE, 0)"
@@ -424,7 +500,7 @@ ORACLES: dict[str, str] = {
     "pack_2bit": f"WITH {DENSE} SELECT sample_id, (variant_id // 4)::BIGINT AS block, sum(g * (1 << (2 * (variant_id % 4))))::INT AS byte FROM dense GROUP BY ALL",
     "unpack_2bit_roundtrip": f"WITH {DENSE} SELECT sample_id, g, count(*) AS n FROM dense GROUP BY ALL",
     "centered_moments": f"WITH {DENSE}, f AS (SELECT variant_id, {FREQ} AS f FROM dense GROUP BY 1), x AS (SELECT variant_id, CASE WHEN g <> 3 THEN g - 2 * f ELSE 0 END AS x FROM dense JOIN f USING (variant_id)) SELECT variant_id, abs(round(avg(x), 6)) AS mean, round(sum(x * x), 6) AS sum_squares FROM x GROUP BY 1",
-    "gram_by_variant": f"WITH {DENSE}, f AS (SELECT variant_id, {FREQ} AS f FROM dense GROUP BY 1), x AS (SELECT sample_id, variant_id, CASE WHEN g <> 3 THEN g - 2 * f ELSE 0 END AS x FROM dense JOIN f USING (variant_id)) SELECT a.variant_id AS i, b.variant_id AS j, round(sum(a.x * b.x), 2) AS xx FROM x a JOIN x b ON a.sample_id = b.sample_id AND a.variant_id <= b.variant_id GROUP BY ALL",
+    "gram_by_variant": f"WITH {DENSE}, f AS (SELECT variant_id, {FREQ} AS f FROM dense GROUP BY 1), s AS (SELECT a.variant_id AS i, b.variant_id AS j, count(*) AS n, sum(a.g)::BIGINT AS ga, sum(b.g)::BIGINT AS gb, sum(a.g * b.g)::BIGINT AS gg FROM dense a JOIN dense b ON a.sample_id = b.sample_id AND a.variant_id <= b.variant_id AND a.g <> 3 AND b.g <> 3 GROUP BY ALL) SELECT i, j, round(gg - 2 * fj.f * ga - 2 * fi.f * gb + 4 * fi.f * fj.f * n, 2) AS xx FROM s JOIN f fi ON fi.variant_id = i JOIN f fj ON fj.variant_id = j",
     "pop_freq": f"WITH {DENSE}, {POP} SELECT variant_id, k, round(p, 6) AS p FROM p0",
     "first_seen_labels": f"WITH {SAMPLES}, f AS (SELECT label1 AS label, min(sample_id) AS first_sample FROM samples GROUP BY 1) SELECT *, row_number() OVER (ORDER BY first_sample)::INT AS y FROM f",
     "supervised_q_init": f"WITH {KS} SELECT vec_id AS sample_id, k, round(CASE WHEN label >= 7 THEN 1.0::DOUBLE / {K} WHEN k = label THEN 1 - {EPS}::DOUBLE ELSE {EPS}::DOUBLE / {K - 1} END, 6) AS q FROM embeddings, ks",
@@ -435,9 +511,9 @@ ORACLES: dict[str, str] = {
     "em_two_steps": f"{START}, {em_sql(0)}, {em_sql(1)} SELECT sample_id, k, round(q, 6) AS q FROM q2",
     "adam_step_q": f"{START}, {em_sql(0)}, d AS (SELECT sample_id, k, q0.q, q1.q - q0.q AS d FROM q0 JOIN q1 USING (sample_id, k)), c AS (SELECT sample_id, k, {CLIP % 'q + 0.005::DOUBLE * d / (sqrt(d * d) + 1e-8::DOUBLE)'} AS c FROM d) SELECT sample_id, k, round(c / sum(c) OVER (PARTITION BY sample_id), 6) AS q FROM c",
     "grad_q": f"{NEWTON} SELECT sample_id, k, round(sum(u * p + w * (1 - p)), 3) AS grad FROM h JOIN p0 USING (variant_id) GROUP BY ALL",
-    "hess_q": f"{NEWTON}, s AS (SELECT variant_id, sum(p) AS s, sum(1 - p) AS z, sum(p * p) AS s2, sum((1 - p) * (1 - p)) AS z2 FROM p0 GROUP BY 1) SELECT sample_id, round(sum(u / r * s2 + w / (1 - r) * z2), 1) AS trace, round(sum(u / r * s * s + w / (1 - r) * z * z), 1) AS total FROM h JOIN s USING (variant_id) GROUP BY 1",
+    "hess_q": f"{NEWTON} SELECT sample_id, a.k AS i, b.k AS j, round(sum(u / r * a.p * b.p + w / (1 - r) * (1 - a.p) * (1 - b.p)), 1) AS value FROM h JOIN p0 a USING (variant_id) JOIN p0 b USING (variant_id) GROUP BY ALL",
     "grad_p": f"{NEWTON} SELECT variant_id, k, round(sum((u - w) * q), 3) AS grad FROM h JOIN q0 USING (sample_id) GROUP BY ALL",
-    "hess_p": f"{NEWTON}, s AS (SELECT sample_id, sum(q) AS s FROM q0 GROUP BY 1) SELECT variant_id, round(sum((u / r + w / (1 - r)) * s * s), 1) AS total FROM h JOIN s USING (sample_id) GROUP BY 1",
+    "hess_p": f"{NEWTON} SELECT variant_id, a.k AS i, b.k AS j, round(sum((u / r + w / (1 - r)) * a.q * b.q), 1) AS value FROM h JOIN q0 a USING (sample_id) JOIN q0 b USING (sample_id) GROUP BY ALL",
     "clip_p": f"WITH {TEN} SELECT sample_id, k, round({CLIP % 'x'}, 6) AS p FROM ten",
     "normalize_q": f"WITH {TEN}, c AS (SELECT sample_id, k, {CLIP % 'x'} AS c FROM rows) SELECT sample_id, k, round(c / sum(c) OVER (PARTITION BY sample_id), 6) AS q FROM c",
     "simplex_projection_q": f"""WITH {TEN}, b AS (SELECT sample_id, k, x - {EPS}::DOUBLE AS b, row_number() OVER (PARTITION BY sample_id ORDER BY x DESC) AS i FROM rows),
@@ -452,12 +528,12 @@ ORACLES: dict[str, str] = {
  SELECT round(sum(CASE WHEN g > 0 THEN g * ln(g / mu) ELSE 0 END + CASE WHEN g < 2 THEN (2 - g) * ln((2 - g) / (2 - mu)) ELSE 0 END) / count(*), 6) AS cv_index, count(*) AS n FROM r""",
     "cluster_cost_matrix": f"WITH {RUNS} SELECT a.k AS k1, b.k AS k2, round(avg(pow(a.q - b.q, 2)), 6) AS cost FROM q0 a JOIN q1 b USING (sample_id) GROUP BY ALL",
     "run_pair_cost": f"WITH {RUN_PAIRS}, m AS (SELECT run1, run2, {MEASURES} FROM pairs GROUP BY 1, 2) SELECT run1, run2, round(rmse, 6) AS rmse, round(jsd, 6) AS jsd, round(frobenius, 6) AS frobenius, round(cost, 6) AS cost FROM m",
-    "rmse_runs": f"WITH {QTRUE}, {q_est_sql('q0', 0, 0)}, p AS (SELECT sample_id, k, qtrue.q AS a, q0.q AS b FROM qtrue JOIN q0 USING (sample_id, k)), m AS (SELECT {MEASURES} FROM p) SELECT round(rmse, 6) AS rmse, round(jsd, 6) AS jsd FROM m",
+    "rmse_runs": f"WITH {QTRUE}, {q_est_sql('q0', 0, 3)}, two AS (SELECT 0 AS run_id, * FROM qtrue UNION ALL SELECT 1, * FROM q0), {matched_sql('two')}, m AS (SELECT {MEASURES} FROM pairs) SELECT round(rmse, 6) AS rmse, round(jsd, 6) AS jsd FROM m",
     "corr_runs": f"WITH {RUN_PAIRS}, c AS (SELECT run1, run2, k, corr(a, b) AS r FROM pairs GROUP BY ALL) SELECT run1, run2, round(avg(r), 6) AS correlation FROM c GROUP BY ALL",
     "stability_summary": f"WITH {RUN_PAIRS}, c AS (SELECT run1, run2, k, corr(a, b) AS r FROM pairs GROUP BY ALL), d AS (SELECT run1, run2, avg(r) AS r FROM c GROUP BY ALL), m AS (SELECT run1, run2, {MEASURES} FROM pairs GROUP BY 1, 2) SELECT round(avg(r), 6) AS corr_mean, round(stddev_pop(r), 6) AS corr_std, round(avg(frobenius), 6) AS frob_mean, round(stddev_pop(frobenius), 6) AS frob_std FROM d JOIN m USING (run1, run2)",
     "merge_clusters": f"WITH {KS}, {q_est_sql('q0', 0, 0)} SELECT sample_id, k // 2 AS k, round(sum(q), 6) AS q FROM q0 GROUP BY ALL",
     "representative_run": f"WITH {RUN_PAIRS}, m AS (SELECT run1, run2, {MEASURES} FROM pairs GROUP BY 1, 2), b AS (SELECT run1 AS run_id, cost FROM m UNION ALL SELECT run2, cost FROM m), t AS (SELECT run_id, sum(cost) AS total FROM b GROUP BY 1) SELECT run_id, round(total, 6) AS total FROM t ORDER BY round(t.total, 12), run_id LIMIT 1",
-    "mode_mean_q": f"WITH {RUNS} SELECT sample_id, k, round(avg(q), 6) AS q FROM runs GROUP BY ALL",
+    "mode_mean_q": f"WITH {RUN_PAIRS}, a AS (SELECT sample_id, k, q FROM runs WHERE run_id = 0 UNION ALL SELECT sample_id, k, b FROM pairs WHERE run1 = 0) SELECT sample_id, k, round(avg(q), 6) AS q FROM a GROUP BY ALL",
     "community_rank": "WITH s AS (SELECT c_nationkey AS community, count(*) AS size, min(c_custkey) AS first_run FROM customer GROUP BY 1) SELECT *, row_number() OVER (ORDER BY size DESC, first_run)::INT AS rank FROM s",
     "dominant_cluster": f"WITH {KS}, {q_est_sql('q0', 0, 0)}, m AS (SELECT sample_id, max(q) AS share FROM q0 GROUP BY 1) SELECT sample_id, min(k) AS cluster, round(any_value(share), 6) AS share FROM q0 JOIN m USING (sample_id) WHERE q = share GROUP BY 1",
     "sample_sort_order": f"WITH {KS}, {q_est_sql('q0', 0, 0)}, m AS (SELECT sample_id, max(round(q, 9)) AS share FROM q0 GROUP BY 1), d AS (SELECT sample_id, min(k) AS cluster, any_value(share) AS share FROM q0 JOIN m USING (sample_id) WHERE round(q, 9) = share GROUP BY 1) SELECT sample_id, row_number() OVER (ORDER BY label, cluster, share, sample_id) - 1 AS pos FROM d JOIN embeddings ON vec_id = sample_id",
@@ -466,4 +542,14 @@ ORACLES: dict[str, str] = {
     "label_hierarchy_conflicts": "SELECT c_mktsegment AS child, count(DISTINCT c_nationkey) AS parents FROM customer GROUP BY 1 HAVING count(DISTINCT c_nationkey) > 1",
     "label_contiguity": f"WITH {SAMPLES} SELECT label1 AS label, count(*) AS n, max(sample_id) - min(sample_id) + 1 = count(*) AS contiguous FROM samples GROUP BY 1",
     "group_cluster_order": f"WITH {KS}, {q_est_sql('q0', 0, 0)}, t AS (SELECT label, k, round(sum(q), 9) AS total FROM q0 JOIN embeddings ON vec_id = sample_id GROUP BY ALL) SELECT label, k, round(t.total, 6) AS total, row_number() OVER (PARTITION BY label ORDER BY t.total DESC, k)::INT AS place FROM t",
+    "loglik_inverse_p": f"{START}, pi AS (SELECT variant_id, k, 1 - p AS p FROM p0), r0 AS (SELECT o.sample_id, o.variant_id, o.g, sum(p * q) AS r FROM dense o JOIN q0 USING (sample_id) JOIN pi USING (variant_id, k) WHERE g <> 3 GROUP BY ALL) SELECT round(sum(g * ln(r) + (2 - g) * ln(1 - r)), 2) AS loglik FROM r0",
+    "membership_check": "WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings), p AS (SELECT vec_id, CASE WHEN min(x) < 0 OR max(x) > 1 THEN 'range' WHEN abs(sum(x) - 1) > 1e-6 THEN 'sum' END AS problem FROM x GROUP BY 1) SELECT problem, count(*) AS n FROM p WHERE problem IS NOT NULL GROUP BY 1",
+    "inverse_mapping": f"WITH {RUN_PAIRS} SELECT run2, k, k2 FROM cols WHERE run1 = 0 UNION ALL SELECT -1, k2, k FROM cols WHERE run1 = 0 AND run2 = 1",
+    "runs_by_k": f"WITH {RUNS}, s AS (SELECT run_id, max(k) + 1 AS n_clusters FROM runs GROUP BY 1) SELECT n_clusters, count(*) AS runs, min(run_id) AS first_run FROM s GROUP BY 1",
+    "cv_folds_shuffled": f"WITH {FOLDS}, r AS (SELECT sample_id, variant_id, row_number() OVER (ORDER BY xor(x, x >> 31), variant_id, sample_id) - 1 AS place FROM h2) SELECT sample_id, variant_id, (place % 5)::INT AS fold FROM r",
+    "sample_order_unlabelled": f"WITH {KS}, {q_est_sql('q0', 0, 0)}, m AS (SELECT sample_id, max(round(q, 9)) AS share FROM q0 GROUP BY 1), d AS (SELECT sample_id, min(k) AS cluster, any_value(share) AS share FROM q0 JOIN m USING (sample_id) WHERE round(q, 9) = share GROUP BY 1) SELECT sample_id, row_number() OVER (ORDER BY cluster, share, sample_id) - 1 AS pos FROM d",
+    "sample_order_two_levels": f"WITH {SAMPLES} SELECT sample_id, row_number() OVER (ORDER BY label2, label1, sample_id) - 1 AS pos FROM samples",
+    "group_tick_positions": "WITH p AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS pos FROM embeddings) SELECT label, avg(pos) + 0.5 AS tick, max(pos)::DOUBLE + 0.5 AS boundary FROM p GROUP BY 1",
+    "order_in_groups": f"WITH {KS}, {q_est_sql('q0', 0, 0)}, r AS (SELECT sample_id, label, k, round(q, 9) AS q FROM q0 JOIN embeddings ON vec_id = sample_id), t AS (SELECT label, k, round(sum(q), 9) AS total FROM r GROUP BY ALL), l AS (SELECT r.sample_id, r.label, list(-q ORDER BY t.total DESC, r.k) AS shares FROM r JOIN t ON t.label = r.label AND t.k = r.k GROUP BY ALL) SELECT sample_id, label, (row_number() OVER (PARTITION BY label ORDER BY shares, sample_id) - 1)::INT AS place FROM l",
+    "combined_sweep_bars": f"WITH {KS}, {q_est_sql('q0', 0, 0)}, m AS (SELECT sample_id, max(round(q, 9)) AS share FROM q0 GROUP BY 1), d AS (SELECT sample_id, min(k) AS cluster, any_value(share) AS share FROM q0 JOIN m USING (sample_id) WHERE round(q, 9) = share GROUP BY 1), o AS (SELECT sample_id, row_number() OVER (ORDER BY cluster, share, sample_id) - 1 AS pos FROM d), a AS (SELECT {K} AS k_total, sample_id, k, q FROM q0 UNION ALL SELECT {K // 2}, sample_id, k // 2, sum(q) FROM q0 GROUP BY ALL), h AS (SELECT k_total, pos, k, q, sum(q) OVER (PARTITION BY k_total, pos ORDER BY k) AS high FROM a JOIN o USING (sample_id)) SELECT k_total, pos, k, abs(round(high - q, 6)) AS low, round(high, 6) AS high FROM h",
 }
