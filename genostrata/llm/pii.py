@@ -52,6 +52,9 @@ SCRIPTS = {
 #: Attempts after which the space of a form counts as full. Addresses grow by a letter every four attempts.
 MOST_ATTEMPTS = 100
 
+#: How telephone country codes begin, and so how many digits they have.
+COUNTRY = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{1,3})"
+
 NAME = r"\p{Lu}[\p{L}'’-]+"
 #: What stands before any entity. Tried first, it fails at once within words.
 EDGE, STOP = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
@@ -60,6 +63,7 @@ NAMED = "|".join(n for x in MALE_NAMES + FEMALE_NAMES for n in (x, x.upper()))
 PATTERNS = (
     ("email", r"[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}" + STOP),
     ("ip", r"(?<!\.)(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\p{L}\p{N}]|\.[0-9])"),
+    ("ip6", r"(?<!:)(?=[0-9A-Fa-f:]*[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|[0-9A-Fa-f]{2,4}(?::[0-9A-Fa-f]{1,4}){0,5}::(?:[0-9A-Fa-f]{1,4}:){0,5}[0-9A-Fa-f]{1,4})(?![\p{L}\p{N}:])"),
     ("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + STOP),
     ("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?!-?[0-9\p{L}])"),
     ("card", r"(?:[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{13,19})" + STOP),
@@ -119,6 +123,11 @@ def remade(x: Column, h: Column, scripts: bool = False) -> Column:
     return F.array_join(F.transform(letters(x), one), "")
 
 
+def hexed(x: Column, h: Column) -> Column:
+    """x with each hexadecimal digit replaced by a drawn one, a group's first by one that isn't 0."""
+    return F.array_join(F.transform(letters(x), lambda c, i: F.when(c == ":", c).otherwise(F.lower(F.hex(drawn(h, i, 15) + 1)))), "")
+
+
 def mod97(x: Column) -> Column:
     """Check sum of a bank account number whose first four places were moved to its end: 1 if valid."""
 
@@ -188,7 +197,8 @@ def of_kind(h: Column, kind: Column, unit: Column, attempt: Column) -> Column:
     return (
         F.when(kind == "email", let(tail, email))
         .when(kind == "card", let(body, card))
-        .when(kind == "phone", F.when(unit.startswith("+"), F.concat(F.substr(unit, F.lit(1), F.lit(2)), remade(F.substr(unit, F.lit(3)), h))).otherwise(remade(unit, h)))
+        .when(kind == "phone", let(F.regexp_extract(unit, COUNTRY, 0), lambda code: F.concat(code, remade(F.substr(unit, F.length(code) + 1), h))))
+        .when(kind == "ip6", hexed(unit, h))
         .when(kind == "iban", let(remade(F.substr(unit, F.lit(5)), h), iban))
         .when(kind == "ip", F.concat_ws(".", *octet))
         .when(kind == "ssn", remade(unit, h))
@@ -215,7 +225,7 @@ def units_of(kind: Column, value: Column) -> Column:
         return F.struct(k.alias("kind"), u.alias("unit"), shown.alias("shown"))
 
     person = F.transform(names, lambda x, i: part(F.when(i == F.size(names) - 1, "family").otherwise(gender), F.lower(x), x))
-    unit = F.when(kind == "email", F.lower(value)).when(kind == "ip", value).otherwise(number)
+    unit = F.when(kind.isin("email", "ip6"), F.lower(value)).when(kind == "ip", value).otherwise(number)
     return F.when(kind == "person", person).otherwise(F.array(part(kind, unit, value)))
 
 
@@ -254,7 +264,7 @@ def found(text: Column) -> Column:
 
 def unit_table(docs: DataFrame, text: str = "text") -> DataFrame:
     """All distinct (kind, unit) of the texts."""
-    values = docs.select(F.explode(found(F.col(text))).alias("value")).distinct()
+    values = docs.select(F.explode(found(F.col(f"`{text}`"))).alias("value")).distinct()
     return values.select(F.explode(units(F.col("value"))).alias("p")).select("p.kind", "p.unit").distinct()
 
 
@@ -280,15 +290,17 @@ def attempts(known: DataFrame, key: str) -> DataFrame:
 
 def replace(docs: DataFrame, key: str, text: str = "text", into: str = "text", count: str = "n_entities") -> DataFrame:
     """docs with surrogates in the place of all entities of each whole text, and their number."""
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (into, count)]
+    names = [c for c in docs.columns if c not in (into, count)]
     known = durable(unit_table(docs, text))
     moved = durable(attempts(known, key).where("attempt > 0").select("kind", "unit", "attempt"))
-    source = docs.select(*kept, F.col(f"`{text}`").alias("_text"), found(F.col(f"`{text}`")).alias("_found"))
+    # the rows travel in one column, whatever their columns are named
+    whole = F.col(f"`{text}`")
+    source = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), whole.alias("_text"), found(whole).alias("_found")) if names else docs.select(whole.alias("_text"), found(whole).alias("_found"))
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))
     n = moved.limit(BROADCAST_ROWS + 1).count()
     if n:
         few = n <= BROADCAST_ROWS
-        texts = docs.select(F.xxhash64(text).alias("_hash"), F.explode(found(F.col(text))).alias("value")).select("_hash", F.explode(units(F.col("value"))).alias("p")).select("_hash", "p.kind", "p.unit").distinct()
+        texts = docs.select(F.xxhash64(whole).alias("_hash"), F.explode(found(whole)).alias("value")).select("_hash", F.explode(units(F.col("value"))).alias("p")).select("_hash", "p.kind", "p.unit").distinct()
         maps = texts.join(F.broadcast(moved) if few else moved, ["kind", "unit"]).groupBy("_hash").agg(
             F.map_from_entries(F.collect_set(F.struct(F.concat_ws("\u0001", "kind", "unit"), "attempt"))).alias("_attempts")
         )
@@ -298,5 +310,7 @@ def replace(docs: DataFrame, key: str, text: str = "text", into: str = "text", c
     pieces = F.split("_text", ENTITY, -1)
     made = F.transform("_found", lambda v: rendered(key, v, F.col("_attempts")))
     joined = F.array_join(F.zip_with(pieces, F.concat(made, F.array(F.lit(""))), lambda p, m: F.concat(p, m)), "")
-    names = [c for c in docs.columns if c not in (into, count)]
-    return source.select(*(F.col(f"`{c}`") for c in names), F.when(F.size("_found") > 0, joined).otherwise(F.col("_text")).alias(into), F.coalesce(F.size("_found"), F.lit(0)).cast("long").alias(count))
+    row = [F.col("_row")] if names else []
+    # two steps: in one select, an alias could stand in for the column of its name within lambdas
+    out = source.select(*row, F.when(F.size("_found") > 0, joined).otherwise(F.col("_text")).alias("_made"), F.coalesce(F.size("_found"), F.lit(0)).cast("long").alias("_n"))
+    return out.select(*(F.col(f"_row.`{c}`") for c in names), F.col("_made").alias(into), F.col("_n").alias(count))

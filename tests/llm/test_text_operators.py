@@ -378,3 +378,31 @@ def test_pii_collisions(spark):
     rows = [(i, f"{a}@{b}.example.com") for i, (a, b) in enumerate((f"{x}", f"{y}") for x in range(10) for y in range(10))]
     got = [r["text"] for r in pii.replace(spark.createDataFrame(rows[:25], "doc_id long, text string"), "k").collect()]
     assert len(set(got)) == 25 and not {t for _, t in rows[:25]} & set(got)
+
+
+def test_pii_country_codes_ip6_and_clashing_names(spark):
+    texts = ["+44 20 7946 0958", "+49 30 123 4567", "+1 202 555 0143", "+420 212 345 678", "at 2001:db8::ff00:42:8329 now", "1:2:3:4:5:6:7:8 12:30:45 std::string a::b", "no one"]
+    rows = [(i, t, "x", "y", 1, 2, 3) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _text string, _found string, _attempts int, _hash int, _row int")
+    out = pii.replace(df, "k").orderBy("doc_id").collect()
+    got = [r["text"] for r in out]
+    assert [g.split()[0] for g in got[:4]] == ["+44", "+49", "+1", "+420"] and all(a != b and re.sub(r"\d", "0", a) == re.sub(r"\d", "0", b) for a, b in zip(texts[:4], got))
+    assert re.fullmatch(r"at [0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f]{4}:[0-9a-f]{2}:[0-9a-f]{4} now", got[4]) and "8329" not in got[4]
+    assert got[5].endswith(" 12:30:45 std::string a::b") and not got[5].startswith("1:2:3:4:5") and got[6] == "no one"
+    assert all((r["_text"], r["_found"], r["_attempts"], r["_hash"], r["_row"]) == ("x", "y", 1, 2, 3) for r in out)
+
+
+def test_pii_distinctness_and_coreference_by_brute_force(spark):
+    """Over many texts: equal units always have equal surrogates, unlike ones never."""
+    rng = random.Random(7)
+    phones = [f"{rng.randint(100, 999)}-{rng.randint(100, 999)}-{rng.randint(1000, 9999)}" for _ in range(60)]
+    mails = [f"{a}{b}@mail.example.com" for a in "abcdef" for b in range(8)]
+    kinds = [phones, mails, [f"10.{i}.0.{i + 1}" for i in range(40)]]
+    rows = [(i, "call {} or {} via {} ok".format(*(rng.choice(k) for k in kinds))) for i in range(300)]
+    got = {r["doc_id"]: r["text"] for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    seen = {}
+    for i, text in rows:
+        for a, b in zip(text.split(), got[i].split()):
+            assert seen.setdefault(a, b) == b
+    changed = {a: b for a, b in seen.items() if a not in ("call", "or", "via", "ok")}
+    assert len(set(changed.values())) == len(changed) and not set(changed) & set(changed.values())
