@@ -119,27 +119,11 @@ def to_simplex(b: np.ndarray) -> np.ndarray:
 
 
 def bounded_least_squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each row of b, the x in [0, 1] that is least in x'Ax/2 - b'x: solved freely for all rows
-    at once, and by block pivoting for those that leave the box."""
-    k = len(a)
+    """For each row of b, the x in [0, 1] that is least in x'Ax/2 - b'x: the free solution where it
+    lies in the box, else the box's own problem from its nearest point."""
     x = np.linalg.lstsq(a, b.T, rcond=None)[0].T
-    bad = np.flatnonzero(((x < -1e-8) | (x > 1 + 1e-8)).any(1))
-    if not len(bad):
-        return x
-    low, high = x[bad] < 0, x[bad] > 1
-    eye = np.eye(k, dtype=bool)
-    for _ in range(49):
-        held = low | high
-        fixed = np.where(high, 1.0, 0.0)
-        m = np.where(held[:, :, None] | held[:, None, :], 0.0, a) + np.where(eye & held[:, None, :], 1.0, 0.0)
-        rhs = np.where(held, fixed, b[bad] - fixed @ a)
-        y = np.linalg.solve(m + 1e-12 * np.eye(k), rhs[:, :, None])[:, :, 0]
-        slope = y @ a - b[bad]
-        new_low = (low & (slope >= -1e-8)) | (~held & (y < -1e-8))
-        new_high = (high & (slope <= 1e-8)) | (~held & (y > 1 + 1e-8))
-        same = (new_low == low).all() and (new_high == high).all()
-        low, high = new_low, new_high
-        if same:
-            break
-    x[bad] = y
-    return np.clip(x, 0, 1)
+    out = np.flatnonzero(((x < 0) | (x > 1)).any(1))
+    if len(out):
+        x[out] = x[out].clip(0, 1)
+        x[out] = box_qp(np.tile(a.ravel(), (len(out), 1)), b[out] - x[out] @ a, x[out], simplex=False)
+    return x

@@ -1,10 +1,11 @@
 """Genotypes as blocks of variants, and passes over them for the iterative fits.
 
-A block row holds up to block_rows variants of all samples as bytes. Blocks are made by one shuffle
-of the long form and stay where they are. What a fit keeps for each variant (P, its moments, its
-histories) is a second table keyed by block, which is joined to the blocks in every pass: only that
-table moves, not the genotypes. Q is broadcast with the kernel, and sums of the size of Q are added
-within tasks, then by sample chunk across them. The driver holds Q and never P.
+A block row holds up to block_rows variants of all samples as bytes. Blocks are made from the long
+form, dealt by block once and cached as dealt, so they stay where they are. What a fit keeps for each
+variant (P, its moments, its histories) is a second table keyed by block, which is joined to the
+blocks in every pass: only that table moves, not the genotypes. Q is broadcast with the kernel. Sums
+of the size of Q are added within each task, over all its blocks, and leave it once, in chunks that
+are added across tasks. The driver holds Q and never P.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ from pyspark.sql import functions as F
 from ..functions.expr import MISSING
 
 CHUNK = 1 << 16
-#: Passes after which the state's lineage is cut in the shared checkpoint folder.
-CUT_EVERY = 6
+#: Passes after which the state's lineage is cut in the shared checkpoint folder, and passes whose
+#: cached results are kept; older ones, if still wanted, are computed again.
+CUT_EVERY, KEEP = 6, 8
 
 Kernel = Callable[[np.ndarray, np.ndarray, int], tuple[np.ndarray | None, list[np.ndarray]]]
 
@@ -43,6 +45,7 @@ class Blocks:
     n_variants: int
     n_samples: int
     passes: int = field(default=0)
+    cached: list[DataFrame] = field(default_factory=list)
 
     def run(self, kernel: Kernel, state: DataFrame | None, depth: int, width: int, shapes: list[tuple[int, ...]]) -> tuple[DataFrame, list[np.ndarray]]:
         """kernel(g, s, row0) gives a block's new state, or None to keep it, and arrays to be summed.
@@ -51,43 +54,41 @@ class Blocks:
         n = self.n_samples
 
         def one(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = None
             for p in parts:
                 for block, row0, raw, s in zip(p["block"], p["row0"], p["g"], p["s"]):
                     g = np.frombuffer(raw, np.uint8).reshape(-1, n)
                     old = None if s is None else np.frombuffer(s).reshape(depth, len(g), width)
                     new, sums = kernel(g, old, int(row0))
                     kept = s if new is None else np.ascontiguousarray(new, float).tobytes()
-                    flat = np.concatenate([np.asarray(x, float).ravel() for x in sums]) if sums else np.zeros(0)
-                    yield pd.DataFrame({"block": [block], "s": [kept], "sums": [flat.tobytes()]})
-
-        out = joined.select("block", "row0", "g", "s").mapInPandas(one, "block long, s binary, sums binary")
+                    if sums:
+                        flat = np.concatenate([np.asarray(x, float).ravel() for x in sums])
+                        total = flat if total is None else np.add(total, flat, out=total)
+                    yield pd.DataFrame({"block": [block], "s": [kept], "at": [-1], "x": [None]})
+            for at in range(0, 0 if total is None else len(total), CHUNK):
+                yield pd.DataFrame({"block": [-1], "s": [None], "at": [at], "x": [total[at : at + CHUNK].tobytes()]})
+
+        out = joined.select("block", "row0", "g", "s").mapInPandas(one, "block long, s binary, at long, x binary")
         self.passes += 1
-        out = cut(out) if self.passes % CUT_EVERY == 0 else out.persist(StorageLevel.MEMORY_AND_DISK)
-        return out.select("block", "s"), self.added(out.select("sums"), shapes)
+        if self.passes % CUT_EVERY == 0:
+            out = cut(out)
+        else:
+            out = out.persist(StorageLevel.MEMORY_AND_DISK)
+            self.cached.append(out)
+        sums = self.added(out.where("at >= 0").select("at", "x"), shapes)
+        while len(self.cached) > KEEP:
+            self.cached.pop(0).unpersist()
+        return out.where("block >= 0").select("block", "s"), sums
 
     def added(self, sums: DataFrame, shapes: list[tuple[int, ...]]) -> list[np.ndarray]:
         sizes = [int(np.prod(s)) for s in shapes]
-        size = sum(sizes)
-        if not size:
-            _ = sums.count()
-            return []
-
-        def within(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = None
-            for p in parts:
-                for x in p["sums"]:
-                    x = np.frombuffer(x)
-                    total = x.copy() if total is None else total + x
-            if total is not None:
-                at = range(0, len(total), CHUNK)
-                yield pd.DataFrame({"at": list(at), "x": [total[i : i + CHUNK].tobytes() for i in at]})
+        out = np.zeros(sum(sizes))
 
         def across(p: pd.DataFrame) -> pd.DataFrame:
             # added in the order of their bytes, so that the order of arrival has no say
             return pd.DataFrame({"at": [p["at"].iloc[0]], "x": [np.sum([np.frombuffer(x) for x in sorted(p["x"])], axis=0).tobytes()]})
 
-        out = np.zeros(size)
-        for r in sums.mapInPandas(within, "at long, x binary").groupBy("at").applyInPandas(across, "at long, x binary").toLocalIterator():
+        for r in sums.groupBy("at").applyInPandas(across, "at long, x binary").toLocalIterator():
             part = np.frombuffer(r["x"])
             out[r["at"] : r["at"] + len(part)] = part
         ends = np.cumsum([0, *sizes])
@@ -127,7 +128,8 @@ def to_blocks(geno: DataFrame, n_variants: int, n_samples: int, block_rows: int
         g[p["r"].to_numpy(), p["c"].to_numpy()] = p["g"].to_numpy()
         return pd.DataFrame({"block": [p["block"].iloc[0]], "row0": [row0], "g": [g.tobytes()]})
 
-    frame = keyed.groupBy("block").applyInPandas(pack, "block long, row0 long, g binary").persist(StorageLevel.MEMORY_AND_DISK)
+    parts = int(geno.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    frame = keyed.groupBy("block").applyInPandas(pack, "block long, row0 long, g binary").repartition(parts, "block").persist(StorageLevel.MEMORY_AND_DISK)
     return Blocks(frame, n_variants, n_samples)
 
 
