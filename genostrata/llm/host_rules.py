@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable, small_or_shuffled
+from .common import durable, in_batches, small_or_shuffled, with_text
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MIN_WORDS = 50
@@ -66,15 +66,15 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs, its text left out, with MEASURES."""
     kept = [c for c in docs.columns if c != text and c not in MEASURES]
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(m, T.LongType(), False) for m in MEASURES])
-    source = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`").alias("__text"))
+    source, place = with_text(docs, kept, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [measure(x.as_py()) for x in batch.column(batch.num_columns - 1)]
+            got = [measure(x.as_py()) for x in batch.column(place)]
             new = [pa.array(x, pa.int64()) for x in zip(*got)] or [pa.array([], pa.int64())] * len(MEASURES)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=[*kept, *MEASURES])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *new], names=[*kept, *MEASURES])
 
-    return source.mapInArrow(run, schema)
+    return in_batches(source, run, schema)
 
 
 def rules() -> dict[str, Column]:
@@ -123,17 +123,16 @@ def verdicts(docs: DataFrame, host: str = "source", text: str = "text") -> DataF
     hosts only, by a shuffle that splits large hosts.
     """
     m = durable(measured(docs, text))
-    rates = host_rates(m.withColumnRenamed(host, "__host"), "__host")
+    rates = host_rates(m.select(F.col(f"`{host}`").alias("__host"), *MEASURES), "__host")
     bad = None
     for r, limit in LIMITS.items():
         c = F.col(f"p_{r}") > limit
         bad = c if bad is None else bad | c
     rejected = small_or_shuffled(rates.where(bad).select(F.col("__host"), F.lit(True).alias("__bad")))
     fails = rules()
-    base = fails["short"] | fails["repeats"]
-    return (
-        m.join(rejected, m[host] == rejected["__host"], "left")
-        .withColumn("base_failed", base)
-        .withColumn("kept", ~base & F.col("__bad").isNull())
-        .drop("__host", "__bad")
-    )
+    m = m.withColumn("base_failed", fails["short"] | fails["repeats"])
+    names = [c for c in m.columns if c != "kept"]
+    # the rows travel in one column, whatever their columns are named
+    rows = m.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), F.col(f"`{host}`").alias("_host"))
+    joined = rows.join(rejected, F.col("_host") == F.col("__host"), "left")
+    return joined.select(*(F.col(f"_row.`{c}`") for c in names), (~F.col("_row.base_failed") & F.col("__bad").isNull()).alias("kept"))

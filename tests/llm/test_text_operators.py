@@ -247,6 +247,8 @@ def test_host_verdicts(spark, docs, empty):
     assert got[1000]["kept"] and got[2000]["kept"] and not got[2001]["kept"]
     assert got[2003]["kept"]  # one failure of two is shrunk towards the rest
     assert host_rules.verdicts(docs.withColumn("n_words", F.lit("x"))).count() == docs.count()
+    clash = host_rules.verdicts(docs.withColumns({"__host": F.lit("h"), "__bad": F.lit("b"), "_row": F.lit("r"), "kept": F.lit("k")})).collect()
+    assert len(clash) == docs.count() and {(r["__host"], r["__bad"], r["_row"]) for r in clash} == {("h", "b", "r")}
     assert host_rules.verdicts(empty).collect() == []
 
 
