@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import MISSING
+from ..sources.records import unpacked
 
 CHUNK = 1 << 16
 #: Passes after which the state's lineage is cut in the shared checkpoint folder, and passes whose
@@ -133,6 +134,22 @@ def to_blocks(geno: DataFrame, n_variants: int, n_samples: int, block_rows: int
     return Blocks(frame, n_variants, n_samples)
 
 
+def packed_blocks(packed: DataFrame, n_variants: int, n_samples: int, block_rows: int = 512) -> Blocks:
+    """Blocks of packed rows (variant_id, n, bits) as read from files, which are never spread out into a
+    row for each genotype. Variants are dense indices from 0; one without a row is missing."""
+    keyed = packed.select(F.floor(F.col("variant_id") / block_rows).alias("block"), F.col("variant_id").cast("long").alias("v"), "bits")
+
+    def pack(p: pd.DataFrame) -> pd.DataFrame:
+        row0 = int(p["block"].iloc[0]) * block_rows
+        g = np.full((min(block_rows, n_variants - row0), n_samples), MISSING, np.uint8)
+        g[p["v"].to_numpy() - row0] = unpacked(b"".join(p["bits"]), n_samples)
+        return pd.DataFrame({"block": [p["block"].iloc[0]], "row0": [row0], "g": [g.tobytes()]})
+
+    parts = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    frame = keyed.groupBy("block").applyInPandas(pack, "block long, row0 long, g binary").repartition(parts, "block").persist(StorageLevel.MEMORY_AND_DISK)
+    return Blocks(frame, n_variants, n_samples)
+
+
 def q_rows(spark, q: np.ndarray) -> DataFrame:
     """Q as (sample_id, q)."""
     return spark.createDataFrame(pd.DataFrame({"sample_id": np.arange(len(q)), "q": q.tolist()}), "sample_id long, q array<double>")

@@ -1,232 +1,287 @@
-"""Genotype files as (variant_id, sample_id, g).
+"""Genotype files as packed rows (variant_id, n, bits) or in long form (variant_id, sample_id, g).
 
-Text formats are read with one pass over lines and column expressions. Binary formats are read as
-files whose records a task decodes in turn; a plain BED file of any size is read in ranges, as its
-records have equal lengths. Chromosomes are chosen before genotypes are decoded.
+Text formats are read by lines with column expressions. Of binary files a plan is made, a row for
+each range of records with its place among all variants; tasks read their ranges alone. A folder or
+pattern of files is one data set, in the order of the names. A compressed BED or BCF file is one
+task's, which goes through it piece by piece; a compressed PGEN file is decompressed in a task's
+memory. Chromosomes are chosen on packed rows, before genotypes are spread out.
 """
 
 from __future__ import annotations
 
-import gzip
 import io
-import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import MISSING, gt_genotype, in_chromosomes, is_autosome
-from ..operators.frequency import flip_alleles
-from . import paths, sidecars
+from . import paths, records, sidecars
+from .records import BadFile
+
+#: Variants of a range at most (a part of a PGEN index's block), its bytes, and genotypes of a batch.
+VARIANT_RANGE, RANGE_BYTES, BATCH = 1024, 1 << 24, 1 << 20
+#: Ranges are dealt to no more tasks than this.
+MOST_TASKS = 100_000
+PACKED = "variant_id long, n int, bits binary"
+LONG = "variant_id long, sample_id int, g int"
 
-#: Genotypes of the four two-bit codes of a BED file.
-BED_CODES = np.array([2, MISSING, 1, 0], np.uint8)
-VARIANT_RANGE = 1024
 
+def chosen(variants: DataFrame, mode: str = "autosomes", autosomes: int = 22, chromosomes: str | list[str] | None = None) -> DataFrame:
+    """Variants of the chosen chromosomes; an empty choice is an error."""
+    if mode == "all":
+        return variants
+    return variants.where(in_chromosomes("chrom", chromosomes) if chromosomes else is_autosome("chrom", autosomes))
 
-class BadFile(ValueError):
-    """A file that isn't what its name says."""
 
+def packed_rows(first: int, bits: bytes, n: int) -> pd.DataFrame:
+    width = max(1, (n + 3) // 4)
+    rows = [bits[at : at + width] for at in range(0, len(bits), width)]
+    return pd.DataFrame({"variant_id": np.arange(first, first + len(rows)), "n": n, "bits": rows})
 
-def unpacked(data: bytes) -> bytes:
-    """The content of plain, gzip (also in blocks) or zstd bytes."""
-    if data[:2] == b"\x1f\x8b":
-        return gzip.decompress(data)
-    if data[:4] == b"\x28\xb5\x2f\xfd":
-        return zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data), read_across_frames=True).read()
-    return data
 
+def long_rows(packed: DataFrame) -> DataFrame:
+    """The long form of packed rows, in frames of a bounded number of genotypes."""
 
-def bed_genotypes(raw: bytes, n_samples: int) -> np.ndarray:
-    """Rows of genotypes of BED records; four samples are in a byte, the first in the lowest bits."""
-    b = np.frombuffer(raw, np.uint8).reshape(-1, (n_samples + 3) // 4)
-    return BED_CODES[(b[:, :, None] >> np.array([0, 2, 4, 6], np.uint8)) & 3].reshape(len(b), -1)[:, :n_samples]
+    def spread(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            at = 0
+            while at < len(p):
+                n = int(p["n"].iloc[at])
+                part = p.iloc[at : at + max(1, BATCH // max(n, 1))]
+                part = part[part["n"] == n]
+                g = records.unpacked(b"".join(part["bits"]), n)
+                yield pd.DataFrame({"variant_id": np.repeat(part["variant_id"].to_numpy(), n), "sample_id": np.tile(np.arange(n, dtype=np.int32), len(part)), "g": g.ravel().astype(np.int32)})
+                at += len(part)
 
+    return packed.mapInPandas(spread, LONG)
 
-def chosen(variants: DataFrame, mode: str = "autosomes", autosomes: int = 22, chromosomes: str | list[str] | None = None) -> DataFrame:
-    """Variants of the chosen chromosomes; an empty choice is an error."""
-    if mode == "all":
-        return variants
-    return variants.where(in_chromosomes("chrom", chromosomes) if chromosomes else is_autosome("chrom", autosomes))
 
+def packed_mean(packed: DataFrame) -> float:
+    """The mean allele count over all genotypes, counted by byte."""
+    four = (np.arange(256)[:, None] >> records.SHIFTS) & 3
+    alleles, seen = np.where(four == MISSING, 0, four).sum(1), (four != MISSING).sum(1)
 
-LONG = "variant_id long, sample_id int, g int"
+    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            bytes_of = [np.bincount(np.frombuffer(b, np.uint8), minlength=256) for b in p["bits"]]
+            yield pd.DataFrame({"a": [int((x * alleles).sum()) for x in bytes_of], "c": [int((x * seen).sum()) for x in bytes_of]})
 
+    got = packed.mapInPandas(count, "a long, c long").agg(F.sum("a"), F.sum("c")).first()
+    return got[0] / (2 * got[1]) if got[1] else 0.0
 
-def long_rows(first: int, g: np.ndarray) -> pd.DataFrame:
-    v, s = np.meshgrid(np.arange(first, first + len(g)), np.arange(g.shape[1]), indexing="ij")
-    return pd.DataFrame({"variant_id": v.ravel(), "sample_id": s.ravel().astype(np.int32), "g": g.ravel().astype(np.int32)})
 
+def flip_packed(packed: DataFrame) -> DataFrame:
+    """Packed rows counted by the rarer allele overall."""
+    if packed_mean(packed) < 0.5:
+        return packed
 
-def read_bed(spark: SparkSession, path: str, n_samples: int, n_variants: int) -> DataFrame:
-    """The file, or its decompressed content, is cut into ranges of records; ranges are decoded in
-    parallel. A data set larger than a task's memory comes as a folder or pattern of BED files by
-    chromosome, each of which is a task's."""
-    stride = (n_samples + 3) // 4
-    files = spark.read.format("binaryFile").load(path).select("content")
+    def swap(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            yield p.assign(bits=[records.recoded(b, (2, 1, 0, MISSING), n) for b, n in zip(p["bits"], p["n"])])
+
+    return packed.mapInPandas(swap, PACKED)
 
-    def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+# ---- plans of ranges ----
+
+
+def files_of(spark: SparkSession, path: str, look: Callable[[str, int], tuple[int, int, bool]]) -> DataFrame:
+    """(path, m, n, whole, offset) of the files: look gives variants, samples and whether the file is
+    read whole; offset is the number of variants in the files before. A row for each file."""
+
+    def heads(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            for raw in p["content"]:
-                data = unpacked(raw)
-                if len(data) != 3 + stride * n_variants:
-                    raise BadFile(f"{len(data) - 3} bytes of records; {n_variants} variants of {n_samples} samples need {stride * n_variants}")
-                for at in range(0, n_variants, VARIANT_RANGE):
-                    yield pd.DataFrame({"first": [at], "raw": [data[3 + at * stride : 3 + (at + VARIANT_RANGE) * stride]]})
+            for name, length in zip(p["path"], p["length"]):
+                m, n, whole = look(name, int(length))
+                yield pd.DataFrame({"path": [name], "m": [m], "n": [n], "whole": [whole]})
+
+    rows = spark.read.format("binaryFile").load(path).select("path", "length").mapInPandas(heads, "path string, m long, n int, whole boolean")
+    before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    return rows.withColumn("offset", F.coalesce(F.sum("m").over(before), F.lit(0)))
+
+
+def ranges(files: DataFrame) -> DataFrame:
+    """(path, n, whole, first, count, offset), dealt so that each is a task's or few are. A range has a
+    power of two of variants, so it never crosses a block of an index."""
+    most = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(F.lit(1.0), F.lit(float(RANGE_BYTES)) / F.greatest(F.ceil(F.col("n") / 4), F.lit(1))))))
+    step = F.when(F.col("whole"), F.col("m")).otherwise(F.least(F.lit(VARIANT_RANGE), most).cast("long"))
+    cut = files.where("m > 0").withColumn("step", step).withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1, F.col("step"))))
+    tasks = files.where("m > 0").agg(F.sum(F.ceil(F.col("m") / step))).first()[0] or 1
+    parts = cut.select("path", "n", "whole", "first", F.least("step", F.col("m") - F.col("first")).alias("count"), "offset")
+    return parts.repartition(int(min(tasks, MOST_TASKS)), "path", "first")
+
+
+def bed_packed(spark: SparkSession, path: str, n_samples: int, n_variants: int) -> DataFrame:
+    """Packed rows of BED files that hold n_variants together."""
+    stride = (n_samples + 3) // 4
+
+    def look(name: str, length: int) -> tuple[int, int, bool]:
+        whole = records.is_compressed(name)
+        with records.stream(name) as f:
+            if records.exactly(f, 3) != records.BED_START:
+                raise BadFile(f"{name} isn't a BED file by variant")
+            size = records.rest_of(f) if whole else length - 3
+        if stride == 0 or size % stride:
+            raise BadFile(f"{size} bytes of records of {name} aren't rows of {n_samples} samples")
+        return size // stride, n_samples, whole
+
+    files = files_of(spark, path, look).persist()
+    found = files.agg(F.sum("m")).first()[0] or 0
+    if found != n_variants:
+        raise BadFile(f"{found} records of {n_samples} samples for {n_variants} variants")
 
     def decode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codes, slab = tuple(records.BED_CODES.tolist()), max(1, RANGE_BYTES // stride)
         for p in parts:
-            for first, raw in zip(p["first"], p["raw"]):
-                yield long_rows(int(first), bed_genotypes(raw, n_samples))
+            for name, whole, first, count, offset in zip(p["path"], p["whole"], p["first"], p["count"], p["offset"]):
+                with records.stream(name) if whole else records.opened(name) as f:
+                    if whole:
+                        records.exactly(f, 3)
+                    else:
+                        f.seek(3 + int(first) * stride)
+                    for at in range(0, int(count), slab):
+                        raw = records.exactly(f, min(slab, int(count) - at) * stride)
+                        yield packed_rows(int(offset + first) + at, records.recoded(raw, codes, n_samples), n_samples)
 
-    return files.mapInPandas(cut, "first long, raw binary").repartition("first").mapInPandas(decode, LONG)
+    return ranges(files).mapInPandas(decode, PACKED)
 
 
-def read_vcf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(variants, genotypes). Lines are split, the nine fixed fields set apart and the samples'
-    calls parsed by expressions; a short line lacks calls, which then are missing."""
-    rows = sidecars.lines(spark, path, "#").select(F.col("idx").alias("variant_id"), F.split(F.regexp_replace("value", r"\r$", ""), "\t").alias("f"))
-    header = spark.read.text(path).where(F.col("value").startswith("#CHROM")).select(F.size(F.split("value", "\t")).alias("n")).first()
-    if header is None:
-        raise BadFile(f"{path} has no header line")
-    n = header["n"] - 9
-    variants = rows.select("variant_id", F.col("f")[0].alias("chrom"), F.col("f")[2].alias("id"), F.lit(None).cast("double").alias("cm"), F.col("f")[1].try_cast("long").alias("pos"), F.col("f")[4].alias("a1"), F.col("f")[3].alias("a2"))
-    calls = F.transform(F.sequence(F.lit(9), F.lit(8 + n)), lambda i: gt_genotype(F.coalesce(F.get("f", i), F.lit("."))))
-    return variants, rows.select("variant_id", F.posexplode(calls).alias("sample_id", "g"))
-
-
-def bcf_records(data: bytes) -> tuple[list[str], Iterator[tuple[str, int, str, np.ndarray]]]:
-    """Sample names and (chrom, pos, id, genotypes) of a BCF file's records."""
-    if data[:3] != b"BCF" or data[3] != 2:
-        raise BadFile("not a BCF2 file")
-    size = struct.unpack_from("<I", data, 5)[0]
-    header = data[9 : 9 + size].split(b"\0")[0].decode()
-    contigs, keys, samples = [], {0: "PASS"}, []
-    for line in header.splitlines():
-        if line.startswith("##contig=<"):
-            contigs.append(line.split("ID=")[1].split(",")[0].rstrip(">"))
-        elif line.startswith(("##FORMAT=<", "##INFO=<", "##FILTER=<")):
-            name = line.split("ID=")[1].split(",")[0].rstrip(">")
-            if name not in keys.values():
-                at = int(line.split("IDX=")[1].split(",")[0].rstrip(">")) if "IDX=" in line else len(keys)
-                keys[at] = name
-        elif line.startswith("#CHROM"):
-            samples = line.split("\t")[9:]
-    kinds = {1: np.int8, 2: np.int16, 3: np.int32}
-
-    def typed(at: int) -> tuple[int, int, int]:
-        """(kind, length, place of the values)."""
-        n, kind, at = data[at] >> 4, data[at] & 15, at + 1
-        if n == 15:
-            k = kinds[data[at] & 15]
-            n = int(np.frombuffer(data, k, 1, at + 1)[0])
-            at += 1 + np.dtype(k).itemsize
-        return kind, n, at
-
-    def records() -> Iterator[tuple[str, int, str, np.ndarray]]:
-        at = 9 + size
-        while at < len(data):
-            shared, own = struct.unpack_from("<II", data, at)
-            chrom, pos = struct.unpack_from("<ii", data, at + 8)
-            n_formats, n = data[at + 8 + 23], int.from_bytes(data[at + 8 + 20 : at + 8 + 23], "little")
-            _, length, place = typed(at + 8 + 24)
-            name = data[place : place + length].decode()
-            g = np.full(n, MISSING, np.uint8)
-            f, end = at + 8 + shared, at + 8 + shared + own
-            for i in range(n_formats):
-                kind, _, place = typed(f)
-                key = int(np.frombuffer(data, kinds[kind], 1, place)[0])
-                kind, length, place = typed(place + np.dtype(kinds[kind]).itemsize)
-                width = np.dtype(kinds[kind]).itemsize if kind in kinds else {5: 4, 7: 1}[kind]
-                if keys.get(key) == "GT" and kind in kinds and place + n * length * width <= end:
-                    g = called(np.frombuffer(data, kinds[kind], n * length, place).reshape(n, length))
-                f = place + n * length * width
-            yield contigs[chrom] if chrom < len(contigs) else str(chrom), pos + 1, name, g
-            at = end
-
-    return samples, records()
-
-
-def called(raw: np.ndarray) -> np.ndarray:
-    """Genotypes of a typed vector of alleles: two are counted, one is doubled, more than 2 is missing."""
-    ends = raw < -(2 ** (8 * raw.itemsize - 1)) + 8  # missing values and ends of vectors
-    allele = (raw.astype(np.int64) >> 1) - 1
-    first = allele[:, 0]
-    haploid = np.ones(len(raw), bool) if raw.shape[1] == 1 else ends[:, 1]
-    total = np.where(haploid, 2 * first, first + (allele[:, 1] if raw.shape[1] > 1 else 0))
-    bad = (first < 0) | ends[:, 0] | (total > 2) | (~haploid & (allele[:, min(1, raw.shape[1] - 1)] < 0))
-    return np.where(bad, MISSING, total).astype(np.uint8)
+def pgen_packed(spark: SparkSession, path: str) -> DataFrame:
+    """Packed rows of PGEN files with hard calls of fixed or variable width."""
 
+    def look(name: str, _: int) -> tuple[int, int, bool]:
+        whole = records.is_compressed(name)
+        with records.stream(name) as f:
+            m, n, _, _ = records.pgen_head(io.BytesIO(records.exactly(f, 12)))
+        return m, n, whole
 
-def read_bcf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(variants, genotypes), a file in a task."""
-    files = spark.read.format("binaryFile").load(path).select("content")
+    def decode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            for name, n, whole, first, count, offset in zip(p["path"], p["n"], p["whole"], p["first"], p["count"], p["offset"]):
+                with io.BytesIO(records.stream(name).read()) if whole else records.opened(name) as f:
+                    for at in range(int(first), int(first + count), VARIANT_RANGE):
+                        g = records.pgen_rows(f, at, min(VARIANT_RANGE, int(first + count) - at))
+                        yield packed_rows(int(offset) + at, records.packed(g), int(n))
+
+    return ranges(files_of(spark, path, look).persist()).mapInPandas(decode, PACKED)
+
+
+def bcf_packed(spark: SparkSession, path: str) -> DataFrame:
+    """(variant_id, chrom, pos, id, n, bits), a file in a task; variants are counted on over the files."""
+
+    def look(name: str, _: int) -> tuple[int, int, bool]:
+        with records.stream(name) as f:
+            samples = len(records.bcf_header(f)[2])
+            return sum(1 for _ in records.bcf_parts(f)), samples, True
 
     def decode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            for raw in p["content"]:
-                for i, (chrom, pos, name, g) in enumerate(bcf_records(unpacked(raw))[1]):
-                    yield pd.DataFrame({"variant_id": [i], "chrom": [chrom], "pos": [pos], "id": [name], "g": [g.tolist()]})
+            for name, offset in zip(p["path"], p["offset"]):
+                rows = []
+                with records.stream(name) as f:
+                    for i, (chrom, pos, label, g) in enumerate(records.bcf_records(f)):
+                        rows.append((int(offset) + i, chrom, pos, label, len(g), records.packed(g[None])))
+                        if len(rows) * len(g) >= BATCH:
+                            yield pd.DataFrame(rows, columns=columns)
+                            rows = []
+                if rows:
+                    yield pd.DataFrame(rows, columns=columns)
 
-    rows = files.mapInPandas(decode, "variant_id long, chrom string, pos long, id string, g array<int>").persist()
-    variants = rows.select("variant_id", "chrom", "id", F.lit(None).cast("double").alias("cm"), "pos")
-    return variants, rows.select("variant_id", F.posexplode("g").alias("sample_id", "g"))
+    columns = ["variant_id", "chrom", "pos", "id", "n", "bits"]
+    return ranges(files_of(spark, path, look).persist()).mapInPandas(decode, "variant_id long, chrom string, pos long, id string, n int, bits binary")
 
 
-def pgen_records(data: bytes) -> tuple[int, int, Iterator[np.ndarray]]:
-    """(variants, samples, genotypes by variant) of a file of fixed-width hard calls."""
-    if data[:2] != b"\x6c\x1b":
-        raise BadFile("not a PGEN file")
-    if data[2] != 2:
-        raise NotImplementedError(f"PGEN storage mode {data[2]:#x}: only fixed-width hard calls (0x02) are read")
-    m, n = struct.unpack_from("<II", data, 3)
-    stride = (n + 3) // 4
+# ---- the formats ----
 
-    def records() -> Iterator[np.ndarray]:
-        for i in range(m):
-            b = np.frombuffer(data, np.uint8, stride, 12 + i * stride)
-            yield ((b[:, None] >> np.array([0, 2, 4, 6], np.uint8)) & 3).ravel()[:n]  # 3 is missing here too
 
-    return m, n, records()
+def read_bed(spark: SparkSession, path: str, n_samples: int, n_variants: int) -> DataFrame:
+    return long_rows(bed_packed(spark, path, n_samples, n_variants))
 
 
 def read_pgen(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.format("binaryFile").load(path).select("content")
+    return long_rows(pgen_packed(spark, path))
 
-    def decode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            for raw in p["content"]:
-                for i, g in enumerate(pgen_records(unpacked(raw))[2]):
-                    yield long_rows(i, g[None])
 
-    return files.mapInPandas(decode, LONG)
+def read_bcf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(variants, genotypes)."""
+    rows = bcf_packed(spark, path)
+    return bcf_variants(rows), long_rows(rows.select("variant_id", "n", "bits"))
 
 
-def read(spark: SparkSession, path: str, mode: str = "autosomes", autosomes: int = 22, chromosomes: str | list[str] | None = None, flip: bool = True) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """(variants, genotypes, samples) of a data set in any of the formats, its chromosomes chosen and
+def bcf_variants(rows: DataFrame) -> DataFrame:
+    return rows.select("variant_id", "chrom", "id", F.lit(None).cast("double").alias("cm"), "pos")
+
+
+def vcf_calls(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, int]:
+    """(variants, (variant_id, calls), samples). Lines are split, the nine fixed fields set apart and the
+    samples' calls parsed by expressions; a short line lacks calls, which then are missing."""
+    rows = sidecars.lines(spark, path, "#").select(F.col("idx").alias("variant_id"), F.split(F.regexp_replace("value", r"\r$", ""), "\t").alias("f"))
+    header = spark.read.text(path).where(F.col("value").startswith("#CHROM")).select(F.size(F.split("value", "\t")).alias("n")).first()
+    if header is None:
+        raise BadFile(f"{path} has no header line")
+    n = header["n"] - 9
+    if n < 1:
+        raise BadFile(f"{path} has no samples")
+    variants = rows.select("variant_id", F.col("f")[0].alias("chrom"), F.col("f")[2].alias("id"), F.lit(None).cast("double").alias("cm"), F.col("f")[1].try_cast("long").alias("pos"), F.col("f")[4].alias("a1"), F.col("f")[3].alias("a2"))
+    calls = F.transform(F.sequence(F.lit(9), F.lit(8 + n)), lambda i: gt_genotype(F.coalesce(F.get("f", i), F.lit("."))))
+    return variants, rows.select("variant_id", calls.alias("calls")), n
+
+
+def read_vcf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(variants, genotypes)."""
+    variants, calls, _ = vcf_calls(spark, path)
+    return variants, calls.select("variant_id", F.posexplode("calls").alias("sample_id", "g"))
+
+
+def packed_calls(calls: DataFrame, n: int) -> DataFrame:
+    """Packed rows of arrays of calls: four make two digits of a hexadecimal number."""
+
+    def at(i: Column) -> Column:
+        return F.coalesce(F.get("calls", i), F.lit(MISSING))
+
+    four = F.transform(F.sequence(F.lit(0), F.lit(n - 1), F.lit(4)), lambda i: F.lpad(F.hex(at(i) + 4 * at(i + 1) + 16 * at(i + 2) + 64 * at(i + 3)), 2, "0"))
+    return calls.select("variant_id", F.lit(n).alias("n"), F.unhex(F.array_join(four, "")).alias("bits"))
+
+
+def read_packed(spark: SparkSession, path: str, mode: str = "autosomes", autosomes: int = 22, chromosomes: str | list[str] | None = None, flip: bool = True) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(variants, packed rows, samples) of a data set in any of the formats, its chromosomes chosen and
     its alleles counted by the rarer overall. Nothing left to read is an error."""
     kind, base = paths.format_of(path), paths.stem(path)
     file = path if paths.exists(spark, path) else paths.first_of(spark, f"{base}.{kind}")
     samples = None
     if kind == "vcf":
-        variants, geno = read_vcf(spark, file)
+        variants, calls, n = vcf_calls(spark, file)
+        rows = packed_calls(calls, n)
     elif kind == "bcf":
-        variants, geno = read_bcf(spark, file)
+        all_rows = bcf_packed(spark, file)
+        variants, rows = bcf_variants(all_rows), all_rows.select("variant_id", "n", "bits")
     else:
         side = paths.first_of(spark, f"{base}.pvar", f"{base}.bim") if kind == "pgen" else paths.first_of(spark, f"{base}.bim")
         variants = sidecars.pvar(spark, side) if ".pvar" in side else sidecars.bim(spark, side)
         if kind == "bed":
             samples = sidecars.fam(spark, paths.first_of(spark, f"{base}.fam"))
-            geno = read_bed(spark, file, samples.count(), variants.count())
+            n = samples.count()
+            if n == 0:
+                raise BadFile("no samples")
+            rows = bed_packed(spark, file, n, variants.count())
         else:
             samples = sidecars.psam(spark, paths.first_of(spark, f"{base}.psam"))
-            geno = read_pgen(spark, file)
+            rows = pgen_packed(spark, file)
     kept = chosen(variants, mode, autosomes, chromosomes)
     if kept.limit(1).count() == 0:
         raise BadFile("no variant is left")
     if mode != "all":
-        geno = geno.join(kept.select("variant_id"), "variant_id", "left_semi")
-    return kept, flip_alleles(geno) if flip else geno, samples
+        rows = rows.join(kept.select("variant_id"), "variant_id", "left_semi")
+    return kept, flip_packed(rows) if flip else rows, samples
+
+
+def read(spark: SparkSession, path: str, mode: str = "autosomes", autosomes: int = 22, chromosomes: str | list[str] | None = None, flip: bool = True) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """As read_packed, with genotypes in long form."""
+    variants, rows, samples = read_packed(spark, path, mode, autosomes, chromosomes, flip)
+    return variants, long_rows(rows), samples
+
+
+__all__ = ["BadFile", "chosen", "long_rows", "read", "read_bcf", "read_bed", "read_packed", "read_pgen", "read_vcf"]

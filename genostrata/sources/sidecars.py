@@ -1,31 +1,32 @@
 """Text files beside genotypes: variants, samples, labels, filemaps and matrices.
 
-Lines get their place in the file from one task, since places can't be had otherwise; sidecars hold
-a line for each variant or sample and a file is read by as many tasks as it has parts.
+A file is read by as many tasks as it has parts, and its lines are numbered in its order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import normalized
 
 
 def lines(spark: SparkSession, path: str, comments: str | None = None) -> DataFrame:
-    """(idx, value): lines that aren't blank, numbered in the order of the file.
+    """(idx, value): lines that aren't blank, numbered in the order of the file, or of a folder's files
+    by name and then by line.
 
-    The parts of a file stay in its order; numbers are counted within each part, and the counts of
-    the parts before, one row for each, are added.
+    Lines are counted within each piece of a file that a task reads, and the counts of the pieces
+    before, one row for each, are added in one running sum.
     """
-    rows = spark.read.text(path).where(F.trim("value") != "")
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+    rows = rows.where(F.trim("value") != "")
     if comments:
         rows = rows.where(~F.col("value").startswith(comments))
-    placed = rows.select("value", F.monotonically_increasing_id().alias("_id"))
-    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
-    counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n"))
-    before = counts.alias("a").join(counts.alias("b"), F.col("b._part") < F.col("a._part"), "left").groupBy("a._part").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("offset"))
-    return placed.withColumn("_part", part).join(F.broadcast(before), "_part").select((F.col("offset") + place).alias("idx"), "value")
+    placed = rows.withColumn("_id", F.monotonically_increasing_id())
+    pieces = placed.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("_least"))
+    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = pieces.select("_file", "_start", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("_least")).alias("_shift"))
+    return placed.join(offsets, ["_file", "_start"]).select((F.col("_id") + F.col("_shift")).alias("idx"), "value")
 
 
 def fields() -> Column:

@@ -1,6 +1,7 @@
 """Readers, kernels, fits and alignment, on hand-made files and simulated data."""
 
 import gzip
+import io
 import itertools
 import struct
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from genostrata.functions import expr, kernels as kn
 from genostrata.operators import align, folds
 from genostrata.plans import blocks as bl, fit
-from genostrata.sources import genotypes, paths, sidecars, sinks
+from genostrata.sources import genotypes, paths, records, sidecars, sinks
 from genostrata.streaming import projection
 
 
@@ -35,7 +36,8 @@ def matrix(df, m, n):
 @pytest.mark.parametrize("n", [1, 3, 4, 5])
 def test_bed_bytes(n):
     g = np.array(list(itertools.islice(itertools.cycle([0, 1, 2, 3, 3, 1]), 6 * n))).reshape(6, n)
-    assert (genotypes.bed_genotypes(bed_bytes(g)[3:], n) == g).all()
+    bits = records.recoded(bed_bytes(g)[3:], tuple(records.BED_CODES.tolist()), n)
+    assert (records.unpacked(bits, n) == g).all() and bits == records.packed(g)
 
 
 def test_bed_files(spark, tmp_path):
@@ -86,7 +88,129 @@ def test_bcf_and_pgen(spark, tmp_path):
     (tmp_path / "p.pgen").write_bytes(b"\x6c\x1b\x02" + struct.pack("<II", 2, 5) + b"\x40" + bytes([0b11100100, 1, 0b00000000, 2]))
     assert matrix(genotypes.read_pgen(spark, f"{tmp_path}/p.pgen"), 2, 5).tolist() == [[0, 1, 2, 3, 1], [0, 0, 0, 0, 2]]
     with pytest.raises(NotImplementedError):
-        genotypes.pgen_records(b"\x6c\x1b\x10" + bytes(20))
+        records.pgen_head(io.BytesIO(b"\x6c\x1b\x20" + bytes(20)))
+
+
+def varint(x):
+    out = b""
+    while x > 127:
+        out, x = out + bytes([x & 127 | 128]), x >> 7
+    return out + bytes([x])
+
+
+def difflist(ids, g, n):
+    """Differences, written one by one."""
+    if not ids:
+        return b"\0"
+    width = len(n.to_bytes(8, "little").rstrip(b"\0"))
+    groups = [ids[i : i + 64] for i in range(0, len(ids), 64)]
+    steps = [b"".join(varint(y - x) for x, y in zip(part, part[1:])) for part in groups]
+    out = varint(len(ids)) + b"".join(part[0].to_bytes(width, "little") for part in groups)
+    return out + bytes((len(s) - 63) % 256 for s in steps[:-1]) + records.packed(np.array([g])) + b"".join(steps)
+
+
+def pgen_bytes(g, kinds, control):
+    """Variable-width records of the given kinds."""
+    m, n = g.shape
+    body, base = [], None
+    for row, kind in zip(g, kinds):
+        main = kind & 7
+        if main == 0:
+            rec = records.packed(row[None])
+        elif main == 1:
+            rest = [i for i in range(n) if row[i] not in (0, 2)]
+            rec = bytes([0 << 2 | 2]) + np.packbits(row == 2, bitorder="little").tobytes() + difflist(rest, row[rest], n)
+        elif main in (2, 3):
+            want = np.array([2, 1, 0, 3])[row] if main == 3 else row
+            rest = np.flatnonzero(want != base).tolist()
+            rec = difflist(rest, want[rest], n)
+        else:
+            rest = np.flatnonzero(row != main - 4).tolist()
+            rec = difflist(rest, row[rest], n)
+        if main not in (2, 3):
+            base = row
+        body.append(rec)
+    width, wide = (control & 3) + 1, bool(control & 4)
+    blocks = range(0, m, records.PGEN_BLOCK)
+    index = b""
+    for at in blocks:
+        part = list(kinds[at : at + records.PGEN_BLOCK])
+        if wide:
+            index += bytes(part)
+        else:
+            part += [0] * (len(part) % 2)
+            index += bytes(a | b << 4 for a, b in zip(part[::2], part[1::2]))
+        index += b"".join(len(x).to_bytes(width, "little") for x in body[at : at + records.PGEN_BLOCK])
+        index += b"\2" * len(kinds[at : at + records.PGEN_BLOCK]) * (control >> 4 & 3)
+        if control >> 6 == 3:
+            index += bytes((len(kinds[at : at + records.PGEN_BLOCK]) + 7) // 8)
+    start = 12 + 8 * len(blocks) + len(index)
+    offsets = b"".join(struct.pack("<Q", start + sum(map(len, body[:at]))) for at in blocks)
+    return b"\x6c\x1b\x10" + struct.pack("<II", m, n) + bytes([control]) + offsets + index + b"".join(body)
+
+
+@pytest.mark.parametrize("n,control", [(5, 0x40), (300, 0x41), (300, 0xD5), (70000, 0x42)])
+def test_pgen_of_variable_width(n, control):
+    rng = np.random.default_rng(n)
+    g = rng.choice(4, (14, n), p=[0.7, 0.1, 0.15, 0.05]).astype(np.uint8)
+    g[1] = np.where(rng.random(n) < 0.02, 3, g[0])
+    g[2] = np.array([2, 1, 0, 3])[g[0]]
+    kinds = [0, 2, 3, 1, 2, 4, 6, 7, 2, 0, 1, 3, 4, 0]
+    data = pgen_bytes(g, kinds, control)
+    for first, count in ((0, 14), (1, 3), (8, 6)):
+        assert (records.pgen_rows(io.BytesIO(data), first, count) == g[first : first + count]).all()
+
+
+def test_pgen_of_more_than_one_block():
+    rng = np.random.default_rng(4)
+    m = records.PGEN_BLOCK + 700
+    g = rng.integers(0, 4, (m, 3)).astype(np.uint8)
+    kinds = [0 if i % records.PGEN_BLOCK == 0 else int(k) for i, k in enumerate(rng.integers(0, 8, m))]
+    kinds = [4 if k == 5 else k for k in kinds]
+    f = io.BytesIO(pgen_bytes(g, kinds, 0xC0))
+    for first in (0, 1024, records.PGEN_BLOCK - 1024, records.PGEN_BLOCK):
+        assert (records.pgen_rows(f, first, 700) == g[first : first + 700]).all()
+
+
+def test_folders_are_one_data_set(spark, tmp_path):
+    """Variants are counted on from file to file, whatever the format."""
+    rng = np.random.default_rng(6)
+    g = rng.integers(0, 4, (2500, 5)).astype(np.uint8)
+    for name in ("bed", "pgen", "bcf", "bim"):
+        (tmp_path / name).mkdir()
+    kinds = [0] + [1, 2, 4, 3, 6, 7, 0] * 400
+    for i, (a, b) in enumerate(((0, 1100), (1100, 1103), (1103, 2500))):
+        (tmp_path / f"bed/c{i}.bed").write_bytes(bed_bytes(g[a:b]) if i else gzip.compress(bed_bytes(g[a:b])))
+        (tmp_path / f"pgen/c{i}.pgen").write_bytes(pgen_bytes(g[a:b], kinds[: b - a], 0x40))
+        (tmp_path / f"bcf/c{i}.bcf").write_bytes(bcf_bytes([(0, 5 + i, [2, 4, 4, 5, 0, 2]), (1, 6, [2, 2, 4, 0x81, 6, 6])]))
+        (tmp_path / f"bim/c{i}.bim").write_text("".join(f"1 v{v} 0 {v} A G\n" for v in range(a, b)))
+    assert (matrix(genotypes.read_bed(spark, f"{tmp_path}/bed", 5, 2500), 2500, 5) == g).all()
+    assert (matrix(genotypes.read_pgen(spark, f"{tmp_path}/pgen"), 2500, 5) == g).all()
+    v, got = genotypes.read_bcf(spark, f"{tmp_path}/bcf")
+    assert matrix(got, 6, 3).tolist() == [[1, 2, 3], [0, 2, 3]] * 3 and [r["pos"] for r in v.orderBy("variant_id").collect()] == [5, 6, 6, 6, 7, 6]
+    names = sidecars.bim(spark, f"{tmp_path}/bim").orderBy("variant_id").collect()
+    assert [(r["variant_id"], r["id"]) for r in names] == [(i, f"v{i}") for i in range(2500)]
+    with pytest.raises(genotypes.BadFile):
+        genotypes.read_bed(spark, f"{tmp_path}/bed", 5, 2499)
+    (tmp_path / "x.bed").write_bytes(b"\x6c\x1b\0" + bytes(10))
+    with pytest.raises(Exception, match="BED"):
+        genotypes.read_bed(spark, f"{tmp_path}/x.bed", 5, 5)
+
+
+def test_packed_reading(spark, tmp_path):
+    g = np.array([[2, 2, 2, 3, 1], [2, 0, 2, 2, 2], [0, 1, 2, 3, 0]])
+    (tmp_path / "d.bed").write_bytes(bed_bytes(g))
+    (tmp_path / "d.bim").write_text("1 a 0 1 A G\n2 b 0 2 A G\nX c 0 3 A G\n")
+    (tmp_path / "d.fam").write_text("".join(f"f i{i} 0 0 1 -9\n" for i in range(5)))
+    _, rows, _ = genotypes.read_packed(spark, f"{tmp_path}/d.bed")
+    other = np.array([2, 1, 0, 3])[g[:2]]
+    assert [(r["variant_id"], r["n"], bytes(r["bits"])) for r in rows.orderBy("variant_id").collect()] == [(i, 5, records.packed(other[i : i + 1])) for i in range(2)]
+    _, long, _ = genotypes.read(spark, f"{tmp_path}/d.bed")
+    assert (matrix(long, 2, 5) == other).all()
+    calls = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(g)], "variant_id long, calls array<int>")
+    assert [bytes(r["bits"]) for r in genotypes.packed_calls(calls, 5).orderBy("variant_id").collect()] == [records.packed(x[None]) for x in g]
+    b = bl.packed_blocks(rows, 2, 5, block_rows=1)
+    assert sorted((r["row0"], bytes(r["g"])) for r in b.frame.collect()) == [(i, other[i].astype(np.uint8).tobytes()) for i in range(2)]
 
 
 def test_sidecars_and_sinks(spark, tmp_path):
