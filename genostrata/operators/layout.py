@@ -74,6 +74,17 @@ def combined_bars(fits: list[tuple[int, DataFrame]], order: DataFrame) -> DataFr
     return out
 
 
+def bars(q: DataFrame, labels: DataFrame | None = None, levels: list[str] = []) -> DataFrame:
+    """(pos, sample_id, levels..., k, low, high): all that a chart of (sample_id, q array) shows, samples
+    in the order of their labels."""
+    order = order_by_levels(q, labels, levels)
+    stacks = cumulative_bars(q.select("sample_id", F.posexplode("q").alias("k", "q")))
+    out = order.join(stacks, "sample_id")
+    if labels is not None:
+        out = out.join(labels.select("sample_id", *levels), "sample_id")
+    return out.select("pos", "sample_id", *(levels if labels is not None else []), "k", "low", "high")
+
+
 def label_segments(ordered: DataFrame) -> DataFrame:
     """(label, first_pos, last_pos, tick) of each run of equal labels along pos.
 

@@ -7,7 +7,7 @@ Each is a driver loop over passes of `Blocks`; P stays with the blocks, Q is on
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 import numpy as np
 import pandas as pd
@@ -44,6 +44,14 @@ class Options:
             raise ValueError("lr, beta1, beta2 or decay is out of range")
 
 
+def options_of(named: dict[str, str]) -> Options:
+    """Options from text, as settings files and command lines have it; an unknown name is an error."""
+    kinds = {f.name: type(f.default) for f in fields(Options)}
+    if unknown := sorted(set(named) - set(kinds)):
+        raise ValueError(f"unknown settings: {', '.join(unknown)}")
+    return Options(**{k: kinds[k](float(v)) if kinds[k] is int else float(v) for k, v in named.items()})
+
+
 @dataclass
 class Fit:
     """P as a state table of depth 1, Q on the driver, the likelihood and its course."""

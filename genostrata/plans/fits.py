@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import align
+from ..operators import align, mode_graph
 from . import blocks as bl
 from . import fit, views
 from .catalog import QUERIES, long_runs, query
@@ -93,7 +93,7 @@ def supervised_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cv_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = indexed(spark, sf_dir)
     f = fit.em(b, fit.random_start(b, CLUSTERS), 5)
-    return spark.createDataFrame([(CLUSTERS, round(fit.cross_validate(b, f, 2, iterations=2), 6))], "k int, cv_index double")
+    return spark.createDataFrame([(CLUSTERS, round(fit.cross_validate(b, f), 6))], "k int, cv_index double")
 
 
 @query
@@ -109,4 +109,29 @@ def modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "mode string, representative int, size int, cost double")
 
 
+def mode_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modes of three numbers of clusters: two runs as they are, and with their last or first columns summed."""
+    out = None
+    for run in (0, 1):
+        q = long_runs(spark, sf_dir).where(f"run_id = {run}").select("sample_id", "k", "q")
+        for less in (0, 1, 3):
+            to = F.greatest(F.col("k") - less, F.lit(0)) if run else F.least(F.col("k"), F.lit(views.K - 1 - less))
+            one = q.groupBy("sample_id", to.alias("k")).agg(F.sum("q").alias("q")).withColumn("mode", F.lit(f"K{views.K - less}M{run + 1}"))
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def modes_across_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Costs between modes of one and of neighbouring numbers of clusters, and which lead from one to the next."""
+    return mode_graph.table(mode_table(spark, sf_dir)).withColumn("cost", F.round("cost", 6))
+
+
+@query
+def modes_reordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All modes with columns that go together in one place."""
+    m = mode_table(spark, sf_dir)
+    return mode_graph.reordered(m, mode_graph.orders(mode_graph.products(m))).withColumn("q", F.round("q", 6))
+
+
 __all__ = ["QUERIES"]

@@ -15,6 +15,15 @@ def write_matrix(rows: DataFrame, path: str, key: str, value: str, digits: int =
     rows.orderBy(key).select(text.alias("value")).write.mode("overwrite").text(path)
 
 
+#: Digits with which measures are reported.
+DIGITS = {"rmse": 7, "jsd": 7, "loglik": 1, "correlation": 6, "frobenius": 6, "corr_mean": 6, "corr_std": 6, "frob_mean": 6, "frob_std": 6, "cv_index": 4}
+
+
+def report(measures: DataFrame) -> DataFrame:
+    """measures with each known one as text of its digits."""
+    return measures.select(*(F.format_string(f"%.{DIGITS[c]}f", c).alias(c) if c in DIGITS else c for c in measures.columns))
+
+
 def write_fit(q: DataFrame, p: DataFrame, folder: str, name: str, k: int) -> None:
     """`name`.k.Q and `name`.k.P with all digits."""
     write_matrix(q, f"{folder}/{name}.{k}.Q", "sample_id", "q", 18, scientific=True)

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from genostrata.functions import expr, kernels as kn
-from genostrata.operators import align, folds
+from genostrata.operators import align, folds, layout, mode_graph
 from genostrata.plans import blocks as bl, fit
 from genostrata.sources import genotypes, paths, records, sidecars, sinks
 from genostrata.streaming import projection
@@ -332,6 +332,98 @@ def test_permutation_and_modes(spark):
     assert [m["runs"] for m in got] == [[0, 2, 4, 6], [1, 3, 5, 7]] and [m["mode"] for m in got] == ["K3M1", "K3M2"]
 
 
+def test_modes_across_k(spark):
+    """Links, costs and orders against plain matrices."""
+    rng = np.random.default_rng(9)
+    top = rng.dirichlet(np.full(5, 0.3), 60)
+    plain = {"K5M1": top, "K5M2": top[:, [3, 1, 0, 4, 2]], "K4M1": np.column_stack([top[:, 4], top[:, 0] + top[:, 2], top[:, 3], top[:, 1]]), "K2M1": np.column_stack([top[:, :2].sum(1), top[:, 2:].sum(1)])}
+    plain["K4M2"] = kn.normalize(plain["K4M1"][:, ::-1] + rng.uniform(0, 0.1, (60, 4)))
+    rows = [(m, i, k, float(q[i, k])) for m, q in plain.items() for i in range(60) for k in range(q.shape[1])]
+    modes = spark.createDataFrame(rows, "mode string, sample_id int, k int, q double")
+    x = mode_graph.products(modes)
+    links, anchors = mode_graph.graph(x)
+    for one in links:
+        low, high = plain[one.low], plain[one.high]
+        options = []
+        for to in itertools.product(range(low.shape[1]), repeat=high.shape[1]):
+            if set(to) == set(range(low.shape[1])):
+                if high.shape[1] == low.shape[1] + 1:
+                    merged = np.stack([high[:, [i for i, t in enumerate(to) if t == j]].sum(1) for j in range(low.shape[1])], 1)
+                    options.append(((merged - low) ** 2).sum() / 60)
+                else:
+                    options.append(sum(((high[:, i] - low[:, t]) ** 2).mean() for i, t in enumerate(to)))
+        assert one.objective == pytest.approx(min(options), abs=1e-9)
+        merged = np.stack([high[:, [i for i, t in enumerate(one.targets) if t == j]].sum(1) for j in range(low.shape[1])], 1)
+        assert one.cost == pytest.approx(((merged - low) ** 2).sum() / 120, abs=1e-9)
+    assert [(a.low, a.high[:2]) for a in anchors] == [("K2M1", "K4"), ("K4M1", "K5")]
+    places = mode_graph.orders(x)
+    assert all(sorted(p) == list(range(plain[m].shape[1])) for m, p in places.items())
+    got = {m: np.zeros_like(q) for m, q in plain.items()}
+    for r in mode_graph.reordered(modes, places).collect():
+        got[r["mode"]][r["sample_id"], r["k"]] = r["q"]
+    assert np.allclose(got["K5M1"], got["K5M2"]) and np.abs(got["K4M1"] - got["K4M2"]).mean() < 0.1
+    near = np.abs(got["K5M1"][:, :4] - got["K4M1"]).mean(0)
+    assert (near < 1e-12).sum() == 3  # all but the column that split
+
+
+def test_matrices_as_they_come(spark, tmp_path):
+    q = np.array([[0.2, 0.8], [0.5, 1.5], [0, 0]])
+    np.savetxt(f"{tmp_path}/a.Q", q)
+    np.savetxt(f"{tmp_path}/wide.Q", q.T)
+    np.save(f"{tmp_path}/b.npy", q)
+    for name in ("a.Q", "wide.Q", "b.npy"):
+        got = [r["q"] for r in sidecars.q_proportions(spark, f"{tmp_path}/{name}").orderBy("sample_id").collect()]
+        assert np.allclose(got, [[0.2, 0.8], [0.25, 0.75], [0, 0]])
+    est = [r["q"] for r in sidecars.q_matrix(spark, f"{tmp_path}/wide.Q").orderBy("sample_id").collect()]
+    assert np.allclose(np.sum(est, 1), 1) and est[2] == pytest.approx([0.5, 0.5])
+    (tmp_path / "one.P").write_text("0.25\n1.0\n0\n")
+    assert [r["p"] for r in sidecars.p_matrix(spark, f"{tmp_path}/one.P").orderBy("variant_id").collect()] == [[0.25], [1 - expr.EPS], [expr.EPS]]
+    (tmp_path / "bad.Q").write_text("1 2\n1\n1 1\n")
+    with pytest.raises(genotypes.BadFile):
+        sidecars.q_proportions(spark, f"{tmp_path}/bad.Q")
+    assert sidecars.labels(spark, f"{tmp_path}/none.txt") is None
+    (tmp_path / "map.tsv").write_text("runA\t2\ta.Q\nrunB\t2\tb.npy\n")
+    assert sidecars.runs(spark, f"{tmp_path}/map.tsv").groupBy("run_id", "k_total").count().orderBy("run_id").collect() == [("runA", 2, 6), ("runB", 2, 6)]
+    (tmp_path / "map.tsv").write_text("runA\t3\ta.Q\n")
+    with pytest.raises(Exception, match="3 columns"):
+        sidecars.runs(spark, f"{tmp_path}/map.tsv").collect()
+    (tmp_path / "o.yaml").write_text("# fit\nmax-iter: 7\ntol: 0.5  # less\n")
+    o = fit.options_of(sidecars.settings(spark, f"{tmp_path}/o.yaml"))
+    assert (o.max_iter, o.tol) == (7, 0.5)
+    with pytest.raises(ValueError):
+        fit.options_of({"maxiter": "3"})
+    with pytest.raises(ValueError):
+        fit.options_of({"max_iter": "0"})
+
+
+def test_side_by_side_bars_and_reports(spark):
+    q = spark.createDataFrame([(i, [1 - i / 4, i / 4]) for i in range(4)], "sample_id long, q array<double>")
+    y = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(4)], "sample_id long, label string")
+    assert sidecars.side_by_side(q, y, "sample_id", "labels").count() == 4
+    with pytest.raises(genotypes.BadFile, match="4 against 3"):
+        sidecars.side_by_side(q, y.where("sample_id > 0"), "sample_id", "labels")
+    rows = layout.bars(q, y, ["label"]).orderBy("pos", "k").collect()
+    assert [(r["pos"], r["sample_id"], r["label"]) for r in rows[::2]] == [(0, 2, "a"), (1, 0, "a"), (2, 1, "b"), (3, 3, "b")]
+    assert all(a["high"] == pytest.approx(b["low"]) for a, b in zip(rows[::2], rows[1::2]))
+    got = sinks.report(spark.createDataFrame([(1, 0.5, 2.0)], "k int, rmse double, frobenius double")).first()
+    assert tuple(got) == (1, "0.5000000", "2.000000")
+
+
+def test_adaptive_fits(simulated):
+    """The adaptive method also projects and takes labels."""
+    b, g, q = simulated
+    o = fit.Options(max_iter=15)
+    f = fit.em(b, fit.random_start(b, 3), 3)
+    best = fit.adaptive_em(b, f, o)
+    assert best.log_likelihood > f.log_likelihood
+    again = fit.project(b, best.p, 3, o, adaptive=True)
+    assert np.isfinite(again.q).all() and np.allclose(again.q.sum(1), 1)
+    y = np.where(q.max(1) > 0.9, q.argmax(1), -1)
+    known = fit.adaptive_em(b, fit.supervised_start(b, y), o, y=y)
+    at = np.flatnonzero(y >= 0)
+    assert len(at) and (known.q[at, y[at]] > 0.99).all()
+
+
 def test_tracy_widom():
     x = np.linspace(-9, 8, 400)
     law = np.array([align.tracy_widom(v) for v in x])
