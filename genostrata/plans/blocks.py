@@ -5,7 +5,9 @@ form, dealt by block once and cached as dealt, so they stay where they are. What
 variant (P, its moments, its histories) is a second table keyed by block, which is joined to the
 blocks in every pass: only that table moves, not the genotypes. Q is broadcast with the kernel. Sums
 of the size of Q are added within each task, over all its blocks, and leave it once, in chunks that
-are added across tasks. The driver holds Q and never P.
+are added across tasks. Sums of several numbers for each element of Q, as Hessians are, go no
+further: the task that adds those of some samples solves for their new rows of Q. The driver holds
+Q and never P.
 """
 
 from __future__ import annotations
@@ -29,6 +31,10 @@ CHUNK = 1 << 16
 CUT_EVERY, KEEP = 6, 8
 
 Kernel = Callable[[np.ndarray, np.ndarray, int], tuple[np.ndarray | None, list[np.ndarray]]]
+#: Rows of Q from the sums of samples, the first of which has the number given.
+Finish = Callable[[np.ndarray, int], np.ndarray]
+#: Kinds of rows that a pass gives; rows of sums by sample have the count of numbers for a sample as kind.
+STATE, SUMS = -1, 0
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -48,52 +54,70 @@ class Blocks:
     passes: int = field(default=0)
     cached: list[DataFrame] = field(default_factory=list)
 
-    def run(self, kernel: Kernel, state: DataFrame | None, depth: int, width: int, shapes: list[tuple[int, ...]]) -> tuple[DataFrame, list[np.ndarray]]:
+    def run(self, kernel: Kernel, state: DataFrame | None, depth: int, width: int, shapes: list[tuple[int, ...]], finish: Finish | None = None) -> tuple[DataFrame, list[np.ndarray]]:
         """kernel(g, s, row0) gives a block's new state, or None to keep it, and arrays to be summed.
-        Returns the new state table and the sums."""
+        Returns the new state table and the sums.
+
+        With `finish`, the kernel's last array has a row for each sample and isn't among the shapes;
+        finish(sums, first) makes rows of `width` of it where the sums are added, and these are
+        returned in its place."""
         joined = self.frame.join(state, "block") if state is not None else self.frame.withColumn("s", F.lit(None).cast("binary"))
         n = self.n_samples
 
         def one(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = None
+            total, wide = None, None
             for p in parts:
                 for block, row0, raw, s in zip(p["block"], p["row0"], p["g"], p["s"]):
                     g = np.frombuffer(raw, np.uint8).reshape(-1, n)
                     old = None if s is None else np.frombuffer(s).reshape(depth, len(g), width)
                     new, sums = kernel(g, old, int(row0))
                     kept = s if new is None else np.ascontiguousarray(new, float).tobytes()
+                    if finish:
+                        *sums, own = sums
+                        wide = np.array(own, float) if wide is None else np.add(wide, own, out=wide)
                     if sums:
                         flat = np.concatenate([np.asarray(x, float).ravel() for x in sums])
                         total = flat if total is None else np.add(total, flat, out=total)
-                    yield pd.DataFrame({"block": [block], "s": [kept], "at": [-1], "x": [None]})
+                    yield pd.DataFrame({"kind": [STATE], "block": [block], "s": [kept], "at": [-1], "x": [None]})
             for at in range(0, 0 if total is None else len(total), CHUNK):
-                yield pd.DataFrame({"block": [-1], "s": [None], "at": [at], "x": [total[at : at + CHUNK].tobytes()]})
+                yield pd.DataFrame({"kind": [SUMS], "block": [-1], "s": [None], "at": [at], "x": [total[at : at + CHUNK].tobytes()]})
+            each = CHUNK if wide is None else max(1, CHUNK // wide.shape[1])
+            for at in range(0, 0 if wide is None else n, each):
+                yield pd.DataFrame({"kind": [wide.shape[1]], "block": [-1], "s": [None], "at": [at], "x": [wide[at : at + each].tobytes()]})
 
-        out = joined.select("block", "row0", "g", "s").mapInPandas(one, "block long, s binary, at long, x binary")
+        out = joined.select("block", "row0", "g", "s").mapInPandas(one, "kind int, block long, s binary, at long, x binary")
         self.passes += 1
         if self.passes % CUT_EVERY == 0:
             out = cut(out)
         else:
             out = out.persist(StorageLevel.MEMORY_AND_DISK)
             self.cached.append(out)
-        sums = self.added(out.where("at >= 0").select("at", "x"), shapes)
+        sums = self.added(out.where(F.col("kind") != STATE).select("kind", "at", "x"), shapes, width, finish)
         while len(self.cached) > KEEP:
             self.cached.pop(0).unpersist()
-        return out.where("block >= 0").select("block", "s"), sums
+        return out.where(F.col("kind") == STATE).select("block", "s"), sums
 
-    def added(self, sums: DataFrame, shapes: list[tuple[int, ...]]) -> list[np.ndarray]:
+    def added(self, sums: DataFrame, shapes: list[tuple[int, ...]], width: int, finish: Finish | None) -> list[np.ndarray]:
         sizes = [int(np.prod(s)) for s in shapes]
-        out = np.zeros(sum(sizes))
+        out, finished = np.zeros(sum(sizes)), np.zeros((self.n_samples, width))
 
         def across(p: pd.DataFrame) -> pd.DataFrame:
             # added in the order of their bytes, so that the order of arrival has no say
-            return pd.DataFrame({"at": [p["at"].iloc[0]], "x": [np.sum([np.frombuffer(x) for x in sorted(p["x"])], axis=0).tobytes()]})
+            kind, at = int(p["kind"].iloc[0]), int(p["at"].iloc[0])
+            x = np.sum([np.frombuffer(x) for x in sorted(p["x"])], axis=0)
+            if kind > SUMS:
+                x = np.ascontiguousarray(finish(x.reshape(-1, kind), at), float)
+            return pd.DataFrame({"kind": [kind], "at": [at], "x": [x.tobytes()]})
 
-        for r in sums.groupBy("at").applyInPandas(across, "at long, x binary").toLocalIterator():
+        for r in sums.groupBy("kind", "at").applyInPandas(across, "kind int, at long, x binary").collect():
             part = np.frombuffer(r["x"])
-            out[r["at"] : r["at"] + len(part)] = part
+            if r["kind"] > SUMS:
+                part = part.reshape(-1, width)
+                finished[r["at"] : r["at"] + len(part)] = part
+            else:
+                out[r["at"] : r["at"] + len(part)] = part
         ends = np.cumsum([0, *sizes])
-        return [out[a:b].reshape(s) for a, b, s in zip(ends, ends[1:], shapes)]
+        return [*(out[a:b].reshape(s) for a, b, s in zip(ends, ends[1:], shapes)), *([finished] if finish else [])]
 
     def rows(self, state: DataFrame, depth: int, width: int, name: str = "p") -> DataFrame:
         """(variant_id, name): the first layer of a state as an array for each variant."""

@@ -17,7 +17,7 @@ from ..functions import kernels as kn
 from ..functions.expr import EPS, MISSING
 from ..operators.align import permutation
 from ..operators.folds import STEP, mixed
-from .blocks import Blocks
+from .blocks import Blocks, Finish
 
 
 @dataclass(frozen=True)
@@ -312,33 +312,38 @@ def newton(blocks: Blocks, start: Fit, o: Options = Options(), y: np.ndarray | N
     sums for Q's next update, which are used again if the point is accepted. A block's state holds
     P, its two successors, the extrapolated P, and the histories of both differences.
     """
-    k, h, q, n = start.q.shape[1], o.history, start.q, blocks.n_samples
+    k, h, q = start.q.shape[1], o.history, start.q
     depth = 4 + 2 * h
-    sizes = [(n, k), (n, k * k)]
+
+    def terms(g: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        return np.concatenate(kn.newton_q(g, p, q), axis=1)
+
+    def solver(at: np.ndarray) -> Finish:
+        def solved(sums: np.ndarray, first: int) -> np.ndarray:
+            some = slice(first, first + len(sums))
+            return snapped(kn.to_simplex(kn.box_qp(sums[:, k:], sums[:, :k], at[some], simplex=True)), None if y is None else y[some])
+
+        return solved
 
     def begin(g: np.ndarray, s: np.ndarray, row0: int) -> tuple[np.ndarray, list[np.ndarray]]:
-        return np.concatenate([s, np.repeat(s, 3, 0), np.zeros((2 * h, *s[0].shape))]), list(kn.newton_q(g, s[0], q))
+        return np.concatenate([s, np.repeat(s, 3, 0), np.zeros((2 * h, *s[0].shape))]), [terms(g, s[0], q)]
 
-    state, sums = blocks.run(begin, start.p, 1, k, sizes)
-    uq, vq = np.zeros((h, n, k)), np.zeros((h, n, k))
+    state, (ahead,) = blocks.run(begin, start.p, 1, k, [], solver(q))
+    uq, vq = np.zeros((h, *q.shape)), np.zeros((h, *q.shape))
     last, best, kept, wait, course = -np.inf, -np.inf, None, 0, []
 
-    def solved(at: np.ndarray, grad: np.ndarray, hess: np.ndarray) -> np.ndarray:
-        return snapped(kn.to_simplex(kn.box_qp(hess, grad, at, simplex=True)), y)
-
     for it in range(1, (iterations or o.max_iter) + 1):
         slot, used = (it - 1) % h, min(it, h)
-        q1 = solved(q, *sums)
+        q1 = ahead
 
         def one(g: np.ndarray, s: np.ndarray, row0: int) -> tuple[np.ndarray, list[np.ndarray]]:
             s = s.copy()
             if not fixed_p:
                 grad, hess = kn.newton_p(g, s[0], q1)
                 s[1] = kn.clip(kn.box_qp(hess, grad, s[0], simplex=False))
-            return s, list(kn.newton_q(g, s[1], q1))
+            return s, [terms(g, s[1], q1)]
 
-        state, sums = blocks.run(one, state, depth, k, sizes)
-        q2 = solved(q1, *sums)
+        state, (q2,) = blocks.run(one, state, depth, k, [], solver(q1))
         uq[slot], vq[slot] = q1 - q, q2 - q1
 
         def two(g: np.ndarray, s: np.ndarray, row0: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -348,9 +353,9 @@ def newton(blocks: Blocks, start: Fit, o: Options = Options(), y: np.ndarray | N
                 s[2] = kn.clip(kn.box_qp(hess, grad, s[1], simplex=False))
             s[4 + slot], s[4 + h + slot] = s[1] - s[0], s[2] - s[1]
             u, v = (s[a : a + used].reshape(used, -1) for a in (4, 4 + h))
-            return s, [u @ (u - v).T, u @ (s[0] - s[1]).ravel(), np.array([kn.log_likelihood(g, s[2], q2)]), *kn.newton_q(g, s[2], q2)]
+            return s, [u @ (u - v).T, u @ (s[0] - s[1]).ravel(), np.array([kn.log_likelihood(g, s[2], q2)]), terms(g, s[2], q2)]
 
-        state, (left, right, ll2, g2, h2) = blocks.run(two, state, depth, k, [(used, used), (used,), (1,), *sizes])
+        state, (left, right, ll2, after) = blocks.run(two, state, depth, k, [(used, used), (used,), (1,)], solver(q2))
         fu, fv = uq[:used].reshape(used, -1), vq[:used].reshape(used, -1)
         coefficients = np.linalg.lstsq(left + fu @ (fu - fv).T, right + fu @ (q - q1).ravel(), rcond=None)[0]
         qx = snapped(kn.to_simplex(q1 - np.tensordot(coefficients, vq[:used], 1)), y)
@@ -359,11 +364,11 @@ def newton(blocks: Blocks, start: Fit, o: Options = Options(), y: np.ndarray | N
             s = s.copy()
             if not fixed_p:
                 s[3] = kn.clip(s[1] - np.tensordot(coefficients, s[4 + h : 4 + h + used], 1))
-            return s, [np.array([kn.log_likelihood(g, s[3], qx)]), *kn.newton_q(g, s[3], qx)]
+            return s, [np.array([kn.log_likelihood(g, s[3], qx)]), terms(g, s[3], qx)]
 
-        state, (llx, gx, hx) = blocks.run(far, state, depth, k, [(1,), *sizes])
+        state, (llx, beyond) = blocks.run(far, state, depth, k, [(1,)], solver(qx))
         accepted = float(llx[0]) > last
-        q, sums, ll = (qx, (gx, hx), float(llx[0])) if accepted else (q2, (g2, h2), float(ll2[0]))
+        q, ahead, ll = (qx, beyond, float(llx[0])) if accepted else (q2, after, float(ll2[0]))
         state = moved(state, depth, k, 3 if accepted else 2)
         course.append(ll)
         wait = wait + 1 if it > 1 and ll <= best + o.tol else 0
@@ -452,9 +457,9 @@ class Masked(Blocks):
         super().__init__(blocks.frame, blocks.n_variants, blocks.n_samples)
         self.change = change
 
-    def run(self, kernel, state, depth, width, shapes):
+    def run(self, kernel, state, depth, width, shapes, finish=None):
         change = self.change
-        return super().run(lambda g, s, row0: kernel(change(g, row0), s, row0), state, depth, width, shapes)
+        return super().run(lambda g, s, row0: kernel(change(g, row0), s, row0), state, depth, width, shapes, finish)
 
 
 def train(blocks: Blocks, k: int, method: str = "newton", start: str = "als", o: Options = Options(), v: np.ndarray | None = None, n_starts: int = 1) -> Fit:

@@ -299,6 +299,27 @@ def test_em_and_newton(simulated):
     assert np.abs(again.q - best.q).max() < 2e-2
 
 
+def test_rows_solved_where_their_sums_are_added(simulated, monkeypatch):
+    b, g, q = simulated
+    start = fit.random_start(b, 3)
+    p = np.zeros((len(g), 3))
+    for r in b.rows(start.p, 1, 3).collect():
+        p[r["variant_id"]] = r["p"]
+    monkeypatch.setattr(bl, "CHUNK", 50)  # four samples of 12 numbers in a chunk
+    _, (total, got) = b.run(
+        lambda g, s, row0: (None, [np.array([g.sum()]), np.concatenate(kn.newton_q(g, s[0], q), axis=1)]),
+        start.p, 1, 3, [(1,)], lambda x, first: x[:, :3] / (first + 1 + np.arange(len(x)))[:, None],
+    )
+    grad, _ = kn.newton_q(g, p, q)
+    assert total[0] == g.sum() and np.allclose(got, grad / (1 + np.arange(len(q)))[:, None])
+    some = fit.newton(b, start, fit.Options(max_iter=3))
+    monkeypatch.undo()
+    assert np.allclose(some.q, fit.newton(b, start, fit.Options(max_iter=3)).q, atol=1e-9)
+    y = np.where(np.arange(len(q)) % 3 == 0, np.arange(len(q)) % 2, -1)
+    known = fit.newton(b, fit.supervised_start(b, np.where(np.arange(len(q)) < 3, np.arange(len(q)), y)), fit.Options(max_iter=2), y).q
+    assert np.allclose(known[np.flatnonzero(y >= 0), y[y >= 0]], 1, atol=1e-3)
+
+
 def test_svd(simulated):
     b, g, _ = simulated
     s, v = fit.svd(b, 3)
