@@ -222,6 +222,54 @@ def test_licenses(spark, docs, empty):
         assert name in {g[0] for g in licenses.Index(licenses.TEMPLATES).matches(f"é {t} z")}
 
 
+def common_words(a, b):
+    """Length of the longest common subsequence, by the whole table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        old = row[:]
+        for j, y in enumerate(b):
+            row[j + 1] = old[j] + 1 if x == y else max(old[j + 1], row[j])
+    return row[-1]
+
+
+def test_license_fingerprints_against_plain():
+    rng = random.Random(11)
+    for _ in range(200):
+        h = [rng.randrange(6) for _ in range(rng.randrange(1, 30))]
+        w = licenses.WINDOW
+        windows = [range(lo, min(lo + w, len(h))) for lo in range(max(1, len(h) - w + 1))]
+        assert licenses.winnowed(h) == sorted({max(p for p in x if h[p] == min(h[q] for q in x)) for x in windows})
+    # every fingerprint finds its template and place, and there is one in each window
+    index = licenses.Index(licenses.TEMPLATES)
+    for k, ws in enumerate(index.words):
+        places = sorted(j for g in index.grams.values() for t, j in g if t == k)
+        assert places and max(np.diff([-1, *places, len(ws) - licenses.K + 1])) <= licenses.WINDOW
+        assert all((k, j) in index.grams[tuple(ws[j : j + licenses.K])] for j in places)
+
+
+def test_license_alignment_against_plain():
+    rng = random.Random(12)
+    for _ in range(300):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(1, 9))] for _ in range(2))
+        got, most = licenses.aligned(a, b, 0), common_words(a, b)  # the band holds the whole table
+        assert (got[0] if got else 0) == most
+        if got:
+            assert common_words(a, b[got[1] : got[2]]) == most
+            assert common_words(a, b[got[1] + 1 : got[2]]) < most and common_words(a, b[got[1] : got[2] - 1]) < most
+    for name, text in licenses.TEMPLATES.items():
+        words = licenses.WORD.findall(text.lower())
+        for _ in range(3):
+            edited = words[:]
+            for _ in range(len(words) // 20):  # replaced and left out, well within the band
+                edited[rng.randrange(len(edited))] = "zzz"
+            del edited[len(edited) // 2 : len(edited) // 2 + len(words) // 60]
+            before = [f"q{i}" for i in range(rng.randrange(40))]
+            doc = " ".join([*before, *edited, "q", "r"])
+            got = [m for m in licenses.Index({name: text}).matches(doc) if m[0] == name]
+            assert [m[3] for m in got] == [common_words(words, edited)], name
+            assert got[0][4] == got[0][3] / len(words)
+
+
 def brute_measure(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
