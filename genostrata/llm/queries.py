@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, host_rules, html_extract, lang_id, licenses, mixing, ngram_join, pii, secret_scan
-from .common import durable, table
+from . import bpe, embed_dedup, host_rules, html_extract, lang_id, licenses, mixing, ngram_join, pii, secret_scan, vector_codes
+from .common import durable, table, told
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -201,3 +201,61 @@ FROM a LEFT JOIN j ON j.page_id = a.page_id
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with surrogates for personal data."""
     return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), key="surrogates")
+
+
+#: Parts of a vector, entries of a codebook and rounds of its fit.
+CODE_PARTS, CODE_ENTRIES, CODE_ROUNDS = 8, 16, 6
+
+
+@query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes and errors of all vectors, and the errors of their labels."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    coded, books = vector_codes.compress(vectors, parts=CODE_PARTS, entries=CODE_ENTRIES, rounds=CODE_ROUNDS)
+    label = F.coalesce(F.concat(F.lit("="), F.col("label").cast("string")), F.lit(""))
+    rows = durable(coded.select("vec_id", label.alias("_label"), F.array_join(F.transform("code", lambda e: F.lower(F.lpad(F.hex(e), 2, "0"))), "").alias("code"), "error"))
+    total = F.sum(F.col("error").cast("decimal(20,0)"))
+    facts = rows.groupBy("_label").agg(total.cast("decimal(38,0)").alias("label_error"), F.count(F.lit(1)).alias("times"))
+    digest = F.sha2(F.lit(books.written()), 256).alias("codebooks_sha256")
+    return told(rows, facts, "_label").select("vec_id", "code", "error", F.expr("try_cast(label_error AS bigint)").alias("label_error"), digest)
+
+
+def code_rounds() -> str:
+    """The rounds of the codebooks in SQL, one after the other, and the codes at the end."""
+    nearest = """
+a{i} AS MATERIALIZED (
+  SELECT x.r, x.p, arg_min(c.e, ({d}) * 256 + c.e) AS e, min({d}) AS d
+  FROM x JOIN c{i} c ON c.p = x.p GROUP BY x.r, x.p)"""
+    after = """
+c{j} AS MATERIALIZED (
+  SELECT c.p, c.e, coalesce(n.v, c.v) AS v
+  FROM c{i} c LEFT JOIN (
+    SELECT p, e, list(v ORDER BY i) AS v
+    FROM (SELECT p, e, i, ((sum(v) - (sum(v) % count(*) + count(*)) % count(*)) // count(*))::BIGINT AS v
+          FROM (SELECT x.p, a.e, unnest(x.v) AS v, generate_subscripts(x.v, 1) AS i FROM x JOIN a{i} a ON a.r = x.r AND a.p = x.p) GROUP BY p, e, i)
+    GROUP BY p, e) n ON n.p = c.p AND n.e = c.e)"""
+    d = "list_sum(list_transform(list_zip(x.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = []
+    for i in range(CODE_ROUNDS + 1):
+        steps.append(nearest.format(i=i, d=d))
+        if i < CODE_ROUNDS:
+            steps.append(after.format(i=i, j=i + 1))
+    return ",".join(steps)
+
+
+ORACLES["op13_vector_codes"] = f"""
+WITH k AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label,
+         list_transform(embedding, lambda y: floor({vector_codes.SCALE} * y::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+w AS (SELECT (max(len(v)) + {CODE_PARTS - 1}) // {CODE_PARTS} AS w FROM k),
+x AS MATERIALIZED (
+  SELECT r, p, list_resize(v, w * {CODE_PARTS}, 0)[p * w + 1 : (p + 1) * w] AS v
+  FROM k, w, range({CODE_PARTS}) t(p)),
+c0 AS (SELECT p, r - 1 AS e, v FROM x WHERE r <= {CODE_ENTRIES}),{code_rounds()},
+f AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{CODE_ROUNDS} GROUP BY r),
+b AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{CODE_ROUNDS})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM k JOIN f USING (r), b
+"""
