@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, host_rules, html_extract, lang_id, licenses, mixing, ngram_join, pii, secret_scan, vector_codes
+from . import bpe, conversation_repair, embed_dedup, host_rules, html_extract, lang_id, licenses, mixing, ngram_join, pii, secret_scan, vector_codes
 from .common import durable, table, told
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -259,3 +259,82 @@ b AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS c
 SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
 FROM k JOIN f USING (r), b
 """
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """The rows as the damage leaves them; dropped ones stay, not present, to tell of their conversation."""
+    key = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")))
+    told = rows.select("conv_id", "turn", *(F.coalesce(c, F.lit(" ")).alias(c) for c in ("role", "text")), (F.crc32(key) % 20).alias("_way"))
+    way = F.col("_way")
+    text = F.when(way == 1, F.lit("")).when(way == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    times = F.explode(F.when(way == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return told.select("conv_id", "turn", F.when(way == 4, F.lit("user")).otherwise(F.col("role")).alias("role"), text.alias("text"), (way != 0).alias("present"), times.alias("_copy"))
+
+
+@query
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of all conversations after damage by rule."""
+    rows = damaged(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    found = conversation_repair.repair(rows, present="present")
+    return found.select("conv_id", *conversation_repair.COUNTS, F.col("edits").alias("audit"), F.col("digest").alias("repaired_sha256"))
+
+
+# the costs from the end of each conversation, turn by turn, and then its edits, letter by letter
+ORACLES["op11_conversations"] = r"""
+WITH RECURSIVE polynomial AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+keyed AS (
+  SELECT conv_id, coalesce(conv_id::VARCHAR, ' ') AS k, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ascii(c)::BIGINT) AS bytes
+  FROM conversations),
+way AS MATERIALIZED (
+  SELECT conv_id, k, turn, role, text, xor(4294967295, list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]))) % 20 AS way
+  FROM keyed, polynomial),
+damaged AS (
+  SELECT k, turn, CASE way WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE way WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM way, range(2) c(copy) WHERE way <> 0 AND (copy = 0 OR way = 3)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, text, again) AS i, left(role, 1) AS r
+  FROM (SELECT *, row_number() OVER (PARTITION BY k, role, text ORDER BY turn NULLS FIRST) > 1 AS again FROM damaged)),
+faulty AS MATERIALIZED (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN again THEN 'duplicate'
+                 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault,
+         lag(r) OVER (PARTITION BY k ORDER BY i) || r NOT IN ('su', 'ua', 'au') AS odd
+  FROM placed),
+counts AS MATERIALIZED (
+  SELECT k, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (odd) AS illegal
+  FROM faulty GROUP BY k),
+costs AS (
+  SELECT k, n + 1 AS i, [0, 4, 2, 0] AS h FROM counts
+  UNION ALL
+  SELECT k, i, [least(m[1], 2 + least(m[3], 2 + m[4])), least(m[2], 2 + least(m[3], 2 + m[4])), least(m[3], 2 + m[4]), least(m[4], 2 + m[3])]
+  FROM (
+    SELECT f.k, f.i, CASE WHEN fault IN ('blank', 'duplicate') THEN list_transform(h, lambda c: c + 3) ELSE [
+        least(h[1] + 3, h[3] + 2 + cut, CASE r WHEN 's' THEN h[2] + cut WHEN 'u' THEN h[3] + cut END),
+        least(h[2] + 3, h[3] + 2 + cut, CASE r WHEN 'u' THEN h[3] + cut END),
+        least(h[3] + 3, h[4] + 2 + cut, CASE r WHEN 'a' THEN h[4] + cut END),
+        least(h[4] + 3, h[3] + 2 + cut, CASE r WHEN 'u' THEN h[3] + cut END)] END AS m
+    FROM costs c JOIN (SELECT *, (fault = 'truncated')::INT AS cut FROM faulty) f ON f.k = c.k AND f.i = c.i - 1)),
+known AS MATERIALIZED (SELECT * FROM costs),
+edits AS (
+  SELECT k, n, 1::BIGINT AS i, 0 AS s, '' AS audit, []::VARCHAR[] AS lines FROM counts
+  UNION ALL
+  SELECT k, n, CASE WHEN e = 'I' THEN i ELSE i + 1 END, CASE e WHEN 'D' THEN s WHEN 'K' THEN kept ELSE [2, 2, 3, 2][s + 1] END, audit || e,
+         CASE e WHEN 'D' THEN lines WHEN 'K' THEN list_append(lines, role || ':' || text)
+                ELSE list_append(lines, CASE WHEN s = 2 THEN 'assistant' ELSE 'user' END || ':' || CASE e WHEN 'R' THEN text ELSE '' END) END
+  FROM (
+    SELECT e.*, f.role, f.text, kept,
+           CASE WHEN e.i > n THEN 'I' WHEN after.h[s + 1] + 3 = h.h[s + 1] THEN 'D' WHEN h.h[[2, 2, 3, 2][s + 1] + 1] + 2 = h.h[s + 1] THEN 'I'
+                WHEN after.h[kept + 1] + (fault = 'truncated')::INT = h.h[s + 1] THEN 'K' ELSE 'R' END AS e
+    FROM edits e JOIN known h ON h.k = e.k AND h.i = e.i LEFT JOIN known after ON after.k = e.k AND after.i = e.i + 1
+      LEFT JOIN (SELECT *, unnest([0, 1, 2, 3]) AS state FROM faulty) f ON f.k = e.k AND f.i = e.i AND f.state = e.s,
+      LATERAL (SELECT CASE WHEN s = 0 AND f.r = 's' THEN 1 WHEN s IN (0, 1, 3) AND f.r = 'u' THEN 2 WHEN s = 2 AND f.r = 'a' THEN 3 END AS kept) x
+    WHERE e.i <= n OR s IN (1, 2))),
+ended AS (SELECT * FROM edits WHERE i > n AND s IN (0, 3))
+SELECT w.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(h.h[1], 0)::BIGINT AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, k FROM way) w LEFT JOIN counts c ON c.k = w.k LEFT JOIN ended e ON e.k = w.k LEFT JOIN known h ON h.k = w.k AND h.i = 1
+"""

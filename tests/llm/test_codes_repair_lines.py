@@ -1,14 +1,18 @@
 """Vector codes, conversation repair and line quality on small tables, against plain versions."""
 
 import hashlib
+import heapq
 import math
+import random
+import re
+from collections import Counter
 from fractions import Fraction
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from genostrata.llm import queries, vector_codes
+from genostrata.llm import conversation_repair, queries, vector_codes
 
 VECTORS = "vec_id long, embedding array<double>, label int, code string"
 
@@ -84,3 +88,102 @@ def test_codes_of_few_and_no_rows(spark, tmp_path):
     assert sorted((r["vec_id"], r["code"], r["error"], r["label_error"]) for r in got) == [(1, "00" * 8, 0, 0), (1, "00" * 8, 0, 0), (2, "02" * 8, 0, 0)]
     text = ",".join(",".join(["2048"] * 2 + ["2048"] * 2 + ["-410"] * 2) for _ in range(8))
     assert {r["codebooks_sha256"] for r in got} == {hashlib.sha256(text.encode()).hexdigest()}
+
+
+# ---- conversation repair ----
+
+TURNS = "conv_id long, turn long, role string, text string, present boolean, cost string"
+LEGAL = re.compile("(s?(ua)+)?")
+
+
+def plain_repair(turns):
+    """(counts, edits, digest) of (turn, role, text) rows by a search over all edits, cheapest and then least first."""
+    turns = sorted(((t, " " if r is None else r, " " if x is None else x) for t, r, x in turns), key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+    faults, seen = [], set()
+    for _, r, x in turns:
+        core = x.strip(" \t\n\x0b\x0c\r")
+        faults.append("blank" if not core else "duplicate" if (r, x) in seen else "truncated" if core[-1] not in ".!?" else "")
+        seen.add((r, x))
+    heap, done = [(0, "", 0, "", ())], set()
+    while heap:
+        cost, edits, i, roles, lines = heapq.heappop(heap)
+        if i == len(turns) and LEGAL.fullmatch(roles):
+            break
+        if (i, roles[-2:]) in done:
+            continue
+        done.add((i, roles[-2:]))
+        moves = []
+        if i < len(turns):
+            _, r, x = turns[i]
+            moves.append((3, "D", 1, None))
+            if faults[i] not in ("blank", "duplicate"):
+                cut = faults[i] == "truncated"
+                moves.append((cut, "K", 1, (r, x)))
+                moves += [(2 + cut, "R", 1, (n, x)) for n in ("user", "assistant")]
+        moves += [(2, "I", 0, (n, "")) for n in ("user", "assistant")]
+        for c, e, step, line in moves:
+            now = roles + (line[0][:1] or "?") if line else roles
+            if any(LEGAL.fullmatch(now + end) for end in ("", "a", "ua")):
+                heapq.heappush(heap, (cost + c, edits + e, i + step, now, (*lines, f"{line[0]}:{line[1]}") if line else lines))
+    known = [t for t, _, _ in turns if t is not None]
+    n = Counter(faults)
+    odd = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(turns, turns[1:]))
+    gaps = max(known) - min(known) + 1 - len(set(known)) if known else 0
+    return (gaps, n["blank"], n["duplicate"], n["truncated"], odd, cost), edits, hashlib.sha256("\n".join(lines).encode()).hexdigest()
+
+
+def random_turns(rng, n):
+    return [
+        (rng.choice([None, *range(9)]), rng.choice(["user", "user", "assistant", "assistant", "system", "tool", "", "umbrella", None]), rng.choice(["Yes.", "No!", "And so", "", " \n", "What?\t", "a b.", "Why. not", None, "ü。"]))
+        for _ in range(n)
+    ]
+
+
+def test_tables_against_search():
+    tables, rng = conversation_repair.Tables(), random.Random(3)
+    assert len(tables.vectors) < 30
+    for n in list(range(12)) * 12:
+        turns = random_turns(rng, n)
+        counts, edits, digest = plain_repair(turns)
+        kinds = bytes(rng.choice(range(9)) for _ in range(n))
+        for block in (1, 3):
+            assert conversation_repair.Tables(block).solved(kinds) == tables.solved(kinds) if n == 7 else True
+        rows = sorted(((t, " " if r is None else r, " " if x is None else x) for t, r, x in turns), key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+        seen, full = set(), []
+        for t, r, x in rows:
+            core = x.strip(" \t\n\x0b\x0c\r")
+            full.append((t, r, x, True, 1 if not core else 2 if (r, x) in seen else 3 if core[-1] not in ".!?" else 0))
+            seen.add((r, x))
+        got = conversation_repair.summary(tables, iter(full), 1 << 20)
+        assert (tuple(got[0]), got[1], got[2]) == (counts, edits, digest), turns
+
+
+def test_long_conversations_cost_what_their_parts_do():
+    tables = conversation_repair.Tables()
+    pair = bytes([conversation_repair.kind_of("u", 0), conversation_repair.kind_of("a", 0)])
+    assert tables.solved(pair * 50_000) == (0, "KK" * 50_000)
+    assert tables.solved(pair * 3 + pair[:1] + pair * 3) == (2, "KKKKKKIKKKKKKK"[:6] + "KI" + "KKKKKK")
+    assert tables.solved(bytes([0]) * 1001)[0] == 3003
+
+
+@pytest.mark.parametrize("held", [conversation_repair.HELD, 20])
+def test_repair_of_tables(spark, held):
+    rng = random.Random(8)
+    rows = [(c, t, r, x, True, "c") for c in [*range(30), None] for t, r, x in random_turns(rng, rng.randrange(9))]
+    rows += [(50, 1, "user", "gone", False, "c"), (51, None, None, None, True, None), (3, 0, "user", "gone", False, "c")]
+    df = spark.createDataFrame(rows, TURNS).repartition(7)
+    found = conversation_repair.repair(df, present="present", held=held)
+    got = {r["conv_id"]: (tuple(r[c] for c in conversation_repair.COUNTS), r["edits"], r["digest"]) for r in found.collect()}
+    want = {c: plain_repair([r[1:4] for r in rows if r[0] == c and r[4]]) for c in {r[0] for r in rows}}
+    assert got == want and got[50] == ((0,) * 6, "", hashlib.sha256(b"").hexdigest())
+    lines: dict = {}
+    for r in conversation_repair.rewritten(df, found, present="present").orderBy("conv_id", "place").collect():
+        assert r["place"] == len(lines.setdefault(r["conv_id"], []))
+        lines[r["conv_id"]].append(f"{r['role']}:{r['text']}")
+    assert {c: hashlib.sha256("\n".join(x).encode()).hexdigest() for c, x in lines.items()} == {c: x[2] for c, x in got.items() if c in lines}
+    assert all(x[1].strip("D") == "" for c, x in got.items() if c not in lines)
+
+
+def test_repair_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert queries.op11_conversations(spark, str(tmp_path)).collect() == []
