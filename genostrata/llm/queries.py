@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, conversation_repair, embed_dedup, host_rules, html_extract, lang_id, licenses, mixing, ngram_join, pii, secret_scan, vector_codes
+from . import bpe, conversation_repair, embed_dedup, host_rules, html_extract, lang_id, licenses, line_quality, mixing, ngram_join, pii, secret_scan, vector_codes
 from .common import durable, table, told
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -338,3 +338,16 @@ SELECT w.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT
        coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id, k FROM way) w LEFT JOIN counts c ON c.k = w.k LEFT JOIN ended e ON e.k = w.k LEFT JOIN known h ON h.k = w.k AND h.i = 1
 """
+
+
+#: A document of this score and more is predicted to have label 1.
+GOOD_SCORE = 0.7
+
+
+@query
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of all documents, by a field learned from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    field = line_quality.learned(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    found = line_quality.judge(docs, field)
+    return found.select("doc_id", line_quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= GOOD_SCORE).cast("int").alias("predicted"))

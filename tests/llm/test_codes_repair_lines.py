@@ -7,12 +7,13 @@ import random
 import re
 from collections import Counter
 from fractions import Fraction
+from itertools import product
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from genostrata.llm import conversation_repair, queries, vector_codes
+from genostrata.llm import conversation_repair, line_quality, queries, vector_codes
 
 VECTORS = "vec_id long, embedding array<double>, label int, code string"
 
@@ -187,3 +188,96 @@ def test_repair_of_tables(spark, held):
 def test_repair_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     assert queries.op11_conversations(spark, str(tmp_path)).collect() == []
+
+
+# ---- line quality ----
+
+
+def some_field(seed):
+    rng = np.random.default_rng(seed)
+    return line_quality.Field(rng.normal(0, 1, line_quality.WIDTH), rng.normal(0, 1, (2, 2)))
+
+
+def weight_of(odds, labels, steps):
+    return sum(o for o, y in zip(odds, labels) if y) + sum(steps[a, b] for a, b in zip(labels, labels[1:]))
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 9])
+def test_marginals_against_all_labellings(n):
+    field = some_field(n)
+    odds = np.random.default_rng(n + 50).normal(0, 2, n).tolist()
+    w = {y: math.exp(weight_of(odds, y, field.steps)) for y in product((0, 1), repeat=n)}
+    want = [sum(v for y, v in w.items() if y[i]) / sum(w.values()) for i in range(n)]
+    assert np.allclose(line_quality.marginals(odds, field), want)
+    assert line_quality.marginals([1e4, -1e4], field) == pytest.approx([1, 0], abs=1e-9)
+
+
+def test_likelihood_and_gradient_against_all_labellings():
+    rng = np.random.default_rng(2)
+    counts, y = np.array([4, 3, 1]), np.array([1, 0, 1])
+    x, field = rng.normal(0, 1, (8, line_quality.WIDTH)), some_field(3)
+    value, gw, gs = line_quality.likelihood(x, counts, y, field)
+
+    def plain(f):
+        at, total = 0, 0.0
+        for n, label in zip(counts, y):
+            odds = (x[at : at + n] @ f.weights).tolist()
+            z = math.log(sum(math.exp(weight_of(odds, l, f.steps)) for l in product((0, 1), repeat=int(n))))
+            total, at = total + weight_of(odds, [label] * n, f.steps) - z, at + n
+        return total / len(x)
+
+    assert value == pytest.approx(plain(field))
+    for i in range(0, line_quality.WIDTH, 7):
+        step = np.eye(line_quality.WIDTH)[i] * 1e-5
+        assert gw[i] == pytest.approx((plain(line_quality.Field(field.weights + step, field.steps)) - plain(line_quality.Field(field.weights - step, field.steps))) / 2e-5, abs=1e-6)
+    for i in range(4):
+        step = np.eye(4)[i].reshape(2, 2) * 1e-5
+        assert gs.ravel()[i] == pytest.approx((plain(line_quality.Field(field.weights, field.steps + step)) - plain(line_quality.Field(field.weights, field.steps - step))) / 2e-5, abs=1e-6)
+
+
+def test_measures_and_neighbours():
+    texts = ["One two two ok.\n\n##$$ HELLO\nOne two two ok.", None, "", " \t\n", "a" * 5]
+    x, size, counts = line_quality.Meter().lines(texts)
+    assert counts.tolist() == [3, 1, 1, 1, 1] and size.tolist() == [15, 10, 15, 0, 0, 0, 5]
+    at = {n: i for i, n in enumerate(line_quality.MEASURES)}
+    assert x[0, at["doubled"]] == pytest.approx(1 / 4) and x[0, at["ends_in_stop"]] == 1 and x[0, at["seen_before"]] == 0 and x[2, at["seen_before"]] == 1
+    assert x[1, at["capitals"]] == 1 and x[1, at["symbols"]] == 1 and x[3:6, at["no_letter"]].all()
+    n = len(line_quality.MEASURES)
+    assert (x[1, n : 2 * n] == x[0, :n]).all() and (x[1, 2 * n : 3 * n] == x[2, :n]).all() and not x[0, n : 2 * n].any() and not x[2, 2 * n : 3 * n].any()
+    assert x[:, -3].tolist() == [0, 1, 1, 0, 0, 0, 0] and x[:, -2].tolist() == [1, 1, 0, 0, 0, 0, 0]
+
+
+def good_and_bad(n):
+    rng = random.Random(6)
+    words = ["river", "stone", "walks", "over", "the", "a", "green", "hill", "and", "sleeps"]
+    for i in range(n):
+        lines = [" ".join(rng.choice(words) for _ in range(rng.randrange(4, 12))).capitalize() + "." for _ in range(rng.randrange(1, 7))]
+        bad = i % 3 == 0
+        if bad:
+            lines[len(lines) // 2 :] = [rng.choice([x.upper() + "!!", " ".join(w + "$$#" for w in x.split()), " ".join([x.split()[0]] * 12)]) for x in lines[len(lines) // 2 :]]
+        yield i, "\n".join(lines), int(not bad)
+
+
+def test_quality_of_held_out_documents(spark, docs, empty, monkeypatch):
+    rows = list(good_and_bad(900))
+    table = spark.createDataFrame([(i, t, "clash") for i, t, _ in rows], "doc_id long, text string, score string").repartition(6)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1), (5, None), (10**6, 0)], "doc_id long, quality int")
+    field = line_quality.learned(table, labels)
+    got = {r["doc_id"]: r for r in line_quality.judge(table, field, lines="lines").withColumn("out", line_quality.held_out(F.col("doc_id"))).collect()}
+    held = [(y, got[i]["score"]) for i, _, y in rows if got[i]["out"]]
+    assert len(held) > 150 and np.mean([(s >= 0.7) == y for y, s in held]) > 0.95
+    for i, text, _ in rows[:40]:
+        size = [len(x) for x in text.split("\n")]
+        assert got[i]["score"] == pytest.approx(np.average(got[i]["lines"], weights=size))
+    again = line_quality.judge(docs, field)
+    assert again.columns == [*docs.columns, "score"] and all(0 <= r["score"] <= 1 for r in again.collect()) and again.count() == docs.count()
+    assert line_quality.judge(empty, field).collect() == []
+    none = line_quality.learned(empty, labels.limit(0))
+    assert {r["score"] for r in line_quality.judge(docs, none).collect()} == {0.5}
+    # a third of all rows under one doc_id
+    hot = table.limit(300).withColumn("doc_id", F.lit(1)).unionByName(table)
+    monkeypatch.setattr(line_quality, "STEPS", 5)
+    seen = []
+    monkeypatch.setattr(line_quality, "train", lambda sample: seen.append(sample))
+    line_quality.learned(hot, labels)
+    assert len(seen[0]) <= sum(not r["out"] for r in got.values()) + line_quality.SAMPLE_COPIES
