@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..durable import durable
+
 
 def dominant_cluster(q: DataFrame) -> DataFrame:
     """(sample_id, cluster, share) of (sample_id, q array): the first largest element."""
@@ -27,12 +29,12 @@ def sample_order(q: DataFrame, labels: DataFrame, label: str = "label") -> DataF
 
 
 def numbered(rows: DataFrame, keys: list[str], into: str = "pos") -> DataFrame:
-    """rows with their place, from 0, in the order of the keys. Rows are dealt by range of the keys,
-    counted by part, and the counts of the parts before are added, so no task sees all rows."""
-    dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id())
-    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
-    placed = dealt.withColumn("_part", part).withColumn("_place", place).drop("_id")
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    """rows with their place, from 0, in the order of the keys. Rows are dealt by range of the keys and
+    written once, as another evaluation may deal them otherwise; then they are counted by part, and the
+    counts of the parts before, one row for each part, are added. No task sees all rows."""
+    part, place = F.spark_partition_id(), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    placed = durable(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", part).withColumn("_place", place))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     return placed.join(F.broadcast(offsets), "_part").withColumn(into, F.col("_before") + F.col("_place")).drop("_part", "_place", "_before")
 

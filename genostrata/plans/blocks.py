@@ -12,7 +12,6 @@ Q and never P.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -22,6 +21,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..durable import durable
 from ..functions.expr import MISSING
 from ..sources.records import unpacked
 
@@ -37,13 +37,6 @@ Finish = Callable[[np.ndarray, int], np.ndarray]
 STATE, SUMS = -1, 0
 
 
-def cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 @dataclass
 class Blocks:
     """Cached blocks (block, row0, g); state tables are (block, s) with s of shape (depth, rows, width)."""
@@ -88,7 +81,7 @@ class Blocks:
         out = joined.select("block", "row0", "g", "s").mapInPandas(one, "kind int, block long, s binary, at long, x binary")
         self.passes += 1
         if self.passes % CUT_EVERY == 0:
-            out = cut(out)
+            out = durable(out)
         else:
             out = out.persist(StorageLevel.MEMORY_AND_DISK)
             self.cached.append(out)
