@@ -5,21 +5,22 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the session's spark.checkpoint.dir, so that it is the same wherever it
-    is used again and outlives lost executors.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir. A local session without one, as in tests,
+    gets a temporary folder; on a cluster, where no folder of the driver's is shared, that is an error."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if where is None and not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return (where or tempfile.mkdtemp(prefix="checkpoint-")).rstrip("/")
+
 
-    A local session without such a folder, as in tests, gets a temporary one; on a cluster, where no
-    folder of the driver's is shared, that is an error.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+def durable(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder, so that it is the same wherever it is used again and
+    outlives lost executors."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        if where is None and not re.match(r"local($|\[)", sc.master):
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -1,45 +1,77 @@
-"""Registered queries of the iterative fits, which SQL cannot express; tests hold them against plain versions."""
+"""Registered queries of the iterative fits; tests hold them against plain versions.
+
+`em_fit`, `adamem_fit` and `brqn_fit` are fits of few samples, whose Q may be on the driver; it is counted
+first. All others go over a grid of tiles and know no such bound.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..durable import shared_folder
 from ..operators import align, mode_graph
+from ..operators.layout import numbered
 from . import blocks as bl
 from . import fit, views
-from .catalog import QUERIES, long_runs, query
+from . import grid as gr
+from . import grid_fit as gf
+from .catalog import ORACLES, QUERIES, long_runs, query, r6, start
 
 CLUSTERS = 4
 QUICK = fit.Options(max_iter=6)
+#: Samples of which the driver may hold Q, its history and its sums.
+DRIVER_SAMPLES = 200_000
+#: Variants and samples of a tile of the views' small grids, and tiles of a part.
+TILE = {"rows": 16, "cols": 4096, "high": 1, "wide": 1}
 
 
-def indexed(spark: SparkSession, sf_dir: str) -> bl.Blocks:
-    """Blocks of the dense view; the vectors' ids are dense from 0, or are made so by rank."""
+def places(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int, int]:
+    """The dense view and its numbers of variants and samples; the vectors' ids are dense from 0, or are made
+    so by rank."""
     g = views.dense(spark, sf_dir)
     shape = g.agg(F.max("variant_id") + 1, F.max("sample_id") + 1, F.count_distinct("sample_id")).first()
     if shape[1] != shape[2]:
-        rank = g.select("sample_id").distinct().withColumn("at", F.row_number().over(Window.orderBy("sample_id")) - 1)
+        rank = numbered(g.select("sample_id").distinct(), ["sample_id"], "at")
         g = g.join(rank, "sample_id").drop("sample_id").withColumnRenamed("at", "sample_id")
-    return bl.to_blocks(g, shape[0], shape[2], block_rows=16)
+    return g, shape[0], shape[2]
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> bl.Blocks:
+    """Blocks of the dense view, of few samples."""
+    g, n_variants, n_samples = places(spark, sf_dir)
+    if n_samples > DRIVER_SAMPLES:
+        raise ValueError(f"{n_samples} samples are too many for the driver; fit them on a grid")
+    return bl.to_blocks(g, n_variants, n_samples, block_rows=16)
+
+
+def gridded(spark: SparkSession, sf_dir: str) -> gr.Grid:
+    """A grid of the dense view."""
+    return gr.to_grid(*places(spark, sf_dir), **TILE)
 
 
 def q_table(spark: SparkSession, f: fit.Fit) -> DataFrame:
     return bl.q_rows(spark, np.round(f.q, 6)).select("sample_id", F.posexplode("q").alias("k", "q"))
 
 
+def q_of(grid: gr.Grid, f: gf.Fit) -> DataFrame:
+    return gf.q_rows(grid, f).select("sample_id", F.posexplode("q").alias("k", "q")).withColumn("q", r6("q"))
+
+
 @query
 def svd_singular_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, _ = fit.svd(indexed(spark, sf_dir), CLUSTERS)
+    s = gf.svd(gridded(spark, sf_dir), CLUSTERS)[0]
     return spark.createDataFrame(pd.DataFrame({"component": range(len(s)), "value": np.round(s, 3)}))
 
 
 @query
 def als_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = indexed(spark, sf_dir)
-    return q_table(spark, fit.als(b, fit.svd(b, CLUSTERS)[1], CLUSTERS))
+    g = gridded(spark, sf_dir)
+    return q_of(g, gf.als(g, gf.svd(g, CLUSTERS), CLUSTERS))
 
 
 @query
@@ -50,9 +82,8 @@ def em_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def adamem_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 40 steps."""
     b = indexed(spark, sf_dir)
-    return q_table(spark, fit.adaptive_em(b, fit.random_start(b, CLUSTERS), fit.Options(max_iter=40)))
+    return q_table(spark, fit.adaptive_em(b, fit.random_start(b, CLUSTERS)))
 
 
 @query
@@ -64,45 +95,87 @@ def brqn_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def brqn_fit_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Allele frequencies of the same fit, gone on with until it stands; they stay on the executors."""
-    b = indexed(spark, sf_dir)
-    f = fit.newton(b, fit.em(b, fit.random_start(b, CLUSTERS), 2))
-    return b.rows(f.p, 1, CLUSTERS).select("variant_id", F.posexplode("p").alias("k", "p")).withColumn("p", F.round("p", 6))
+    """Allele frequencies of such a fit that goes on until it stands."""
+    g = gridded(spark, sf_dir)
+    f = gf.newton(g, gf.em(g, gf.random_start(g, CLUSTERS), 2))
+    return gf.p_rows(g, f).select("variant_id", F.posexplode("p").alias("k", "p")).withColumn("p", r6("p"))
+
+
+def known_labels(spark: SparkSession, sf_dir: str, below: int) -> DataFrame:
+    """(sample_id, label) of the samples whose population is told."""
+    return views.labelled(spark, sf_dir).where(F.col("label") < below)
 
 
 @query
 def projection_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples projected on the frequencies of the labelled populations."""
-    b = indexed(spark, sf_dir)
-    y = known_labels(spark, sf_dir, views.K)
-    return q_table(spark, fit.project(b, fit.supervised_start(b, y).p, views.K))
+    g = gridded(spark, sf_dir)
+    p = gf.p_rows(g, gf.supervised_start(g, known_labels(spark, sf_dir, views.K)))
+    return q_of(g, gf.project(g, p, views.K))
 
 
-def known_labels(spark: SparkSession, sf_dir: str, below: int) -> np.ndarray:
-    """Populations by sample, -1 from `below` on: one small number for each sample, as Q has."""
-    rows = views.labelled(spark, sf_dir).orderBy("sample_id").toPandas()
-    return np.where(rows["label"] < below, rows["label"], -1)
+@query
+def projection_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by adaptive steps."""
+    g = gridded(spark, sf_dir)
+    p = gf.p_rows(g, gf.supervised_start(g, known_labels(spark, sf_dir, views.K)))
+    return q_of(g, gf.project(g, p, views.K, adaptive=True))
 
 
 @query
 def supervised_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = indexed(spark, sf_dir)
-    y = known_labels(spark, sf_dir, 5)
-    return q_table(spark, fit.newton(b, fit.supervised_start(b, y), y=y))
+    g = gridded(spark, sf_dir)
+    return q_of(g, gf.newton(g, gf.supervised_start(g, known_labels(spark, sf_dir, 5))))
+
+
+@query
+def supervised_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = gridded(spark, sf_dir)
+    return q_of(g, gf.adaptive_em(g, gf.supervised_start(g, known_labels(spark, sf_dir, 5))))
 
 
 @query
 def cv_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = indexed(spark, sf_dir)
-    f = fit.em(b, fit.random_start(b, CLUSTERS), 5)
-    return spark.createDataFrame([(CLUSTERS, round(fit.cross_validate(b, f), 6))], "k int, cv_index double")
+    """Five folds of five updates, in the same passes."""
+    g = gridded(spark, sf_dir)
+    f = gf.em(g, gf.random_start(g, CLUSTERS), 5)
+    return spark.createDataFrame([(CLUSTERS, round(gf.cross_validate(g, f), 6))], "k int, cv_index double")
+
+
+@query
+def best_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four random starts after their EM steps, which share their passes, and the one that is gone on with."""
+    g = gridded(spark, sf_dir)
+    f = gf.em(g, gf.random_start(g, CLUSTERS, [42 + i for i in range(4)]), 5)
+    rows = spark.createDataFrame(list(enumerate(f.log_likelihood)), "start int, log_likelihood double")
+    best = rows.agg(F.max_by("start", F.struct("log_likelihood", -F.col("start"))).alias("best"))
+    return rows.crossJoin(best).select("start", F.round("log_likelihood", 3).alias("log_likelihood"), (F.col("start") == F.col("best")).alias("chosen"))
 
 
 @query
 def multi_k_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = fit.sweep(indexed(spark, sf_dir), [2, 3], fit.Options(max_iter=3, als_iter=4))
-    rows = [(k, round(f.log_likelihood, 3), len(f.course)) for k, (f, _) in got.items()]
-    return spark.createDataFrame(rows, "k int, log_likelihood double, iterations int")
+    """Fits of two and three populations until they stand, each a stage that is written, with their columns in
+    one order, likelihoods and cross-validation indices."""
+    g = gridded(spark, sf_dir)
+    folder = f"{shared_folder(spark)}/sweep-{uuid.uuid4().hex}"
+    out = None
+    for k, s in gf.sweep(g, [2, 3], folder, folds=5, start="random").items():
+        one = q_of(g, s.fit).select(F.lit(k).alias("n_clusters"), "sample_id", "k", "q", F.lit(round(s.fit.log_likelihood[0], 3)).alias("log_likelihood"), F.lit(s.iterations).alias("iterations"), F.lit(round(s.cv_index, 6)).alias("cv_index"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def em_two_steps_on_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two EM steps over a grid of small tiles, from the labels' frequencies; the same SQL as for the long form."""
+    _, p, q = start(spark, sf_dir)
+    g, n_variants, n_samples = places(spark, sf_dir)
+    grid = gr.to_grid(g, n_variants, n_samples, rows=16, cols=128, high=2, wide=2)
+    begun = grid.state_of(gr.P, p, "variant_id", "p").unionByName(grid.state_of(gr.Q, q, "sample_id", "q"))
+    return q_of(grid, gf.em(grid, gf.Fit(begun, views.K, [0.0]), 2))
+
+
+ORACLES["em_two_steps_on_tiles"] = ORACLES["em_two_steps"]
 
 
 @query

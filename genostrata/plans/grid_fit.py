@@ -13,15 +13,17 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..durable import durable
 from ..functions import kernels as kn
 from ..functions.expr import EPS, MISSING
 from ..operators.align import column_order
 from ..operators.folds import STEP, mixed
+from ..sources.paths import exists
+from ..sources.sinks import write_cv, write_fit
 from .fit import Options
 from .grid import FAN, SUMS, At, Grid, P, Q, layers, rows_of, state_rows
 
@@ -566,3 +568,79 @@ def train(grid: Grid, k: int, method: str = "newton", start: str = "als", o: Opt
     else:
         first = best_of(grid, em(grid, random_start(grid, k, [o.seed + i for i in range(n_starts)]), o.em_steps))
     return (newton if method == "newton" else adaptive_em)(grid, first, o)
+
+
+# ---- sweeps over the number of populations ----
+
+
+def column_costs(grid: Grid, a: Fit, b: Fit) -> np.ndarray:
+    """Mean squared differences of the columns of one Q to those of another, added up by chunk."""
+    size, ka, kb = grid.size, a.k, b.k
+    left = a.state.where((F.col("kind") == Q) & (F.col("b") == 0)).select("id", F.col("s").alias("sa"))
+    right = b.state.where((F.col("kind") == Q) & (F.col("b") == 0)).select("id", F.col("s").alias("sb"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, sa, sb in zip(*(batch.column(c).to_pylist() for c in ("id", "sa", "sb"))):
+                x, y = layers(sa, size(Q, i), ka)[0], layers(sb, size(Q, i), kb)[0]
+                yield state_rows([(SUMS, 0, 0, ((x[:, :, None] - y[:, None, :]) ** 2).sum(0), None)])
+
+    found = left.join(right, "id").mapInArrow(run, "kind int, b int, id long, s binary, y binary")
+    return grid.numbers(found)[0, 0].reshape(ka, kb) / grid.n_samples
+
+
+def permuted(grid: Grid, f: Fit, order: list[int]) -> Fit:
+    """The fit with its columns in another order."""
+
+    def turned(s: np.ndarray, sums: None, b: int, i: int, y: None) -> tuple:
+        return s[:, :, order], None
+
+    return Fit(grid.step(f.state, f.k, finish_p=turned, finish_q=turned), f.k, f.log_likelihood, f.course)
+
+
+@dataclass
+class Stage:
+    """One K of a sweep as it was written."""
+
+    fit: Fit
+    iterations: int
+    cv_index: float | None
+
+
+def sweep(grid: Grid, ks: list[int], folder: str, o: Options = Options(), folds: int = 0, start: str = "als", n_starts: int = 1) -> dict[int, Stage]:
+    """A fit for each K from one SVD of the largest, its columns in the order of the K before, and with folds
+    its cross-validation index.
+
+    Each K is a stage: its state is written to `folder`, and after it a row that says so. A sweep that is
+    begun again reads the stages that are there and goes on with the next, so what ends it costs one K.
+    """
+    spark, found, before = grid.spark, None, None
+    out: dict[int, Stage] = {}
+    for k in sorted(ks):
+        done, kept = f"{folder}/k={k}/summary", f"{folder}/k={k}/state"
+        if not exists(spark, f"{done}/_SUCCESS"):
+            if start == "als" and found is None:
+                found = svd(grid, max(ks), o.seed)
+                grid.pin(found[1])
+                found = (found[0], durable(found[1]), found[2])
+            f = train(grid, k, start=start, o=o, found=found, n_starts=n_starts)
+            if before is not None:
+                f = permuted(grid, f, column_order(column_costs(grid, f, before)))
+            f.state.where(F.col("kind") != SUMS).write.mode("overwrite").parquet(kept)
+            f.state = spark.read.parquet(kept)
+            cv = cross_validate(grid, f, folds, o.seed, o=o) if folds else None
+            row = [(k, f.log_likelihood[0], len(f.course[0]), cv, json.dumps(f.course[0]))]
+            spark.createDataFrame(row, "k int, log_likelihood double, iterations int, cv_index double, course string").coalesce(1).write.mode("overwrite").parquet(done)
+        r = spark.read.parquet(done).first()
+        before = Fit(spark.read.parquet(kept), k, [r["log_likelihood"]], [json.loads(r["course"])])
+        out[k] = Stage(before, r["iterations"], r["cv_index"])
+    return out
+
+
+def write_sweep(grid: Grid, stages: dict[int, Stage], folder: str, name: str) -> None:
+    """The text files of P and Q of each K, and of the cross-validation indices."""
+    for k, s in stages.items():
+        write_fit(q_rows(grid, s.fit), p_rows(grid, s.fit), folder, name, k)
+    rows = [(k, s.cv_index) for k, s in stages.items() if s.cv_index is not None]
+    if rows:
+        write_cv(grid.spark.createDataFrame(rows, "k int, cv_index double"), f"{folder}/{name}.cv")

@@ -28,3 +28,9 @@ def write_fit(q: DataFrame, p: DataFrame, folder: str, name: str, k: int) -> Non
     """`name`.k.Q and `name`.k.P with all digits."""
     write_matrix(q, f"{folder}/{name}.{k}.Q", "sample_id", "q", 18, scientific=True)
     write_matrix(p, f"{folder}/{name}.{k}.P", "variant_id", "p", 18, scientific=True)
+
+
+def write_cv(rows: DataFrame, path: str) -> None:
+    """A line for each K of (k, cv_index), K ascending."""
+    line = F.format_string(f"K=%d: CV index = %.{DIGITS['cv_index']}f", "k", "cv_index")
+    rows.orderBy("k").select(line.alias("value")).coalesce(1).write.mode("overwrite").text(path)

@@ -118,7 +118,7 @@ def test_folds_and_starts_share_their_passes(spark, data, grid):
 
 def test_singular_values_to_those_of_numpy(data, grid):
     g = data[0]
-    s, state, width = gf.svd(grid, 4, power=60, tol=1e-12)
+    s, state, width = gf.svd(grid, 4, power=30, tol=1e-12)
     x = fit.centred(g)
     u, exact, vt = np.linalg.svd(x, full_matrices=False)
     assert np.allclose(s, exact[:4], rtol=1e-6)
@@ -136,14 +136,35 @@ def test_als_start(data, grid):
     assert np.sqrt(((q[:, order] - data[1]) ** 2).mean()) < 0.2
 
 
+def plain_adaptive(g, p, q, steps):
+    """The likelihoods, at each fifth step, of adaptive steps that move Q alone."""
+    o, m, v, course = fit.Options(), 0, 0, []
+
+    def em(q):
+        return kn.em_rows_q(q, kn.em_terms(g, p, q)[1])
+
+    q = em(q)
+    for t in range(1, steps + 3):
+        if t > 1 and (t - 2) % o.check == 0:
+            course.append(kn.log_likelihood(g, p, q))
+        d = em(q) - q
+        m, v = o.beta1 * m + (1 - o.beta1) * d, o.beta2 * v + (1 - o.beta2) * d * d
+        q = kn.normalize(q + o.lr * (m / (1 - o.beta1**t)) / (np.sqrt(v / (1 - o.beta2**t)) + o.eps))
+        q = em(q) if t == 1 else q
+    return course
+
+
 @pytest.mark.parametrize("adaptive", [False, True])
 def test_projection_and_labels(spark, data, grid, adaptive):
     g, q, blocks, _ = data
     best = gf.newton(grid, gf.em(grid, gf.random_start(grid, K), 4), small_options(8))
-    again = gf.project(grid, gf.p_rows(grid, best).select("variant_id", "p"), K, small_options(40 if adaptive else 8), adaptive)
-    # Q is the best for this P, so it is no less likely than the one that was found along with it
-    assert again.log_likelihood[0] >= best.log_likelihood[0] - (2 if adaptive else 0.2)
+    again = gf.project(grid, gf.p_rows(grid, best).select("variant_id", "p"), K, small_options(8), adaptive)
     assert kn.log_likelihood(g, *whole(grid, again)) == pytest.approx(again.log_likelihood[0], rel=1e-10)
+    if adaptive:
+        start = np.concatenate([kn.normalize(np.random.default_rng([42, 0, i]).random((min(8, 41 - 8 * i), K))) for i in range(6)])
+        assert np.allclose(again.course[0], plain_adaptive(g, whole(grid, best)[0], start, 8), rtol=1e-11)
+    else:  # Q is the best for this P, so it is no less likely than the one that was found along with it
+        assert again.log_likelihood[0] >= best.log_likelihood[0] - 0.2
     assert np.allclose(whole(grid, again)[0], whole(grid, best)[0])
     y = np.where(q.max(1) > 0.9, q.argmax(1), -1)
     known = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)] + [(0, None)], "sample_id long, label int").where("sample_id <> 0 OR label IS NOT NULL")
@@ -161,3 +182,31 @@ def test_one_tile(spark, data):
     assert (one.blocks, one.chunks) == (1, 1)
     f = gf.newton(one, gf.em(one, gf.random_start(one, K), 2), small_options(2))
     assert f.log_likelihood[0] == pytest.approx(kn.log_likelihood(data[0], *whole(one, f)), rel=1e-10)
+
+
+def test_a_sweep_goes_on_after_a_failure(spark, data, grid, tmp_path, monkeypatch):
+    seen, train = [], gf.train
+
+    def stopping(grid, k, **more):
+        seen.append(k)
+        if len(seen) == 2:
+            raise RuntimeError("lost")
+        return train(grid, k, **more)
+
+    monkeypatch.setattr(gf, "train", stopping)
+    o, folder = fit.Options(max_iter=2, em_steps=1), f"{tmp_path}/sweep"
+    with pytest.raises(RuntimeError):
+        gf.sweep(grid, [3, 2], folder, o, start="random")
+    got = gf.sweep(grid, [3, 2], folder, o, start="random")
+    assert seen == [2, 3, 3] and list(got) == [2, 3] and got[3].iterations == 2 and got[3].cv_index is None
+    again = gf.sweep(grid, [2, 3], folder, o, start="random")
+    assert seen == [2, 3, 3] and again[3].fit.log_likelihood == got[3].fit.log_likelihood
+    two, three = (whole(grid, got[k].fit) for k in (2, 3))
+    assert kn.log_likelihood(data[0], *three) == pytest.approx(got[3].fit.log_likelihood[0], rel=1e-10)
+    assert np.allclose(gf.column_costs(grid, got[3].fit, got[2].fit), align.distances(three[1], two[1]))
+    assert align.permutation(two[1], three[1]) == [0, 1, 2]  # the columns stand in the order of the K before
+    got[2].cv_index, got[3].cv_index = 0.51234, 0.5
+    gf.write_sweep(grid, got, f"{tmp_path}/out", "run")
+    read = np.array([[float(x) for x in r["value"].split()] for r in spark.read.text(f"{tmp_path}/out/run.3.Q").collect()])
+    assert np.allclose(read, three[1], rtol=1e-15)
+    assert [r["value"] for r in spark.read.text(f"{tmp_path}/out/run.cv").collect()] == ["K=2: CV index = 0.5123", "K=3: CV index = 0.5000"]
