@@ -9,9 +9,12 @@ original. The same content at two places is two layers.
 
 Escapes of percent signs (%252541) are taken off down to the last in one step, as the layers between
 differ in nothing but how many there are: a text of them costs one layer and not one for each. An
-escaped byte that is no text stands as a mark in its layer and cuts nothing else. A compressed part
-is unfolded and scanned window by window, so a part of any size is scanned whole in bounded memory;
-what overlaps two windows is found if it is no longer than OVERLAP.
+escaped byte that is no text stands as a mark in its layer and cuts nothing else. Compressed layers within
+each other are taken off one after the other, however many they are, until one has been there before.
+Those of more than WINDOW_BYTES are gone through as streams, all at once, and the last one's bytes are
+scanned window by window, so parts of any size are scanned whole in bounded memory; what overlaps two
+windows is found if it is no longer than OVERLAP. Text of two bytes a character, and raw deflate streams
+that end where their bytes do, are layers too.
 
 Defined results: a null text counts as empty and has no spans; spans are code points with an
 exclusive end, sorted by start, then kind as listed in KINDS, then end; equal spans of a kind are
@@ -41,8 +44,9 @@ from pyspark.sql import types as T
 from .common import in_batches, slices, with_text
 
 KINDS = ("assign", "access", "hex")
-#: Bytes of the windows in which a compressed part is unfolded, and of what each shares with the next.
-WINDOW_BYTES, OVERLAP = 4 << 20, 1 << 18
+#: Bytes of a compressed part that are held, and of the windows in which a longer one is scanned; of what each
+#: window shares with the next; and of the pieces in which streams are unpacked.
+WINDOW_BYTES, OVERLAP, PIECE = 4 << 20, 1 << 18, 1 << 16
 #: Rows, and bytes of text, that are scanned before they go back to Spark.
 SLICE, SLICE_BYTES = 512, 2 << 20
 
@@ -130,45 +134,149 @@ def format_of(data: bytes) -> str | None:
 DECOMPRESSORS = {
     "gzip": lambda: zlib.decompressobj(31),
     "zlib": zlib.decompressobj,
+    "deflate": lambda: zlib.decompressobj(-15),
     "bz2": bz2.BZ2Decompressor,
     "xz": lzma.LZMADecompressor,
+    "zstd": lambda: zstandard.ZstdDecompressor().decompressobj(),
 }
 UNREADABLE = (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError)
-
-
-def pieces(data: bytes, name: str) -> Iterator[bytes]:
-    """What compressed bytes hold, member after member, in pieces of at most WINDOW_BYTES. Bytes that
-    can't be read end it."""
-    try:
-        if name == "zstd":
-            with zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True) as r:
-                while got := r.read(WINDOW_BYTES):
-                    yield got
-            return
-        while data and format_of(data) == name:
-            d = DECOMPRESSORS[name]()
-            while not d.eof:
-                got = d.decompress(data, WINDOW_BYTES)
-                data = d.unconsumed_tail if name in ("gzip", "zlib") else b""
-                if got:
-                    yield got
-                elif not data and not d.eof:
-                    return  # cut off
-            data = d.unused_data.lstrip(b"\x00")
-    except UNREADABLE:
-        return
-
-
-def windows(parts: Iterator[bytes]) -> Iterator[bytes]:
-    """The bytes of all parts in windows that overlap."""
-    held, fresh = b"", False
-    for x in parts:
-        held, fresh = held + x, True
-        if len(held) >= WINDOW_BYTES:
-            yield held
-            held, fresh = held[-OVERLAP:], False
+#: Bytes that tell a format, and bytes of zstd that are given at a time, as it bounds no output.
+MAGIC_BYTES, ZSTD_PIECE = 6, 256
+
+
+def digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
+class Unpacker:
+    """A compressed stream, member after member, fed and read in pieces."""
+
+    def __init__(self, name: str) -> None:
+        self.name, self.stream, self.waiting = name, DECOMPRESSORS[name](), b""
+        self.between = self.ended = False
+
+    def read(self) -> bytes:
+        """The next bytes, about PIECE of them at most; none if it has ended or needs more."""
+        try:
+            while not self.ended:
+                if self.between:
+                    self.waiting = self.waiting.lstrip(b"\x00")
+                    if format_of(self.waiting) != self.name:
+                        self.ended = len(self.waiting) >= MAGIC_BYTES
+                        return b""
+                    self.stream, self.between = DECOMPRESSORS[self.name](), False
+                if self.name == "zstd":
+                    data, rest = self.waiting[:ZSTD_PIECE], self.waiting[ZSTD_PIECE:]
+                    out = self.stream.decompress(data) if data else b""
+                else:
+                    data, rest = self.waiting, b""
+                    out = self.stream.decompress(data, PIECE)
+                self.waiting = rest or getattr(self.stream, "unconsumed_tail", b"")
+                if self.stream.eof:
+                    self.waiting = self.stream.unused_data + rest
+                    self.between, self.ended = self.name != "deflate", self.name == "deflate"
+                if out or (not self.waiting and not self.stream.eof):
+                    return out
+        except UNREADABLE:
+            self.ended = True
+        return b""
+
+
+def flow(data: bytes, chain: list[Unpacker]) -> Iterator[tuple[int, bytes]]:
+    """(place in the chain, bytes) of what each unpacker gives, the next one fed with it; no bytes when no
+    more comes, unless the chain has grown by then. The deepest that can go on does, so no more than a piece waits at each."""
+    at = 0
+    while True:
+        for i in range(len(chain) - 1, -1, -1):
+            if out := chain[i].read():
+                if i + 1 < len(chain) and not chain[i + 1].ended:
+                    chain[i + 1].waiting += out
+                yield i, out
+                break
+        else:
+            if at < len(data) and not chain[0].ended:
+                chain[0].waiting += data[at : at + PIECE]
+                at += PIECE
+                continue
+            n = len(chain)
+            yield n - 1, b""
+            if len(chain) <= n:
+                return
+
+
+def unpacked(data: bytes, name: str) -> bytes | None:
+    """What a stream holds, if it is no more than WINDOW_BYTES; a raw stream has to end where the data do."""
+    parts, size, u = [], 0, Unpacker(name)
+    for _, out in flow(data, [u]):
+        parts.append(out)
+        size += len(out)
+        if size > WINDOW_BYTES:
+            return None
+    return b"" if name == "deflate" and (not u.stream.eof or u.waiting) else b"".join(parts)
+
+
+def outputs(data: bytes, names: list[str]) -> list[bytes]:
+    """A digest of all that each unpacker of a chain gives."""
+    hashes = [hashlib.blake2b(digest_size=16) for _ in names]
+    for i, out in flow(data, [Unpacker(n) for n in names]):
+        hashes[i].update(out)
+    return [h.digest() for h in hashes]
+
+
+def streamed(data: bytes, name: str) -> Iterator[tuple[str, bytes]]:
+    """(formats taken off, bytes) of a stream too long to be held, in windows that overlap: through as many
+    unpackers at once as there are layers, so only bytes of the last one are windows. A layer that is one
+    of the outer ones again, to the last byte, is not opened."""
+    chain, heads = [Unpacker(name)], [digest(data[:PIECE])]
+    begun = b""  # what the last unpacker gave before it is told what that is
+    trial: bytes | None = None  # what the newest unpacker was fed before it gave anything
+    plain = False  # the last one's bytes are no stream
+    held = b""
+
+    def opened_as_stream(start: bytes) -> bool:
+        inner = format_of(start)
+        if inner is None:
+            return False
+        if digest(start[:PIECE]) in heads:
+            every = [digest(data), *outputs(data, [u.name for u in chain])]
+            if every[-1] in every[:-1]:
+                return False
+        heads.append(digest(start[:PIECE]))
+        chain.append(Unpacker(inner))
+        chain[-1].waiting = start
+        return True
+
+    fresh = False
+    for i, out in flow(data, chain):
+        more = b""
+        if trial is not None and i == len(chain) - 2:
+            trial += out
+            if chain[-1].ended or len(trial) > WINDOW_BYTES:  # it was no stream
+                chain.pop()
+                more, trial, plain = trial, None, True
+        elif i == len(chain) - 1:
+            if out:
+                trial = None
+            if not out and trial is not None:
+                chain.pop()
+                more, trial, plain = trial, None, True
+            elif plain:
+                more = out
+            else:
+                begun += out
+                if begun and (len(begun) >= PIECE or not out):
+                    if opened_as_stream(begun):
+                        trial = begun
+                    else:
+                        more, plain = begun, True
+                    begun = b""
+        if more:
+            held, fresh = held + more, True
+            if len(held) >= WINDOW_BYTES:
+                yield "".join(f">{u.name}" for u in chain), held
+                held, fresh = held[-OVERLAP:], False
     if fresh:
-        yield held
+        yield "".join(f">{u.name}" for u in chain), held
 
 
 def as_text(data: bytes) -> str | None:
@@ -178,21 +286,53 @@ def as_text(data: bytes) -> str | None:
         return None
 
 
-def opened(data: bytes, names: str = "") -> Iterator[tuple[str, str]]:
-    """(formats taken off, text) of bytes that are text or compressed bytes, window by window. Bytes
-    that were compressed are scanned whatever they are; formats within formats are opened too."""
-    name = format_of(data)
-    found = False
-    if name:
-        for window in windows(pieces(data, name)):
-            found = True
-            yield from opened(window, f"{names}>{name}")
-    if not found and data:
-        text = as_text(data)
-        if text is None and names:
-            text = data.decode(errors="replace")
-        if text is not None:
-            yield names, text
+def wide_text(data: bytes) -> str | None:
+    """Text of two bytes a character, told by its mark or by many zero bytes at every other place."""
+    if len(data) < 8 or len(data) % 2 or b"\x00" not in data:
+        return None
+    zeros = [data[i::2].count(0) for i in (0, 1)]
+    code = "utf-16" if data[:2] in (b"\xff\xfe", b"\xfe\xff") else "utf-16-le" if zeros[1] * 8 > len(data) > zeros[0] * 40 else "utf-16-be" if zeros[0] * 8 > len(data) > zeros[1] * 40 else None
+    try:
+        return data.decode(code) if code else None
+    except UnicodeDecodeError:
+        return None
+
+
+def opened(data: bytes) -> Iterator[tuple[str, str]]:
+    """(formats taken off, text) of bytes that are text or compressed bytes. Layer after layer is taken
+    off, whatever their number, until one is no stream or has been there before, by its digest; from a
+    layer of more than WINDOW_BYTES on, the layers are gone through as streams. Bytes that were
+    compressed are scanned whatever they are."""
+    names: list[str] = []
+    seen = {digest(data)}
+    while True:
+        name = format_of(data)
+        out = unpacked(data, name) if name else b""
+        text = None
+        if name is None or out == b"":
+            wide = wide_text(data)
+            if wide is not None:
+                yield "".join([*names, ">utf-16"]), wide
+                return
+            text = as_text(data)
+            if text is None and data:
+                name = "deflate"
+                out = unpacked(data, name)
+        if out is None:
+            for formats, window in streamed(data, name):
+                yield "".join([*names, formats]), window.decode(errors="replace")
+            return
+        if out == b"":
+            if text is None and names:
+                text = data.decode(errors="replace")
+            if text:
+                yield "".join(names), text
+            return
+        names.append(f">{name}")
+        data = out
+        if digest(data) in seen:
+            return
+        seen.add(digest(data))
 
 
 def byte_ends(text: str) -> np.ndarray:

@@ -15,6 +15,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -209,6 +210,72 @@ def test_secrets_bomb_and_loops():
     assert secret_scan.spans("%25" * 400) == []
 
 
+def test_secrets_below_any_number_of_compressed_layers():
+    x = SECRET_TEXT
+    for _ in range(2000):
+        x = gzip.compress(x, mtime=0)
+    (found,) = secret_scan.spans(base64.b64encode(x).decode())
+    assert found[0] == "assign" and found[4] == "text>base64" + ">gzip" * 2000
+
+
+SECRET_TEXT = b"password = hunter2hunter2 end. "
+PACKERS = {
+    "gzip": lambda d: gzip.compress(d, 1), "zlib": lambda d: zlib.compress(d, 1), "bz2": lambda d: bz2.compress(d, 1), "xz": lambda d: lzma.compress(d, preset=0),
+    "zstd": lambda d: zstandard.ZstdCompressor().compress(d),
+}
+
+
+@pytest.mark.parametrize("names", [("gzip", "gzip"), ("zstd", "xz", "gzip"), ("zlib", "bz2"), ("gzip", "zstd", "zlib", "gzip"), ("gzip", "bz2")])
+def test_secrets_below_long_compressed_layers(names, monkeypatch):
+    """Layers longer than what is held are streams within streams."""
+    monkeypatch.setattr(secret_scan, "WINDOW_BYTES", 300_000)
+    monkeypatch.setattr(secret_scan, "OVERLAP", 1000)
+    x = np.random.default_rng(1).integers(103, 123, 2_000_000, np.uint8).tobytes() + SECRET_TEXT
+    for n in names:
+        x = PACKERS[n](x)
+    assert [f[4] for f in secret_scan.spans(base64.b64encode(x).decode()) if f[0] == "assign"] == ["text>base64" + "".join(f">{n}" for n in reversed(names))]
+    # in the middle of a long text, in a member of its own, and with bytes behind it
+    middle = gzip.compress(b"w" * 400_000) + gzip.compress(SECRET_TEXT + b"z" * 700_000) + b"rest"
+    assert any(f[0] == "assign" for f in secret_scan.spans(base64.b64encode(gzip.compress(middle)).decode()))
+
+
+def test_what_only_begins_like_a_stream(monkeypatch):
+    monkeypatch.setattr(secret_scan, "WINDOW_BYTES", 200_000)
+    for start in (b"x\x9c", b"\x1f\x8b\x08\x00", b"BZh9", b"\xfd7zXZ\x00"):
+        noise = start + SECRET_TEXT + np.random.default_rng(2).integers(103, 123, 500_000, np.uint8).tobytes()
+        assert any(f[0] == "assign" for f in secret_scan.spans(base64.b64encode(gzip.compress(noise)).decode())), start
+
+
+@pytest.mark.parametrize("size", [500, 50_000])
+def test_a_stream_that_holds_itself_ends(size, monkeypatch):
+    monkeypatch.setattr(secret_scan, "WINDOW_BYTES", 4096)
+    monkeypatch.setattr(secret_scan, "PIECE", 512)
+    itself = b"\x1f\x8b" + np.random.default_rng(3).integers(0, 256, size, np.uint8).tobytes()
+
+    class Same:
+        unused_data = unconsumed_tail = b""
+
+        def __init__(self):
+            self.got, self.eof = b"", False
+
+        def decompress(self, data, most):
+            self.got += data
+            self.eof = self.got == itself
+            return data
+
+    monkeypatch.setitem(secret_scan.DECOMPRESSORS, "gzip", Same)
+    assert list(secret_scan.opened(itself)) == [] or size > 4096
+    assert len(list(secret_scan.opened(itself))) < 100
+
+
+def test_secrets_in_wide_text_and_raw_streams():
+    text = (SECRET_TEXT * 2).decode()
+    raw = zlib.compressobj(wbits=-15)
+    raw = raw.compress(SECRET_TEXT * 3) + raw.flush()
+    for data, layer in ((text.encode("utf-16-le"), "utf-16"), (text.encode("utf-16-be"), "utf-16"), (text.encode("utf-16"), "utf-16"), (raw, "deflate"), (gzip.compress(text.encode("utf-16-le")), "gzip>utf-16")):
+        assert {f[4] for f in secret_scan.spans("see " + base64.b64encode(data).decode())} == {f"text>base64>{layer}"}
+
+
 def test_licenses(spark, docs, empty):
     text = "Intro words. " + licenses.TEMPLATES["MIT"] + " Middle. Licenced UNDER the apache license,  version 2.0 end"
     got = licenses.Index(licenses.TEMPLATES).matches(text)
