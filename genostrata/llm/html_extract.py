@@ -8,8 +8,10 @@ one of a single page counts fully. A branch's importance is the mean of its text
 with the mean of its layouts. Branches of low importance are cut from each page of the host, if
 enough pages show them. An article or main element, where a page has one, is the page's main branch:
 it is not cut itself, and branches within it are cut only if they count next to nothing while the
-main branch as a whole differs from page to page. What is boilerplate by its tag or class goes on
-any page.
+main branch as a whole differs from page to page. What is boilerplate by its tag goes on any page. A
+word of a class, id or role that tells boilerplate, and a form or page header, is a reason to leave
+a block element out, but no more: not if all of the page's main branch is in it, and if it holds most
+of the page's text only if the word tells what readers or advertisers added.
 
 Only counts leave the pages: they are summed for each host, path and text before and after they are
 shuffled, so a host with very many pages costs no more than its distinct texts. The cut paths of a
@@ -57,7 +59,7 @@ BLOCKS = set(
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes noscript template svg math".split())
 DROPPED = set(
-    "script style noscript template head title nav footer aside form button select textarea input iframe svg math canvas object menu dialog audio video map search option optgroup".split()
+    "script style noscript template head title nav footer aside button select textarea input iframe svg math canvas object menu dialog audio video map search option optgroup".split()
 )
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSES_P = BLOCKS - {"html", "body", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "title", "option", "optgroup", "legend"}
@@ -67,6 +69,17 @@ BOILERPLATE = set(
     "footer masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion "
     "related respond reply replies share sharing sidebar signup skip skyscraper social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
+#: Of these, parts that tell what readers or advertisers added, whatever its length.
+ADDED = set(
+    "ad ads advert adverts advertisement advertising adsense captcha comment comments commentlist consent cookie cookies disqus menu nav navbar navigation newsletter "
+    "pagination popup reply replies respond sponsor sponsored subscribe subscription".split()
+)
+#: Parts of names that say something of the page around an element, or of what it is filed under, and not what it is.
+ASIDE_WORDS = set("no not non with without has have open closed enabled disabled layout".split())
+FILED = set("tag category cat topic term author type format status".split())
+#: Tags that hold a page or its main branch, whatever they are named.
+PLAIN = set("html body main article".split())
+SOFT = {"form"}
 #: Tags whose attributes are read.
 JUDGED = BLOCKS | {"span", "ins"}
 NAME = re.compile(r"[a-z]+|[A-Z][a-z]*")
@@ -74,15 +87,24 @@ SPACES = re.compile(r"\s+")
 
 
 class Element:
-    """An open element: its style path, whether it is dropped by tag or class or cut by the tree, the
-    path of the main branch it is in (0 for none), and the paths of its children."""
+    """An open element: its style path, whether it is dropped by tag or cut by the tree, the path of the
+    main branch it is in (0 for none), how far its name tells boilerplate (0 to 2), the nearest such
+    element from itself upwards, and the paths of its children."""
 
-    __slots__ = ("children", "dropped", "main", "parent", "path", "tag")
+    __slots__ = ("children", "dropped", "main", "named", "parent", "path", "soft", "tag")
 
-    def __init__(self, tag: str, parent: Element | None, path: int, dropped: bool, main: int) -> None:
-        self.tag, self.parent, self.path, self.dropped, self.main = tag, parent, path, dropped, main
+    def __init__(self, tag: str, parent: Element | None, path: int, dropped: bool, main: int, soft: int = 0) -> None:
+        self.tag, self.parent, self.path, self.dropped, self.main, self.soft = tag, parent, path, dropped, main, soft
+        self.named: Element | None = self if soft else parent.named if parent else None
         self.children: list[int] = []
 
+    def reasons(self) -> Iterator[Element]:
+        """The elements from this one upwards whose names tell boilerplate."""
+        e = self.named
+        while e is not None:
+            yield e
+            e = e.parent.named if e.parent else None
+
 
 def parts(value: str) -> set[str]:
     return {x.lower() for x in NAME.findall(value)}
@@ -92,7 +114,7 @@ class Reader:
     """Reads pages into blocks. Elements of equal parent, tag and attributes share what is known of them."""
 
     def __init__(self) -> None:
-        self.known: dict[tuple, tuple[int, bool, int]] = {}
+        self.known: dict[tuple, tuple[int, bool, int, int]] = {}
 
     def child(self, parent: Element, tag: str, attributes: str) -> Element:
         told = attributes if tag in JUDGED else ""
@@ -106,23 +128,60 @@ class Reader:
         return Element(tag, parent, *got)
 
     @staticmethod
-    def judged(parent: Element, tag: str, attributes: str) -> tuple[int, bool, int]:
-        dropped, article, style = parent.dropped or tag in DROPPED, parent.main != 0, ""
+    def judged(parent: Element, tag: str, attributes: str) -> tuple[int, bool, int, int]:
+        dropped, article, style, soft = parent.dropped or tag in DROPPED, parent.main != 0, "", int(tag in SOFT)
         for m in ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name == "class":
                 style = " ".join(sorted(value.split()))
             if name in ("class", "id", "role"):
-                names = parts(value)
-                dropped |= bool(names & BOILERPLATE) or ("header" in names and not article and tag not in ("h1", "h2", "h3"))
+                for token in value.split():
+                    names = parts(token)
+                    if names & ASIDE_WORDS or NAME.match(token) and NAME.match(token)[0].lower() in FILED:
+                        continue
+                    if names & BOILERPLATE or ("header" in names and not article and tag not in ("h1", "h2", "h3")):
+                        soft = max(soft, 1 + bool(names & ADDED))
                 article |= name == "role" and value == "main"
             dropped |= (name == "hidden") or (name == "aria-hidden" and value == "true")
             article |= name == "itemprop" and value == "articleBody"
         if tag == "header" and not article:
-            dropped = True
+            soft = 2
         article |= tag in ("article", "main")
+        if tag in PLAIN:
+            soft = 0
+        elif tag not in BLOCKS:  # holds no other block
+            dropped, soft = dropped or soft > 0, 0
         path = xxhash.xxh64_intdigest(f"{parent.path} {tag} {style}") >> 1
-        return path, dropped, parent.main or (path if article else 0)
+        return path, dropped, parent.main or (path if article else 0), soft
+
+    @staticmethod
+    def settle(found: list[tuple[Element, str]], nodes: list[Element]) -> None:
+        """Drop what is boilerplate by its name, now that the whole page has been read: an element so named that
+        doesn't hold all of the main branch, nor, named in the weaker way, most of the text (within the main
+        branch, three quarters, and no form). If then nothing is left of the main branch, what stands below the fewest of such elements is."""
+        live = [(e, len(t)) for e, t in found if not e.dropped]
+        live = [x for x in live if x[0].main] or live
+        total, blocks, size, count = sum(n for _, n in live), len(live), {}, {}
+        for e, n in live:
+            for r in e.reasons():
+                size[r], count[r] = size.get(r, 0) + n, count.get(r, 0) + 1
+        mains = any(e.main for e, _ in live)
+
+        def holds_most(r: Element) -> bool:
+            return r.soft == 1 and (4 * size[r] > 3 * total and r.tag not in SOFT if r.main else 2 * size[r] > total)
+
+        fine = {r for r in size if (mains and count[r] == blocks) or holds_most(r)}
+        against: dict[Element, int] = {}
+
+        def number(e: Element) -> int:
+            if e not in against:
+                against[e] = sum(r not in fine for r in e.reasons())
+            return against[e]
+
+        least = min((number(e) for e, _ in live), default=0) if mains else 0
+        for e in {*(e for e, _ in found), *nodes}:
+            if number(e) > least:
+                e.dropped = True
 
     def blocks(self, page: str, cut: set[int] | None = None) -> tuple[list[tuple[Element, str]], list[Element]]:
         """The page's blocks in order, each with the element that holds it, and all its block elements.
@@ -148,7 +207,7 @@ class Reader:
                 if token[:2] not in ("<!", "<?"):
                     if not words:
                         holder = next((e for e in reversed(stack) if e.tag in BLOCKS), root)
-                    if not stack[-1].dropped or holder.dropped:
+                    if not stack[-1].dropped or holder.dropped:  # a dropped inline element's text goes, the rest of the block stays
                         words.append(token)
                 continue
             tag, closing = tag.lower(), m[1] or m[4]
@@ -200,6 +259,7 @@ class Reader:
                 continue
             stack.append(element)
         flush()
+        self.settle(out, nodes)
         return out, nodes
 
     def text(self, page: str | None, cut: set[int]) -> str:

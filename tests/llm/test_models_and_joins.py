@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -109,6 +110,31 @@ def test_html(spark):
     assert html_extract.extract(df.limit(0)).collect() == []
 
 
+HELLO = "<p>Hello main text</p>"
+NAMED = [
+    (f'<body class="no-sidebar"><article>{HELLO}</article></body>', "Hello main text"),
+    (f'<body class="page comments-open"><article>{HELLO}</article></body>', "Hello main text"),
+    (f'<body class="sidebar widget"><main>{HELLO}<div class="comments"><p>nice</p></div></main></body>', "Hello main text"),
+    (f'<article class="post tag-related">{HELLO}</article>', "Hello main text"),
+    (f'<div class="article-with-sidebar"><article>{HELLO}</article></div>', "Hello main text"),
+    (f'<div class="sidebar"><article>{HELLO}</article></div>', "Hello main text"),
+    (f'<form id="aspnetForm"><div class="sidebar">s</div><article>{HELLO}<form>go</form></article><footer>f</footer></form>', "Hello main text"),
+    (f'<div id="post"><article>{HELLO}</article></div><div class="comments"><article class="comment">nice, and longer than the text is</article></div>', "Hello main text"),
+    (f'<header class="top"><div><article>{HELLO}</article></div></header>', "Hello main text"),
+    (f'<div class="page sidebar-page">{HELLO}</div><div class="related">r</div>', "Hello main text"),
+    (f'<form id="f">{HELLO}</form><div class="sidebar">x</div>', "Hello main text"),
+    (f"<header>Site</header>{HELLO}", "Hello main text"),
+    ('<div class="comments"><p>talk</p></div>', ""),
+    ('<body class="no-comments"><div id="respond"><p>talk</p></div></body>', ""),
+    (f'<main><div class="widget"><h1>T</h1>{HELLO}</div><div class="share">on</div></main>', "T\nHello main text"),
+]
+
+
+@pytest.mark.parametrize("page,want", NAMED)
+def test_html_names_are_no_verdict_on_what_holds_the_main_branch(page, want):
+    assert html_extract.Reader().text(page, set()) == want
+
+
 def test_html_style_tree(spark):
     """Without an article, what stands on every page of the host is cut, and what differs stays."""
     page = '<div class="x1"><p>Welcome to our site</p></div><div class="x2"><p>Story number {} is told here</p></div><div class="x3"><p>All rights kept</p></div>'
