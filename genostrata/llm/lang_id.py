@@ -22,6 +22,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -264,39 +266,41 @@ def some_of(text: str, key: int) -> str:
 def learned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", seed: int = 5) -> Network:
     """A network from a sample of SAMPLE_ROWS rows of each language and SAMPLE_CHARS characters of each.
 
-    The rows of least keyed hash among all that have a language and are not held out are taken. Rows
-    are counted by language, and only the few thousand of lowest hashes are ranked; the sample and
-    the counts alone reach the driver.
+    The rows of least keyed hash of doc_id and text, among all that have a language and are not held out, are
+    taken; rows that are equal in both count as one. Rows are counted by language, and only the few thousand
+    of lowest hashes are ranked; of a language whose rows are so much alike that too few are among these, all
+    distinct ones are. The sample and the counts alone reach the driver.
     """
-    rows = docs.where(F.col(lang).isNotNull() & ~held_out(F.col(doc_id))).select(
-        F.col(lang).alias("y"), F.col(text).alias("x"), F.xxhash64(F.lit(seed), F.col(doc_id)).alias("u")
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(doc_id))).select(
+        F.col(lang).alias("y"), F.col(text).alias("x"), F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)).alias("u")
     )
-    counts = rows.groupBy("y").count().limit(MOST_LANGUAGES + 1).collect()  # one row for each language
+    counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().limit(MOST_LANGUAGES + 1).collect()}  # one row for each language
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    # hashes are even, so three times the share that is needed holds enough rows, and few to rank
-    low = None
-    for r in counts:
-        share = 3 * SAMPLE_ROWS / r["count"]
-        c = (F.col("y") == r["y"]) & (F.col("u") <= (2**63 - 1 if share >= 1 else int(share * 2**64) - 2**63))
-        low = c if low is None else low | c
-    if low is None:
+    if not counts:
         return train([], seed)
-    rank = F.row_number().over(Window.partitionBy("y").orderBy("u"))
-    limits = rows.where(low).select("y", "u").withColumn("rank", rank).where(F.col("rank") <= SAMPLE_ROWS).groupBy("y").agg(F.max("u").alias("most")).collect()
-    within = None
-    for r in limits:
-        c = (F.col("y") == r["y"]) & (F.col("u") <= r["most"])
-        within = c if within is None else within | c
-    if within is None:  # all rows of each language have one hash above the share: the limit below bounds them
-        within = F.lit(True)
+    # hashes are even, so three times the share that is needed holds enough rows, and few to rank
+    shares = {y: 3 * SAMPLE_ROWS / n for y, n in counts.items()}
+    low = reduce(or_, ((F.col("y") == y) & (F.col("u") <= (2**63 - 1 if s >= 1 else int(s * 2**64) - 2**63)) for y, s in shares.items()))
+
+    def least(some: DataFrame) -> dict[str, tuple[int, int]]:
+        """(greatest hash, count) of each language's distinct rows of least hash."""
+        rank = F.row_number().over(Window.partitionBy("y").orderBy("u"))
+        ranked = some.select("y", "u").distinct().withColumn("rank", rank).where(F.col("rank") <= SAMPLE_ROWS)
+        return {r["y"]: (r["most"], r["n"]) for r in ranked.groupBy("y").agg(F.max("u").alias("most"), F.count("u").alias("n")).collect()}
+
+    limits = least(rows.where(low))
+    alike = [y for y, s in shares.items() if s < 1 and limits.get(y, (0, 0))[1] < SAMPLE_ROWS]
+    if alike:
+        limits |= least(rows.where(F.col("y").isin(alike)))
+    within = reduce(or_, ((F.col("y") == y) & (F.col("u") <= most) for y, (most, _) in limits.items()))
 
     def draw(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            yield pd.DataFrame({"y": p["y"], "x": [some_of(x, u) for x, u in zip(p["x"], p["u"])]})
+            yield pd.DataFrame({"y": p["y"], "u": p["u"], "x": [some_of(x, u) for x, u in zip(p["x"], p["u"])]})
 
-    chosen = rows.where(within & F.col("x").isNotNull()).mapInPandas(draw, "y string, x string")
-    return train([(r["x"], r["y"]) for r in chosen.limit(2 * SAMPLE_ROWS * len(limits)).collect()], seed)
+    chosen = rows.where(within).mapInPandas(draw, "y string, u long, x string").dropDuplicates(["y", "u"])
+    return train(sorted((r["x"], r["y"]) for r in chosen.collect()), seed)
 
 
 def identify(docs: DataFrame, net: Network, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:

@@ -110,6 +110,22 @@ def test_html(spark):
     assert html_extract.extract(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("doc_id", [1, 7, 12345])
+def test_a_language_is_learned_whatever_the_ids(spark, doc_id, monkeypatch):
+    """Rows under one doc_id, and rows that are all the same."""
+    sample = []
+    monkeypatch.setattr(lang_id, "train", lambda rows, seed: sample.append(rows))
+    rows = spark.range(6000).select(
+        F.lit(doc_id).cast("long").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("all the same")).otherwise(F.concat(F.lit("text number "), F.col("id"))).alias("text"), F.when(F.col("id") % 3 == 0, "aa").otherwise("bb").alias("lang")
+    )
+    lang_id.learned(rows)
+    if zlib.crc32(str(doc_id).encode()) % 4 == 2:
+        assert sample == [[]]
+        return
+    found = Counter(y for _, y in sample[0])
+    assert found == {"aa": 1, "bb": lang_id.SAMPLE_ROWS} and ("all the same", "aa") in sample[0]
+
+
 HELLO = "<p>Hello main text</p>"
 NAMED = [
     (f'<body class="no-sidebar"><article>{HELLO}</article></body>', "Hello main text"),
