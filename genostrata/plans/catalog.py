@@ -261,7 +261,7 @@ def cluster_cost_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def run_pair_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = compare.pair_measures(compare.aligned_pairs(long_runs(spark, sf_dir)), ["run1", "run2"])
+    m = compare.run_measures(long_runs(spark, sf_dir))
     return m.select("run1", "run2", *(r6(c).alias(c) for c in ("rmse", "jsd", "frobenius", "cost")))
 
 
@@ -269,14 +269,13 @@ def run_pair_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rmse_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error and divergence of an estimate, whose columns are in an order of their own, against the truth."""
     two = long_form(views.q_true(spark, sf_dir)).withColumn("run_id", F.lit(0)).unionByName(long_form(views.q_est(spark, sf_dir, 0, 3)).withColumn("run_id", F.lit(1)))
-    p = compare.aligned_pairs(two)
-    return compare.pair_measures(p, []).select(r6("rmse").alias("rmse"), r6("jsd").alias("jsd"))
+    return compare.run_measures(two).select(r6("rmse").alias("rmse"), r6("jsd").alias("jsd"))
 
 
 @query
 def corr_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = compare.correlations(compare.aligned_pairs(long_runs(spark, sf_dir)), ["run1", "run2"])
-    return c.withColumn("correlation", r6("correlation"))
+    c = compare.run_measures(long_runs(spark, sf_dir))
+    return c.select("run1", "run2", r6("correlation").alias("correlation"))
 
 
 @query
@@ -294,8 +293,7 @@ def merge_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def representative_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    costs = compare.pair_measures(compare.aligned_pairs(long_runs(spark, sf_dir)), ["run1", "run2"])
-    return compare.representative(costs).withColumn("total", r6("total"))
+    return compare.representative(compare.run_measures(long_runs(spark, sf_dir))).withColumn("total", r6("total"))
 
 
 @query
