@@ -2,7 +2,7 @@
 apart, and one order of the columns for all.
 
 Modes are few, so what comes to the driver is a K by K matrix of products for each two of them, from
-one aggregation over (mode, sample_id, k, q); memberships stay in Spark.
+one pass over (mode, sample_id, k, q); memberships stay in Spark.
 """
 
 from __future__ import annotations
@@ -45,14 +45,8 @@ class Link:
 
 
 def products(modes: DataFrame) -> Products:
-    a, b = modes.alias("a"), modes.alias("b")
-    pairs = a.join(b, (F.col("a.sample_id") == F.col("b.sample_id")) & (F.col("a.mode") <= F.col("b.mode")))
-    sums = pairs.groupBy(F.col("a.mode").alias("i"), F.col("b.mode").alias("j"), F.col("a.k").alias("ka"), F.col("b.k").alias("kb")).agg(F.sum(F.col("a.q") * F.col("b.q")).alias("x"))
-    ks = {r["mode"]: r["n"] for r in modes.groupBy("mode").agg((F.max("k") + 1).alias("n")).collect()}  # a row for each mode
-    of: dict[tuple[str, str], np.ndarray] = {}
-    for r in sums.toLocalIterator():
-        of.setdefault((r["i"], r["j"]), np.zeros((ks[r["i"]], ks[r["j"]])))[r["ka"], r["kb"]] = r["x"]
-    return Products(of, ks, modes.select("sample_id").distinct().count())
+    c = align.columns_of(modes.withColumnRenamed("mode", "run_id"))
+    return Products({(i, j): c.gram[c.place(i), c.place(j)] for i in c.ids for j in c.ids if i <= j}, c.ks, c.n)
 
 
 def link(x: Products, low: str, high: str) -> Link:
@@ -131,3 +125,12 @@ def table(modes: DataFrame) -> DataFrame:
     links, anchors = graph(products(modes))
     rows = [(one.low, one.high, one.cost, one in anchors) for one in links]
     return modes.sparkSession.createDataFrame(rows, "low string, high string, cost double, anchor boolean")
+
+
+def of_runs(runs: DataFrame, test: bool = True, mean: bool = False) -> tuple[list[dict], Products, DataFrame]:
+    """The modes of runs of several K, the products of their columns, and the modes' rows with the columns that go
+    together in one place: representatives, or means of the runs of each."""
+    found = align.modes(runs, test)
+    rows = align.mode_rows(runs, found, mean).persist()
+    x = products(rows)
+    return found, x, reordered(rows, orders(x))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..durable import shared_folder
-from ..operators import align, mode_graph
+from ..operators import align, layout, mode_graph
 from ..operators.layout import numbered
 from . import blocks as bl
 from . import fit, views
@@ -196,6 +196,35 @@ def mode_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def filemap_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of three numbers of clusters, as a filemap names them: those of the full number, and with their last two
+    or four columns summed."""
+    out = None
+    for n, less in enumerate((0, 1, 3)):
+        last = views.K - 1 - less
+        one = long_runs(spark, sf_dir).select((F.col("run_id") + 10 * n).alias("run_id"), "sample_id", F.pmod(F.col("k") + F.col("run_id"), F.lit(views.K)).alias("k"), "q")
+        one = one.groupBy("run_id", "sample_id", F.least("k", F.lit(last)).cast("int").alias("k")).agg(F.sum("q").alias("q"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def filemap_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The modes of runs of several K, by K, with how well their runs agree."""
+    rows = [(m["mode"], m["k"], m["representative"], m["size"], round(m["cost"], 9), round(m["performance"], 6)) for m in align.modes(filemap_runs(spark, sf_dir))]
+    return spark.createDataFrame(rows, "mode string, n_clusters int, representative int, size int, cost double, performance double")
+
+
+@query
+def filemap_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bars of the modes' mean memberships, columns that go together in one place, samples in one order."""
+    rows = mode_graph.of_runs(filemap_runs(spark, sf_dir), mean=True)[2]
+    stacks = layout.cumulative_bars(rows.withColumn("q", F.round("q", 9)).withColumn("_s", F.struct("mode", "sample_id")).select(F.col("_s").alias("sample_id"), "k", "q"))
+    order = layout.sample_order(views.q_est(spark, sf_dir).withColumn("q", F.transform("q", lambda x: F.round(x, 9))), views.labelled(spark, sf_dir)).select("sample_id", "pos")
+    bars = stacks.select(F.col("sample_id.mode").alias("mode"), F.col("sample_id.sample_id").alias("sample_id"), "k", "low", "high").join(order, "sample_id")
+    return bars.select("mode", "pos", "k", F.abs(r6("low")).alias("low"), r6("high").alias("high"))
+
+
 @query
 def modes_across_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Costs between modes of one and of neighbouring numbers of clusters, and which lead from one to the next."""
