@@ -1,10 +1,11 @@
 """Genotype files as packed rows (variant_id, n, bits) or in long form (variant_id, sample_id, g).
 
 Text formats are read by lines with column expressions. Of binary files a plan is made, a row for
-each range of records with its place among all variants; tasks read their ranges alone. A folder or
-pattern of files is one data set, in the order of the names. A compressed BED or BCF file is one
-task's, which goes through it piece by piece; a compressed PGEN file is decompressed in a task's
-memory. Chromosomes are chosen on packed rows, before genotypes are spread out.
+each range of records with its place among all variants; tasks read their ranges alone. If variants are
+chosen, ranges without any are not planned, and within the others tasks read and decode the chosen
+records only. A folder or pattern of files is one data set, in the order of the names. A compressed BED
+or BCF file is one task's, which goes through it piece by piece; a compressed PGEN file is decompressed
+in a task's memory.
 """
 
 from __future__ import annotations
@@ -103,19 +104,40 @@ def files_of(spark: SparkSession, path: str, look: Callable[[str, int], tuple[in
     return rows.withColumn("offset", F.coalesce(F.sum("m").over(before), F.lit(0)))
 
 
-def ranges(files: DataFrame) -> DataFrame:
-    """(path, n, whole, first, count, offset), dealt so that each is a task's or few are. A range has a
-    power of two of variants, so it never crosses a block of an index."""
+def ranges(files: DataFrame, kept: DataFrame | None = None) -> DataFrame:
+    """(path, n, whole, first, count, offset, records), dealt so that each is a task's or few are. A range has a
+    power of two of variants, so it never crosses a block of an index.
+
+    kept: variant_id of the variants to be read. Ranges that have none of them go, and records lists theirs
+    by their place in the file, at most VARIANT_RANGE; of a file that is read whole all are read.
+    """
     most = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(F.lit(1.0), F.lit(float(RANGE_BYTES)) / F.greatest(F.ceil(F.col("n") / 4), F.lit(1))))))
     step = F.when(F.col("whole"), F.col("m")).otherwise(F.least(F.lit(VARIANT_RANGE), most).cast("long"))
     cut = files.where("m > 0").withColumn("step", step).withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1, F.col("step"))))
-    tasks = files.where("m > 0").agg(F.sum(F.ceil(F.col("m") / step))).first()[0] or 1
     parts = cut.select("path", "n", "whole", "first", F.least("step", F.col("m") - F.col("first")).alias("count"), "offset")
-    return parts.repartition(int(min(tasks, MOST_TASKS)), "path", "first")
-
-
-def bed_packed(spark: SparkSession, path: str, n_samples: int, n_variants: int) -> DataFrame:
-    """Packed rows of BED files that hold n_variants together."""
+    if kept is None:
+        tasks = files.where("m > 0").agg(F.sum(F.ceil(F.col("m") / step))).first()[0] or 1
+        return parts.withColumn("records", F.lit(None).cast("array<long>")).repartition(int(min(tasks, MOST_TASKS)), "path", "first")
+    low, columns = F.col("offset") + F.col("first"), ["path", "n", "whole", "first", "count", "offset"]
+    near = parts.where("NOT whole").withColumn("near", F.explode(F.sequence(F.floor(low / VARIANT_RANGE), F.floor((low + F.col("count") - 1) / VARIANT_RANGE))))
+    wanted = kept.select(F.col("variant_id").cast("long").alias("v"), F.floor(F.col("variant_id") / VARIANT_RANGE).alias("near"))
+    some = near.join(wanted, "near").where((F.col("v") >= low) & (F.col("v") < low + F.col("count")))
+    some = some.groupBy(*columns).agg(F.sort_array(F.collect_list(F.col("v") - F.col("offset"))).alias("records")).persist()
+    tasks = some.count() + files.where("whole AND m > 0").count()
+    return some.unionByName(parts.where("whole").withColumn("records", F.lit(None).cast("array<long>"))).repartition(int(max(1, min(tasks, MOST_TASKS))), "path", "first")
+
+
+def stretches(first: int, count: int, wanted: np.ndarray | None) -> Iterator[tuple[int, int]]:
+    """(first, count) of the records to be read one after the other: all of a range, or the runs of those wanted."""
+    if wanted is None:
+        yield int(first), int(count)
+        return
+    for run in np.split(np.asarray(wanted), np.flatnonzero(np.diff(wanted) > 1) + 1):
+        yield int(run[0]), len(run)
+
+
+def bed_packed(spark: SparkSession, path: str, n_samples: int, n_variants: int, kept: DataFrame | None = None) -> DataFrame:
+    """Packed rows of BED files that hold n_variants together, or of those that are kept."""
     stride = (n_samples + 3) // 4
 
     def look(name: str, length: int) -> tuple[int, int, bool]:
@@ -136,21 +158,29 @@ def bed_packed(spark: SparkSession, path: str, n_samples: int, n_variants: int)
     def decode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codes, slab = tuple(records.BED_CODES.tolist()), max(1, RANGE_BYTES // stride)
         for p in parts:
-            for name, whole, first, count, offset in zip(p["path"], p["whole"], p["first"], p["count"], p["offset"]):
+            for name, whole, first, count, offset, wanted in zip(p["path"], p["whole"], p["first"], p["count"], p["offset"], p["records"]):
                 with records.stream(name) if whole else records.opened(name) as f:
                     if whole:
                         records.exactly(f, 3)
-                    else:
-                        f.seek(3 + int(first) * stride)
-                    for at in range(0, int(count), slab):
-                        raw = records.exactly(f, min(slab, int(count) - at) * stride)
-                        yield packed_rows(int(offset + first) + at, records.recoded(raw, codes, n_samples), n_samples)
+                    for begin, n in stretches(first, count, wanted):
+                        if not whole:
+                            f.seek(3 + begin * stride)
+                        for at in range(begin, begin + n, slab):
+                            raw = records.exactly(f, min(slab, begin + n - at) * stride)
+                            yield packed_rows(int(offset) + at, records.recoded(raw, codes, n_samples), n_samples)
 
-    return ranges(files).mapInPandas(decode, PACKED)
+    return of_kept(ranges(files, kept).mapInPandas(decode, PACKED), files, kept)
 
 
-def pgen_packed(spark: SparkSession, path: str) -> DataFrame:
-    """Packed rows of PGEN files with hard calls of fixed or variable width."""
+def of_kept(rows: DataFrame, files: DataFrame, kept: DataFrame | None) -> DataFrame:
+    """rows of the kept variants alone; those of files that were read whole still have others."""
+    if kept is None or not files.where("whole").limit(1).count():
+        return rows
+    return rows.join(kept.select("variant_id"), "variant_id", "left_semi")
+
+
+def pgen_packed(spark: SparkSession, path: str, kept: DataFrame | None = None) -> DataFrame:
+    """Packed rows of PGEN files with hard calls of fixed or variable width, all or those that are kept."""
 
     def look(name: str, _: int) -> tuple[int, int, bool]:
         whole = records.is_compressed(name)
@@ -160,13 +190,15 @@ def pgen_packed(spark: SparkSession, path: str) -> DataFrame:
 
     def decode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            for name, n, whole, first, count, offset in zip(p["path"], p["n"], p["whole"], p["first"], p["count"], p["offset"]):
+            for name, n, whole, first, count, offset, wanted in zip(p["path"], p["n"], p["whole"], p["first"], p["count"], p["offset"], p["records"]):
                 with io.BytesIO(records.stream(name).read()) if whole else records.opened(name) as f:
-                    for at in range(int(first), int(first + count), VARIANT_RANGE):
-                        g = records.pgen_rows(f, at, min(VARIANT_RANGE, int(first + count) - at))
-                        yield packed_rows(int(offset) + at, records.packed(g), int(n))
+                    for begin, length in stretches(first, count, wanted):
+                        for at in range(begin, begin + length, VARIANT_RANGE):
+                            g = records.pgen_rows(f, at, min(VARIANT_RANGE, begin + length - at))
+                            yield packed_rows(int(offset) + at, records.packed(g), int(n))
 
-    return ranges(files_of(spark, path, look).persist()).mapInPandas(decode, PACKED)
+    files = files_of(spark, path, look).persist()
+    return of_kept(ranges(files, kept).mapInPandas(decode, PACKED), files, kept)
 
 
 def bcf_packed(spark: SparkSession, path: str) -> DataFrame:
@@ -251,7 +283,7 @@ def read_packed(spark: SparkSession, path: str, mode: str = "autosomes", autosom
     its alleles counted by the rarer overall. Nothing left to read is an error."""
     kind, base = paths.format_of(path), paths.stem(path)
     file = path if paths.exists(spark, path) else paths.first_of(spark, f"{base}.{kind}")
-    samples = None
+    samples = wanted = None
     if kind == "vcf":
         variants, calls, n = vcf_calls(spark, file)
         rows = packed_calls(calls, n)
@@ -261,19 +293,20 @@ def read_packed(spark: SparkSession, path: str, mode: str = "autosomes", autosom
     else:
         side = paths.first_of(spark, f"{base}.pvar", f"{base}.bim") if kind == "pgen" else paths.first_of(spark, f"{base}.bim")
         variants = sidecars.pvar(spark, side) if ".pvar" in side else sidecars.bim(spark, side)
+        wanted = chosen(variants, mode, autosomes, chromosomes).select("variant_id") if mode != "all" else None
         if kind == "bed":
             samples = sidecars.fam(spark, paths.first_of(spark, f"{base}.fam"))
             n = samples.count()
             if n == 0:
                 raise BadFile("no samples")
-            rows = bed_packed(spark, file, n, variants.count())
+            rows = bed_packed(spark, file, n, variants.count(), wanted)
         else:
             samples = sidecars.psam(spark, paths.first_of(spark, f"{base}.psam"))
-            rows = pgen_packed(spark, file)
+            rows = pgen_packed(spark, file, wanted)
     kept = chosen(variants, mode, autosomes, chromosomes)
     if kept.limit(1).count() == 0:
         raise BadFile("no variant is left")
-    if mode != "all":
+    if mode != "all" and wanted is None:
         rows = rows.join(kept.select("variant_id"), "variant_id", "left_semi")
     return kept, flip_packed(rows) if flip else rows, samples
 
