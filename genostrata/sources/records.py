@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gzip
 import struct
+import zlib
 from collections.abc import Iterator
 from functools import cache
 from typing import BinaryIO
@@ -60,6 +61,81 @@ def stream(path: str) -> BinaryIO:
     return f
 
 
+#: Most bytes of a BGZF block, and those that are looked through for the start of one.
+BGZF_BLOCK = 1 << 16
+
+
+def bgzf_size(head: bytes, at: int = 0) -> int:
+    """Bytes of the BGZF block that begins at a place, 0 if none does."""
+    if head[at : at + 4] != b"\x1f\x8b\x08\x04" or len(head) < at + 18:
+        return 0
+    end = at + 12 + int.from_bytes(head[at + 10 : at + 12], "little")
+    at += 12
+    while at + 4 <= end:
+        n = int.from_bytes(head[at + 2 : at + 4], "little")
+        if head[at : at + 2] == b"BC" and n == 2:
+            return int.from_bytes(head[at + 4 : at + 6], "little") + 1
+        at += 4 + n
+    return 0
+
+
+def is_bgzf(path: str) -> bool:
+    with opened(path) as f:
+        return bgzf_size(f.read(64)) > 0
+
+
+def bgzf_start(f: BinaryIO, at: int, length: int) -> int:
+    """The first block at a place or after it, or the file's end: a start is one if it leads to another."""
+    f.seek(at)
+    data = f.read(min(3 * BGZF_BLOCK, length - at))
+    i = data.find(b"\x1f\x8b\x08\x04")
+    while i >= 0:
+        size = bgzf_size(data, i)
+        if size and (at + i + size == length or bgzf_size(data, i + size) or i + size + 18 > len(data)):
+            return at + i
+        i = data.find(b"\x1f\x8b\x08\x04", i + 1)
+    return length
+
+
+def bgzf_blocks(f: BinaryIO, at: int, length: int) -> Iterator[tuple[int, bytes]]:
+    """(place, content) of the blocks from one on."""
+    while at < length:
+        f.seek(at)
+        data = f.read(min(BGZF_BLOCK, length - at))
+        size = bgzf_size(data)
+        if not size or size > len(data):
+            raise BadFile(f"no block at byte {at}")
+        yield at, zlib.decompress(data[:size], 31)
+        at += size
+
+
+def bgzf_lines(f: BinaryIO, first: int, last: int, length: int) -> Iterator[list[bytes]]:
+    """Lines, some at a time, of the blocks that begin from `first` on and before `last`: those that begin in them,
+    the first line but for the file's first going to the blocks before, and the one after their end to them."""
+    start = bgzf_start(f, first, length) if first else 0
+    if start >= last:
+        return
+    rest, skip, past = b"", first > 0, False
+    for at, data in bgzf_blocks(f, start, length):
+        if at >= last:
+            past = True
+        cut = data.rfind(b"\n") if not past else data.find(b"\n")
+        if cut < 0:
+            rest += data
+            continue
+        found = (rest + data[: cut + 1]).split(b"\n")[:-1]
+        rest = data[cut + 1 :]
+        if skip:
+            found, skip = found[1:], False
+            if past:  # a line that goes through all of the range and begins before it
+                return
+        yield found
+        if past:
+            return
+    if rest and not skip:
+        yield [rest]
+
+
 def exactly(f: BinaryIO, n: int) -> bytes:
     """The next n bytes, or an error."""
     parts, left = [], n

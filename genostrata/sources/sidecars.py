@@ -17,6 +17,10 @@ from ..functions.expr import clip_array, normalized
 from . import paths, records
 
 
+#: Bytes of a file in blocks that a task reads.
+BGZF_RANGE = 1 << 24
+
+
 def lines(spark: SparkSession, path: str, comments: str | None = None) -> DataFrame:
     """(idx, value): lines that aren't blank, numbered in the order of the file, or of a folder's files
     by name and then by line.
@@ -24,7 +28,9 @@ def lines(spark: SparkSession, path: str, comments: str | None = None) -> DataFr
     Lines are counted within each piece of a file that a task reads, and the counts of the pieces
     before, one row for each, are added in one running sum.
     """
-    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+    rows = bgzf_rows(spark, path) if path.endswith((".gz", ".bgz")) else None
+    if rows is None:
+        rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
     rows = rows.where(F.trim("value") != "")
     if comments:
         rows = rows.where(~F.col("value").startswith(comments))
@@ -35,6 +41,31 @@ def lines(spark: SparkSession, path: str, comments: str | None = None) -> DataFr
     return placed.join(offsets, ["_file", "_start"]).select((F.col("_id") + F.col("_shift")).alias("idx"), "value")
 
 
+def bgzf_rows(spark: SparkSession, path: str) -> DataFrame | None:
+    """(value, _file, _start) of files in BGZF blocks, each read by as many tasks as it has ranges of BGZF_RANGE
+    bytes; none if a file has no such blocks."""
+
+    def look(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            yield p.assign(blocks=[records.is_bgzf(x) for x in p["path"]])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "length").mapInPandas(look, "path string, length long, blocks boolean").persist()
+    whole, n = files.agg(F.every("blocks"), F.sum(F.ceil(F.col("length") / BGZF_RANGE))).first()
+    if not whole:
+        files.unpersist()
+        return None
+
+    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            for name, length, first in zip(p["path"], p["length"], p["first"]):
+                with records.opened(name) as f:
+                    for found in records.bgzf_lines(f, int(first), int(first) + BGZF_RANGE, int(length)):
+                        yield pd.DataFrame({"value": [x.decode(errors="replace") for x in found], "_file": name, "_start": first})
+
+    ranges = files.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(BGZF_RANGE)))).repartition(int(min(max(n, 1), 100_000)), "path", "first")
+    return ranges.mapInPandas(read, "value string, _file string, _start long")
+
+
 def fields() -> Column:
     return F.split(F.trim("value"), r"\s+")
 
