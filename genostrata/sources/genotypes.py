@@ -3,21 +3,24 @@
 Text formats are read by lines with column expressions. Of binary files a plan is made, a row for
 each range of records with its place among all variants; tasks read their ranges alone. If variants are
 chosen, ranges without any are not planned, and within the others tasks read and decode the chosen
-records only. A folder or pattern of files is one data set, in the order of the names. A compressed BED
-or BCF file is one task's, which goes through it piece by piece; a compressed PGEN file is decompressed
-in a task's memory.
+records only. A folder or pattern of files is one data set, in the order of the names. BCF files, plain or in
+BGZF blocks, are gone through once for the places of their records, by a task each, and then decoded by
+many; VCF files in such blocks are read by ranges. A BED or BCF file compressed otherwise is one task's, which
+goes through it piece by piece; a compressed PGEN file is decompressed in a task's memory.
 """
 
 from __future__ import annotations
 
 import io
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..durable import durable
 from ..functions.expr import MISSING, gt_genotype, in_chromosomes, is_autosome
 from . import paths, records, sidecars
 from .records import BadFile
@@ -201,21 +204,48 @@ def pgen_packed(spark: SparkSession, path: str, kept: DataFrame | None = None) -
     return of_kept(ranges(files, kept).mapInPandas(decode, PACKED), files, kept)
 
 
-def bcf_packed(spark: SparkSession, path: str) -> DataFrame:
-    """(variant_id, chrom, pos, id, n, bits), a file in a task; variants are counted on over the files."""
+def bcf_pieces(spark: SparkSession, path: str) -> DataFrame:
+    """(path, first, count, place, skip, whole, offset) of the runs of records of BCF files, plain or in BGZF blocks,
+    each found by going through its file once without decoding; a file compressed otherwise is one run."""
 
-    def look(name: str, _: int) -> tuple[int, int, bool]:
-        with records.stream(name) as f:
-            samples = len(records.bcf_header(f)[2])
-            return sum(1 for _ in records.bcf_parts(f)), samples, True
+    def plan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            for name, length in zip(p["path"], p["length"]):
+                blocks, whole = records.is_bgzf(name), records.is_compressed(name)
+                with records.stream(name) if whole and not blocks else records.opened(name) as f:
+                    r = records.BlockReader(f, 0, int(length)) if blocks else f
+                    records.bcf_header(r)
+                    if whole and not blocks:
+                        marks = [(0, sum(1 for _ in records.bcf_parts(r)), 0, 0)]
+                    else:
+                        marks = records.bcf_marks(r, VARIANT_RANGE, RANGE_BYTES)
+                    for first, count, place, skip in marks:
+                        yield pd.DataFrame({"path": [name], "length": length, "first": [first], "count": [count], "place": [place], "skip": [skip], "kind": ["whole" if whole and not blocks else "blocks" if blocks else "plain"]})
+
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    pieces = durable(files.mapInPandas(plan, "path string, length long, first long, count long, place long, skip long, kind string"))
+    before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    offsets = pieces.groupBy("path").agg(F.sum("count").alias("m")).withColumn("offset", F.coalesce(F.sum("m").over(before), F.lit(0))).drop("m")
+    return pieces.join(offsets, "path")
+
+
+def bcf_packed(spark: SparkSession, path: str) -> DataFrame:
+    """(variant_id, chrom, pos, id, n, bits), runs of records in tasks; variants are counted on over the files."""
 
     def decode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            for name, offset in zip(p["path"], p["offset"]):
+            for name, length, kind, place, skip, first, count, offset in zip(*(p[c] for c in ("path", "length", "kind", "place", "skip", "first", "count", "offset"))):
                 rows = []
-                with records.stream(name) as f:
-                    for i, (chrom, pos, label, g) in enumerate(records.bcf_records(f)):
-                        rows.append((int(offset) + i, chrom, pos, label, len(g), records.packed(g[None])))
+                with records.stream(name) if kind == "whole" else records.opened(name) as f:
+                    r = records.BlockReader(f, 0, int(length)) if kind == "blocks" else f
+                    header = records.bcf_header(r)
+                    if kind == "blocks":
+                        r = records.BlockReader(f, int(place), int(length))
+                        records.exactly(r, int(skip))
+                    elif kind == "plain":
+                        f.seek(int(place))
+                    for i, (chrom, pos, label, g) in enumerate(islice(records.bcf_records(r, header), int(count))):
+                        rows.append((int(offset + first) + i, chrom, pos, label, len(g), records.packed(g[None])))
                         if len(rows) * len(g) >= BATCH:
                             yield pd.DataFrame(rows, columns=columns)
                             rows = []
@@ -223,7 +253,9 @@ def bcf_packed(spark: SparkSession, path: str) -> DataFrame:
                     yield pd.DataFrame(rows, columns=columns)
 
     columns = ["variant_id", "chrom", "pos", "id", "n", "bits"]
-    return ranges(files_of(spark, path, look).persist()).mapInPandas(decode, "variant_id long, chrom string, pos long, id string, n int, bits binary")
+    pieces = bcf_pieces(spark, path)
+    dealt = pieces.repartition(int(max(1, min(pieces.count(), MOST_TASKS))), "path", "first")
+    return dealt.mapInPandas(decode, "variant_id long, chrom string, pos long, id string, n int, bits binary")
 
 
 # ---- the formats ----

@@ -7,6 +7,7 @@ sample are missing, so that tables by byte give right counts.
 from __future__ import annotations
 
 import gzip
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -136,6 +137,29 @@ def bgzf_lines(f: BinaryIO, first: int, last: int, length: int) -> Iterator[list
         yield [rest]
 
 
+class BlockReader:
+    """The content of BGZF blocks from one on, read forward, with the place of what is read next."""
+
+    def __init__(self, f: BinaryIO, at: int, length: int) -> None:
+        self.blocks, self.at, self.data, self.pos = bgzf_blocks(f, at, length), at, b"", 0
+
+    def where(self) -> tuple[int, int]:
+        """(the block's place, bytes into its content) of the next byte."""
+        while self.pos == len(self.data):
+            got = next(self.blocks, None)
+            if got is None:
+                break
+            self.at, self.data = got
+            self.pos = 0
+        return self.at, self.pos
+
+    def read(self, n: int) -> bytes:
+        self.where()
+        out = self.data[self.pos : self.pos + n]
+        self.pos += len(out)
+        return out
+
+
 def exactly(f: BinaryIO, n: int) -> bytes:
     """The next n bytes, or an error."""
     parts, left = [], n
@@ -309,25 +333,42 @@ WIDTHS = {1: 1, 2: 2, 3: 4, 5: 4, 7: 1}
 KINDS = {1: np.int8, 2: np.int16, 3: np.int32}
 
 
+#: A header line of a dictionary entry, and each of its values.
+ENTRY, VALUE = re.compile("##(contig|FORMAT|INFO|FILTER)=<(.*)>"), re.compile('(\\w+)=("[^"]*"|[^,]*)')
+
+
 def bcf_header(f: BinaryIO) -> tuple[list[str], dict[int, str], list[str]]:
     """(contigs, names of the dictionary's keys, samples)."""
     start = exactly(f, 9)
     if not start.startswith(b"BCF\2"):
         raise BadFile("not a BCF2 file")
     text = exactly(f, struct.unpack_from("<I", start, 5)[0]).split(b"\0")[0].decode()
-    contigs, keys, samples = [], {0: "PASS"}, []
-    for line in text.splitlines():
-        if line.startswith("##contig=<"):
-            contigs.append(line.split("ID=")[1].split(",")[0].rstrip(">"))
-        elif line.startswith(("##FORMAT=<", "##INFO=<", "##FILTER=<")):
-            name = line.split("ID=")[1].split(",")[0].rstrip(">")
-            if name not in keys.values():
-                keys[int(line.split("IDX=")[1].split(",")[0].rstrip(">")) if "IDX=" in line else len(keys)] = name
-        elif line.startswith("#CHROM"):
-            samples = line.split("\t")[9:]
+    entries = [(kind, dict(VALUE.findall(values))) for kind, values in ENTRY.findall(text)]
+    contigs = [x["ID"] for kind, x in entries if kind == "contig"]
+    keys = {0: "PASS"}
+    for kind, x in entries:
+        if kind != "contig" and x["ID"] not in keys.values():
+            keys[int(x.get("IDX", len(keys)))] = x["ID"]
+    samples = next((line.split("\t")[9:] for line in text.splitlines() if line.startswith("#CHROM")), [])
     return contigs, keys, samples
 
 
+def bcf_marks(f: BinaryIO, every: int, size: int) -> Iterator[tuple[int, int, int, int]]:
+    """(first, count, place, bytes from there) of runs of records: `every` of them at most, or of about so many
+    bytes. What is read is a BlockReader or a file that tells its place; records aren't decoded."""
+    where = f.where if isinstance(f, BlockReader) else lambda: (f.tell(), 0)
+    first, count, held, begin = 0, 0, 0, where()
+    while head := f.read(1):
+        length = sum(struct.unpack("<II", head + exactly(f, 7)))
+        exactly(f, length)
+        count, held = count + 1, held + length
+        if count == every or held >= size:
+            yield first, count, *begin
+            first, count, held, begin = first + count, 0, 0, where()
+    if count:
+        yield first, count, *begin
+
+
 def bcf_parts(f: BinaryIO) -> Iterator[tuple[bytes, bytes]]:
     """The shared and the samples' part of each record."""
     while size := f.read(1):
@@ -345,9 +386,9 @@ def typed(data: bytes, at: int) -> tuple[int, int, int]:
     return kind, n, at
 
 
-def bcf_records(f: BinaryIO) -> Iterator[tuple[str, int, str, np.ndarray]]:
-    """(chrom, pos, id, genotypes)."""
-    contigs, keys, _ = bcf_header(f)
+def bcf_records(f: BinaryIO, header: tuple[list[str], dict[int, str], list[str]]) -> Iterator[tuple[str, int, str, np.ndarray]]:
+    """(chrom, pos, id, genotypes) of the records that follow."""
+    contigs, keys, _ = header
     for shared, own in bcf_parts(f):
         chrom, pos = struct.unpack_from("<ii", shared, 0)
         n, n_formats = int.from_bytes(shared[20:23], "little"), shared[23]

@@ -8,6 +8,8 @@ import zlib
 
 import pytest
 
+from test_reference import bcf_bytes
+
 from genostrata.sources import genotypes, records, sidecars
 
 
@@ -65,3 +67,19 @@ def test_vcf_by_many_tasks(spark, tmp_path, monkeypatch):
         got = (sorted(tuple(r) for r in variants.collect()), sorted((r["variant_id"], bytes(r["bits"])) for r in rows.collect()))
         want = want or got
         assert len(got[1]) == 700 and got == want
+
+
+def test_bcf_by_many_tasks(spark, tmp_path, monkeypatch):
+    rng = random.Random(2)
+    data = bcf_bytes([(i % 2, i, [rng.choice([0, 2, 4]) for _ in range(6)]) for i in range(300)])
+    monkeypatch.setattr(genotypes, "VARIANT_RANGE", 32)
+    (tmp_path / "a.bcf").write_bytes(data)
+    (tmp_path / "b.bcf").write_bytes(bgzf(data, [100, 33, 1]))
+    (tmp_path / "c.bcf").write_bytes(gzip.compress(data))
+    pieces = {p: genotypes.bcf_pieces(spark, f"{tmp_path}/{p}.bcf").collect() for p in "abc"}
+    assert [len(pieces[p]) for p in "abc"] == [10, 10, 1] and all(sum(r["count"] for r in x) == 300 for x in pieces.values())
+    got = {p: sorted(tuple(r) for r in genotypes.bcf_packed(spark, f"{tmp_path}/{p}.bcf").collect()) for p in "abc"}
+    assert [r[0] for r in got["a"]] == list(range(300)) and got["a"] == got["b"] == got["c"]
+    assert [r[2] for r in got["a"]] == list(range(300))
+    every = genotypes.bcf_packed(spark, f"{tmp_path}/*.bcf")
+    assert every.count() == 900 and every.select("variant_id").distinct().count() == 900
