@@ -61,18 +61,9 @@ def centered_moments(geno: DataFrame, freq: DataFrame) -> DataFrame:
     return x.groupBy("variant_id").agg(F.avg("x").alias("mean"), F.sum(F.col("x") * F.col("x")).alias("sum_squares"))
 
 
-def variant_gram(geno: DataFrame, freq: DataFrame) -> DataFrame:
-    """(i, j, xx): products of the centred rows of every two variants, i <= j.
-
-    What is summed over samples are whole numbers, over those called at both: their count, both
-    allele counts and their product; the frequencies come in once at the end. A sample's row has as
-    many entries as there are variants.
-    """
-    row = geno.where(observed()).groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct("variant_id", F.col("g").cast("long").alias("g")))).alias("xs"))
-    pairs = row.select(F.posexplode("xs").alias("at", "a"), "xs").select("a", F.explode(F.slice("xs", F.col("at") + 1, F.size("xs"))).alias("b"))
-    sums = pairs.groupBy(F.col("a.variant_id").alias("i"), F.col("b.variant_id").alias("j")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("a.g").alias("ga"), F.sum("b.g").alias("gb"), F.sum(F.col("a.g") * F.col("b.g")).alias("gg")
-    )
+def centred_products(sums: DataFrame, freq: DataFrame) -> DataFrame:
+    """(i, j, xx): products of the centred rows of every two variants, i <= j, from whole numbers summed over the
+    samples called at both: their count n, both allele counts ga and gb and their product gg."""
     f = freq.select("variant_id", "f")
     both = sums.join(f.select(F.col("variant_id").alias("i"), F.col("f").alias("fi")), "i").join(f.select(F.col("variant_id").alias("j"), F.col("f").alias("fj")), "j")
     return both.select("i", "j", (F.col("gg") - 2 * F.col("fj") * F.col("ga") - 2 * F.col("fi") * F.col("gb") + 4 * F.col("fi") * F.col("fj") * F.col("n")).alias("xx"))

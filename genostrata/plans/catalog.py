@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import EPS, clip_array, in_chromosomes, is_autosome, normalized, simplex_projection
 from ..operators import align, compare, folds, frequency, layout, model
-from . import views
+from . import grid, views
 from .views import K, long_form
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,21 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+#: Variants and samples of a tile of the views' small grids, and tiles of a part.
+TILE = {"rows": 16, "cols": 4096, "high": 1, "wide": 1}
+
+
+def places(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int, int]:
+    """The dense view and its numbers of variants and samples; the vectors' ids are dense from 0, or are made
+    so by rank."""
+    g = views.dense(spark, sf_dir)
+    shape = g.agg(F.max("variant_id") + 1, F.max("sample_id") + 1, F.count_distinct("sample_id")).first()
+    if shape[1] != shape[2]:
+        rank = layout.numbered(g.select("sample_id").distinct(), ["sample_id"], "at")
+        g = g.join(rank, "sample_id").drop("sample_id").withColumnRenamed("at", "sample_id")
+    return g, shape[0], shape[2]
+
+
 def r6(c: str | Column) -> Column:
     return F.round(c, 6)
 
@@ -105,8 +120,9 @@ def centered_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def gram_by_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products of the centred rows of every two variants over all samples."""
-    g = views.dense(spark, sf_dir)
-    return frequency.variant_gram(g, frequency.allele_frequency(g)).withColumn("xx", F.round("xx", 2))
+    g, n_variants, n_samples = places(spark, sf_dir)
+    sums = grid.products(grid.to_grid(g, n_variants, n_samples, **TILE))
+    return frequency.centred_products(sums, frequency.allele_frequency(g)).select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.round("xx", 2).alias("xx"))
 
 
 @query

@@ -15,31 +15,16 @@ from pyspark.sql import functions as F
 
 from ..durable import shared_folder
 from ..operators import align, layout, mode_graph
-from ..operators.layout import numbered
 from . import blocks as bl
 from . import fit, views
 from . import grid as gr
 from . import grid_fit as gf
-from .catalog import ORACLES, QUERIES, long_runs, query, r6, start
+from .catalog import ORACLES, QUERIES, TILE, long_runs, places, query, r6, start
 
 CLUSTERS = 4
 QUICK = fit.Options(max_iter=6)
 #: Samples of which the driver may hold Q, its history and its sums.
 DRIVER_SAMPLES = 200_000
-#: Variants and samples of a tile of the views' small grids, and tiles of a part.
-TILE = {"rows": 16, "cols": 4096, "high": 1, "wide": 1}
-
-
-def places(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int, int]:
-    """The dense view and its numbers of variants and samples; the vectors' ids are dense from 0, or are made
-    so by rank."""
-    g = views.dense(spark, sf_dir)
-    shape = g.agg(F.max("variant_id") + 1, F.max("sample_id") + 1, F.count_distinct("sample_id")).first()
-    if shape[1] != shape[2]:
-        rank = numbered(g.select("sample_id").distinct(), ["sample_id"], "at")
-        g = g.join(rank, "sample_id").drop("sample_id").withColumnRenamed("at", "sample_id")
-    return g, shape[0], shape[2]
-
 
 def indexed(spark: SparkSession, sf_dir: str) -> bl.Blocks:
     """Blocks of the dense view, of few samples."""

@@ -423,3 +423,56 @@ def dealt(tiles: DataFrame, n_variants: int, n_samples: int, rows: int, cols: in
     n = min(int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions")), g.part_rows * g.part_cols)
     g.tiles = tiles.select(part.alias("part"), "block", "chunk", "g").repartition(n, "part").sortWithinPartitions("part").persist(StorageLevel.MEMORY_AND_DISK)
     return g
+
+
+def products(grid: Grid) -> DataFrame:
+    """(i, j, n, ga, gb, gg) of every two variants, i <= j, that samples were called at both: the number of these, the
+    alleles of either and the products of both, as whole numbers.
+
+    Tiles go to the pairs of rows of parts that they are in; each pair is multiplied tile by tile, and the
+    products of two blocks are added over the chunks.
+    """
+    down, high, wide, rows, size, change = grid.part_rows, grid.high, grid.wide, grid.rows, grid.size, grid.change
+    own = F.floor(F.col("block") / high)
+    other = F.explode(F.transform(F.sequence(F.lit(0), F.lit(down - 1)), lambda o: F.struct(F.least(own, o).alias("low"), F.greatest(own, o).alias("high"))))
+    tiles = grid.tiles.select("block", "chunk", "g", F.floor(F.col("chunk") / wide).cast("int").alias("part"), other.alias("pair")).select("block", "chunk", "g", "part", "pair.low", "pair.high")
+
+    def multiply(key: tuple, t: pa.Table) -> pa.Table:
+        low, up, part = (k.as_py() for k in key)
+        held = {}
+        for block, chunk, raw in zip(*(t.column(c).to_pylist() for c in ("block", "chunk", "g"))):
+            g = unpacked(raw, size(Q, chunk))
+            g = g if change is None else change(g, At(0, block, chunk, 0, 0))
+            seen = (g != MISSING).astype(float)
+            held[block, chunk] = (seen, g * seen)
+        blocks, chunks = sorted({b for b, _ in held}), sorted({c for _, c in held})
+        out = []
+        for i in (b for b in blocks if b // high == low):
+            for j in (b for b in blocks if b // high == up and b >= i):
+                x = 0
+                for c in (c for c in chunks if (i, c) in held and (j, c) in held):
+                    (si, gi), (sj, gj) = held[i, c], held[j, c]
+                    x = x + np.stack([si @ sj.T, gi @ sj.T, si @ gj.T, gi @ gj.T])
+                if not isinstance(x, int):
+                    out.append((i, j, part, x.tobytes()))
+        columns = list(zip(*out)) or [()] * 4
+        return pa.table({n: pa.array(c, k) for n, c, k in zip(("bi", "bj", "part", "x"), columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()))})
+
+    shape = "bi long, bj long, part int, x binary"
+    found, most = tiles.groupBy("low", "high", "part").applyInArrow(multiply, shape), grid.part_cols
+
+    def add(key: tuple, t: pa.Table) -> pa.Table:
+        return pa.table({"bi": t.column("bi").slice(0, 1), "bj": t.column("bj").slice(0, 1), "part": pa.array([key[2].as_py()], pa.int32()), "x": pa.array([total_of(t).tobytes()], pa.binary())})
+
+    while most > FAN:
+        found = found.withColumn("up", F.floor(F.col("part") / FAN).cast("int")).groupBy("bi", "bj", "up").applyInArrow(add, shape)
+        most = -(-most // FAN)
+
+    def spread(t: pa.Table) -> pa.Table:
+        bi, bj = t.column("bi")[0].as_py(), t.column("bj")[0].as_py()
+        x = total_of(t).reshape(4, size(P, bi), size(P, bj))
+        a, b = np.nonzero(np.triu(x[0]) if bi == bj else x[0])
+        whole = x[:, a, b].astype(np.int64)
+        return pa.table({"i": pa.array(bi * rows + a), "j": pa.array(bj * rows + b), **{c: pa.array(v) for c, v in zip(("n", "ga", "gb", "gg"), whole)}})
+
+    return found.groupBy("bi", "bj").applyInArrow(spread, "i long, j long, n long, ga long, gb long, gg long")

@@ -210,3 +210,15 @@ def test_a_sweep_goes_on_after_a_failure(spark, data, grid, tmp_path, monkeypatc
     read = np.array([[float(x) for x in r["value"].split()] for r in spark.read.text(f"{tmp_path}/out/run.3.Q").collect()])
     assert np.allclose(read, three[1], rtol=1e-15)
     assert [r["value"] for r in spark.read.text(f"{tmp_path}/out/run.cv").collect()] == ["K=2: CV index = 0.5123", "K=3: CV index = 0.5000"]
+
+
+@pytest.mark.parametrize("fan", [16, 1])
+def test_products_of_every_two_variants(data, grid, monkeypatch, fan):
+    monkeypatch.setattr(gr, "FAN", max(2, fan))
+    g = data[0]
+    seen = (g != 3).astype(int)
+    x = g * seen
+    want = [seen @ seen.T, x @ seen.T, seen @ x.T, x @ x.T]
+    got = gr.products(grid).collect()
+    assert len(got) == (np.triu(want[0]) > 0).sum() and len({(r["i"], r["j"]) for r in got}) == len(got)
+    assert all(r["i"] <= r["j"] and (r["n"], r["ga"], r["gb"], r["gg"]) == tuple(w[r["i"], r["j"]] for w in want) for r in got)
