@@ -163,6 +163,16 @@ def em_two_steps_on_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["em_two_steps_on_tiles"] = ORACLES["em_two_steps"]
 
 
+@query
+def loglik_on_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The likelihood of given P and Q over a grid, as an evaluation of files takes it."""
+    _, p, q = start(spark, sf_dir)
+    return spark.createDataFrame([(round(gf.likelihood_of(gridded(spark, sf_dir), p, q), 2),)], "loglik double")
+
+
+ORACLES["loglik_on_tiles"] = ORACLES["loglik_total"]
+
+
 @query
 def modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(m["mode"], int(m["representative"]), m["size"], round(float(m["cost"]), 9)) for m in align.modes(long_runs(spark, sf_dir))]

@@ -68,6 +68,23 @@ def likelihoods(grid: Grid, state: DataFrame, k: int, members: int) -> list[floa
     return [float(got[b, 0][0]) for b in range(members)]
 
 
+def whole_rows(rows: DataFrame, index: str, n: int, what: str) -> DataFrame:
+    """rows, if there is one for each index from 0 to n - 1, or an error with both counts."""
+    got = rows.agg(F.count(index), F.count_distinct(index), F.min(index), F.max(index)).first()
+    if tuple(got) != (n, n, 0, n - 1):
+        raise ValueError(f"{what}: {got[0]} rows, {got[1]} distinct from {got[2]} to {got[3]}, for {n}")
+    return rows
+
+
+def likelihood_of(grid: Grid, p: DataFrame, q: DataFrame) -> float:
+    """The log likelihood of (variant_id, p) and (sample_id, q), which have to be of the grid's variants and samples."""
+    k = p.agg(F.max(F.size("p"))).first()[0]
+    if q.agg(F.min(F.size("q")), F.max(F.size("q"))).first() != (k, k):
+        raise ValueError("P and Q have other numbers of columns")
+    state = grid.state_of(P, whole_rows(p, "variant_id", grid.n_variants, "P"), "variant_id", "p").unionByName(grid.state_of(Q, whole_rows(q, "sample_id", grid.n_samples, "Q"), "sample_id", "q"))
+    return likelihoods(grid, state, k, 1)[0]
+
+
 # ---- starts ----
 
 
@@ -88,9 +105,11 @@ def random_start(grid: Grid, k: int, seeds: list[int] | None = None) -> Fit:
 def supervised_start(grid: Grid, known: DataFrame, seed: int = 42) -> Fit:
     """P from the samples of each label of (sample_id, label), 0.5 where none is called; Q random, labelled
     samples at their population. Labels below 0 and null ones are unknown."""
-    k = (known.agg(F.max("label")).first()[0] or 0) + 1
+    k, low, high, n, samples = known.where("label >= 0").agg(F.coalesce(F.max("label"), F.lit(0)) + 1, F.min("sample_id"), F.max("sample_id"), F.count("sample_id"), F.count_distinct("sample_id")).first()
     if k < 2:
         raise ValueError("at least two labels are needed")
+    if low < 0 or high >= grid.n_samples or n != samples:
+        raise ValueError(f"{n} labels of {samples} samples from {low} to {high}, for {grid.n_samples} samples")
 
     def make(kind: int, b: int, i: int, n: int) -> np.ndarray:
         return np.full((1, n, k), 0.5) if kind == P else kn.normalize(np.random.default_rng([seed, 0, i]).random((n, k)))[None]
@@ -510,7 +529,7 @@ def newton(grid: Grid, start: Fit, o: Options = Options(), fixed_p: bool = False
 def project(grid: Grid, p: DataFrame, k: int, o: Options = Options(), adaptive: bool = False) -> Fit:
     """Q of new samples for given P, rows (variant_id, p)."""
     q = grid.begun(1, lambda kind, b, i, n: kn.normalize(np.random.default_rng([o.seed, 0, i]).random((n, k)))[None], (Q,))
-    start = Fit(grid.state_of(P, p, "variant_id", "p").unionByName(q), k, [-np.inf])
+    start = Fit(grid.state_of(P, whole_rows(p, "variant_id", grid.n_variants, "P"), "variant_id", "p").unionByName(q), k, [-np.inf])
     return adaptive_em(grid, start, o, fixed_p=True) if adaptive else newton(grid, start, o, fixed_p=True)
 
 
