@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import in_batches, slices, with_text
+from .common import STORES, in_batches, slices, with_text
 
 LONG = 48
 NEVER = 1 << 40
@@ -166,6 +166,15 @@ def loaded(content: str) -> Vocabulary:
     return _LOADED[key]
 
 
+def forget() -> bool:
+    held = bool(_LOADED)
+    _LOADED.clear()
+    return held
+
+
+STORES[__name__] = forget
+
+
 def read_vocabulary(path: str) -> str:
     return Path(path).read_text(encoding="utf-8")
 

@@ -3,6 +3,9 @@ size, bounded joins, components."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 from collections.abc import Callable, Iterator
@@ -47,6 +50,21 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: What operators keep from task to task in a worker process: for each module a function that lets go of it and
+#: says whether there was anything.
+STORES: dict[str, Callable[[], bool]] = {}
+
+
+def let_go(owner: str) -> None:
+    """Give back the memory that other operators' tasks left in this worker process, as workers are used again
+    by the next stages of a job."""
+    if any([clear() for name, clear in STORES.items() if name != owner]):
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # the C library may have no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
     """df.mapInArrow(run, schema) with batches that are bounded by bytes as well as by rows, so that
     long texts don't add up in a task."""
@@ -54,7 +72,13 @@ def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator
     own = conf.get(name, None)
     if own is None or not 0 < int(re.sub(r"\D", "", own) or 0) <= BATCH_BYTES:
         conf.set(name, str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+    owner = run.__module__
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(owner)
+        yield from run(batches)
+
+    return df.mapInArrow(alone, schema)
 
 
 def with_text(docs: DataFrame, kept: list[str], text: str) -> tuple[DataFrame, int]:

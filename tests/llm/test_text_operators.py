@@ -523,3 +523,20 @@ def test_pii_distinctness_and_coreference_by_brute_force(spark):
             assert seen.setdefault(a, b) == b
     changed = {a: b for a, b in seen.items() if a not in ("call", "or", "via", "ok")}
     assert len(set(changed.values())) == len(changed) and not set(changed) & set(changed.values())
+
+
+def test_a_worker_lets_go_of_other_operators_stores(spark):
+    """A task of another operator clears what encoding kept in its process; one of encoding doesn't."""
+
+    from genostrata.llm import common
+
+    bpe.loaded(bpe.read_vocabulary(PATH))
+    common.let_go(bpe.__name__)
+    assert bpe._LOADED
+    common.let_go(secret_scan.__name__)
+    assert not bpe._LOADED and not bpe.forget()
+
+    def run(batches):
+        yield from batches
+
+    assert [r["id"] for r in common.in_batches(spark.range(3).coalesce(1), run, "id long").collect()] == [0, 1, 2]
