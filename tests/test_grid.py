@@ -69,11 +69,11 @@ def test_em_and_newton_equal_those_on_the_driver(spark, data, grid):
     assert np.allclose(a.course, b.course[0], rtol=1e-12)
     p, q = whole(grid, b)
     assert np.allclose(a.q, q, atol=1e-9) and kn.log_likelihood(g, p, q) == pytest.approx(b.log_likelihood[0], rel=1e-12)
-    a, b = fit.newton(blocks, a, small_options(6)), gf.newton(grid, b, small_options(6))
+    a, b = fit.newton(blocks, a, small_options(4)), gf.newton(grid, b, small_options(4))
     assert np.allclose(a.course, b.course[0], rtol=1e-9) and a.log_likelihood == pytest.approx(b.log_likelihood[0], rel=1e-11)
     p, q = whole(grid, b)
     assert np.allclose(a.q, q, atol=1e-9) and kn.log_likelihood(g, p, q) == pytest.approx(b.log_likelihood[0], rel=1e-11)
-    a, b = fit.adaptive_em(blocks, start, small_options(8)), gf.adaptive_em(grid, begun, small_options(8))
+    a, b = fit.adaptive_em(blocks, start, small_options(5)), gf.adaptive_em(grid, begun, small_options(5))
     assert np.allclose(a.course, b.course[0], rtol=1e-11) and np.allclose(a.q, whole(grid, b)[1], atol=1e-9)
 
 
@@ -112,8 +112,8 @@ def test_folds_and_starts_share_their_passes(spark, data, grid):
     assert many.log_likelihood[1] == pytest.approx(alone.log_likelihood[0], rel=1e-12)
     best = gf.best_of(grid, many)
     assert best.members == 1 and best.log_likelihood[0] == max(many.log_likelihood)
-    three = gf.newton(grid, many, small_options(3))
-    assert three.log_likelihood[1] == pytest.approx(gf.newton(grid, alone, small_options(3)).log_likelihood[0], rel=1e-9)
+    three = gf.newton(grid, many, small_options(2))
+    assert three.log_likelihood[1] == pytest.approx(gf.newton(grid, alone, small_options(2)).log_likelihood[0], rel=1e-9)
 
 
 def test_singular_values_to_those_of_numpy(data, grid):
