@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from genostrata.llm import embed_dedup, html_extract, lang_id, ngram_join
+from genostrata.llm import common, embed_dedup, html_extract, lang_id, ngram_join
 
 SYLLABLES = {"en": ["th", "er", "ing", "on", "wh"], "fr": ["eau", "ou", "oi", "ç", "é"], "de": ["sch", "ung", "pf", "tz", "ü"]}
 
@@ -242,6 +242,41 @@ def brute_components(ids, near):
     return [low[label[i]] for i in range(len(ids))]
 
 
+@pytest.mark.parametrize("many", [1000, 3])
+def test_component_search_has_partitions_by_its_edges(spark, monkeypatch, many):
+    """Small tables in many shuffle partitions: every step's files are as many as the edges need."""
+    rng = random.Random(4)
+    ids = list(range(300))
+    pairs = [(i, i + rng.choice([1, 7])) for i in range(0, 280, 2)] + [(250, i) for i in range(100, 120)]
+    near = np.zeros((300, 300), bool)
+    for a, b in pairs:
+        near[a, b] = near[b, a] = True
+    want = dict(zip(ids, brute_components(ids, near)))
+    cuts, durable = [], common.durable
+
+    def counted(df):
+        cuts.append((out := durable(df)).rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(common, "durable", counted)
+    monkeypatch.setattr(common, "MANY_NEIGHBOURS", many)
+    conf = {"spark.sql.shuffle.partitions": "30", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        found = common.components(spark.createDataFrame(pairs, "a long, b long")).collect()
+        assert {r["vertex"]: r["component"] for r in found} == {i: want[i] for p in pairs for i in p} and len(found) == len({i for p in pairs for i in p})
+        assert len(cuts) > 4 and max(cuts[1:]) <= 2 * spark.sparkContext.defaultParallelism, cuts
+        monkeypatch.setattr(common, "NARROW_ROWS", 10)
+        del cuts[:]
+        assert sorted(common.components(spark.createDataFrame(pairs, "a long, b long")).collect()) == sorted(found)
+        assert cuts[1] > 2 * spark.sparkContext.defaultParallelism, cuts
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def near_texts(rng):
     out = []
     for base in range(25):
