@@ -35,8 +35,13 @@ def indexed(spark: SparkSession, sf_dir: str) -> bl.Blocks:
 
 
 def gridded(spark: SparkSession, sf_dir: str) -> gr.Grid:
-    """A grid of the dense view."""
-    return gr.to_grid(*places(spark, sf_dir), **TILE)
+    """A grid of the dense view, which stands if its variants are few."""
+    return laid(*places(spark, sf_dir))
+
+
+def laid(g: DataFrame, n_variants: int, n_samples: int) -> gr.Grid:
+    grid = gr.to_grid(g, n_variants, n_samples, **TILE)
+    return grid.standing() if n_variants <= gr.STANDING else grid
 
 
 def q_table(spark: SparkSession, f: fit.Fit) -> DataFrame:

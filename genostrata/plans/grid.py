@@ -8,18 +8,23 @@ batch of fits that go through the same passes (folds, starts). A pass sends each
 rows it needs, each part adds up its own sums by block and by chunk, these are added in a tree, and the
 task that adds the last ones makes the new rows from them. So nothing of all samples, or of all
 variants, is ever in one place; the driver sees a few numbers for each member.
+
+A grid of few variants can stand (`standing`): each row of Q has the genotypes of its chunk beside it and
+stays where it is, so a pass moves sums by block alone, whatever the samples; the rows of P are on the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import gc
+import weakref
+from collections.abc import Callable, Iterator, MutableMapping
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +38,10 @@ STATE = "kind int, b int, id long, s binary, y binary"
 PARTIAL = "kind int, b int, id long, part int, x binary, s binary, y binary"
 #: Sums that one task adds up at a time; passes after which the lineage is cut, and cached states that are kept.
 FAN, CUT_EVERY, KEEP = 16, 4, 6
+#: Variants that a standing grid may have; new rows of Q after which its lineage is cut; chunks of a partition.
+STANDING, CUT_STANDING, CHUNKS = 1024, 8, 4
+#: Rows of a standing grid: of Q with the genotypes of the chunk, and sums.
+PLACED = PARTIAL + ", g binary"
 
 
 @dataclass(frozen=True)
@@ -56,6 +65,31 @@ Send = list[int] | list[list[int]]
 Finish = Callable[[np.ndarray, np.ndarray | None, int, int, np.ndarray | None], tuple[np.ndarray, np.ndarray | None]]
 
 
+class Frame:
+    """Rows that are on the executors' disks as long as something refers to this: in memory, arrays of megabytes
+    take far more of the heap than is counted."""
+
+    def __init__(self, rows: DataFrame, age: int) -> None:
+        self.rows, self.age = rows, age
+        if age:
+            rows.persist(StorageLevel.DISK_ONLY)
+            weakref.finalize(self, let_go, rows)
+
+
+def let_go(rows: DataFrame) -> None:
+    if rows.sparkSession.sparkContext._jsc is not None:  # the session may have ended
+        rows.unpersist()
+
+
+@dataclass
+class Placed:
+    """A state of a standing grid: the rows of Q, those of P (s, y) by member and block, and sums by member and origin."""
+
+    frame: Frame
+    p: dict[tuple[int, int], tuple[bytes, bytes | None]]
+    sums: dict[tuple[int, int], np.ndarray]
+
+
 @dataclass
 class Grid:
     """rows x cols genotypes in a tile, high x wide tiles in a part."""
@@ -71,6 +105,8 @@ class Grid:
     passes: list[int] = field(default_factory=lambda: [0])
     cached: list[DataFrame] = field(default_factory=list)
     pinned: list[DataFrame] = field(default_factory=list)
+    columns: DataFrame | None = None
+    known: MutableMapping[DataFrame, Placed] = field(default_factory=weakref.WeakKeyDictionary)
 
     @property
     def blocks(self) -> int:
@@ -93,6 +129,11 @@ class Grid:
         """Partitions of a state: no more than it has rows for one member."""
         return min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.blocks + self.chunks)
 
+    @property
+    def places(self) -> int:
+        """Partitions of a state whose rows stay, of few chunks each."""
+        return min(self.chunks, max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-self.chunks // CHUNKS)))
+
     @property
     def spark(self) -> SparkSession:
         return self.tiles.sparkSession
@@ -107,6 +148,23 @@ class Grid:
         """The same tiles, their genotypes changed in every pass."""
         return replace(self, change=change)
 
+    def standing(self) -> Grid:
+        """The same grid, the genotypes of each chunk in one row."""
+        if self.n_variants > STANDING:
+            raise ValueError(f"{self.n_variants} variants are too many to stand by each chunk")
+        blocks, rows, size, blank = self.blocks, self.rows, self.size, self.n_variants
+
+        def pack(t: pa.Table) -> pa.Table:
+            chunk = t.column("chunk")[0].as_py()
+            whole = np.full((blank, size(Q, chunk)), MISSING, np.uint8)
+            for block, raw in zip(t.column("block").to_pylist(), t.column("g").to_pylist()):
+                whole[block * rows : block * rows + size(P, block)] = unpacked(raw, size(Q, chunk))
+            return pa.table({"chunk": pa.array([chunk], pa.int64()), "g": pa.array([packed(whole)], pa.binary())})
+
+        assert blocks * rows >= blank
+        columns = durable(self.tiles.groupBy("chunk").applyInArrow(pack, "chunk long, g binary"))
+        return replace(self, columns=columns, known=weakref.WeakKeyDictionary())
+
     # ---- states ----
 
     def begun(self, members: int, make: Callable[[int, int, int, int], np.ndarray], kinds: tuple[int, ...] = (P, Q)) -> DataFrame:
@@ -189,12 +247,111 @@ class Grid:
         """The state after a pass. Rows of a kind without a finish stay as they are; without a kernel rows are
         finished where they are. Layers are arrays (depth, rows, width). Members that aren't active stay."""
         finish = {k: f for k, f in ((P, finish_p), (Q, finish_q)) if f}
+        if self.columns is not None:
+            return self.stood(state, width, kernel, {P: send_p, Q: send_q}, finish, active)
         rows = state.where(F.col("kind") != SUMS)
         if kernel is None:
             return self.kept(self.finished(rows, finish, width, active))
         partial = self.partials(rows, width, kernel, {P: send_p, Q: send_q}, active)
         return self.kept(self.reduced(partial, finish, width, active))
 
+    def placed(self, state: DataFrame) -> Placed:
+        """A state that isn't one of a pass over this grid, its rows of Q brought to their chunks."""
+        if state in self.known:
+            return self.known[state]
+        p = {(r["b"], r["id"]): (bytes(r["s"]), r["y"] and bytes(r["y"])) for r in state.where(F.col("kind") == P).select("b", "id", "s", "y").collect()}  # of few variants
+        n = self.places
+        rows = state.where(F.col("kind") == Q).select("kind", "b", "id", F.lit(-1).alias("part"), F.lit(None).cast("binary").alias("x"), "s", "y")
+        sized = rows.repartition(n, "id").join(self.columns.repartition(n, "chunk"), F.col("id") == F.col("chunk"), "left")
+        frame = durable(sized.select(*rows.columns, "g").sortWithinPartitions("id", "b"))
+        self.known[state] = Placed(Frame(frame, 0), p, {})
+        return self.known[state]
+
+    def stood(self, state: DataFrame, width: int, kernel: Kernel | None, send: dict[int, Send], finish: dict[int, Finish], active: list[int] | None) -> DataFrame:
+        """The state after a pass over a standing grid: rows of Q are made where they are, and only what the tiles
+        add to the sums of blocks, added up by partition, leaves its task."""
+        self.passes[0] += 1
+        old = self.placed(state)
+        size, blocks, rows, cols, n_variants, change = self.size, self.blocks, self.rows, self.cols, self.n_variants, self.change
+        of = lambda kind, b: send[kind] if not send[kind] or isinstance(send[kind][0], int) else send[kind][b]
+        moving = lambda b: active is None or b in active
+        told = {(b, i): layers(s, size(P, i), width)[of(P, b)].copy() for (b, i), (s, _) in old.p.items() if kernel is not None and of(P, b) and moving(b)}
+        finish_q = finish.get(Q)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[tuple[int, int, int], np.ndarray] = {}
+            whole, at_chunk = None, None
+
+            def add(at: tuple[int, int, int], x: np.ndarray | list[float] | None) -> None:
+                if x is not None:
+                    x = np.asarray(x, float)
+                    if at in sums:
+                        sums[at] += x
+                    else:
+                        sums[at] = x.copy()
+
+            for batch in batches:
+                for b, i, s, y, raw in zip(*(batch.column(c) for c in ("b", "id", "s", "y", "g"))):
+                    b, i, s, y, raw = b.as_py(), i.as_py(), s.as_py(), y.as_py(), raw.as_py()
+                    if not moving(b):
+                        if finish_q:
+                            yield placed_rows([(Q, b, i, -1, None, s, y, raw)])
+                        continue
+                    n, own = size(Q, i), labels(y)
+                    x, total = layers(s, n, width), None
+                    if kernel is not None:
+                        if i != at_chunk:
+                            whole, at_chunk = np.full((n_variants, n), MISSING, np.uint8) if raw is None else unpacked(raw, n), i
+                        sent = x[of(Q, b)] if of(Q, b) else None
+                        for block in range(blocks):
+                            at = At(b, block, i, block * rows, i * cols, own)
+                            g = whole[block * rows : (block + 1) * rows]
+                            p, q, numbers = kernel(g if change is None else change(g, at), told.get((b, block)), sent, at)
+                            add((P, b, block), p)
+                            add((SUMS, b, 0), numbers)
+                            if q is not None:
+                                total = np.array(q, float) if total is None else np.add(total, q, out=total)
+                    if finish_q:
+                        new, numbers = finish_q(x, None if total is None else total.reshape(n, -1), b, i, own)
+                        add((SUMS, b, 2), numbers)
+                        yield placed_rows([(Q, b, i, -1, None, np.ascontiguousarray(new, float).tobytes(), y, raw)])
+            part = TaskContext.get().partitionId()
+            for at in sorted(sums):
+                yield placed_rows([(*at, part, sums[at].tobytes(), None, None, None)])
+
+        found: dict[tuple[int, int, int], list[tuple[int, bytes]]] = {}
+        frame = old.frame
+        if kernel is not None or finish_q:
+            out = frame.rows.where(F.col("part") < 0).mapInArrow(run, PLACED)
+            most = self.places
+            if finish_q:
+                age = (frame.age + 1) % CUT_STANDING
+                if not age:
+                    collected(out)
+                frame = Frame(out if age else durable(out), age)
+                out = frame.rows.where(F.col("part") >= 0)
+            out = out.select("kind", "b", "id", "part", "x", "s", "y")
+            while most > FAN:
+                out = out.withColumn("up", F.floor(F.col("part") / FAN).cast("int")).groupBy("kind", "b", "id", "up").applyInArrow(added, PARTIAL)
+                most = -(-most // FAN)
+            for r in out.select("kind", "b", "id", "part", "x").collect():  # those of few variants from FAN parts at most
+                found.setdefault((r["kind"], r["b"], r["id"]), []).append((r["part"], bytes(r["x"])))
+        totals = {at: np.sum([np.frombuffer(x) for _, x in sorted(xs)], axis=0) for at, xs in found.items()}
+        sums = {(b, i): x for (kind, b, i), x in totals.items() if kind == SUMS}
+        p = dict(old.p)
+        if P in finish:
+            for b, i in sorted(k for k in old.p if moving(k[0])):
+                s, y = old.p[b, i]
+                n, total = size(P, i), totals.get((P, b, i))
+                new, numbers = finish[P](layers(s, n, width), None if total is None else total.reshape(n, -1), b, i, labels(y))
+                p[b, i] = (np.ascontiguousarray(new, float).tobytes(), y)
+                if numbers is not None:
+                    sums[b, 1] = sums.get((b, 1), 0) + np.asarray(numbers, float)
+        few = [*((P, b, i, s, y) for (b, i), (s, y) in p.items()), *((SUMS, b, i, x.tobytes(), None) for (b, i), x in sums.items())]
+        state = self.spark.createDataFrame(few, STATE).unionByName(frame.rows.where(F.col("part") < 0).select("kind", "b", "id", "s", "y"))
+        self.known[state] = Placed(frame, p, sums)
+        return state
+
     def partials(self, state: DataFrame, width: int, kernel: Kernel, send: dict[int, Send], active: list[int] | None = None) -> DataFrame:
         """(kind, b, id, part, x, s, y): what each part adds to the sums, x; and the rows of the state, s, which
         go along with what is sent to one of the parts, so that a pass reads the state once."""
@@ -308,6 +465,9 @@ class Grid:
         """The sums of a state, by member and origin: 0 the tiles, 1 the blocks, 2 the chunks; those of the next
         state from 3 on, and so on."""
 
+        if all(x in self.known for x in states):
+            return {(b, i + 3 * at): x for at, state in enumerate(states) for (b, i), x in self.known[state].sums.items()}
+
         def run(t: pa.Table) -> pa.Table:
             x = np.sum([np.frombuffer(s) for s in sorted(t.column("s").to_pylist())], axis=0)
             return pa.Table.from_batches([state_rows([(SUMS, t.column("b")[0].as_py(), t.column("id")[0].as_py(), x, None)])])
@@ -329,7 +489,8 @@ class Grid:
                         names=["b", index, name],
                     )
 
-        return state.where(F.col("kind") == kind).mapInArrow(run, f"b int, {index} long, {name} array<double>")
+        out = state.where(F.col("kind") == kind).mapInArrow(run, f"b int, {index} long, {name} array<double>")
+        return out if self.columns is None else durable(out)  # while the state is there
 
 
 def layers(s: bytes, size: int, width: int) -> np.ndarray:
@@ -352,6 +513,18 @@ def state_rows(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
+def placed_rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows))
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["kind", "b", "id", "part", "x", "s", "y", "g"])
+
+
+def collected(rows: DataFrame) -> None:
+    """Have the driver collect its garbage, with which the cuts of states that nothing refers to any more go."""
+    gc.collect()
+    rows.sparkSession.sparkContext._jvm.System.gc()
+
+
 def total_of(t: pa.Table) -> np.ndarray | None:
     """The sum of the rows that have one, in the order of their parts, so that the order of arrival has no say."""
     rows = sorted((part, x) for part, x in zip(t.column("part").to_pylist(), t.column("x").to_pylist()) if x is not None)
@@ -417,11 +590,11 @@ def packed_grid(bits: DataFrame, n_variants: int, n_samples: int, rows: int = 51
 
 
 def dealt(tiles: DataFrame, n_variants: int, n_samples: int, rows: int, cols: int, high: int, wide: int) -> Grid:
-    """Tiles by part, each part in one task and in order, cached so."""
+    """Tiles by part, each part in one task and in order, cut and cached so."""
     g = Grid(tiles, n_variants, n_samples, rows, cols, high, wide)
     part = (F.floor(F.col("block") / high) * g.part_cols + F.floor(F.col("chunk") / wide)).cast("int")
     n = min(int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions")), g.part_rows * g.part_cols)
-    g.tiles = tiles.select(part.alias("part"), "block", "chunk", "g").repartition(n, "part").sortWithinPartitions("part").persist(StorageLevel.MEMORY_AND_DISK)
+    g.tiles = durable(tiles.select(part.alias("part"), "block", "chunk", "g").repartition(n, "part").sortWithinPartitions("part")).persist(StorageLevel.MEMORY_AND_DISK)
     return g
 
 
