@@ -1,12 +1,13 @@
 """Registered queries of the iterative fits; tests hold them against plain versions.
 
-`em_fit`, `adamem_fit` and `brqn_fit` are fits of few samples, whose Q may be on the driver; it is counted
-first. All others go over a grid of tiles and know no such bound.
+`em_fit`, `adamem_fit` and `brqn_fit` have Q on the driver if the samples, which are counted first, are few,
+and go over a grid from the same start if they aren't. All others go over a grid of tiles.
 """
 
 from __future__ import annotations
 
 import uuid
+from types import ModuleType
 
 import numpy as np
 import pandas as pd
@@ -26,12 +27,15 @@ QUICK = fit.Options(max_iter=6)
 #: Samples of which the driver may hold Q, its history and its sums.
 DRIVER_SAMPLES = 200_000
 
-def indexed(spark: SparkSession, sf_dir: str) -> bl.Blocks:
-    """Blocks of the dense view, of few samples."""
+def begun(spark: SparkSession, sf_dir: str) -> tuple[bl.Blocks, fit.Fit] | tuple[gr.Grid, gf.Fit]:
+    """Blocks of the dense view with a random start, or a grid with the same one if the samples are too many for
+    the driver."""
     g, n_variants, n_samples = places(spark, sf_dir)
     if n_samples > DRIVER_SAMPLES:
-        raise ValueError(f"{n_samples} samples are too many for the driver; fit them on a grid")
-    return bl.to_blocks(g, n_variants, n_samples, block_rows=16)
+        grid = laid(g, n_variants, n_samples)
+        return grid, gf.random_start(grid, CLUSTERS, as_one=True)
+    b = bl.to_blocks(g, n_variants, n_samples, block_rows=TILE["rows"])
+    return b, fit.random_start(b, CLUSTERS)
 
 
 def gridded(spark: SparkSession, sf_dir: str) -> gr.Grid:
@@ -44,7 +48,9 @@ def laid(g: DataFrame, n_variants: int, n_samples: int) -> gr.Grid:
     return grid.standing() if n_variants <= gr.STANDING else grid
 
 
-def q_table(spark: SparkSession, f: fit.Fit) -> DataFrame:
+def q_table(spark: SparkSession, b: bl.Blocks | gr.Grid, f: fit.Fit | gf.Fit) -> DataFrame:
+    if isinstance(b, gr.Grid):
+        return q_of(b, f)
     return bl.q_rows(spark, np.round(f.q, 6)).select("sample_id", F.posexplode("q").alias("k", "q"))
 
 
@@ -52,6 +58,11 @@ def q_of(grid: gr.Grid, f: gf.Fit) -> DataFrame:
     return gf.q_rows(grid, f).select("sample_id", F.posexplode("q").alias("k", "q")).withColumn("q", r6("q"))
 
 
+def method_of(b: bl.Blocks | gr.Grid) -> ModuleType:
+    """The module of the fits over blocks or over a grid."""
+    return gf if isinstance(b, gr.Grid) else fit
+
+
 @query
 def svd_singular_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = gf.svd(gridded(spark, sf_dir), CLUSTERS)[0]
@@ -66,21 +77,22 @@ def als_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def em_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = indexed(spark, sf_dir)
-    return q_table(spark, fit.em(b, fit.random_start(b, CLUSTERS), 5))
+    b, start = begun(spark, sf_dir)
+    return q_table(spark, b, method_of(b).em(b, start, 5))
 
 
 @query
 def adamem_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = indexed(spark, sf_dir)
-    return q_table(spark, fit.adaptive_em(b, fit.random_start(b, CLUSTERS)))
+    b, start = begun(spark, sf_dir)
+    return q_table(spark, b, method_of(b).adaptive_em(b, start))
 
 
 @query
 def brqn_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first six iterations, as the bench times them."""
-    b = indexed(spark, sf_dir)
-    return q_table(spark, fit.newton(b, fit.em(b, fit.random_start(b, CLUSTERS), 2), QUICK))
+    b, start = begun(spark, sf_dir)
+    on = method_of(b)
+    return q_table(spark, b, on.newton(b, on.em(b, start, 2), QUICK))
 
 
 @query

@@ -88,14 +88,18 @@ def likelihood_of(grid: Grid, p: DataFrame, q: DataFrame) -> float:
 # ---- starts ----
 
 
-def random_start(grid: Grid, k: int, seeds: list[int] | None = None) -> Fit:
-    """A member for each seed; rows are drawn by block and by chunk."""
-    seeds = seeds or [42]
+def random_start(grid: Grid, k: int, seeds: list[int] | None = None, as_one: bool = False) -> Fit:
+    """A member for each seed; rows are drawn by block and by chunk, or those of Q as one sequence of all samples,
+    as `fit.random_start` draws them."""
+    seeds, cols = seeds or [42], grid.cols
 
     def make(kind: int, b: int, i: int, n: int) -> np.ndarray:
         if kind == P:
             return kn.clip(np.random.default_rng([seeds[b], 1, i * grid_rows]).random((n, k)))[None]
-        return kn.normalize(np.random.default_rng([seeds[b], 0, i]).random((n, k)))[None]
+        rng = np.random.default_rng([seeds[b], 0] if as_one else [seeds[b], 0, i])
+        if as_one:
+            rng.bit_generator.advance(i * cols * k)
+        return kn.normalize(rng.random((n, k)))[None]
 
     grid_rows = grid.rows
     state = grid.begun(len(seeds), make)
